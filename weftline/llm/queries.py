@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftline.llm import fingerprint, licenses, quality, urls
+from weftline.llm import fingerprint, licenses, lm, neardup, packing, pii, quality, tokencount, urls, viterbi
 from weftline.llm.common import documents, pages
 
 
@@ -13,10 +13,34 @@ def op1_quality_rules(spark, sf_dir):
     return quality.judge(docs).select("doc_id", *quality.FIGURES, "base_failed", "kept")
 
 
+def op2_lm_scoring(spark, sf_dir):
+    return lm.score(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+def op3_packing(spark, sf_dir):
+    return packing.pack(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op4_license_scan(spark, sf_dir):
     return licenses.scan(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op5_near_duplicates(spark, sf_dir):
+    return neardup.classes(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def op6_token_counts(spark, sf_dir):
+    return tokencount.count_tokens(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+def op7_sentencepiece(spark, sf_dir):
+    return viterbi.encode(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+def op8_personal_data(spark, sf_dir):
+    return pii.scan(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op9_url_filter(spark, sf_dir):
     return urls.judge(pages(spark, sf_dir).select("page_id", "url", "html")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -25,5 +49,19 @@ def op10_fingerprint(spark, sf_dir):
     return fingerprint.fingerprints(documents(spark, sf_dir).select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op4_license_scan, op9_url_filter, op10_fingerprint)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality_rules,
+        op2_lm_scoring,
+        op3_packing,
+        op4_license_scan,
+        op5_near_duplicates,
+        op6_token_counts,
+        op7_sentencepiece,
+        op8_personal_data,
+        op9_url_filter,
+        op10_fingerprint,
+    )
+}
 ORACLE_SQL: dict[str, str] = {}
