@@ -317,3 +317,21 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     out = signed.select("id", "n_shingles", "digest").join(named, "digest", "left")
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(key), "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` without near-duplicates: of each class the row with the smallest key stays, once.
+
+    Rows are told apart by key and text, so rows that only share a key don't decide about each other.
+    """
+    scratch = Scratch(docs.sparkSession, "keep")
+    names = docs.columns
+    told = F.struct(F.col(key).alias("id"), F.xxhash64(text).alias("h"))
+    found = scratch.keep(classes(docs.select(told.alias("row"), F.col(text).alias("text")), "row", "text").groupBy("row").agg(F.first("kept").alias("kept"), F.count("*").alias("n")))
+    gone, repeated = found.where(~F.col("kept")).select("row"), found.where("kept and n > 1").select("row")
+    few = lambda rows: F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+    kept = docs.withColumn("row", told).join(few(gone), "row", "left_anti")
+    if not repeated.isEmpty():
+        again = few(repeated)
+        kept = kept.join(again, "row", "left_anti").unionByName(kept.join(again, "row", "left_semi").dropDuplicates(["row"]))
+    return kept.select(*names)
