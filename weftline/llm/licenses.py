@@ -2,12 +2,17 @@
 
 A text's words (ASCII letters lower-cased, punctuation dropped) give five-word
 shingles.  Templates of like size share a grid of overlapping windows, long
-enough that any run of the template's length lies in one of them.  Each window
-has one minimum of its shingle hashes per band; a template is looked up where a
-minimum equals its own.  A window that holds a share ``CONTAINMENT`` of a
-template's shingles has at least the similarity ``worst`` with it, so ``bands``
-gives the number of bands for which a match is missed with probability under
-``MISS``.  Every window that is retrieved is then compared shingle for shingle.
+enough that any run of the template's length lies in one of them.  A set of
+shingles has one band per bucket of its hashes (one-permutation MinHash with
+``BUCKETS`` buckets), and a band's value is the least hash in the bucket.  A
+template is retrieved for a window where any band has the same value in both.
+
+Only a window that holds a template's band value can match in that band.  So the
+values of all templates are looked up among a text's hashes, and bands are worked
+out for the windows around what is found; the windows retrieved are those that
+working out every band of every window gives.  ``miss`` bounds the probability
+that a window holding a share ``CONTAINMENT`` of a template is not retrieved.
+Every window that is retrieved is then compared shingle for shingle.
 
 Defined results: null and empty texts, and texts of under five words, match
 nothing; repeated rows give repeated results; a null ``doc_id`` is carried.
@@ -18,13 +23,13 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SHINGLE = 5
 CONTAINMENT = 0.75
+BUCKETS = 256
 MISS = 1e-3
 #: Notices by which a work names its license, as their stewards word them.
 TEMPLATES = {
@@ -60,13 +65,15 @@ class Grid:
     def length(self) -> int:
         return self.most + self.stride - 1
 
-    def worst(self, size: int) -> float:
-        """The least similarity of a window and a template of ``size`` shingles that it contains enough of."""
-        need = math.ceil(CONTAINMENT * size)
-        return need / (self.length + size - need)
+    def miss(self, size: int) -> float:
+        """A bound on the probability of not retrieving a window that contains enough of ``size`` shingles.
 
-    def bands(self, sizes: list[int]) -> int:
-        return max(1 if self.worst(n) == 1 else math.ceil(math.log(MISS) / math.log(1 - self.worst(n))) for n in sizes)
+        Of the shingles in common, each is the least of its bucket unless one of the
+        others, the window's or the template's, falls into the bucket and is less.
+        """
+        need = math.ceil(CONTAINMENT * size)
+        others = self.length - need + size - 1
+        return min(1.0, others / (2 * BUCKETS)) ** need
 
 
 def grids(templates: dict[str, str]) -> dict[Grid, list[str]]:
@@ -76,12 +83,23 @@ def grids(templates: dict[str, str]) -> dict[Grid, list[str]]:
         if size < 1:
             raise ValueError(f"template {name} has under {SHINGLE} words")
         out[Grid(1 << (size - 1).bit_length())].append(name)
+    for grid, names in out.items():
+        for name in names:
+            if grid.most > 1 and (miss := grid.miss(len(words_of(templates[name])) - SHINGLE + 1)) > MISS:
+                raise ValueError(f"template {name} may be missed with probability {miss:.2g}")
     return dict(out)
 
 
-def mask(band: int) -> int:
-    """A band's permutation: hashes are ordered by their exclusive or with this."""
-    return (0x9E3779B97F4A7C15 * (band + 1)) % (1 << 63)
+def bucket(h: int) -> int:
+    return h % BUCKETS
+
+
+def band_values(hashes: list[int]) -> list[int]:
+    """The least hash of each bucket that has one."""
+    least: dict[int, int] = {}
+    for h in hashes:
+        least[bucket(h)] = min(h, least.get(bucket(h), h))
+    return sorted(least.values())
 
 
 def shingle_hashes(text: Column) -> Column:
@@ -97,25 +115,20 @@ def template_hashes(spark, templates: dict[str, str]) -> dict[str, list[int]]:
     return {r["name"]: sorted(set(r["h"])) for r in rows.collect()}
 
 
-def _starts(h: Column, grid: Grid) -> Column:
-    end = F.greatest(F.size(h) - F.lit(grid.length - grid.stride) - 1, F.lit(0))
-    return F.when(F.size(h) > 0, F.sequence(F.lit(0), end, F.lit(grid.stride))).otherwise(F.array().cast("array<int>"))
-
-
-def _minimum(window: Column, band: int) -> Column:
-    return F.array_min(F.transform(window, lambda x: x.bitwiseXOR(F.lit(mask(band)))))
+def _candidates(h: Column, found: Column, grid: Grid, values: list[int]) -> Column:
+    """Starts of the grid's windows that match a template in a band; ``found``: where band values stand in ``h``."""
+    last = F.greatest(F.size(h) - F.lit(grid.length - grid.stride) - 1, F.lit(0))
 
-
-def _candidates(h: Column, grid: Grid, wanted: list[list[int]]) -> Column:
-    """Starts of the windows of which any band's minimum is a template's."""
+    def around(i: Column) -> Column:
+        first = F.greatest(F.ceil((i - grid.length + 1) / F.lit(float(grid.stride))).cast("int") * grid.stride, F.lit(0))
+        return F.sequence(first, (i / F.lit(float(grid.stride))).cast("int") * grid.stride, F.lit(grid.stride))
 
     def retrieved(s: Column) -> Column:
-        if grid.length == 1:
-            return F.get(h, s).isin(wanted[0])
         window = F.slice(h, s + 1, F.lit(grid.length))
-        return reduce(lambda a, b: a | b, (_minimum(window, b).isin([_signed(x ^ mask(b)) for x in hashes]) for b, hashes in enumerate(wanted)))
+        least = lambda t: ~F.exists(window, lambda y: (F.pmod(y, F.lit(BUCKETS)) == F.pmod(t, F.lit(BUCKETS))) & (y < t))
+        return (s <= last) & F.exists(window, lambda t: t.isin(values) & least(t))
 
-    return F.filter(_starts(h, grid), retrieved)
+    return F.filter(F.array_distinct(F.flatten(F.transform(found, around))), retrieved)
 
 
 def _confirmed(starts: Column, h: Column, grid: Grid, name: str, shingles: list[int]) -> Column:
@@ -135,14 +148,17 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, key: str = "doc
     the first such window begins, from 0) and ``n_windows``.
     """
     known = template_hashes(docs.sparkSession, templates)
-    candidates, confirmed = [], []
-    for i, (grid, names) in enumerate(grids(templates).items()):
-        n_bands = grid.bands([len(known[n]) for n in names])
-        wanted = [sorted({min(known[n], key=lambda x, m=mask(b): _signed(x ^ m)) for n in names}) for b in range(n_bands)]
-        candidates.append(lambda h, g=grid, w=wanted, i=i: _candidates(h, g, w).alias(f"c{i}"))
-        confirmed += [_confirmed(F.col(f"r.c{i}"), F.col("r.h"), grid, n, known[n]) for n in names]
+    by_grid = grids(templates)
+    values = {grid: sorted({v for n in names for v in band_values(known[n])}) for grid, names in by_grid.items()}
+    every = sorted({v for own in values.values() for v in own})
+    confirmed = [_confirmed(F.col(f"r.c{i}"), F.col("r.h"), grid, n, known[n]) for i, (grid, names) in enumerate(by_grid.items()) for n in names]
+
     # One expression from text to candidate windows, so that no filter makes Spark cut a text twice.
-    retrieved = F.get(F.transform(F.array(shingle_hashes(F.coalesce(F.col(text), F.lit("")))), lambda h: F.struct(h.alias("h"), *(c(h) for c in candidates))), F.lit(0))
+    def of_hashes(h: Column) -> Column:
+        found = F.filter(F.when(F.size(h) > 0, F.sequence(F.lit(0), F.size(h) - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.get(h, i).isin(every))
+        return F.get(F.transform(F.array(found), lambda at: F.struct(h.alias("h"), *(_candidates(h, at, grid, own).alias(f"c{i}") for i, (grid, own) in enumerate(values.items())))), F.lit(0))
+
+    retrieved = F.get(F.transform(F.array(shingle_hashes(F.coalesce(F.col(text), F.lit("")))), of_hashes), F.lit(0))
     rows = docs.select(F.col(key), F.explode(F.array(retrieved)).alias("r"))
     matches = rows.select(key, F.explode(F.array(F.filter(F.concat(*confirmed), lambda m: m["share"] >= CONTAINMENT))).alias("m")).where(F.size("m") > 0)
 
@@ -151,7 +167,3 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, key: str = "doc
         return F.struct(name.alias("license"), F.array_max(F.transform(own, lambda m: m["share"])).alias("containment"), F.array_min(F.transform(own, lambda m: m["start"])).cast("long").alias("first_word"), F.size(own).cast("long").alias("n_windows"))
 
     return matches.select(key, F.inline(F.transform(F.array_distinct(F.transform("m", lambda m: m["license"])), summed)))
-
-
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >= 1 << 63 else x
