@@ -15,7 +15,6 @@ is carried; repeated rows give pieces of their own with their own sequences.
 
 from __future__ import annotations
 
-import re
 import zlib
 
 import numpy as np
@@ -27,39 +26,81 @@ from weftline.llm.common import WordCodes, per_batch, ragged, tokenizer_file
 
 LIMIT = 4096
 END_ID = 2
-#: Other blanks (tabs, no-break spaces) stay inside words; the tokenizer deals with them.
-WORD = re.compile(r"[^ \n]+")
+#: The tokenizer's name for its end, which it knows in any text: a mark between words that are encoded together.
+MARK, MARK_ID = "<|endoftext|>", 49407
+
+
+def split_words(text: str) -> list[str]:
+    """Parts of a text between blanks and line feeds, some empty.  Other white space stays inside; the tokenizer deals with it.
+
+    ASCII letters are lower-cased here, as the tokenizer would, unless the text may hold one of its special strings.
+    """
+    own = text if "<|" in text else text.encode().lower().decode()
+    return own.replace("\n", " ").split(" ")
 
 
 class WordIds:
-    """Ids of texts by way of their distinct words."""
+    """Ids of texts by way of their distinct words, and of those by way of distinct units.
+
+    A word that is letters and then full stops or commas has two units, for the
+    tokenizer cuts there itself; any other word is one unit.
+    """
 
     def __init__(self, file: str):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are parallel already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
+        if self.tokenizer.token_to_id(MARK) != MARK_ID:
+            raise ValueError(f"{file} doesn't have {MARK} as {MARK_ID}")
         self.reset()
 
     def reset(self) -> None:
-        self.codes = WordCodes()
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.used = 0
-        self.starts = np.zeros(0, np.int64)
-        self.lengths = np.zeros(0, np.int64)
+        self.codes, self.units = WordCodes(700_000), WordCodes(700_000)
+        self.unit_flat, self.flat = np.zeros(0, np.uint32), np.zeros(0, np.uint32)
+        self.unit_starts, self.unit_lengths, self.starts, self.lengths = (np.zeros(0, np.int64) for _ in range(4))
+
+    def encode(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after another, and how many each unit has."""
+        plain = [u if "<|" not in u else "" for u in units]
+        together = [MARK.join(plain[at : at + 500]) for at in range(0, len(plain), 500)]
+        ids = [np.array(e.ids + [MARK_ID], np.uint32) for e in self.tokenizer.encode_batch_fast(together, add_special_tokens=False)]
+        ids = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+        ends = np.flatnonzero(ids == MARK_ID)
+        parts, lengths = np.delete(ids, ends), np.diff(ends, prepend=-1) - 1
+        special = [i for i, u in enumerate(units) if "<|" in u]
+        if special:
+            at = np.cumsum(lengths) - lengths
+            each = [parts[s : s + n] for s, n in zip(at, lengths, strict=True)]
+            for i in special:
+                each[i] = np.array(self.tokenizer.encode(units[i], add_special_tokens=False).ids, np.uint32)
+            parts, lengths = np.concatenate(each), np.array([len(x) for x in each], np.int64)
+        return parts, lengths
 
     def learn(self) -> None:
         new = self.codes.words[len(self.starts) :]
         if not new:
             return
-        encoded = [e.ids for at in range(0, len(new), 20_000) for e in self.tokenizer.encode_batch(new[at : at + 20_000], add_special_tokens=False)]
-        lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        ids = np.fromiter((x for e in encoded for x in e), np.uint32, int(lengths.sum()))
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.starts = np.concatenate([self.starts, self.used + np.cumsum(lengths) - lengths])
+        pairs = []
+        for w in new:
+            core = w.rstrip(".,")
+            if len(core) < len(w) and core.isalpha():
+                pairs += (self.units[core], self.units[w[len(core) :]])
+            else:
+                pairs += (self.units[w], -1)
+        unseen = self.units.words[len(self.unit_starts) :]
+        if unseen:
+            ids, lengths = self.encode(unseen)
+            self.unit_starts = np.concatenate([self.unit_starts, len(self.unit_flat) + np.cumsum(lengths) - lengths])
+            self.unit_flat, self.unit_lengths = np.concatenate([self.unit_flat, ids]), np.concatenate([self.unit_lengths, lengths])
+        pairs = np.array(pairs, np.int64)
+        sizes = np.where(pairs >= 0, self.unit_lengths[pairs], 0)
+        lengths = sizes.reshape(-1, 2).sum(1)
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
-        self.used += len(ids)
+        self.flat = np.concatenate([self.flat, self.unit_flat[ragged(self.unit_starts[pairs], sizes)]])
 
     def of(self, words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and how many each document has."""
@@ -109,7 +150,7 @@ def pack(docs: DataFrame, file: str | None = None, key: str = "doc_id", text: st
 
         first, coded, held = 0, [], 0
         for i, t in enumerate(texts.to_pylist()):
-            own = np.concatenate([words.codes.of(WORD.findall(t, at, at + len(x))) for at, x in _spans(t)] or [np.zeros(0, np.int32)]) if t else np.zeros(0, np.int32)
+            own = np.concatenate([words.codes.of(split_words(x)) for x in _parts(t)] or [np.zeros(0, np.int32)]) if t else np.zeros(0, np.int32)
             coded.append(own)
             held += len(own)
             if held > 500_000:
@@ -129,8 +170,8 @@ def pack(docs: DataFrame, file: str | None = None, key: str = "doc_id", text: st
     return numbered.withColumnRenamed("k", key)
 
 
-def _spans(t: str, limit: int = 1 << 20):
-    """(start, part) of ``t``, cut at blanks into parts of about ``limit`` characters."""
+def _parts(t: str, limit: int = 1 << 20):
+    """``t`` cut at blanks into parts of about ``limit`` characters."""
     at = 0
     while len(t) - at > limit:
         cut_at = max(t.rfind(" ", at, at + limit), t.rfind("\n", at, at + limit))
@@ -139,6 +180,6 @@ def _spans(t: str, limit: int = 1 << 20):
             if not ahead:
                 break
             cut_at = min(ahead)
-        yield at, t[at:cut_at]
+        yield t[at:cut_at]
         at = cut_at
-    yield at, t[at:]
+    yield t[at:]
