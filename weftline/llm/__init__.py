@@ -1,11 +1 @@
-"""Operators for building language-model training data.
-
-Nothing outside this package imports it.  Functions that run on executors are
-pickled by value, so a cluster needs no copy of this repository on its workers.
-"""
-
-from pyspark import cloudpickle
-
-import weftline.llm as _self
-
-cloudpickle.register_pickle_by_value(_self)
+"""Operators for building language-model training data; nothing outside this package imports it."""
