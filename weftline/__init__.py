@@ -1 +1,11 @@
-"""Document and change analytics as Spark DataFrame operators."""
+"""Document and change analytics as Spark DataFrame operators.
+
+Functions that run on executors are pickled by value, so a cluster needs no copy
+of this package on its workers.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
