@@ -110,21 +110,22 @@ def neighbours(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def with_next(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, kid, th, n_chars, edited_sha256, own, edited, next): the last three are paragraph digests.
+    """(key, kid, th, n_chars, edited_sha256, next_id, own, edited, next): the last three are paragraph digests.
 
-    Only as much of the next text as the edit takes is moved, and its digests.
+    Only as much of the next text as the edit takes is moved, and its digests.  Both
+    sides of the second join read the same columns of the first, so texts are dealt out once.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(key).alias("id"), t.alias("t"), F.coalesce(F.col(key).cast("long"), F.lit(LOWEST)).alias("kid"), F.xxhash64(t).alias("th"))
     order = neighbours(rows.select("kid", "th", F.length("t").alias("n")), scratch)
     placed = rows.join(order, ["kid", "th"])
     third = F.floor(F.col("before_n") / 3).cast("int")
-    sent = placed.select(F.col("before_kid").alias("kid"), F.col("before_th").alias("th"), F.substr("t", F.lit(1), third).alias("from_next"), paragraph_digests(F.col("t")).alias("next"))
+    sent = placed.select(F.col("id").alias("next_id"), F.col("before_kid").alias("kid"), F.col("before_th").alias("th"), F.substr("t", F.lit(1), third).alias("from_next"), paragraph_digests(F.col("t")).alias("next"))
     sent = sent.dropDuplicates(["kid", "th"])
     both = placed.join(sent, ["kid", "th"])
     edited = F.concat(F.substr("t", F.lit(1), F.col("n") - F.floor(F.col("n") / 3).cast("int")), F.col("from_next"))
     both = both.withColumn("e", edited)
-    return scratch.keep(both.select("id", "kid", "th", F.col("n").cast("long").alias("n_chars"), F.sha2(F.col("e").cast("binary"), 256).alias("edited_sha256"), paragraph_digests(F.col("t")).alias("own"), paragraph_digests(F.col("e")).alias("edited"), "next"))
+    return scratch.keep(both.select("id", "kid", "th", F.col("n").cast("long").alias("n_chars"), F.sha2(F.col("e").cast("binary"), 256).alias("edited_sha256"), "next_id", paragraph_digests(F.col("t")).alias("own"), paragraph_digests(F.col("e")).alias("edited"), "next"))
 
 
 def _signed(digests: str, sign: int) -> Column:
@@ -164,7 +165,7 @@ def sketch_text(texts: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next)."""
+    """(key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, next_id)."""
     scratch = Scratch(docs.sparkSession, "fingerprints")
     rows = with_next(docs, scratch, key, text)
     keys = ["kid", "th"]
@@ -183,4 +184,4 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
         return F.when(both == 0, 1.0).otherwise((both - d) / (both + d))
 
     blank = F.lit("iblt1")
-    return out.select(F.col("id").alias(key), "n_chars", "edited_sha256", F.coalesce("fingerprint", blank).alias("fingerprint"), F.coalesce("edited_fingerprint", blank).alias("edited_fingerprint"), near("edited", "d_edited").alias("near_edited"), near("next", "d_next").alias("near_next"))
+    return out.select(F.col("id").alias(key), "n_chars", "edited_sha256", F.coalesce("fingerprint", blank).alias("fingerprint"), F.coalesce("edited_fingerprint", blank).alias("edited_fingerprint"), near("edited", "d_edited").alias("near_edited"), near("next", "d_next").alias("near_next"), "next_id")
