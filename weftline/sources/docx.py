@@ -6,7 +6,7 @@ import io
 import zipfile
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +14,6 @@ W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 SCHEMA = """doc_id string, kind string, pos int, run_no int, text string, style_id string, style_name string, based_on string, bold boolean, italic boolean, underline boolean,
 size double, font string, color string, alignment string, spacing_before double, spacing_after double, left_indent double, first_line_indent double,
 num_id int, ilvl int, num_fmt string, lvl_text string, start int, cells array<array<string>>"""
-COLUMNS = [c.split()[0] for c in SCHEMA.replace("\n", " ").split(",")]
 
 
 def _value(node, path: str, attribute: str = "val"):
@@ -104,12 +103,15 @@ def read_docx(doc_id: str, content: bytes) -> list[dict]:
 def parts(files: DataFrame) -> DataFrame:
     """All rows of documents given as (doc_id, content)."""
 
-    def run(frames):
-        for frame in frames:
-            rows = [r for d, c in frame[["doc_id", "content"]].itertuples(index=False) for r in read_docx(d, bytes(c or b""))]
-            yield pd.DataFrame(rows, columns=COLUMNS).astype({"pos": "Int32", "run_no": "Int32", "num_id": "Int32", "ilvl": "Int32", "start": "Int32", "bold": "boolean", "italic": "boolean", "underline": "boolean"})
+    kinds = {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "array<array<string>>": pa.list_(pa.list_(pa.string()))}
+    schema = pa.schema([(name, kinds[kind]) for name, kind in (c.split() for c in SCHEMA.replace("\n", " ").split(","))])
 
-    return files.mapInPandas(run, SCHEMA)
+    def run(batches):
+        for batch in batches:
+            rows = [r for f in batch.to_pylist() for r in read_docx(f["doc_id"], f["content"] or b"")]
+            yield pa.RecordBatch.from_pylist(rows, schema)
+
+    return files.select("doc_id", "content").mapInArrow(run, SCHEMA)
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
