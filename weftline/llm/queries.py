@@ -64,4 +64,32 @@ QUERIES = {
         op10_fingerprint,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+#: Words as the contracts cut them, in order.
+_WORDS = "list_filter(string_split(translate(coalesce(text, ''), chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '     '), ' '), lambda w: w <> '')"
+_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_OP1 = rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
+ p AS (SELECT r, generate_subscripts(w, 1) AS i, unnest(w) AS x FROM d),
+ v AS (SELECT r, i, x || chr(32) || lead(x, 1) OVER o || chr(32) || lead(x, 2) OVER o || chr(32) || lead(x, 3) OVER o || chr(32) || lead(x, 4) OVER o AS s FROM p WINDOW o AS (PARTITION BY r ORDER BY i)),
+ again AS (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS j FROM (SELECT r, i, count(*) OVER (PARTITION BY r, s) AS c FROM v WHERE s IS NOT NULL) WHERE c > 1),
+ covered AS (SELECT r, sum(least(5, coalesce(j - i, 5))) AS n FROM again GROUP BY r),
+ f AS (SELECT d.*, CAST(len(w) AS BIGINT) AS n_words, CAST(list_sum(list_transform(w, lambda x: length(x))) AS BIGINT) AS wc, CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+ CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words
+ FROM (SELECT *, list_filter(string_split(t, chr(10)), lambda x: translate(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '') <> '') AS l FROM d) d LEFT JOIN covered c USING (r)),
+ g AS (SELECT doc_id, t, w, n_words, coalesce(wc, 0) AS word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f)
+ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR n_symbols * 10 > n_words OR word_chars < 2 * n_words OR word_chars > 20 * n_words
+ OR length(regexp_replace(t, '[\p{{L}}\p{{M}}]+', '', 'g')) * 10 > length(t) * 6 OR length(t) - length(translate(t, '0123456789', '')) > length(t) * 0.3 OR n_dup_lines * 10 > 3 * len(string_split(t, chr(10)))
+ OR len(list_distinct(string_split({_LOWER.format("t")}, ' '))) * 50 < n_words OR length(regexp_replace(t, '[^\p{{Lu}}]+', '', 'g')) * 2 > length(t)) AS kept FROM g"""
+
+_OP5 = rf"""WITH RECURSIVE d AS (SELECT doc_id, list_transform({_WORDS}, lambda x: {_LOWER.format("x")}) AS w FROM documents),
+ s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
+ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+ c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+ e AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+ both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+ reach AS (SELECT a AS doc_id, a AS other FROM both_ways UNION SELECT r.doc_id, w.b FROM reach r JOIN both_ways w ON w.a = r.other),
+ low AS (SELECT doc_id, min(other) AS least_id FROM reach GROUP BY doc_id)
+ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(low.least_id, d.doc_id) AS component_id, coalesce(low.least_id, d.doc_id) = d.doc_id AS kept FROM d LEFT JOIN n USING (doc_id) LEFT JOIN low USING (doc_id)"""
+
+#: The others need tokenizers, models, hashes or iteration that SQL doesn't have; tests hold them against brute force.
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": _OP1, "op5_near_duplicates": _OP5}
