@@ -6,7 +6,7 @@ ASCII, invisible ones go, spelled digits become digits, and written-out ``at``
 and ``dot`` become ``@`` and ``.``.  Each step carries, for every character it
 gives out, the source span it came from; the same detectors then run on the
 rewritten text and their spans are mapped back.  A span is added only if its
-source differs from what was detected and no base span of its kind overlaps it.
+source differs from what was detected and no base span of its kind covers it.
 
 Offsets count code points, ends are exclusive.  Defined results: a null text is
 empty and has no spans; a null ``doc_id`` is carried; repeated rows each get
@@ -45,8 +45,9 @@ _DIGIT = "(?:" + "|".join(DIGIT_WORDS) + ")"
 SPELLED = re.compile(rf"(?i)\b(?:(plus)[ -]+)?({_DIGIT}(?:[ ,-]+{_DIGIT}){{3,}}(?:[ ,-]+(?:dot|point)[ ,-]+{_DIGIT}(?:[ ,-]+{_DIGIT})*)*)\b")
 SPELLED_PART = re.compile(rf"(?i)\b({_DIGIT}|dot|point)\b")
 BRACKETED = re.compile(r"(?i) ?[\[({<] ?(at|@|dot|\.) ?[\])}>] ?")
-WRITTEN = re.compile(r"(?i)(?<=[A-Za-z0-9_%+-]) (at|@) (?=[A-Za-z0-9-]+(?: dot [A-Za-z0-9-]+)+)")
-WRITTEN_DOT = re.compile(r"(?i)(?<=[A-Za-z0-9-]) dot (?=[A-Za-z0-9-])")
+#: Without brackets only these top-level domains count; none of them is an English word.
+DOMAINS = "com|org|net|edu|gov|mil|info|biz|dev|app|io|co|uk|de|fr|es|eu|ch|nl|pl|ru|jp|cn|br|ca|au"
+WRITTEN = re.compile(rf"(?i)(?<=[A-Za-z0-9_%+-]) (at|@) (?=[A-Za-z0-9-]+(?: dot [A-Za-z0-9-]+)* dot (?:{DOMAINS})\b)")
 IP_DOT = re.compile(r"(?i)(?<=[0-9]) dot (?=[0-9])")
 
 Span = tuple[str, int, int]
@@ -163,7 +164,7 @@ def _cut(m: re.Match) -> list[tuple[int, int]]:
 def find(t: str) -> tuple[list[Span], list[Span]]:
     """Base spans, and all spans."""
     base = detect(t)
-    more = [x for x in disguised(t) if not any(k == x[0] and s < x[2] and x[1] < e for k, s, e in base)]
+    more = [x for x in disguised(t) if not any(k == x[0] and s <= x[1] and x[2] <= e for k, s, e in base)]
     order = {k: i for i, k in enumerate(KINDS)}
     return base, sorted(base + more, key=lambda x: (x[1], order[x[0]], x[2])) if more else base
 
