@@ -83,11 +83,7 @@ def _covered(hashes: Column) -> Column:
 
 
 def _figures(t: Column) -> Column:
-    """All base figures of a text as one struct.
-
-    Words and hashes are bound once (``_let``), so that a filter that Spark pushes
-    below this expression can't make it split the text again for each word.
-    """
+    """All base figures of a text as one struct; words and hashes are bound once (``_let``)."""
     lines = F.filter(F.split(t, "\n"), lambda x: F.translate(x, BLANKS, "") != "")
 
     def of_words(words: Column) -> Column:
@@ -105,7 +101,8 @@ def _figures(t: Column) -> Column:
 def base_figures(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
     t = F.coalesce(F.col(text), F.lit(""))
-    out = docs.withColumn("_figures", _figures(t)).select(*docs.columns, "_figures.*")
+    # Rows come out of a generator, which Spark pushes no filter through: the figures are worked out once.
+    out = docs.select("*", F.inline(F.array(_figures(t))))
     return out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
 
 
@@ -119,12 +116,13 @@ def order_rules(docs: DataFrame, rules=RULES, text: str = "text", sample_rows: i
     characters, so at most their product comes to the driver.  It only orders
     the rules; every row meets every rule that the order doesn't spare it.
     """
-    drawn = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"), *FIGURES, "base_failed").where(~F.col("base_failed") & (F.length("text") <= sample_chars))
-    rows = drawn.sample(fraction, seed=1).limit(sample_rows).collect() or drawn.limit(sample_rows).collect()
+    texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).where(F.length("text") <= sample_chars)
+    passed = lambda rows: base_figures(rows).where(~F.col("base_failed")).drop("base_failed").limit(sample_rows).collect()
+    rows = passed(texts.sample(fraction, seed=1)) or passed(texts)
     if not rows:
         return list(rules), [(r.name, 0.0, 0.0) for r in rules]
     schema = T.StructType([T.StructField("text", T.StringType())] + [T.StructField(f, T.LongType()) for f in FIGURES])
-    sample = docs.sparkSession.createDataFrame([tuple(r)[: len(schema)] for r in rows], schema).coalesce(1)
+    sample = docs.sparkSession.createDataFrame([tuple(r) for r in rows], schema).coalesce(1)
     figures = {f: F.col(f) for f in FIGURES}
     told = []
     for rule in rules:
@@ -141,7 +139,7 @@ def judge(docs: DataFrame, rules=RULES, text: str = "text", ordered: list[Rule]
     """``docs`` with the base figures, ``kept`` and ``rejected_by`` (a rule's name, ``base`` or null)."""
     clash = [c for c in (*FIGURES, "base_failed", "kept", "rejected_by") if c in docs.columns]
     figured = base_figures(docs.drop(*clash), text)
-    ordered = ordered or order_rules(figured, rules, text)[0]
+    ordered = ordered or order_rules(docs, rules, text)[0]
     t, figures = F.coalesce(F.col(text), F.lit("")), {f: F.col(f) for f in FIGURES}
     verdict = F.when(F.col("base_failed"), F.lit("base"))
     for rule in ordered:
