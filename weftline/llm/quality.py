@@ -43,8 +43,8 @@ RULES = (
     Rule("symbol_words", lambda t, f: f["n_symbols"] * 10 > f["n_words"]),
     Rule("word_length", lambda t, f: (f["word_chars"] < 2 * f["n_words"]) | (f["word_chars"] > 20 * f["n_words"])),
     Rule("few_letters", lambda t, f: F.length(F.regexp_replace(t, r"[\p{L}\p{M}]+", "")) * 10 > F.length(t) * 6),
-    Rule("digits", lambda t, f: F.length(t) - F.length(F.translate(t, "0123456789", "")) > F.length(t) * 0.3),
-    Rule("repeated_lines", lambda t, f: f["n_dup_lines"] * 10 > 3 * F.size(F.split(t, "\n"))),
+    Rule("digits", lambda t, f: F.length(t) - F.length(F.translate(t, "0123456789", "")) > F.length(t) * 0.5),
+    Rule("repeated_lines", lambda t, f: f["n_dup_lines"] * 2 > F.size(F.split(t, "\n"))),
     Rule("few_distinct_words", lambda t, f: F.size(F.array_distinct(F.split(ascii_lower(t), " "))) * 50 < f["n_words"]),
     Rule("shouting", lambda t, f: F.length(F.regexp_replace(t, r"[^\p{Lu}]+", "")) * 2 > F.length(t)),
 )

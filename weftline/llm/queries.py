@@ -78,7 +78,7 @@ _OP1 = rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text,
  FROM (SELECT *, list_filter(string_split(t, chr(10)), lambda x: translate(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '') <> '') AS l FROM d) d LEFT JOIN covered c USING (r)),
  g AS (SELECT doc_id, t, w, n_words, coalesce(wc, 0) AS word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f)
  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR n_symbols * 10 > n_words OR word_chars < 2 * n_words OR word_chars > 20 * n_words
- OR length(regexp_replace(t, '[\p{{L}}\p{{M}}]+', '', 'g')) * 10 > length(t) * 6 OR length(t) - length(translate(t, '0123456789', '')) > length(t) * 0.3 OR n_dup_lines * 10 > 3 * len(string_split(t, chr(10)))
+ OR length(regexp_replace(t, '[\p{{L}}\p{{M}}]+', '', 'g')) * 10 > length(t) * 6 OR length(t) - length(translate(t, '0123456789', '')) > length(t) * 0.5 OR n_dup_lines * 2 > len(string_split(t, chr(10)))
  OR len(list_distinct(string_split({_LOWER.format("t")}, ' '))) * 50 < n_words OR length(regexp_replace(t, '[^\p{{Lu}}]+', '', 'g')) * 2 > length(t)) AS kept FROM g"""
 
 _OP5 = rf"""WITH RECURSIVE d AS (SELECT doc_id, list_transform({_WORDS}, lambda x: {_LOWER.format("x")}) AS w FROM documents),
