@@ -7,16 +7,19 @@ smallest is kept as its leading zeros and ``MANTISSA`` bits after them.
 1. Texts with equal sets are one class from here on, however many copies there are.
 2. Bands of ``ROWS`` registers (an empty register borrows from the next full one)
    give keys.  Two sets with similarity 0.75 share none of ``BANDS`` keys with
-   probability (1 - 0.75**4)**40, about 3e-7.
-3. Members of a bucket are paired with its lowest and highest class, never with
-   each other.  A pair goes on if the similarity estimated from its registers,
-   less the matches expected by chance, comes near the threshold.
+   probability (1 - 0.75**5)**51, about 1e-6.
+3. Members of a bucket are paired with its lowest class, never with each other.
+   A pair whose sizes allow it goes on if the similarity estimated from its
+   registers, less the matches expected by chance, comes near the threshold.
 4. Pairs are confirmed on full sets: first each class's best one, then those
    that still lie between components.
 5. Buckets that still hold several components are finished in blocks: the
    members outside the largest component meet all members of other components,
-   ``SIDE`` by ``SIDE``.  So every candidate pair is confirmed, rejected or within a
-   component already, and no link is lost.
+   ``SIDE`` by ``SIDE``.  Registers show which members have a likely partner there;
+   those meet once more with their full sets, and a block gives one confirmed
+   link for each member and other component.  So every candidate pair is
+   confirmed, rejected or within a component already: no link is lost, and what
+   a group gives out grows with its members, not with its pairs.
 
 Defined results: a null or blank text has no shingles, is its own component and
 kept; so is a text with a null ``doc_id``, unless it equals others; rows with
@@ -35,9 +38,9 @@ from weftline.llm.components import components
 
 SHINGLE = 5
 THRESHOLD = 75
-REGISTERS, MANTISSA, ROWS, BANDS = 256, 10, 4, 40
-#: Five standard deviations of the estimate under the threshold.
-NEAR = 0.75 - 5 * (0.75 * 0.25 / REGISTERS) ** 0.5
+REGISTERS, MANTISSA, ROWS, BANDS = 256, 10, 5, 51
+#: Four standard deviations of the estimate under the threshold.
+NEAR = 0.75 - 4 * (0.75 * 0.25 / REGISTERS) ** 0.5
 SIDE = 512
 #: Classes named to a scan by broadcast; beyond, the scan joins.
 BROADCAST_ROWS = 1_000_000
@@ -158,6 +161,11 @@ def bands(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "registers").mapInArrow(per_batch(one, ["node", "registers"]), "key long, node long")
 
 
+def sizes_allow(a: str, b: str):
+    """Whether sets of these sizes can reach the threshold."""
+    return F.least(a, b) * 100 >= F.greatest(a, b) * THRESHOLD
+
+
 def near_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(a, b, likeness) of those pairs whose registers come near the threshold."""
 
@@ -168,7 +176,7 @@ def near_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([a.take(kept), b.take(kept), pa.array(like).take(kept)], names=["a", "b", "likeness"])
 
     side = lambda s: nodes.select(F.col("node").alias(s), F.col("n_shingles").alias(f"n{s}"), F.col("registers").alias(f"r{s}"))
-    joined = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * THRESHOLD)
+    joined = pairs.join(side("a"), "a").join(side("b"), "b")
     return joined.mapInArrow(per_batch(one, ["a", "b", "na", "nb", "ra", "rb"]), "a long, b long, likeness double")
 
 
@@ -206,39 +214,78 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, scratch: Scra
     return out
 
 
-def outside_pairs(members: DataFrame, sizes: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(a, b, likeness) between components of one bucket, near the threshold, each pair once.
+def dealt_blocks(members: DataFrame, payload: list[str]) -> DataFrame:
+    """Members (key, node, component, n_shingles, payload) of unfinished buckets, dealt to blocks (key, left, right).
 
-    ``members``: key, node, component of unfinished buckets; ``sizes``: key, component and n of
-    its members.  Members outside a bucket's largest component meet the others in blocks.
+    A block has up to about ``SIDE`` queries, members outside the bucket's largest
+    component, and as many of all its members.
     """
+    sizes = members.groupBy("key", "component").agg(F.count("*").alias("n"))
     main = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
+    rows = members.join(main, "key").where("`all` > most")
     lanes = lambda n: F.ceil(n / SIDE).cast("int")
-    rows = members.join(main, "key").join(nodes.select("node", "n_shingles", "registers"), "node")
-    own = F.pmod(F.xxhash64("node"), lanes(F.col("all"))).cast("int")
-    every = rows.select("key", F.explode(F.sequence(F.lit(0), lanes(F.col("all") - F.col("most")) - 1)).alias("left"), own.alias("right"), F.lit(False).alias("query"), "node", "component", "n_shingles", "registers")
-    outside = rows.where("component != main")
-    queries = outside.select("key", F.pmod(F.xxhash64("node"), lanes(F.col("all") - F.col("most"))).cast("int").alias("left"), F.explode(F.sequence(F.lit(0), lanes(F.col("all")) - 1)).alias("right"), F.lit(True).alias("query"), "node", "component", "n_shingles", "registers")
+    lane = lambda n: F.pmod(F.xxhash64("node"), lanes(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), lanes(n) - 1))
+    kept = ["node", "component", "n_shingles", *payload]
+    outside = F.col("all") - F.col("most")
+    others = rows.select("key", every(outside).alias("left"), lane(F.col("all")).alias("right"), F.lit(False).alias("query"), *kept)
+    queries = rows.where("component != main").select("key", lane(outside).alias("left"), every(F.col("all")).alias("right"), F.lit(True).alias("query"), *kept)
+    return queries.union(others)
+
+
+def likely(node: np.ndarray, component: np.ndarray, n: np.ndarray, query: np.ndarray, registers: np.ndarray, key: int):
+    """(query, partners, likeness) of each query that has partners in other components near the threshold.
+
+    Pairs that share an earlier band are left to that band's bucket.
+    """
+    keys = band_keys(registers)
+    q, o = np.flatnonzero(query), np.flatnonzero(~query)
+    band = int(np.flatnonzero(keys[q[0]] == key)[0]) if len(q) else 0
+    for i in q:
+        other = o[component[o] != component[i]]
+        other = other[np.minimum(n[other], n[i]) * 100 >= np.maximum(n[other], n[i]) * THRESHOLD]
+        other = other[~(keys[other, :band] == keys[i, :band]).any(1)]
+        like = estimate(registers[other], registers[i], n[other], n[i])
+        near = np.flatnonzero(like >= NEAR)
+        if len(near):
+            yield i, other[near], like[near]
+
+
+def likely_members(members: DataFrame) -> DataFrame:
+    """(key, node) of members (with registers) that have a likely partner in another component of their bucket."""
 
     def block(table: pa.Table) -> pa.Table:
-        query = table["query"].to_numpy()
-        node, component, n = (table[c].to_numpy() for c in ("node", "component", "n_shingles"))
+        query, node, component, n = (table[c].to_numpy() for c in ("query", "node", "component", "n_shingles"))
         registers = np.frombuffer(b"".join(table["registers"].to_pylist()), np.uint16).reshape(-1, REGISTERS)
-        keys, key = band_keys(registers), table["key"][0].as_py()
-        q, o = np.flatnonzero(query), np.flatnonzero(~query)
-        band = int(np.flatnonzero((keys[q[0]] == key))[0]) if len(q) else 0
-        found: list[list[np.ndarray]] = [[], [], []]
-        for i in q:
-            other = o[component[o] != component[i]]
-            other = other[~(keys[other, :band] == keys[i, :band]).any(1)]  # pairs that an earlier band holds are found there
-            like = estimate(registers[other], registers[i], n[other], n[i])
-            near = (like >= NEAR) & (np.minimum(n[other], n[i]) * 100 >= np.maximum(n[other], n[i]) * THRESHOLD)
-            for col, v in zip(found, (np.minimum(node[other[near]], node[i]), np.maximum(node[other[near]], node[i]), like[near]), strict=True):
-                col.append(v)
-        a, b, like = (np.concatenate(c) if c else np.zeros(0, t) for c, t in zip(found, (np.int64, np.int64, np.float64), strict=True))
-        return pa.table({"a": a, "b": b, "likeness": like})
-
-    return queries.union(every).groupBy("key", "left", "right").applyInArrow(block, "a long, b long, likeness double").dropDuplicates(["a", "b"])
+        key = table["key"][0].as_py()
+        found = [np.append(others, i) for i, others, _ in likely(node, component, n, query, registers, key)]
+        out = np.unique(node[np.concatenate(found)]) if found else np.zeros(0, np.int64)
+        return pa.table({"key": np.full(len(out), key), "node": out})
+
+    return dealt_blocks(members, ["registers"]).groupBy("key", "left", "right").applyInArrow(block, "key long, node long").distinct()
+
+
+def confirmed_links(members: DataFrame) -> DataFrame:
+    """(a, b): for each query of a block and each other component one pair with 100 * intersection >= 75 * union.
+
+    ``members`` carry their full sets.
+    """
+
+    def block(table: pa.Table) -> pa.Table:
+        query, node, component, n = (table[c].to_numpy() for c in ("query", "node", "component", "n_shingles"))
+        sets = [np.array(x, np.int64).view(np.uint64) for x in table["shingles"].to_pylist()]
+        links = []
+        for i, others, like in likely(node, component, n, query, sketch(sets), table["key"][0].as_py()):
+            linked = set()
+            for j in others[np.argsort(-like, kind="stable")]:
+                if component[j] not in linked:
+                    common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if 100 * common >= THRESHOLD * (n[i] + n[j] - common):
+                        linked.add(component[j])
+                        links.append((min(node[i], node[j]), max(node[i], node[j])))
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
+
+    return dealt_blocks(members, ["shingles"]).groupBy("key", "left", "right").applyInArrow(block, "a long, b long").distinct()
 
 
 class Linker:
@@ -258,8 +305,8 @@ class Linker:
     def between(self, pairs: DataFrame) -> DataFrame:
         return self.label(self.label(pairs, "a", "ca"), "b", "cb").where("ca != cb").drop("ca", "cb")
 
-    def join_up(self, pairs: DataFrame) -> None:
-        links = confirmed(pairs, self.nodes, self.docs, self.scratch)
+    def join_up(self, links: DataFrame) -> None:
+        """Merge the components that confirmed links lie between."""
         if links.isEmpty():
             return
         between = self.label(self.label(links, "a", "ca"), "b", "cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
@@ -278,10 +325,27 @@ class Linker:
             return
         ends = pairs.select(F.col("a").alias("node"), "a", "b", "likeness").union(pairs.select("b", "a", "b", "likeness"))
         best = ends.groupBy("node").agg(F.max_by(F.struct("a", "b"), F.struct("likeness", "a", "b")).alias("p")).select("p.*").distinct()
-        self.join_up(self.scratch.keep(best))
+        self.join_up(confirmed(self.scratch.keep(best), self.nodes, self.docs, self.scratch))
         rest = self.scratch.keep(self.between(pairs.join(best, ["a", "b"], "left_anti")))
         if not rest.isEmpty():
-            self.join_up(rest)
+            self.join_up(confirmed(rest, self.nodes, self.docs, self.scratch))
+
+    def finish(self, members: DataFrame) -> None:
+        """Join what buckets (key, node) still hold apart."""
+        placed = self.label(members, "node", "component")
+        # A bucket of two has had its only pair.
+        open_keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low != high and n > 2").select("key")
+        placed = self.scratch.keep(placed.join(open_keys, "key", "left_semi"))
+        if placed.isEmpty():
+            return
+        known = self.nodes.select("node", "n_shingles", "registers")
+        involved = self.scratch.keep(likely_members(placed.join(known, "node")))
+        if involved.isEmpty():
+            return
+        wanted = self.nodes.select("node", "digest", "id").join(involved.select("node").distinct(), "node", "left_semi")
+        sets = self.scratch.keep(shingle_sets(self.docs, wanted))
+        rows = placed.join(involved, ["key", "node"]).join(sets, "node").withColumn("n_shingles", F.size("shingles").cast("long"))
+        self.join_up(self.scratch.keep(confirmed_links(rows)))
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -295,22 +359,16 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     reps = signed.where("digest is not null").groupBy("digest").agg(F.min("id").alias("id"), F.first("registers").alias("registers"), F.first("n_shingles").alias("n_shingles"))
     nodes = scratch.keep(scratch.keep(reps).withColumn("node", F.monotonically_increasing_id()))
     keyed = scratch.keep(bands(nodes))
-    shared = scratch.keep(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where("n > 1"))
-    members = scratch.keep(keyed.join(shared, "key").select("key", "node", "low", "high"))
+    shared = scratch.keep(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1"))
+    members = scratch.keep(keyed.join(shared, "key").select("key", "node", "hub"))
     scratch.drop(keyed)
-    spokes = members.select("node", F.explode(F.array_distinct(F.array("low", "high"))).alias("hub")).where("node != hub")
-    candidates = spokes.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    candidates = members.where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    of = lambda s: nodes.select(F.col("node").alias(s), F.col("n_shingles").alias(f"n{s}"))
+    like_sized = candidates.join(of("a"), "a").join(of("b"), "b").where(sizes_allow("na", "nb")).select("a", "b")
     linker = Linker(nodes, rows, scratch)
-    first = scratch.keep(near_pairs(candidates, nodes))
+    first = scratch.keep(near_pairs(like_sized, nodes))
     linker.take(first)
-    placed = linker.label(members.select("key", "node"), "node", "component")
-    sizes = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
-    # A bucket of two has had its only pair.
-    open_keys = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("all")).where("parts > 1 and all > 2").select("key")
-    placed = scratch.keep(placed.join(open_keys, "key", "left_semi"))
-    if not placed.isEmpty():
-        sizes = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
-        linker.take(scratch.keep(outside_pairs(placed, sizes, nodes).join(first.select("a", "b"), ["a", "b"], "left_anti")))
+    linker.finish(members.select("key", "node"))
     labelled = linker.label(nodes.select("node", "digest", F.col("id").alias("low_id")), "node", "component")
     lowest = labelled.groupBy("component").agg(F.min("low_id").alias("component_id"))
     named = labelled.join(lowest, "component").select("digest", "component_id")
