@@ -284,3 +284,65 @@ def test_git(spark, tmp_path):
     both = diff.file_changes(diff.status_stream(found["status"], ["change_id"]), diff.count_stream(found["counts"], ["change_id"]), ["change_id"])
     assert rows(both, "path", "status", "old_path", "additions") == [("a b.py", "modified", None, 1), ("new.txt", "renamed", "old.txt", 0)]
     assert rows(diff.hunks(found["diffs"], ["path"]), "path", "added", "removed") == [("a b.py", 1, 1)]
+
+
+PACKAGE = {
+    "schema_version": 3,
+    "generated_summary": "1 file(s) changed",
+    "changed_files": [
+        {
+            "path": "src/loader.py",
+            "status": "modified",
+            "what_changed": [{"hunk_header": "@@ def load_rows", "summary": "Modified function load_rows.", "symbols": ["load_rows"], "change_blocks": [{"old_line_count": 1, "new_line_count": 1, "removed_text": "read csv files", "added_text": "read parquet files"}]}],
+        }
+    ],
+}
+DOCUMENT = """# Project
+## Overview
+A project that loads data.
+## Loading
+The step `load_rows` in src/loader.py does it. It reads csv files. Nothing else happens.
+
+- `src/loader.py`
+## Testing
+We use pytest.
+"""
+
+
+def test_preview_from_package_to_sentence(spark):
+    from weftline.plans import preview
+
+    packages = spark.createDataFrame([("c", "d", json.dumps(PACKAGE))], "change_id string, doc_id string, json string")
+    found = preview.route(packages, spark.createDataFrame([("d", DOCUMENT)], "doc_id string, text string"))
+    decided = found["decided"].collect()[0]
+    assert decided["section_id"] == "project-loading" and decided["action"] == "update_section" and not decided["ambiguous"] and decided["confidence"] >= 0.6
+    best = found["places"].orderBy("rank").collect()[0]
+    assert best["candidate_type"] == "sentence" and best["direct"] > 0
+    assert found["placed"].collect()[0]["recommendation"] == "use_existing_candidate"
+
+
+def test_prompts_and_answers(spark):
+    from weftline.operators import package as P
+    from weftline.operators import prompts
+
+    packages = spark.createDataFrame([("c", json.dumps(PACKAGE)), ("x", json.dumps(PACKAGE))], "id string, json string")
+    hunks = P.hunks(P.files(P.parse_packages(packages, ["id"]), ["id"]), ["id"])
+    facts = prompts.change_facts(hunks, spark.createDataFrame([("c", ["loader"])], "id string, tokens array<string>"), ["id"])
+    assert rows(facts, "facts", "omitted_files", "omitted_hunks")[0] == ("File src/loader.py: Modified function load_rows. load_rows\n- read csv files\n+ read parquet files", 0, 0)
+    assert "load_rows" in rows(prompts.evidence_corpus(hunks, ["id"]), "identifiers")[0][0]
+    short = spark.createDataFrame([(i, 1, "s1", "One", 9.0, ["a"]) for i in "cx"] + [("c", 2, "s2", "Two", 3.0, ["b"])], "id string, rank int, section_id string, heading string, score double, matched_signals array<string>")
+    asked = prompts.selection_prompt(short, spark.createDataFrame([("c", "sum"), ("x", "sum")], "id string, summary string"), ["id"])
+
+    def generate(prompt):
+        if "s2" not in prompt:
+            raise RuntimeError
+        return 'Sure: {"decision": "use", "section_id": "s2", "confidence": 0.8, "reasoning": "r"}'
+
+    answers = prompts.ask(asked, ["id"], generate)
+    leaders = spark.createDataFrame([("c", "s1"), ("x", "s1")], "id string, section_id string")
+    assert rows(prompts.selected_sections(answers, asked, leaders, ["id"]), "id", "section_id", "source") == [("c", "s2", "generator"), ("x", "s1", "scores")]
+    targets = spark.createDataFrame([(i, 1, "t1", "old") for i in "cx"], "id string, rank int, candidate_id string, text string")
+    wanted = prompts.patch_prompt(targets, facts, ["id"], ["replace_block", "no_change"])
+    answer = '{"schema_version": 1, "operation": "replace_block", "target_id": "t1", "new_text": "new", "confidence": %s, "reasoning": "r"}'
+    replies = spark.createDataFrame([("c", answer % 0.8), ("x", answer % 0.5)], "id string, answer string")
+    assert rows(prompts.planned_patches(replies, wanted, ["id"], ["replace_block", "no_change"]), "id", "status") == [("c", "planned"), ("x", "manual_review")]
