@@ -346,3 +346,33 @@ def test_prompts_and_answers(spark):
     answer = '{"schema_version": 1, "operation": "replace_block", "target_id": "t1", "new_text": "new", "confidence": %s, "reasoning": "r"}'
     replies = spark.createDataFrame([("c", answer % 0.8), ("x", answer % 0.5)], "id string, answer string")
     assert rows(prompts.planned_patches(replies, wanted, ["id"], ["replace_block", "no_change"]), "id", "status") == [("c", "planned"), ("x", "manual_review")]
+
+
+def test_skeleton_files(spark):
+    section = {"section_id": "a", "heading": "A:", "level": 2, "path": "A", "order": 1}
+    load = lambda s: readers.skeletons(spark.createDataFrame([("d", json.dumps(s))], "doc string, json string"), ["doc"])
+    found = load({"sections": [section, section | {"section_id": "b", "order": 2}]})
+    assert rows(lines.find_by_heading(found, ["doc"], "a"), "section_id") == [("a",)]
+    with pytest.raises(Exception, match="unexpected extra"):
+        load({"sections": [section | {"extra": 1}]}).collect()
+    with pytest.raises(Exception, match="no sections"):
+        load({}).collect()
+    texts = spark.createDataFrame([("{}",), ("[1]",), ("{",), ('{"schema_version": 9}',), ('{"schema_version": 3}',)], "json string")
+    assert [r["status"] for r in readers.supported(texts).collect()] == ["ok", "not_object", "not_json", "bad_version", "ok"]
+
+
+def test_metadata_and_preference(spark):
+    df = spark.createDataFrame([("d", "# A\n## B\n\ntext\n")], "doc string, text string")
+    assert rows(lines.content_metadata(df, ["doc"]), "n_chars", "n_lines", "n_titles", "n_sections") == [(15, 4, 1, 1)]
+    choices = spark.createDataFrame([("r", "legacy", 2, True), ("r", "canonical", 1, False), ("q", "canonical", 1, True), ("z", "legacy", 2, False)], "repo string, kind string, priority int, valid boolean")
+    assert rows(lines.preferred(choices, ["repo"]), "repo", "kind") == [("q", "canonical"), ("r", "legacy")]
+
+
+def test_skeleton_changes(spark):
+    df = spark.createDataFrame([("d", 1, "a", "A", 2, None, "A", None), ("d", 2, "a-2", "A", 2, None, "A", None)], "doc string, order int, section_id string, heading string, level int, parent_id string, path string, content_hash string")
+    added = lines.append_section(df, spark.createDataFrame([("d", "A", 2, None)], "doc string, heading string, level int, parent_id string"), ["doc"])
+    assert rows(added, "order", "section_id", order=0) == [(1, "a"), (2, "a-2"), (3, "a-3")]
+    assert rows(lines.update_section(df, "a", heading="N"), "section_id", "heading", order=0) == [("a", "N"), ("a-2", "A")]
+    with pytest.raises(ValueError, match="unknown"):
+        lines.update_section(df, "a", nope=1)
+    assert rows(lines.best_by_keywords(df, ["doc"], ["a"]), "section_id") == [("a",)]

@@ -159,3 +159,22 @@ def insert_under_heading(lines: DataFrame, keys: list[str], heading: str, block:
     all_lines = F.transform("r", lambda x: x["line"])
     text = F.when(F.col("stop").isNull(), F.array_join(all_lines, "\n")).otherwise(F.array_join(F.concat(F.slice(all_lines, F.lit(1), F.col("stop")), put, F.slice(all_lines, F.col("stop") + 1, F.size("r"))), "\n"))
     return joined.select(*keys, text.alias("text"), F.col("stop").isNotNull().alias("inserted"))
+
+
+def find_by_heading(skeleton: DataFrame, keys: list[str], heading: str) -> DataFrame:
+    """The first section of each key whose heading is the same once normalised."""
+    same = skeleton.where(T.normal_heading(F.col("heading")) == T.normal_heading(F.lit(heading)))
+    return same.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("order"))).where("_r = 1").drop("_r")
+
+
+def content_metadata(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """(keys, n_chars, n_lines, n_titles, n_sections)."""
+    own = T.lines(F.col(text))
+    heads = lambda p: F.size(F.filter(own, lambda x: x.rlike(p))).cast("long")
+    return docs.select(*keys, F.length(F.coalesce(text, F.lit(""))).cast("long").alias("n_chars"), F.size(own).cast("long").alias("n_lines"), heads(r"^#\s").alias("n_titles"), heads(r"^##\s").alias("n_sections"))
+
+
+def preferred(candidates: DataFrame, keys: list[str], priority: str = "priority", valid: str = "valid") -> DataFrame:
+    """The valid candidate of the lowest priority number for each key; keys without one give no row."""
+    w = Window.partitionBy(*keys).orderBy(priority)
+    return candidates.where(F.col(valid)).withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")

@@ -54,3 +54,30 @@ def git_changes(spark: SparkSession, before: str, after: str, repo: str = ".", c
 def blobs(changes: DataFrame, contents: DataFrame, keys: list[str]) -> DataFrame:
     """Changes with file contents; a missing file is empty."""
     return changes.join(contents, keys, "left").withColumn("content", F.coalesce("content", F.lit("")))
+
+
+SECTION_KEYS = ["section_id", "heading", "level", "parent_id", "path", "order", "content_hash"]
+
+
+def skeletons(rows: DataFrame, keys: list[str], json: str = "json") -> DataFrame:
+    """(keys, section fields) of skeleton files; broken JSON, missing sections and unknown keys raise."""
+    from weftline.operators.validate import key_problems
+
+    each = F.from_json(F.get_json_object(json, "$.sections"), "array<string>")
+    sections = rows.select(*keys, F.explode(F.coalesce(each, F.raise_error(F.lit("no sections in skeleton")))).alias("s"))
+    wrong = F.filter(key_problems(F.col("s"), SECTION_KEYS, ["section_id", "heading", "level", "path", "order"]), lambda p: p != "")
+    checked = F.when(F.size(wrong) > 0, F.raise_error(F.concat(F.lit("bad section: "), F.array_join(wrong, ", ")))).otherwise(F.col("s"))
+    parsed = F.from_json(checked, "section_id string, heading string, level int, parent_id string, path string, `order` int, content_hash string")
+    return sections.select(*keys, parsed.alias("p")).select(*keys, "p.*")
+
+
+def supported(rows: DataFrame, json: str = "json", versions: tuple[str, ...] = ("1", "2", "3")) -> DataFrame:
+    """``rows`` with ``status``: ok, not_json, not_object or bad_version (an absent version is fine)."""
+    version = F.get_json_object(json, "$.schema_version")
+    status = (
+        F.when(F.try_parse_json(F.col(json)).isNull(), "not_json")
+        .when(~F.ltrim(json).startswith("{"), "not_object")
+        .when(version.isNotNull() & ~version.isin(*versions), "bad_version")
+        .otherwise("ok")
+    )
+    return rows.withColumn("status", status)
