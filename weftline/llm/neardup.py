@@ -155,8 +155,10 @@ def bands(nodes: DataFrame) -> DataFrame:
     """(key, node): a row for each class and band."""
 
     def one(ids: pa.Array, registers: pa.Array) -> pa.RecordBatch:
-        keys = band_keys(np.frombuffer(b"".join(registers.to_pylist()), np.uint16).reshape(-1, REGISTERS))
-        return pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(ids.to_numpy(), BANDS))], names=["key", "node"])
+        every = np.frombuffer(b"".join(registers.to_pylist()), np.uint16).reshape(-1, REGISTERS)
+        # Some at a time: the way to the keys takes many times the registers' room.
+        keys = [band_keys(every[at : at + 256]).ravel() for at in range(0, len(every), 256)]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)), pa.array(np.repeat(ids.to_numpy(), BANDS))], names=["key", "node"])
 
     return nodes.select("node", "registers").mapInArrow(per_batch(one, ["node", "registers"]), "key long, node long")
 
