@@ -2,6 +2,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.texts import EDGE, edge, empty
@@ -119,3 +120,23 @@ def test_lookup():
     table = lm.Lookup(keys, np.arange(len(keys)) + 1.0)
     assert (table.of(keys) == np.arange(len(keys)) + 1).all() and not table.of(keys + np.uint64(1)).any()
     assert not lm.Lookup(np.zeros(0, np.uint64), np.zeros(0)).of(keys).any()
+
+
+def test_training_takes_every_piece():
+    """Each piece of each training text, and each text's end, is a target once."""
+
+    class Captured(Exception):
+        pass
+
+    class Training:
+        def mapInArrow(self, run, schema):
+            raise Captured(run)
+
+    texts = [f"one w{i} three" for i in range(30)] + ["", " ".join(f"w{i % 97}" for i in range(2000))]
+    file = lm.tokenizer_file("piece_bpe_32k.model")
+    with pytest.raises(Captured) as run:
+        lm.train(Training(), file, lm.piece_classes(file))
+    (found,) = run.value.args[0](iter([pa.RecordBatch.from_arrays([pa.array(texts)], names=["t"])]))
+    encoded = lm.Pieces(file).encode([w for t in texts for w in t.encode().split()])
+    assert found["seen"].to_pylist() == [sum(map(len, encoded)) + len(texts)]
+    assert lm.BLOCK >= 32 and lm.CONTEXT >= 16

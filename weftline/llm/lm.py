@@ -19,11 +19,9 @@ far: how often the piece, or the word's end, followed the same beginning
 of a word, backing off to the piece before and to all pieces.  These counts come
 from the corpus' word counts; the ``CONTEXTS`` most frequent at most are kept.
 
-Training.  Every task walks its share of the training documents from the same
-start, taking one segment of ``SEGMENT`` words in ``STRIDE``, at a place that moves
-on from document to document; the weights are then averaged, weighted by the
-number of pieces seen.  Counts cover every word, and what is gathered grows with
-the corpus.
+Training.  All training documents take part with every piece: each task walks its
+share of them once from the same start, and the weights are then averaged,
+weighted by the number of pieces seen.  Counts cover every word.
 
 Defined results: a null text is empty and has the end token alone; a document
 with a null ``doc_id`` is a training document; without any training document
@@ -43,9 +41,7 @@ HEAVY = 100_000
 CONTEXTS = 1 << 18
 #: Share of the attention's probability in the mixture of the output layer.
 MIX = 0.4
-BLOCK, CONTEXT = 24, 8
-#: Words in a segment of a training document, and one of how many segments is taken.
-SEGMENT, STRIDE = 64, 12
+BLOCK, CONTEXT = 32, 16
 DIM, HASHED, BATCH, RATE = 16, 2048, 64, 0.02
 #: Classes: 26 letters and all else, starting a word or not; the end; the start of a text.
 N_CLASSES = 56
@@ -451,26 +447,14 @@ def train(training: DataFrame, file: str, classes: np.ndarray) -> np.ndarray:
         pieces, model, rng = Pieces(file), Attention(), np.random.default_rng(1)
         first = {n: np.zeros_like(a) for n, a in model.w.items()}
         second = {n: np.zeros_like(a) for n, a in model.w.items()}
-        steps = seen = number = 0
+        steps = seen = 0
         for batch in batches:
             texts = batch.column(0).cast(pa.binary()).to_pylist()
-            for s, e in groups_of(texts, 8 << 20):
-                coded, opens, closes = [], [], []
-                for t in texts[s:e]:
-                    number += 1
-                    words = t.lower().split()
-                    for at in range(number % STRIDE * SEGMENT, max(len(words), 1), STRIDE * SEGMENT):
-                        coded.append(pieces.codes.of(words[at : at + SEGMENT]))
-                        opens.append(at == 0)
-                        closes.append(at + SEGMENT >= len(words))
-                if not coded:
-                    continue
+            for s, e in groups_of(texts, 1 << 20):
+                coded = [pieces.codes.of_text(t.lower()) for t in texts[s:e]]
                 pieces.learn()
                 ids, sizes = sequences(pieces, coded)
                 at, absent, target, real = windows(sizes)
-                # A segment within a text says nothing of how texts begin or end.
-                begin, end = np.cumsum(sizes) - sizes, np.cumsum(sizes) - 1
-                real &= ~np.isin(target, np.concatenate([begin[~np.array(opens)], end[~np.array(closes)]]))
                 rows = np.append(Attention.inputs(ids), Attention.START)[at]
                 goal = classes[ids][target]
                 order = rng.permutation(len(at))
