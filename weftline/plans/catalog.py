@@ -491,8 +491,10 @@ def section_route_full(spark, d):
     return scoring.assess(shortlist, ["conv_id"])
 
 
-def _changes(spark, d):
-    talks = table(spark, d, "conversations").where("turn < 4")
+def _changes(spark, d, whole: bool = False):
+    """Conversations as changes: all turns, or the first four, as the SQL of two queries has it."""
+    talks = table(spark, d, "conversations")
+    talks = talks if whole else talks.where("turn < 4")
     tokens = F.array_distinct(F.flatten(F.collect_list(T.keywords(F.col("text")))))
     sides = talks.groupBy("conv_id").agg(*(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("role") == r, T.keywords(F.col("text")))))).alias(n) for r, n in (("user", "removed"), ("assistant", "added"))))
     none = F.array().cast("array<string>")
@@ -533,8 +535,9 @@ def placement_granularity(spark, d):
     base = R.doc_lines(spark, d).where(F.trim("line") != "").select("doc_id", F.col("pos").alias("block_order"), F.col("line").alias("text"))
     sentences = base.select("doc_id", "block_order", F.posexplode(blocks.sentences_native(F.col("text"))).alias("sentence_order", "text"))
     ids = {"block_id": F.col("block_order").cast("string"), "candidate_id": F.col("block_order").cast("string")}
-    scored = scoring.placement_scores(_changes(spark, d).join(base, "doc_id")).withColumns(ids)
-    fine = scoring.placement_scores(_changes(spark, d).join(sentences, "doc_id")).withColumns(ids | {"candidate_id": F.concat_ws("-", "block_order", "sentence_order")})
+    changes = _changes(spark, d, whole=True)
+    scored = scoring.placement_scores(changes.join(base, "doc_id")).withColumns(ids)
+    fine = scoring.placement_scores(changes.join(sentences, "doc_id")).withColumns(ids | {"candidate_id": F.concat_ws("-", "block_order", "sentence_order")})
     chosen = scoring.granularity(scored, fine, ["doc_id"])
     return scoring.placement_shortlist(chosen, ["doc_id"]).select("doc_id", "candidate_id", "candidate_type", "score", "rank")
 
