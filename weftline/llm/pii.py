@@ -45,10 +45,28 @@ _DIGIT = "(?:" + "|".join(DIGIT_WORDS) + ")"
 SPELLED = re.compile(rf"(?i)\b(?:(plus)[ -]+)?({_DIGIT}(?:[ ,-]+{_DIGIT}){{3,}}(?:[ ,-]+(?:dot|point)[ ,-]+{_DIGIT}(?:[ ,-]+{_DIGIT})*)*)\b")
 SPELLED_PART = re.compile(rf"(?i)\b({_DIGIT}|dot|point)\b")
 BRACKETED = re.compile(r"(?i) ?[\[({<] ?(at|@|dot|\.) ?[\])}>] ?")
-#: Without brackets only these top-level domains count; none of them is an English word.
-DOMAINS = "com|org|net|edu|gov|mil|info|biz|dev|app|io|co|uk|de|fr|es|eu|ch|nl|pl|ru|jp|cn|br|ca|au"
-WRITTEN = re.compile(rf"(?i)(?<=[A-Za-z0-9_%+-]) (at|@) (?=[A-Za-z0-9-]+(?: dot [A-Za-z0-9-]+)* dot (?:{DOMAINS})\b)")
-IP_DOT = re.compile(r"(?i)(?<=[0-9]) dot (?=[0-9])")
+#: Top-level domains that are no English words: all country codes but those of WORD_CODES, and common general ones.
+DOMAINS = frozenset(
+    "com org net edu gov mil int info biz name pro mobi jobs aero coop museum app dev xyz online site tech shop store cloud eu"
+    " ac ad ae af ag ai al ao aq ar au aw ax az ba bb bd bf bg bh bi bj bm bn bo br bs bt bv bw by bz ca cc cd cf cg ch ci ck cl cm cn co cr cu cv cw cx cy cz"
+    " de dj dk dm dz ec ee eg er es et fi fj fk fm fo fr ga gb gd ge gf gg gh gi gl gm gn gp gq gr gs gt gu gw gy hk hm hn hr ht hu id ie il im io iq ir je jm jo jp"
+    " ke kg kh ki km kn kp kr kw ky kz la lb lc li lk lr ls lt lu lv ly ma mc md mg mh mk ml mm mn mo mp mq mr ms mt mu mv mw mx mz na nc ne nf ng ni nl np nr nu nz"
+    " om pa pe pf pg ph pk pl pm pn pr ps pt pw py qa re ro rs ru rw sa sb sc sd se sg sh si sj sk sl sm sn sr ss st su sv sx sy sz tc td tf tg th tj tk tl tm tn tr tt tv tw tz"
+    " ua ug uk uy uz va vc ve vg vi vn vu wf ws ye yt za zm zw".split()
+)
+#: Country codes that are English words, or as short ones read like words.
+WORD_CODES = frozenset("am as at be do gy in is it me my no so to us".split())
+ROLES = frozenset("info mail contact support sales admin office press help jobs privacy hello webmaster postmaster".split())
+NEAR_MAIL = re.compile(r"(?i)\b(?:e-?mail|mail|contact|address|reach)\b")
+AFTER = re.compile(r"\s*(?:[.,;:!?)\]}>\"']|\Z)")
+DOT = re.compile(r"(?i)(?<=\s)dot(?=\s)")
+JOIN = re.compile(r"(?i)\s+dot\s+")
+#: A local part, read backwards.
+LOCAL_BACK = re.compile(r"(?i)[A-Za-z0-9._%+-]+(?:\s+tod\s+[A-Za-z0-9._%+-]+)*")
+AT = re.compile(r"(?i)@|(?<=\s)at(?=\s)")
+LABEL = re.compile("[A-Za-z0-9-]+")
+DOMAIN_WRITTEN = re.compile(r"(?i)\s*[A-Za-z0-9-]+(?:(?:\s+dot\s+|\.)[A-Za-z0-9-]+)+")
+IP_DOT = re.compile(r"(?i)(?<=[0-9])\s+dot\s+(?=[0-9])")
 
 Span = tuple[str, int, int]
 
@@ -112,6 +130,17 @@ class Tape:
             self.text, self.start, self.end = "".join(text) + self.text[at:], start + self.start[at:], end + self.end[at:]
 
 
+    def replace(self, edits: list[tuple[str, int, int]]) -> None:
+        # Put each string in place of what it spans.
+        text, start, end, at = [], [], [], 0
+        for s, a, b in edits:
+            text += [self.text[at:a], s]
+            start += self.start[at:a] + [self.start[a]] * len(s)
+            end += self.end[at:a] + [self.end[b - 1]] * len(s)
+            at = b
+        self.text, self.start, self.end = "".join(text) + self.text[at:], start + self.start[at:], end + self.end[at:]
+
+
 def _spelled(m: re.Match) -> list[tuple[str, int, int]]:
     out = [("+", m.start(1), m.end(1))] if m[1] else []
     for part in SPELLED_PART.finditer(m.string, m.start(2), m.end(2)):
@@ -123,12 +152,57 @@ def _sign(m: re.Match) -> str:
     return "@" if m[1].lower() in ("at", "@") else "."
 
 
+def _written(tape: Tape) -> list[tuple[str, int, int]]:
+    # The signs of written-out addresses in a tape, each with its place; linear in the text.
+    t, out, floor, scanned = tape.text, [], 0, 0
+    back = t[::-1]
+    for m in AT.finditer(t):
+        if m.start() < scanned or not (domain := DOMAIN_WRITTEN.match(t, m.end())):
+            continue
+        scanned = domain.end()
+        left = m.start()
+        while left > floor and t[left - 1].isspace():
+            left -= 1
+        local = LOCAL_BACK.match(back, len(t) - left, len(t) - floor)
+        if not local:
+            continue
+        start, sign = len(t) - local.end(), m[0] == "@"
+        joins = [(j.start(), j.end()) for j in JOIN.finditer(t, m.end(), domain.end())]
+        tight = sign and left == m.start() and not t[m.end()].isspace()
+        wide = tape.end[m.start()] - tape.start[m.start()] > 1
+        if not joins and not (tight and wide):
+            continue
+        inner = [(j.start(), j.end()) for j in JOIN.finditer(t, start, left)]
+        clear = sign or bool(inner) or bool(NEAR_MAIL.search(t, max(floor, start - 40), start))
+        end = domain.end() if tight else _domain_end(t, m.end(), domain, clear or t[start:left].lower() in ROLES, clear)
+        if not end:
+            continue
+        right = m.end()
+        while t[right].isspace():
+            right += 1
+        edits = [(".", a, b) for a, b in inner] + [("@", left, right)] + [(".", a, b) for a, b in joins if b < end]
+        out += edits
+        floor = scanned = end
+    return out
+
+
+def _domain_end(t: str, begin: int, domain: re.Match, likely: bool, clear: bool) -> int:
+    # Where the longest domain ends whose last label may be a top-level domain here; 0 without.
+    labels = list(LABEL.finditer(t, begin, domain.end()))
+    names = [x for x in labels if not (x[0].lower() == "dot" and t[x.start() - 1].isspace() and t[x.end() : x.end() + 1].isspace())]
+    for k in range(len(names) - 1, 0, -1):
+        name, end = names[k][0].lower(), names[k].end()
+        if name in DOMAINS or name in WORD_CODES and (likely or k > 1 or AFTER.match(t, end)) or clear and len(name) > 1 and name.isalpha():
+            return end
+    return 0
+
+
 def disguised(t: str) -> list[Span]:
     """Spans found only once disguises are undone; those that the base detectors see are left out by the caller."""
     low = t.lower() if "dot" in t or "DOT" in t or "Dot" in t else ""
     odd = not t.isascii() and ODD.search(t)
     bracketed = BRACKETED.search(t)
-    written = " dot " in low
+    written = "dot" in low and DOT.search(t)
     spelled = SPELLED.search(t)
     if not (odd or bracketed or written or spelled):
         return []
@@ -137,13 +211,8 @@ def disguised(t: str) -> list[Span]:
         tape.rewrite(ODD, lambda m: "" if m[0] in INVISIBLE else str(SINGLE.get(ord(m[0])) if not isinstance(SINGLE.get(ord(m[0])), int) else chr(SINGLE[ord(m[0])])))
     tape.rewrite(SPELLED, _spelled)
     tape.rewrite(BRACKETED, _sign)
-    tape.rewrite(WRITTEN, lambda m: "@")
+    tape.replace(_written(tape))
     tape.rewrite(IP_DOT, lambda m: ".")
-    if "@" in tape.text:
-        ats = [m.start() for m in re.finditer("@", tape.text)]
-        near = re.compile(r"(?i)@[A-Za-z0-9-]+(?:(?: dot |\.)[A-Za-z0-9-]+)+")
-        if ats and " dot " in tape.text.lower():
-            tape.rewrite(near, lambda m: [(m.string[a:b], a, b) if m.string[a:b].lower() != " dot " else (".", a, b) for a, b in _cut(m)])
     out = []
     for kind, s, e in detect(tape.text):
         source = (tape.start[s], tape.end[e - 1])
@@ -152,15 +221,6 @@ def disguised(t: str) -> list[Span]:
     return out
 
 
-def _cut(m: re.Match) -> list[tuple[int, int]]:
-    """The characters of a match one by one, each `` dot `` as one."""
-    out, at = [], m.start()
-    for d in re.compile("(?i) dot ").finditer(m.string, m.start(), m.end()):
-        out += [(i, i + 1) for i in range(at, d.start())] + [(d.start(), d.end())]
-        at = d.end()
-    return out + [(i, i + 1) for i in range(at, m.end())]
-
-
 def find(t: str) -> tuple[list[Span], list[Span]]:
     """Base spans, and all spans."""
     base = detect(t)
