@@ -1,6 +1,6 @@
 """Queries must see the whole of their input."""
 
-from weftline.plans import catalog
+from weftline.plans import catalog, relations
 
 
 def test_granularity_takes_all_turns(spark, tmp_path):
@@ -10,3 +10,10 @@ def test_granularity_takes_all_turns(spark, tmp_path):
     spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     best = catalog.placement_granularity(spark, str(tmp_path)).where("rank = 1").collect()[0]
     assert best["candidate_id"].split("-")[0] == "1" and best["score"] > 0
+
+
+def test_markdown_keeps_whole_lines(spark, tmp_path):
+    """Headings and table rows aren't cut."""
+    spark.createDataFrame([(11, "h" * 50 + "\nx\n" + "t" * 50)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    text = relations.md_text(spark, str(tmp_path)).collect()[0]["text"].split("\n")
+    assert text[0] == "###### " + "h" * 50 and text[2] == "| " + "t" * 50 + " |"

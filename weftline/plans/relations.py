@@ -30,10 +30,10 @@ def md_text(spark: SparkSession, d: str) -> DataFrame:
     """(doc_id, text): ``md_lines`` as real Markdown, with markers in place of roles."""
     hashes = F.array_join(F.array_repeat(F.lit("#"), F.col("level")), "")
     line = (
-        F.when(F.col("role") == 0, F.concat(hashes, F.lit(" "), F.substring("line", 1, 20)))
+        F.when(F.col("role") == 0, F.concat(hashes, F.lit(" "), F.col("line")))
         .when(F.col("role") == 1, F.lit("```"))
         .when(F.col("role") == 2, F.concat(F.lit("- "), F.col("line")))
-        .when(F.col("role") == 3, F.concat(F.lit("| "), F.substring("line", 1, 30), F.lit(" |")))
+        .when(F.col("role") == 3, F.concat(F.lit("| "), F.col("line"), F.lit(" |")))
         .when(F.col("role") == 4, F.lit(f"<!-- {V.REGION_START} -->"))
         .when(F.col("role") == 5, F.lit(f"<!-- {V.REGION_END} -->"))
         .otherwise(F.col("line"))
