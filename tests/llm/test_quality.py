@@ -45,9 +45,31 @@ def test_order_changes_no_verdict(spark):
 
 def test_rules_are_ordered_by_rejection_per_cost(spark, data):
     ordered, told = quality.order_rules(spark.read.parquet(f"{data}/documents.parquet"))
-    gain = {name: share / max(cost, 1e-6) for name, cost, share in told}
-    assert {r.name for r in ordered} == {r.name for r in quality.RULES}
-    assert [gain[r.name] for r in ordered] == sorted(gain.values(), reverse=True)
+    shares = {name: share for name, _, share in told}
+    assert {r.name for r in ordered} == {r.name for r in quality.RULES} and all(0 <= s <= 1 for s in shares.values())
+    rejecting = [shares[r.name] > 0 for r in ordered]
+    assert rejecting == sorted(rejecting, reverse=True)
+
+
+def test_costs_are_of_the_rule(spark):
+    """A rule that does a hundred times the work stands behind one that rejects as much."""
+    from pyspark.sql import functions as F
+
+    def slow(t, f):
+        return F.aggregate(F.sequence(F.lit(1), F.lit(60)), F.lit(0), lambda a, i: a + F.length(F.regexp_replace(F.concat(t, i.cast("string")), "[aeiou]+", ""))) > 0
+
+    rules = [quality.Rule("slow", slow), quality.Rule("fast", lambda t, f: F.length(t) > 0)]
+    docs = spark.createDataFrame([(i, f"some {i} words that stand here again and again for a while number {i}") for i in range(300)], "doc_id long, text string")
+    for _ in range(3):
+        ordered, told = quality.order_rules(docs, rules)
+        assert [r.name for r in ordered] == ["fast", "slow"] and dict((n, s) for n, _, s in told) == {"slow": 1.0, "fast": 1.0}
+
+
+def test_passing_keeps_columns_as_they_are(spark):
+    text = "one two three four five six seven eight nine ten eleven"
+    docs = spark.createDataFrame([(1, text, 99, "mine"), (2, "x", 98, "too short")], "doc_id long, text string, n_words int, kept string")
+    assert [tuple(r) for r in quality.passing(docs).collect()] == [(1, text, 99, "mine")]
+    assert quality.passing(empty(spark)).columns == ["doc_id", "text"]
 
 
 def test_edges(spark):
