@@ -15,7 +15,8 @@ have likeness 1.
 Defined results: a null text is empty; a null ``doc_id`` counts as the lowest
 id; rows with equal ids stand in falling order of a hash of their texts, and
 rows equal in both count as one document, each row getting its result; a single
-document is its own next one.
+document is its own next one; an empty table gives an empty result; a key that
+is no whole number is an error; other columns don't take part.
 """
 
 from __future__ import annotations
@@ -89,23 +90,19 @@ def peel(group: Column, level: int) -> Column:
 def neighbours(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(kid, th, n, before_kid, before_th, before_n): each document and the one whose next it is.
 
-    Documents are ordered within ranges of ids, cut at quantiles; only each
-    range's last document is carried to the range below.
+    Documents are ordered within ranges of ids, as many as there are documents for;
+    only each range's last document is carried to the range below.
     """
     own = scratch.keep(docs.select("kid", "th", "n").distinct())
-    total = own.count()
-    n_ranges = max(1, min(1000, total // ROWS_PER_RANGE))
-    bounds = own.agg(F.percentile_approx("kid", [k / n_ranges for k in range(1, n_ranges)] or [0.5], 10_000).alias("b")).collect()[0]["b"] if total else []
-    bounds = sorted(set(bounds or [])) if n_ranges > 1 else []
-    of_range = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col("kid"))) if bounds else F.lit(0)
-    ranged = own.withColumn("range", of_range).withColumn("me", F.struct("kid", "th", "n"))
+    n_ranges = max(1, own.count() // ROWS_PER_RANGE)
+    ranged = scratch.keep(own.repartitionByRange(n_ranges, F.col("kid").desc()).withColumn("range", F.spark_partition_id())).withColumn("me", F.struct("kid", "th", "n"))
     lasts = ranged.groupBy("range").agg(F.min("me").alias("last"))
-    over_ranges = Window.partitionBy(F.lit(0)).orderBy(F.col("range").desc())
+    over_ranges = Window.partitionBy(F.lit(0)).orderBy("range")  # one row for each ROWS_PER_RANGE documents
     above = F.lag("last").over(over_ranges)
     lowest = F.last("last").over(over_ranges.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     lasts = lasts.select("range", F.coalesce(above, lowest).alias("carried"))
     before = F.lag("me").over(Window.partitionBy("range").orderBy(F.col("kid").desc(), F.col("th").desc(), F.col("n").desc()))
-    joined = ranged.withColumn("before", before).join(F.broadcast(lasts), "range").withColumn("before", F.coalesce("before", "carried"))
+    joined = ranged.withColumn("before", before).join(lasts, "range").withColumn("before", F.coalesce("before", "carried"))
     return scratch.keep(joined.select("kid", "th", "n", F.col("before.kid").alias("before_kid"), F.col("before.th").alias("before_th"), F.col("before.n").alias("before_n")))
 
 
@@ -115,6 +112,8 @@ def with_next(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str
     Only as much of the next text as the edit takes is moved, and its digests.  Both
     sides of the second join read the same columns of the first, so texts are dealt out once.
     """
+    if dict(docs.dtypes)[key] not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"{key} must be a whole number")
     t = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(key).alias("id"), t.alias("t"), F.coalesce(F.col(key).cast("long"), F.lit(LOWEST)).alias("kid"), F.xxhash64(t).alias("th"))
     order = neighbours(rows.select("kid", "th", F.length("t").alias("n")), scratch)
