@@ -12,10 +12,17 @@ values of all templates are looked up among a text's hashes, and bands are worke
 out for the windows around what is found; the windows retrieved are those that
 working out every band of every window gives.  ``miss`` bounds the probability
 that a window holding a share ``CONTAINMENT`` of a template is not retrieved.
-Every window that is retrieved is then compared shingle for shingle.
+Every window that is retrieved is then compared shingle for shingle.  Templates
+of one family differ in a few words; of those that a window holds enough of, only
+the ones with the most shingles in it match there.
+
+Templates are notices, file headers and whole texts (``license_texts``), each of
+which holds for itself: a header that contains a notice matches both.  A template of
+a few shingles must stand word for word: three quarters of one shingle are all of it.
 
 Defined results: null and empty texts, and texts of under five words, match
-nothing; repeated rows give repeated results; a null ``doc_id`` is carried.
+nothing; repeated rows give repeated results; a null ``doc_id`` is carried; an empty
+table gives an empty result; other columns don't take part.
 """
 
 from __future__ import annotations
@@ -27,20 +34,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.license_texts import TEMPLATES
+
 SHINGLE = 5
 CONTAINMENT = 0.75
 BUCKETS = 256
 MISS = 1e-3
-#: Notices by which a work names its license, as their stewards word them.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "BSD-3-Clause": "Use of this source code is governed by a BSD-style license",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "MIT": "Released under the MIT License.",
-    "MPL-2.0": "subject to the terms of the Mozilla Public License, v. 2.0.",
-}
 DROPPED = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in "-+")
 BLANKS = "\x09\x0a\x0b\x0c\x0d"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -132,11 +131,14 @@ def _candidates(h: Column, found: Column, grid: Grid, values: list[int]) -> Colu
 
 
 def _confirmed(starts: Column, h: Column, grid: Grid, name: str, shingles: list[int]) -> Column:
-    """(license, start, share) of each window, by its shingles in common with the template."""
+    """(name, most, window, first, common, share) of each window, by its shingles in common with the template."""
+    known = F.expr("array(" + ", ".join(f"{x}L" for x in shingles) + ")")
 
     def one(s: Column) -> Column:
-        common = F.size(F.array_intersect(F.slice(h, s + 1, F.lit(grid.length)), F.array(*map(F.lit, shingles))))
-        return F.struct(F.lit(name).alias("license"), s.alias("start"), (common / F.lit(float(len(shingles)))).alias("share"))
+        window = F.slice(h, s + 1, F.lit(grid.length))
+        common = F.size(F.array_intersect(window, known))
+        at = F.array_min(F.transform(F.filter(F.transform(window, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda w: F.array_contains(known, w["x"])), lambda w: w["i"]))
+        return F.struct(F.lit(name).alias("name"), F.lit(grid.most).alias("most"), s.alias("window"), (s + at).alias("first"), common.alias("common"), (common / F.lit(float(len(shingles)))).alias("share"))
 
     return F.transform(starts, one)
 
@@ -144,8 +146,8 @@ def _confirmed(starts: Column, h: Column, grid: Grid, name: str, shingles: list[
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each document and template that one of its windows contains enough of.
 
-    Columns: the key, ``license``, ``containment`` (the best window's), ``first_word`` (where
-    the first such window begins, from 0) and ``n_windows``.
+    Columns: the key, ``license``, ``form`` (notice, header or text), ``containment`` (the best window's),
+    ``first_word`` (the first word, from 0, of the template in the first such window) and ``n_windows``.
     """
     known = template_hashes(docs.sparkSession, templates)
     by_grid = grids(templates)
@@ -161,9 +163,18 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, key: str = "doc
     retrieved = F.get(F.transform(F.array(shingle_hashes(F.coalesce(F.col(text), F.lit("")))), of_hashes), F.lit(0))
     rows = docs.select(F.col(key), F.explode(F.array(retrieved)).alias("r"))
     matches = rows.select(key, F.explode(F.array(F.filter(F.concat(*confirmed), lambda m: m["share"] >= CONTAINMENT))).alias("m")).where(F.size("m") > 0)
+    better = lambda m, o: (o["most"] == m["most"]) & (o["window"] == m["window"]) & (o["common"] > m["common"])
+    matches = matches.withColumn("m", F.filter("m", lambda m: ~F.exists(F.col("m"), lambda o: better(m, o))))
 
     def summed(name: Column) -> Column:
-        own = F.filter("m", lambda m: m["license"] == name)
-        return F.struct(name.alias("license"), F.array_max(F.transform(own, lambda m: m["share"])).alias("containment"), F.array_min(F.transform(own, lambda m: m["start"])).cast("long").alias("first_word"), F.size(own).cast("long").alias("n_windows"))
-
-    return matches.select(key, F.inline(F.transform(F.array_distinct(F.transform("m", lambda m: m["license"])), summed)))
+        own = F.filter("m", lambda m: m["name"] == name)
+        parts = F.split(name, "/")
+        return F.struct(
+            parts[0].alias("license"),
+            F.get(parts, F.lit(1)).alias("form"),
+            F.array_max(F.transform(own, lambda m: m["share"])).alias("containment"),
+            F.array_min(F.transform(own, lambda m: m["first"])).cast("long").alias("first_word"),
+            F.size(own).cast("long").alias("n_windows"),
+        )
+
+    return matches.select(key, F.inline(F.transform(F.array_distinct(F.transform("m", lambda m: m["name"])), summed)))
