@@ -48,13 +48,15 @@ def keywords(c: Column, limit: int = V.KEYWORD_LIMIT) -> Column:
     def of_token(token: Column) -> Column:
         whole = token.rlike(r"[_\-./\\]") | ((token != F.lower(token)) & (token != F.upper(token)))
         parts = F.filter(F.split(token, r"[_\-./\\]+"), lambda p: p != "")
-        return F.concat(F.when(whole, F.array(token)).otherwise(F.array().cast("array<string>")), F.flatten(F.transform(parts, of_part)))
-
-    raw = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"([A-Za-z0-9_./\\-]+)"), F.lit(1))
-    tokens = F.filter(F.transform(raw, lambda t: F.regexp_replace(t, r"^[._\-/\\]+|[._\-/\\]+$", "")), lambda t: t != "")
-    every = F.transform(F.flatten(F.transform(tokens, of_token)), F.lower)
-    kept = F.filter(every, lambda t: (F.length(t) >= 2) & ~t.rlike(r"^\d+$") & ~t.isin(V.STOP_WORDS))
-    return F.slice(F.array_distinct(kept), 1, limit)
+        every = F.concat(F.when(whole, F.array(token)).otherwise(F.array().cast("array<string>")), F.flatten(F.transform(parts, of_part)))
+        # Plain words, which most tokens are, have no parts but themselves.
+        return F.when(token.rlike("^[A-Z]?[a-z]+$"), F.array(token)).otherwise(every)
+
+    # From the first letter or digit of a run to its last; each distinct one is taken apart once.
+    raw = F.array_distinct(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"([A-Za-z0-9](?:[A-Za-z0-9_./\\-]*[A-Za-z0-9])?)"), F.lit(1)))
+    every = F.array_distinct(F.transform(F.flatten(F.transform(raw, of_token)), F.lower))
+    kept = F.filter(every, lambda t: (F.length(t) >= 2) & ~t.isin(V.STOP_WORDS) & ~t.rlike(r"^\d+$"))
+    return F.slice(kept, 1, limit)
 
 
 def slug(c: Column) -> Column:

@@ -207,13 +207,19 @@ def python_symbols(files: DataFrame, keys: list[str], content: str = "content")
     return files.select(*keys, F.col(content).alias("content")).mapInPandas(symbol_rows(keys), schema)
 
 
+#: Lines that share a bin of the interval join.
+BIN = 64
+
+
 def innermost(points: DataFrame, intervals: DataFrame, keys: list[str], point: str, start: str, end: str, name: str, tie: str) -> DataFrame:
     """Each point with the shortest interval around it, then the earliest, then by ``tie``; points outside all are left out.
 
-    Joined within ``keys``, so no side is repeated beyond its own key.
+    Joined within ``keys`` and bins of ``BIN`` places: a point meets only the intervals of its own bin, and an interval
+    is repeated once for each bin that it touches.
     """
-    own = intervals.select(*keys, F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(name).alias(name), F.col(tie).alias("_t"))
-    held = points.join(own, keys).where(F.col(point).between(F.col("_s"), F.col("_e")))
+    bin_of = lambda c: F.floor(F.col(c) / BIN)
+    own = intervals.where(F.col(end) >= F.col(start)).select(*keys, F.explode(F.sequence(bin_of(start), bin_of(end))).alias("_bin"), F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(name).alias(name), F.col(tie).alias("_t"))
+    held = points.withColumn("_bin", bin_of(point)).join(own, [*keys, "_bin"]).where(F.col(point).between(F.col("_s"), F.col("_e")))
     best = F.min_by(F.struct(F.col(name), F.col("_s").alias("start"), F.col("_e").alias("end")), F.struct(F.col("_e") - F.col("_s"), F.col("_s"), F.col("_t")))
     return held.groupBy(*points.columns).agg(best.alias("b")).select(*points.columns, f"b.{name}", "b.start", "b.end")
 

@@ -21,7 +21,8 @@ def summary_problems(text: Column) -> Column:
     prose = F.split(T.without_fences(own), "\n")
     title = F.filter(prose, lambda x: x.rlike(r"^#\s+\S"))
     heads = F.transform(F.filter(prose, lambda x: x.rlike(r"^##\s+\S")), lambda x: T.normal_heading(F.regexp_replace(x, r"^##\s+", "")))
-    bodies = F.slice(F.split(F.concat(F.lit("\n"), F.array_join(prose, "\n")), r"\n##\s+"), 2, 1000)
+    parts = F.split(F.concat(F.lit("\n"), F.array_join(prose, "\n")), r"\n##\s+")
+    bodies = F.slice(parts, F.lit(2), F.size(parts))
     short = F.exists(bodies, lambda b: F.length(T.strip(F.regexp_replace(b, r"^[^\n]*\n?", ""))) < 20)
     return problems(
         {

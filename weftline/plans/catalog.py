@@ -125,12 +125,11 @@ def hard_negative(spark, d):
 
 
 @query(
-    rf"""SELECT doc_id, CAST(CASE WHEN s = '' THEN 0 ELSE greatest(1, len(list_filter(regexp_split_to_array(regexp_replace(s, '\d{{1,2}}(?:\.\d{{1,2}})+', ' ', 'g'), '[.!?]+(?:\s|$)'), lambda p: trim(p, ' ' || chr(10)) <> ''))) END AS BIGINT) AS n_sentences
- FROM (SELECT doc_id, trim(text, ' ' || chr(10)) AS s FROM documents) WHERE NOT regexp_matches(s, '^\d')"""
+    rf"""SELECT doc_id, CAST(CASE WHEN s = '' THEN 0 ELSE greatest(1, len(list_filter(regexp_split_to_array(regexp_replace(CASE WHEN regexp_matches(s, '{_NUMBERING}') THEN regexp_replace(s, '^\s*\d{{1,2}}(?:\.\d{{1,2}})*\s*[.):\-–—]?\s+', '') ELSE s END, '\d{{1,2}}(?:\.\d{{1,2}})+', ' ', 'g'), '[.!?]+(?:\s|$)'), lambda p: trim(p, ' ' || chr(10)) <> ''))) END AS BIGINT) AS n_sentences
+ FROM (SELECT doc_id, trim(text, ' ' || chr(10)) AS s FROM documents)"""
 )
 def sentence_count_heuristic(spark, d):
-    docs = table(spark, d, "documents")
-    return docs.where(~T.strip(F.col("text")).rlike(r"^\d")).select("doc_id", T.sentence_count(F.col("text")).cast("long").alias("n_sentences"))
+    return table(spark, d, "documents").select("doc_id", T.sentence_count(F.col("text")).cast("long").alias("n_sentences"))
 
 
 @query(f"WITH {R.SECTIONS} SELECT item_id, CASE WHEN s = '' THEN 'section' ELSE s END AS slug FROM (SELECT item_id, trim(regexp_replace(lower(heading), '[^a-z0-9]+', '-', 'g'), '-') AS s FROM sections)")
@@ -190,14 +189,14 @@ def region_filtered_lines(spark, d):
 
 
 @query(
-    f"""WITH RECURSIVE {R.MD}, h AS (SELECT doc_id, pos, level, substr(line, 1, 20) AS name FROM md WHERE role = 0),
+    f"""WITH RECURSIVE {R.MD}, h AS (SELECT doc_id, pos, level, line AS name FROM md WHERE role = 0),
  up AS (SELECT c.doc_id, c.pos, (SELECT max(p.pos) FROM h p WHERE p.doc_id = c.doc_id AND p.pos < c.pos AND p.level < c.level) AS parent FROM h c),
  walk AS (SELECT h.doc_id, h.pos, h.pos AS at, h.name AS path FROM h UNION ALL SELECT w.doc_id, w.pos, u.parent, h.name || ' > ' || w.path FROM walk w JOIN up u ON u.doc_id = w.doc_id AND u.pos = w.at JOIN h ON h.doc_id = w.doc_id AND h.pos = u.parent),
  full_path AS (SELECT doc_id, pos, arg_max(path, length(path)) AS path FROM walk GROUP BY doc_id, pos)
  SELECT u.doc_id, u.pos, u.parent AS parent_pos, f.path FROM up u JOIN full_path f USING (doc_id, pos)"""
 )
 def heading_ancestors(spark, d):
-    heads = R.md_lines(spark, d).where("role = 0").select("doc_id", "pos", "level", F.substring("line", 1, 20).alias("heading"))
+    heads = R.md_lines(spark, d).where("role = 0").select("doc_id", "pos", "level", F.col("line").alias("heading"))
     out = lines.with_ancestors(heads, ["doc_id"], levels=6)
     return out.select("doc_id", F.col("pos").cast("long").alias("pos"), F.col("parent_pos").cast("long").alias("parent_pos"), F.array_join("path", " > ").alias("path"))
 
@@ -290,13 +289,25 @@ def capped_lines(spark, d):
     return out.select("doc_id", F.col("pos").cast("long").alias("pos"), "text", "text_truncated")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {R.DIFF}, c AS (SELECT doc_id, pos, marker, line, least(length(line), 200) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM diff WHERE marker IN ('+', '-')),
+ w AS (SELECT doc_id, k, CASE WHEN n <= 600 AND marker = '+' THEN 1 ELSE 0 END AS plus, CASE WHEN n <= 600 AND marker = '-' THEN 1 ELSE 0 END AS minus, CASE WHEN n <= 600 THEN n ELSE 0 END AS chars, n <= 600 AS kept FROM c WHERE k = 1
+ UNION ALL SELECT c.doc_id, c.k, w.plus + CASE WHEN x.fits AND c.marker = '+' THEN 1 ELSE 0 END, w.minus + CASE WHEN x.fits AND c.marker = '-' THEN 1 ELSE 0 END, w.chars + CASE WHEN x.fits THEN c.n ELSE 0 END, x.fits
+ FROM w JOIN c ON c.doc_id = w.doc_id AND c.k = w.k + 1, LATERAL (SELECT CASE WHEN c.marker = '+' THEN w.plus ELSE w.minus END < 5 AND w.chars + c.n <= 600 AS fits) x)
+ SELECT c.doc_id, c.pos, c.marker, substr(c.line, 1, 200) AS text, length(c.line) > 200 AS text_truncated FROM c JOIN w USING (doc_id, k) WHERE kept"""
+)
 def greedy_stored_lines(spark, d):
     """Tight caps, so that lines are left out and later ones still fit."""
-    return diff.stored_lines(R.diff_lines(spark, d), ["doc_id"], 5, 200, 600).select("doc_id", "pos", "marker", "text", "text_truncated")
+    return diff.stored_lines(R.diff_lines(spark, d), ["doc_id"], 5, 200, 600).select("doc_id", F.col("pos").cast("long").alias("pos"), "marker", "text", "text_truncated")
 
 
-@query()
+@query(
+    r"WITH "
+    + R.DIFF
+    + r""", c AS (SELECT doc_id, count(*) FILTER (WHERE marker = '+') AS a, count(*) FILTER (WHERE marker = '-') AS r FROM diff GROUP BY doc_id)
+ SELECT doc_id, CAST(1 AS BIGINT) AS hunk, 1 AS old_start, 5 AS old_count, 1 AS new_start, 7 AS new_count, 'def run(self):' AS section, 5 AS old_end, 7 AS new_end, CAST(a AS BIGINT) AS added, CAST(r AS BIGINT) AS removed, 'modified' AS change_type, 'Modified function run with ' || a || ' added and ' || r || ' removed lines.' AS summary FROM c
+ UNION ALL SELECT doc_id, 2, 90, 1, 95, 0, 'class Old', 90, NULL, 0, 1, 'deleted', 'Deleted 1 lines from class Old.' FROM c"""
+)
 def unified_diff_hunks(spark, d):
     """Whole unified diffs, two hunks a document, parsed from text."""
     body = R.diff_lines(spark, d).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("b"))
@@ -347,12 +358,12 @@ def numstat_left_join(spark, d):
 
 
 @query(
-    """WITH i AS (SELECT o_custkey % 50 AS k, CAST(o_orderkey AS VARCHAR) AS name, o_orderkey AS t, o_orderkey % 400 AS s, o_orderkey % 400 + o_orderkey % 37 AS e FROM orders WHERE o_orderkey < 3000),
+    """WITH i AS (SELECT o_custkey % 50 AS k, CAST(o_orderkey AS VARCHAR) AS name, o_orderkey AS t, o_orderkey % 400 AS s, o_orderkey % 400 + o_orderkey % 37 AS e FROM orders),
  p AS (SELECT event_id, event_id % 50 AS k, event_id % 440 AS line FROM events),
  j AS (SELECT event_id, name, row_number() OVER (PARTITION BY event_id ORDER BY e - s, s, t) AS r FROM p JOIN i ON p.k = i.k AND line BETWEEN s AND e) SELECT event_id, name AS symbol FROM j WHERE r = 1"""
 )
 def innermost_interval(spark, d):
-    intervals = table(spark, d, "orders").where("o_orderkey < 3000").select((F.col("o_custkey") % 50).alias("k"), F.col("o_orderkey").cast("string").alias("symbol"), F.col("o_orderkey").alias("t"), (F.col("o_orderkey") % 400).alias("s"), (F.col("o_orderkey") % 400 + F.col("o_orderkey") % 37).alias("e"))
+    intervals = table(spark, d, "orders").select((F.col("o_custkey") % 50).alias("k"), F.col("o_orderkey").cast("string").alias("symbol"), F.col("o_orderkey").alias("t"), (F.col("o_orderkey") % 400).alias("s"), (F.col("o_orderkey") % 400 + F.col("o_orderkey") % 37).alias("e"))
     points = table(spark, d, "events").select("event_id", (F.col("event_id") % 50).alias("k"), (F.col("event_id") % 440).alias("line"))
     return diff.innermost(points, intervals, ["k"], "line", "s", "e", "symbol", "t").select("event_id", "symbol")
 
@@ -378,7 +389,7 @@ def repeated_signature(spark, d):
     return table(spark, d, "part").select("p_partkey", ((F.count("*").over(Window.partitionBy("p_type", "p_brand", band)) >= 2) & differs).alias("repeated"))
 
 
-_FEATURES = rf"""features AS (SELECT doc_id, pos, substr(line, 1, 60) AS text, (doc_id * 3 + pos * 5) % 4 = 0 AS bold, (doc_id * 5 + pos * 7) % 9 = 0 AS underlined, (doc_id * 7 + pos * 3) % 11 = 0 AS colored,
+_FEATURES = rf"""features AS (SELECT doc_id, pos, line AS text, (doc_id * 3 + pos * 5) % 4 = 0 AS bold, (doc_id * 5 + pos * 7) % 9 = 0 AS underlined, (doc_id * 7 + pos * 3) % 11 = 0 AS colored,
  10 + (doc_id + pos * 3) % 4 * 2 AS size, CASE WHEN (doc_id * 2 + pos) % 5 = 0 THEN 'Serif' ELSE 'Sans' END AS family, (doc_id + pos) % 3 AS before, (doc_id + pos * 2) % 2 AS after, (doc_id * 11 + pos) % 6 = 0 AS item,
  (doc_id * 13 + pos) % 17 = 0 AS official, 1 + (doc_id + pos) % 3 AS official_level, (doc_id + pos * 5) % 3 <> 0 AS normal FROM lines WHERE trim(line) <> '')"""
 _BODY = """voters AS (SELECT *, (normal OR item) AND NOT bold AND NOT underlined AND NOT colored AS p, bool_or((normal OR item) AND NOT bold AND NOT underlined AND NOT colored) OVER w AS any_p, bool_or(normal OR item) OVER w AS any_n FROM features WHERE NOT official WINDOW w AS (PARTITION BY doc_id)),
@@ -491,22 +502,21 @@ def section_route_full(spark, d):
     return scoring.assess(shortlist, ["conv_id"])
 
 
-def _changes(spark, d, whole: bool = False):
-    """Conversations as changes: all turns, or the first four, as the SQL of two queries has it."""
-    talks = table(spark, d, "conversations")
-    talks = talks if whole else talks.where("turn < 4")
-    tokens = F.array_distinct(F.flatten(F.collect_list(T.keywords(F.col("text")))))
-    sides = talks.groupBy("conv_id").agg(*(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("role") == r, T.keywords(F.col("text")))))).alias(n) for r, n in (("user", "removed"), ("assistant", "added"))))
+def _changes(spark, d):
+    """Conversations as changes."""
+    talks = table(spark, d, "conversations").where(F.col("role").isin("user", "assistant")).select("conv_id", "role", T.keywords(F.col("text")).alias("k"))
+    side = lambda r: F.array_distinct(F.flatten(F.collect_list(F.when(F.col("role") == r, F.col("k")))))
+    sides = talks.groupBy("conv_id").agg(side("user").alias("removed"), side("assistant").alias("added"))
     none = F.array().cast("array<string>")
     return sides.select(F.col("conv_id").alias("doc_id"), "removed", "added", none.alias("hunk"), none.alias("summary"), none.alias("symbols"), none.alias("paths"), none.alias("modules"), none.alias("change_categories"))
 
 
 def _placement(spark, d):
     paragraphs = R.doc_lines(spark, d).where(F.trim("line") != "").select("doc_id", F.col("pos").alias("block_order"), F.col("line").alias("text"))
-    return scoring.placement_scores(_changes(spark, d).join(paragraphs, "doc_id"))
+    return scoring.placement_scores(paragraphs.join(_changes(spark, d), "doc_id"))
 
 
-_PLACED = f"""{R.LINES}, kw AS (SELECT conv_id, role, unnest({sql_keywords('text', 25)}) AS token FROM conversations WHERE turn < 4 AND role IN ('user', 'assistant')),
+_PLACED = f"""{R.LINES}, kw AS (SELECT conv_id, role, unnest({sql_keywords('text', 25)}) AS token FROM conversations WHERE role IN ('user', 'assistant')),
  ck AS (SELECT conv_id AS doc_id, coalesce(list(DISTINCT token) FILTER (WHERE role = 'user'), []) AS rem, coalesce(list(DISTINCT token) FILTER (WHERE role = 'assistant'), []) AS ad FROM kw GROUP BY conv_id),
  pg AS (SELECT doc_id, pos, {sql_keywords('line', 25)} AS k FROM lines WHERE trim(line) <> ''),
  sc AS (SELECT p.doc_id, p.pos, least(3, len(list_intersect(rem, k))) * 5.0 + least(3, len(list_intersect(ad, k))) * 3.0 + least(4, len(list_intersect(list_concat(rem, ad), k))) * 1.0 AS score FROM pg p JOIN ck USING (doc_id)),
@@ -535,9 +545,9 @@ def placement_granularity(spark, d):
     base = R.doc_lines(spark, d).where(F.trim("line") != "").select("doc_id", F.col("pos").alias("block_order"), F.col("line").alias("text"))
     sentences = base.select("doc_id", "block_order", F.posexplode(blocks.sentences_native(F.col("text"))).alias("sentence_order", "text"))
     ids = {"block_id": F.col("block_order").cast("string"), "candidate_id": F.col("block_order").cast("string")}
-    changes = _changes(spark, d, whole=True)
-    scored = scoring.placement_scores(changes.join(base, "doc_id")).withColumns(ids)
-    fine = scoring.placement_scores(changes.join(sentences, "doc_id")).withColumns(ids | {"candidate_id": F.concat_ws("-", "block_order", "sentence_order")})
+    changes = _changes(spark, d)
+    scored = scoring.placement_scores(base.join(changes, "doc_id")).withColumns(ids)
+    fine = scoring.placement_scores(sentences.join(changes, "doc_id")).withColumns(ids | {"candidate_id": F.concat_ws("-", "block_order", "sentence_order")})
     chosen = scoring.granularity(scored, fine, ["doc_id"])
     return scoring.placement_shortlist(chosen, ["doc_id"]).select("doc_id", "candidate_id", "candidate_type", "score", "rank")
 
@@ -579,12 +589,43 @@ def confidence_checks(spark, d):
     return table(spark, d, "events").select("event_id", validate.confidence(json).alias("confidence"))
 
 
+_TITLE = r"lower(trim(regexp_replace(trim(regexp_replace(line, '^##\s+', '')), '\s*:\s*[-–—]?\s*$', '')))"
+
+
 @query(
-    """SELECT doc_id, array_to_string(list_filter([CASE WHEN trim(text, ' ' || chr(10)) = '' THEN 'empty' END, CASE WHEN length(trim(text, ' ' || chr(10))) < 400 THEN 'too short' END, 'not one title', 'not 4 to 12 sections'], lambda x: x IS NOT NULL), '|') AS problems FROM documents WHERE NOT contains(text, '#') AND NOT contains(text, '```')"""
+    rf"""WITH d AS (SELECT doc_id, trim(text, ' ' || chr(10)) AS t FROM documents),
+ l AS (SELECT doc_id, generate_subscripts(x, 1) AS pos, unnest(x) AS line FROM (SELECT doc_id, string_split(t, chr(10)) AS x FROM d)),
+ f AS (SELECT *, regexp_matches(line, '^\s*(```|~~~)') AS fence, sum(CASE WHEN regexp_matches(line, '^\s*(```|~~~)') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM l),
+ p AS (SELECT doc_id, pos, line, regexp_matches(line, '^##\s+\S') AS head, regexp_matches(line, '^#\s+\S') AS title FROM f WHERE NOT fence AND n % 2 = 0),
+ g AS (SELECT *, sum(CASE WHEN regexp_matches(line, '^##\s+') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS no FROM p),
+ b AS (SELECT doc_id, no, length(trim(coalesce(string_agg(CASE WHEN NOT regexp_matches(line, '^##\s+') THEN line END, chr(10) ORDER BY pos), ''), ' ' || chr(10))) AS n FROM g WHERE no > 0 GROUP BY doc_id, no),
+ h AS (SELECT doc_id, count(*) FILTER (WHERE title) AS titles, count(*) FILTER (WHERE head) AS heads, count(DISTINCT {_TITLE}) FILTER (WHERE head) AS names,
+ bool_or(head AND list_contains({sql_list(V.GENERIC_HEADINGS)}, {_TITLE})) AS generic FROM p GROUP BY doc_id),
+ s AS (SELECT doc_id, bool_or(n < 20) AS short FROM b GROUP BY doc_id)
+ SELECT d.doc_id, array_to_string(list_filter([CASE WHEN t = '' THEN 'empty' END, CASE WHEN starts_with(t, '```') THEN 'wrapped in a fence' END, CASE WHEN length(t) < 400 THEN 'too short' END, CASE WHEN coalesce(titles, 0) <> 1 THEN 'not one title' END,
+ CASE WHEN coalesce(heads, 0) NOT BETWEEN 4 AND 12 THEN 'not 4 to 12 sections' END, CASE WHEN names < heads THEN 'duplicate sections' END, CASE WHEN generic THEN 'generic section' END, CASE WHEN short THEN 'section without content' END], lambda x: x IS NOT NULL), '|') AS problems
+ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN s USING (doc_id)"""
 )
 def validator_problems(spark, d):
-    docs = table(spark, d, "documents").where(~F.contains("text", F.lit("#")) & ~F.contains("text", F.lit("```")))
-    return docs.select("doc_id", F.array_join(validate.summary_problems(F.col("text")), "|").alias("problems"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(validate.summary_problems(F.col("text")), "|").alias("problems"))
+
+
+@query(
+    rf"""WITH s AS (SELECT doc_id, i, CASE (doc_id + i) % 9 WHEN 0 THEN 'misc' WHEN 1 THEN 'Part ' || (i - 1) ELSE 'Part ' || i END AS heading, CASE WHEN (doc_id + i) % 7 = 0 THEN 'short' ELSE repeat('filled with words ', 8) END AS body
+ FROM (SELECT doc_id, unnest(range(1, 3 + doc_id % 12)) AS i FROM documents WHERE doc_id IS NOT NULL)),
+ n AS (SELECT doc_id, count(*) AS heads, count(DISTINCT lower(heading)) AS names, bool_or(heading = 'misc') AS generic, bool_or(body = 'short') AS short, sum(5 + length(heading) + length(trim(body))) + 7 + CASE WHEN doc_id % 5 = 0 THEN 0 ELSE 8 END AS size FROM s GROUP BY doc_id)
+ SELECT doc_id, array_to_string(list_filter([CASE WHEN size < 400 THEN 'too short' END, CASE WHEN doc_id % 5 = 0 THEN 'not one title' END, CASE WHEN heads NOT BETWEEN 4 AND 12 THEN 'not 4 to 12 sections' END, CASE WHEN names < heads THEN 'duplicate sections' END,
+ CASE WHEN generic THEN 'generic section' END, CASE WHEN short THEN 'section without content' END], lambda x: x IS NOT NULL), '|') AS problems FROM n"""
+)
+def validator_sections(spark, d):
+    """Summaries made from ids, so that every rule on sections is met by some and broken by others."""
+    i, n = F.col("i"), F.col("doc_id")
+    heading = F.when((n + i) % 9 == 0, "misc").when((n + i) % 9 == 1, F.concat(F.lit("Part "), (i - 1).cast("string"))).otherwise(F.concat(F.lit("Part "), i.cast("string")))
+    body = F.when((n + i) % 7 == 0, "short").otherwise(F.trim(F.repeat(F.lit("filled with words "), F.lit(8))))
+    parts = table(spark, d, "documents").where("doc_id is not null").select("doc_id", F.explode(F.sequence(F.lit(1), (F.lit(2) + n % 12).cast("int"))).alias("i"))
+    rows = parts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("i", F.concat(F.lit("## "), heading, F.lit("\n"), body).alias("t")))).alias("r"))
+    text = F.concat(F.when(n % 5 == 0, "").otherwise("# Title\n"), F.lit("opened\n"), F.array_join(F.transform("r", lambda x: x["t"]), "\n"))
+    return rows.select("doc_id", F.array_join(validate.summary_problems(text), "|").alias("problems"))
 
 
 @query("SELECT page_id, CAST(used AS BIGINT) AS used FROM (SELECT page_id, sum(length(url)) OVER (PARTITION BY page_id % 10 ORDER BY page_id) AS used FROM pages) WHERE used <= 900")
@@ -598,7 +639,38 @@ def evidence_files(spark, d):
     return R.paths(spark, d).select("page_id", validate.is_evidence(F.col("path")).alias("evidence"))
 
 
-@query()
+_HEAD = r"^(#{1,6})\s+(.+?)\s*#*\s*$"
+#: Lines with their kind, whether they stand in code, the number of headings so far, and headings with paths and ids.
+_SCANNED = (
+    R.MD_TEXT
+    + rf""", ln AS (SELECT *, regexp_matches(t, '^\s*(`{{3,}}|~{{3,}})') AS fence, sum(CASE WHEN regexp_matches(t, '^\s*(`{{3,}}|~{{3,}})') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS nf,
+ coalesce(sum(length(t) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM mt),
+ kd AS (SELECT *, fence OR nf % 2 = 1 AS code, CASE WHEN fence OR nf % 2 = 1 THEN 'code' WHEN trim(t) = '' THEN 'blank' WHEN starts_with(trim(t), '<!--') THEN 'comment' WHEN regexp_matches(t, '{_HEAD}') THEN 'heading' WHEN starts_with(trim(t), '|') THEN 'table' WHEN starts_with(trim(t), '>') THEN 'blockquote'
+ WHEN regexp_matches(t, '^\s*[-*+]\s+\S') THEN 'ul' WHEN regexp_matches(t, '^\s*\d+[.)]\s+\S') THEN 'ol' ELSE 'text' END AS kind FROM ln),
+ sc AS (SELECT *, sum(CASE WHEN kind = 'heading' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS no FROM kd),
+ hd AS (SELECT doc_id, no, pos, length(regexp_extract(t, '{_HEAD}', 1)) AS level, trim(regexp_extract(t, '{_HEAD}', 2)) AS heading FROM sc WHERE kind = 'heading'),
+ up AS (SELECT c.doc_id, c.no, (SELECT max(p.no) FROM hd p WHERE p.doc_id = c.doc_id AND p.no < c.no AND p.level < c.level) AS parent FROM hd c),
+ walk AS (SELECT doc_id, no, no AS at, heading AS path, 1 AS depth FROM hd UNION ALL SELECT w.doc_id, w.no, u.parent, h.heading || ' > ' || w.path, w.depth + 1 FROM walk w JOIN up u ON u.doc_id = w.doc_id AND u.no = w.at JOIN hd h ON h.doc_id = w.doc_id AND h.no = u.parent),
+ ph AS (SELECT doc_id, no, arg_max(path, depth) AS path FROM walk GROUP BY doc_id, no),
+ al AS (SELECT doc_id, no, path FROM ph UNION ALL SELECT DISTINCT doc_id, 0, '(preamble)' FROM sc WHERE no = 0 AND kind <> 'blank' AND {{preamble}}),
+ sg AS (SELECT *, CASE WHEN g = '' THEN 'section' ELSE g END AS slug FROM (SELECT *, trim(regexp_replace(lower(path), '[^a-z0-9]+', '-', 'g'), '-') AS g FROM al)),
+ nm AS (SELECT *, slug || CASE WHEN row_number() OVER (PARTITION BY doc_id, slug ORDER BY no) > 1 THEN '-' || row_number() OVER (PARTITION BY doc_id, slug ORDER BY no) ELSE '' END AS section_id FROM sg)"""
+)
+
+
+@query(
+    f"""WITH RECURSIVE {_SCANNED.replace('{preamble}', 'true')}, pr AS (SELECT *, lag(kind) OVER w AS before, lag(code) OVER w AS code_before,
+ coalesce(last_value(CASE WHEN kind = 'comment' AND contains(t, '{V.REGION_END}') THEN false WHEN kind = 'comment' AND contains(t, '{V.REGION_START}') THEN true END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS made FROM sc WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+ st AS (SELECT *, CASE kind WHEN 'code' THEN fence AND nf % 2 = 1 WHEN 'blank' THEN true WHEN 'text' THEN coalesce(before NOT IN ('text', 'ul', 'ol'), true) WHEN 'table' THEN before IS DISTINCT FROM 'table' WHEN 'blockquote' THEN before IS DISTINCT FROM 'blockquote' ELSE true END AS opens FROM pr),
+ nb AS (SELECT *, sum(CASE WHEN opens THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS b FROM st),
+ bl AS (SELECT doc_id, b, min(no) AS no, CASE arg_min(kind, pos) WHEN 'code' THEN 'code_block' WHEN 'comment' THEN 'html_comment' WHEN 'ul' THEN 'unordered_list_item' WHEN 'ol' THEN 'ordered_list_item' WHEN 'text' THEN 'paragraph' ELSE arg_min(kind, pos) END AS block_type,
+ string_agg(t, chr(10) ORDER BY pos) AS block_text, min(pos) + 1 AS first_line, max(pos) + 1 AS last_line, min(s) AS s, max(s + length(t)) AS e,
+ arg_min(made OR (kind = 'comment' AND (contains(t, '{V.REGION_START}') OR contains(t, '{V.REGION_END}'))), pos) AS made FROM nb WHERE kind NOT IN ('blank', 'heading') GROUP BY doc_id, b),
+ ib AS (SELECT bl.*, section_id, sha256(block_text) AS h, rtrim(trim(replace(regexp_replace(trim(block_text, ' ' || chr(10)), '^\s*(?:[-*+]|\d+[.)])\s+', ''), '`', '')), '.,;:') AS body FROM bl JOIN nm USING (doc_id, no))
+ SELECT doc_id, section_id, section_id || '-' || block_type || '-' || substr(h, 1, 8) || '-' || row_number() OVER (PARTITION BY doc_id, section_id, block_type, h ORDER BY b) AS block_id, block_type, CAST(row_number() OVER (PARTITION BY doc_id, section_id ORDER BY b) AS INT) AS block_order, h AS content_hash,
+ block_type IN ('paragraph', 'unordered_list_item', 'ordered_list_item') AND NOT made AND NOT (NOT contains(trim(block_text, ' ' || chr(10)), chr(10)) AND NOT regexp_matches(body, '[ \t]') AND regexp_matches(body, '^[\w.\-]+(?:/[\w.\-]+)+$|^[\w\-]+(?:\.[\w\-]+)+$')) AS patchable,
+ CAST(s AS INT) AS start, CAST(e AS INT) AS "end", CAST(first_line AS INT) AS first_line, CAST(last_line AS INT) AS last_line FROM ib"""
+)
 def block_index(spark, d):
     _, rows = blocks.block_index(R.md_text(spark, d), ["doc_id"])
     return rows.select("doc_id", "section_id", "block_id", "block_type", "block_order", "content_hash", "patchable", "start", "end", "first_line", "last_line")
@@ -610,12 +682,19 @@ def sentence_index(spark, d):
     return blocks.sentence_rows(rows, ["doc_id"])
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_SCANNED.replace('{preamble}', 'false')}, bd AS (SELECT doc_id, no, trim(string_agg(t, chr(10) ORDER BY pos), ' ' || chr(10)) AS content FROM sc WHERE no > 0 AND kind <> 'heading' GROUP BY doc_id, no)
+ SELECT n.doc_id, CAST(n.no AS INT) AS "order", n.section_id, h.heading, CAST(h.level AS INT) AS level, p.section_id AS parent_id, n.path, CASE WHEN coalesce(b.content, '') <> '' THEN sha256(b.content) END AS content_hash
+ FROM nm n JOIN hd h USING (doc_id, no) JOIN up u USING (doc_id, no) LEFT JOIN nm p ON p.doc_id = n.doc_id AND p.no = u.parent LEFT JOIN bd b ON b.doc_id = n.doc_id AND b.no = n.no"""
+)
 def markdown_sections(spark, d):
     return lines.skeleton(lines.sections(R.md_text(spark, d), ["doc_id"]), ["doc_id"])
 
 
-@query()
+@query(
+    """SELECT c_custkey, o AS ordinal, CASE o WHEN 0 THEN 'A' || c_custkey WHEN 1 THEN 'A' || c_custkey || '.run' ELSE 'go_' || c_custkey END AS qualified_name, ['class', 'method', 'async function'][o + 1] AS kind, [1, 2, 5][o + 1] AS start_line, [3, 3, 6][o + 1] AS end_line
+ FROM customer, (SELECT CAST(unnest(range(3)) AS INT) AS o) WHERE c_custkey % 7 <> 0"""
+)
 def python_symbols(spark, d):
     """Symbols of generated sources, one per customer."""
     i = F.col("c_custkey").cast("string")
@@ -623,7 +702,7 @@ def python_symbols(spark, d):
     return diff.python_symbols(table(spark, d, "customer").select("c_custkey", F.when(F.col("c_custkey") % 7 == 0, "def broken(").otherwise(source).alias("content")), ["c_custkey"])
 
 
-@query()
+@query("SELECT DISTINCT user_id AS doc_id, event_type AS text, sha256(event_type) AS sha256 FROM events")
 def stream_batches(spark, d):
     """Events as a stream of files, each content once."""
     import uuid

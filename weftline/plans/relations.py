@@ -42,6 +42,14 @@ def md_text(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", F.array_join(F.transform("r", lambda x: x["line"]), "\n").alias("text"))
 
 
+#: (doc_id, pos, t): the lines of ``md_text``.
+MD_TEXT = (
+    MD
+    + f""", mt AS (SELECT doc_id, pos, CASE role WHEN 0 THEN repeat('#', CAST(level AS INT)) || ' ' || line WHEN 1 THEN '```' WHEN 2 THEN '- ' || line WHEN 3 THEN '| ' || line || ' |'
+ WHEN 4 THEN '<!-- {V.REGION_START} -->' WHEN 5 THEN '<!-- {V.REGION_END} -->' ELSE line END AS t FROM md)"""
+)
+
+
 def diff_lines(spark: SparkSession, d: str) -> DataFrame:
     """A hunk per document whose markers follow from positions; ``line`` has its marker before it."""
     m = F.pmod(F.col("doc_id") * 17 + F.col("pos") * 5, F.lit(7))
@@ -74,7 +82,7 @@ def paragraph_features(spark: SparkSession, d: str) -> DataFrame:
     """Document lines as paragraphs with formatting that follows from positions."""
     from weftline.operators.headings import text_features
 
-    rows = doc_lines(spark, d).where(F.trim("line") != "").withColumn("text", F.substring("line", 1, 60))
+    rows = doc_lines(spark, d).where(F.trim("line") != "").withColumn("text", F.col("line"))
     k = lambda a, b, n: F.pmod(F.col("doc_id") * a + F.col("pos") * b, F.lit(n))
     rows = rows.withColumns(
         {
