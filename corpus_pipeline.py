@@ -16,7 +16,7 @@ from weftline.llm.common import Scratch, documents
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.judge(docs).where("kept").select(*docs.columns)
+    return quality.passing(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +29,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs)
+    return packing.pack(docs, keep_ids=True)
 
 
 STAGES = [("quality rules", quality_rules), ("MinHash near-dedup", near_duplicates), ("PII", personal_data), ("packing", packed)]
