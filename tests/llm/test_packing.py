@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -45,5 +46,25 @@ def test_query(spark, data):
     check(queries.op3_packing(spark, data).collect(), docs)
 
 
+def test_random_texts(spark):
+    """Letters whose lower case ends in a mark, before full stops and commas, among others."""
+    rng = random.Random(2)
+    parts = [" ", "  ", "\n", "\t", "İ", "ı", "ß", "é", "É", "e\u0301", "Σ", "ΑΣ", "日", "a", "The", "it's", "'ll", ".", ",", "..", ".,", "1", "23", "<|endoftext|>", "<|", "😀", "ǅ", "ŉ", "ﬁ", "\u0307", "\u00a0", "\u200b", "-", "x"]
+    docs = [(i, "".join(rng.choice(parts) for _ in range(rng.randint(1, 12)))) for i in range(20_000)]
+    want = {i: (len(ids), zlib.crc32(ids)) for (i, _), ids in zip(docs, brute(t for _, t in docs), strict=True)}
+    got = {}
+    for r in packing.pack(spark.createDataFrame(docs, "doc_id long, text string"), keep_ids=True).orderBy("doc_id", "start").collect():
+        got.setdefault(r["doc_id"], []).extend(r["ids"])
+    wrong = [docs[i] for i, ids in got.items() if (len(ids), zlib.crc32(np.array(ids, "<u4"))) != want[i]]
+    assert len(got) == len(docs) and not wrong, wrong[:5]
+
+
+def test_buckets(spark, tmp_path):
+    pieces = packing.pack(edge(spark), keep_ids=True)
+    packing.write_buckets(pieces, f"{tmp_path}/b")
+    back = spark.read.parquet(f"{tmp_path}/b")
+    assert back.count() == pieces.count() and back.where("length != shiftleft(1, bucket) or size(ids) != length").isEmpty()
+
+
 def test_cut():
     assert packing.cut(1) == [1] and packing.cut(4096) == [4096] and packing.cut(4097 + 6) == [4096, 4, 2, 1]

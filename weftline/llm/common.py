@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,13 +18,17 @@ from pyspark.sql import functions as F
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 #: Bytes of text that are turned into Python word objects at a time.
 CHUNK_BYTES = 1 << 20
+#: Bytes of strings that a task hands on at a time; a longer row goes alone.
+BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is named."""
+    """The folder that driver and executors share; a temporary one only where none is named and all run in one process."""
     conf = spark.sparkContext.getConf()
     named = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="weftline-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -49,6 +56,24 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: What may be broadcast: rows and bytes, both counted before.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 32 << 20
+
+
+def if_small(rows: DataFrame) -> DataFrame:
+    """``rows`` marked for broadcast if they were counted to be few and small; else as they are, for Spark to join by shuffling."""
+    size = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*rows.columns)))), F.lit(0)).alias("bytes")).collect()[0]
+    return F.broadcast(rows) if size["n"] <= BROADCAST_ROWS and size["bytes"] <= BROADCAST_BYTES else rows
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, with underscores before it as long as a column has it; names are compared as Spark does, without case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -67,14 +92,45 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def per_batch(fn: Callable, columns: list[str]) -> Callable:
-    """mapInArrow body: ``fn`` gets lists of the named columns and returns a record batch."""
+def by_bytes(batch: pa.RecordBatch, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose strings hold about ``limit`` bytes; one row at least."""
+    size = np.full(len(batch), 16, np.int64)
+    for c in batch.columns:
+        if pa.types.is_binary(c.type) or pa.types.is_string(c.type) or pa.types.is_large_binary(c.type) or pa.types.is_large_string(c.type):
+            size += pa.compute.binary_length(c).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, at = np.cumsum(size), 0
+    while at < len(batch):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def give_back() -> None:
+    """Hand free memory back to the system: workers outlive their tasks, and what they keep adds up beside the JVM."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def per_batch(make: Callable, columns: list[str]) -> Callable:
+    """mapInArrow body: ``make()`` gives, for one task, a function from arrays of the named columns to a record batch.
+
+    What the function keeps between batches (word tables, models) goes when the task ends.
+    """
 
     def run(batches: Iterator) -> Iterator:
-        for batch in batches:
-            out = fn(*(batch.column(batch.schema.get_field_index(c)) for c in columns))
-            if out is not None:
-                yield out
+        one = make()
+        try:
+            for batch in batches:
+                for part in by_bytes(batch):
+                    out = one(*(part.column(part.schema.get_field_index(c)) for c in columns))
+                    if out is not None:
+                        yield out
+                    out = part = None
+                batch = None
+        finally:
+            one = None
+            give_back()
 
     return run
 
@@ -125,7 +181,7 @@ class WordCodes(dict):
     grow with the vocabulary of what it reads.
     """
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 250_000):
         super().__init__()
         self.words: list = []
         self.limit = limit

@@ -421,7 +421,7 @@ def context_counts(counts: DataFrame, file: str) -> DataFrame:
         new = np.flatnonzero(np.append(True, (context[1:] != context[:-1]) | (piece[1:] != piece[:-1]))) if len(context) else np.zeros(0, np.int64)
         return pa.RecordBatch.from_arrays([pa.array(context[new].view(np.int64)), pa.array(piece[new].astype(np.int32)), pa.array(np.add.reduceat(weight, new) if len(new) else weight)], names=["context", "piece", "n"])
 
-    return counts.mapInArrow(per_batch(one, ["word", "n"]), "context long, piece int, n long").groupBy("context", "piece").agg(F.sum("n").alias("n"))
+    return counts.mapInArrow(per_batch(lambda: one, ["word", "n"]), "context long, piece int, n long").groupBy("context", "piece").agg(F.sum("n").alias("n"))
 
 
 def followers(counts: DataFrame, file: str, size: int, n_docs: int, scratch: Scratch) -> tuple[Followers, np.ndarray]:
@@ -551,7 +551,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", file: str |
 
     schema = f"k {dict(rows.dtypes)['k']}, n_tokens long, n_pieces long, known long, base double, score double, rare array<struct<word: binary, times: long>>"
     with small_batches(spark):
-        scored = scratch.keep(rows.mapInArrow(per_batch(one, ["k", "t"]), schema).withColumn("row", F.monotonically_increasing_id()))
+        scored = scratch.keep(rows.mapInArrow(per_batch(lambda: one, ["k", "t"]), schema).withColumn("row", F.monotonically_increasing_id()))
     rare = scored.select("row", F.inline("rare")).join(counts.where(F.col("n") < least), "word")
     extra = rare.groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("logs"))
     held_out = is_held_out(F.col("k"))

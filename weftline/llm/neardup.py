@@ -18,12 +18,17 @@ smallest is kept as its leading zeros and ``MANTISSA`` bits after them.
    ``SIDE`` by ``SIDE``.  Registers show which members have a likely partner there;
    those meet once more with their full sets, and a block gives one confirmed
    link for each member and other component.  So every candidate pair is
-   confirmed, rejected or within a component already: no link is lost, and what
-   a group gives out grows with its members, not with its pairs.
+   confirmed, rejected or within a component already, and what a group gives out
+   grows with its members, not with its pairs.
+
+A link is lost only if its sets share no band key (1e-6 at the threshold, less
+above) or if the registers' estimate falls four standard deviations short of it
+(3e-5 at the threshold); what is reported is always confirmed on full sets.
 
 Defined results: a null or blank text has no shingles, is its own component and
 kept; so is a text with a null ``doc_id``, unless it equals others; rows with
-equal ids and equal texts give equal rows, with different texts each its own.
+equal ids and equal texts give equal rows, with different texts each its own; an
+empty table gives an empty result; other columns don't take part.
 """
 
 from __future__ import annotations
@@ -33,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import Scratch, WordCodes, groups_of, per_batch
+from weftline.llm.common import Scratch, WordCodes, give_back, groups_of, if_small, per_batch, unused
 from weftline.llm.components import components
 
 SHINGLE = 5
@@ -42,8 +47,8 @@ REGISTERS, MANTISSA, ROWS, BANDS = 256, 10, 5, 51
 #: Four standard deviations of the estimate under the threshold.
 NEAR = 0.75 - 4 * (0.75 * 0.25 / REGISTERS) ** 0.5
 SIDE = 512
-#: Classes named to a scan by broadcast; beyond, the scan joins.
-BROADCAST_ROWS = 1_000_000
+#: Blocks over this size are followed by handing memory back.
+TRIM_BYTES = 1 << 20
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -68,7 +73,7 @@ class Shingler:
         import xxhash
 
         if self.codes.full():
-            self.__init__()
+            self.codes, self.hashes = WordCodes(), np.zeros(0, np.uint64)
         coded = [self.codes.of_text(t.lower()) if t else np.zeros(0, np.int32) for t in texts]
         new = self.codes.words[len(self.hashes) :]
         if new:
@@ -133,34 +138,40 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
 
 def signatures(docs: DataFrame) -> DataFrame:
     """(id, n_shingles, digest, registers) of rows (id, t); digest and registers are null without shingles."""
-    state: dict = {}
 
-    def one(ids: pa.Array, texts: pa.Array) -> pa.RecordBatch:
+    def make():
         import xxhash
 
-        shingler = state.setdefault("s", Shingler())
-        data = texts.cast(pa.binary()).to_pylist()
-        sizes, digests, registers = [], [], []
-        for s, e in groups_of(data, 1 << 20):
-            sets = shingler.of(data[s:e])
-            sizes += map(len, sets)
-            digests += [xxhash.xxh3_128_digest(x) if len(x) else None for x in sets]
-            registers += [r.tobytes() if len(x) else None for x, r in zip(sets, sketch(sets), strict=True)]
-        return pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(registers, pa.binary())], names=["id", "n_shingles", "digest", "registers"])
+        shingler = Shingler()
+
+        def one(ids: pa.Array, texts: pa.Array) -> pa.RecordBatch:
+            data = texts.cast(pa.binary()).to_pylist()
+            sizes, digests, registers = [], [], []
+            for s, e in groups_of(data, 1 << 19):
+                sets = shingler.of(data[s:e])
+                sizes += map(len, sets)
+                digests += [xxhash.xxh3_128_digest(x) if len(x) else None for x in sets]
+                registers += [r.tobytes() if len(x) else None for x, r in zip(sets, sketch(sets), strict=True)]
+            return pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(registers, pa.binary())], names=["id", "n_shingles", "digest", "registers"])
 
-    return docs.mapInArrow(per_batch(one, ["id", "t"]), f"id {dict(docs.dtypes)['id']}, n_shingles long, digest binary, registers binary")
+        return one
+
+    return docs.mapInArrow(per_batch(make, ["id", "t"]), f"id {dict(docs.dtypes)['id']}, n_shingles long, digest binary, registers binary")
 
 
 def bands(nodes: DataFrame) -> DataFrame:
     """(key, node): a row for each class and band."""
 
-    def one(ids: pa.Array, registers: pa.Array) -> pa.RecordBatch:
-        every = np.frombuffer(b"".join(registers.to_pylist()), np.uint16).reshape(-1, REGISTERS)
-        # Some at a time: the way to the keys takes many times the registers' room.
-        keys = [band_keys(every[at : at + 256]).ravel() for at in range(0, len(every), 256)]
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)), pa.array(np.repeat(ids.to_numpy(), BANDS))], names=["key", "node"])
+    def make():
+        def one(ids: pa.Array, registers: pa.Array) -> pa.RecordBatch:
+            every = np.frombuffer(b"".join(registers.to_pylist()), np.uint16).reshape(-1, REGISTERS)
+            # Some at a time: the way to the keys takes many times the registers' room.
+            keys = [band_keys(every[at : at + 256]).ravel() for at in range(0, len(every), 256)]
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)), pa.array(np.repeat(ids.to_numpy(), BANDS))], names=["key", "node"])
+
+        return one
 
-    return nodes.select("node", "registers").mapInArrow(per_batch(one, ["node", "registers"]), "key long, node long")
+    return nodes.select("node", "registers").mapInArrow(per_batch(make, ["node", "registers"]), "key long, node long")
 
 
 def sizes_allow(a: str, b: str):
@@ -171,36 +182,43 @@ def sizes_allow(a: str, b: str):
 def near_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(a, b, likeness) of those pairs whose registers come near the threshold."""
 
-    def one(a: pa.Array, b: pa.Array, na: pa.Array, nb: pa.Array, ra: pa.Array, rb: pa.Array) -> pa.RecordBatch:
+    def make():
         of = lambda r: np.frombuffer(b"".join(r.to_pylist()), np.uint16).reshape(-1, REGISTERS)
-        like = estimate(of(ra), of(rb), na.to_numpy(), nb.to_numpy())
-        kept = pa.array(np.flatnonzero(like >= NEAR))
-        return pa.RecordBatch.from_arrays([a.take(kept), b.take(kept), pa.array(like).take(kept)], names=["a", "b", "likeness"])
+
+        def one(a: pa.Array, b: pa.Array, na: pa.Array, nb: pa.Array, ra: pa.Array, rb: pa.Array) -> pa.RecordBatch:
+            like = estimate(of(ra), of(rb), na.to_numpy(), nb.to_numpy())
+            kept = pa.array(np.flatnonzero(like >= NEAR))
+            return pa.RecordBatch.from_arrays([a.take(kept), b.take(kept), pa.array(like).take(kept)], names=["a", "b", "likeness"])
+
+        return one
 
     side = lambda s: nodes.select(F.col("node").alias(s), F.col("n_shingles").alias(f"n{s}"), F.col("registers").alias(f"r{s}"))
     joined = pairs.join(side("a"), "a").join(side("b"), "b")
-    return joined.mapInArrow(per_batch(one, ["a", "b", "na", "nb", "ra", "rb"]), "a long, b long, likeness double")
+    return joined.mapInArrow(per_batch(make, ["a", "b", "na", "nb", "ra", "rb"]), "a long, b long, likeness double")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, shingles) for ``wanted`` classes (node, digest, id), from the texts of their ids."""
-    state: dict = {}
 
-    def one(texts: pa.Array) -> pa.RecordBatch:
+    def make():
         import xxhash
 
-        shingler = state.setdefault("s", Shingler())
-        data = texts.cast(pa.binary()).to_pylist()
-        digests, sets = [], []
-        for s, e in groups_of(data, 1 << 20):
-            for x in shingler.of(data[s:e]):
-                digests.append(xxhash.xxh3_128_digest(x))
-                sets.append(x.view(np.int64))
-        return pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], names=["digest", "shingles"])
+        shingler = Shingler()
+
+        def one(texts: pa.Array) -> pa.RecordBatch:
+            data = texts.cast(pa.binary()).to_pylist()
+            digests, sets = [], []
+            for s, e in groups_of(data, 1 << 19):
+                for x in shingler.of(data[s:e]):
+                    digests.append(xxhash.xxh3_128_digest(x))
+                    sets.append(x.view(np.int64))
+            sizes = np.append(0, np.cumsum([len(x) for x in sets])).astype(np.int32)
+            return pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))], names=["digest", "shingles"])
+
+        return one
 
     ids = wanted.select("id").where("id is not null").distinct()
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-    sets = docs.join(ids, "id", "left_semi").select("t").mapInArrow(per_batch(one, ["t"]), "digest binary, shingles array<long>")
+    sets = docs.join(if_small(ids), "id", "left_semi").select("t").mapInArrow(per_batch(make, ["t"]), "digest binary, shingles array<long>")
     return wanted.select("node", "digest").join(sets, "digest").select("node", "shingles").dropDuplicates(["node"])
 
 
@@ -232,7 +250,8 @@ def dealt_blocks(members: DataFrame, payload: list[str]) -> DataFrame:
     outside = F.col("all") - F.col("most")
     others = rows.select("key", every(outside).alias("left"), lane(F.col("all")).alias("right"), F.lit(False).alias("query"), *kept)
     queries = rows.where("component != main").select("key", lane(outside).alias("left"), every(F.col("all")).alias("right"), F.lit(True).alias("query"), *kept)
-    return queries.union(others)
+    # Dealt by block: the joins above left all blocks of a bucket in one task.
+    return queries.union(others).repartition("key", "left", "right")
 
 
 def likely(node: np.ndarray, component: np.ndarray, n: np.ndarray, query: np.ndarray, registers: np.ndarray, key: int):
@@ -262,6 +281,8 @@ def likely_members(members: DataFrame) -> DataFrame:
         key = table["key"][0].as_py()
         found = [np.append(others, i) for i, others, _ in likely(node, component, n, query, registers, key)]
         out = np.unique(node[np.concatenate(found)]) if found else np.zeros(0, np.int64)
+        if table.nbytes > TRIM_BYTES:
+            give_back()
         return pa.table({"key": np.full(len(out), key), "node": out})
 
     return dealt_blocks(members, ["registers"]).groupBy("key", "left", "right").applyInArrow(block, "key long, node long").distinct()
@@ -275,7 +296,9 @@ def confirmed_links(members: DataFrame) -> DataFrame:
 
     def block(table: pa.Table) -> pa.Table:
         query, node, component, n = (table[c].to_numpy() for c in ("query", "node", "component", "n_shingles"))
-        sets = [np.array(x, np.int64).view(np.uint64) for x in table["shingles"].to_pylist()]
+        shingles = table["shingles"].combine_chunks()
+        ends, every = shingles.offsets.to_numpy(), shingles.values.to_numpy().view(np.uint64)
+        sets = [every[s:e] for s, e in zip(ends[:-1], ends[1:], strict=True)]
         links = []
         for i, others, like in likely(node, component, n, query, sketch(sets), table["key"][0].as_py()):
             linked = set()
@@ -285,6 +308,8 @@ def confirmed_links(members: DataFrame) -> DataFrame:
                     if 100 * common >= THRESHOLD * (n[i] + n[j] - common):
                         linked.add(component[j])
                         links.append((min(node[i], node[j]), max(node[i], node[j])))
+        if table.nbytes > TRIM_BYTES:
+            give_back()
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
 
     return dealt_blocks(members, ["shingles"]).groupBy("key", "left", "right").applyInArrow(block, "a long, b long").distinct()
@@ -372,7 +397,9 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     linker.take(first)
     linker.finish(members.select("key", "node"))
     labelled = linker.label(nodes.select("node", "digest", F.col("id").alias("low_id")), "node", "component")
-    lowest = labelled.groupBy("component").agg(F.min("low_id").alias("component_id"))
+    # Written, so that both sides of the join are dealt out plainly and Spark can split a giant component.
+    labelled = scratch.keep(labelled)
+    lowest = scratch.keep(labelled.groupBy("component").agg(F.min("low_id").alias("component_id")))
     named = labelled.join(lowest, "component").select("digest", "component_id")
     out = signed.select("id", "n_shingles", "digest").join(named, "digest", "left")
     component = F.coalesce("component_id", "id")
@@ -386,12 +413,12 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     """
     scratch = Scratch(docs.sparkSession, "keep")
     names = docs.columns
+    row = unused("row", names)
     told = F.struct(F.col(key).alias("id"), F.xxhash64(text).alias("h"))
     found = scratch.keep(classes(docs.select(told.alias("row"), F.col(text).alias("text")), "row", "text").groupBy("row").agg(F.first("kept").alias("kept"), F.count("*").alias("n")))
-    gone, repeated = found.where(~F.col("kept")).select("row"), found.where("kept and n > 1").select("row")
-    few = lambda rows: F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
-    kept = docs.withColumn("row", told).join(few(gone), "row", "left_anti")
+    gone, repeated = found.where(~F.col("kept")).select(F.col("row").alias(row)), found.where("kept and n > 1").select(F.col("row").alias(row))
+    kept = docs.withColumn(row, told).join(if_small(gone), row, "left_anti")
     if not repeated.isEmpty():
-        again = few(repeated)
-        kept = kept.join(again, "row", "left_anti").unionByName(kept.join(again, "row", "left_semi").dropDuplicates(["row"]))
+        again = if_small(repeated)
+        kept = kept.join(again, row, "left_anti").unionByName(kept.join(again, row, "left_semi").dropDuplicates([row]))
     return kept.select(*names)

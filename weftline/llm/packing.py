@@ -2,15 +2,19 @@
 
 A document's ids, with the end id after them, are cut into pieces whose lengths
 are powers of two: as many of ``LIMIT`` as fit, then the binary digits of the
-rest, longest first.  Pieces of equal length form a bucket; each is a sequence
-of its own, so none crosses documents and none is padded.
+rest, longest first.  Pieces of equal length form a bucket, named by the length's
+logarithm; each is a sequence of its own, so none crosses documents and none is
+padded.  ``write_buckets`` lays the buckets out as folders, from which batches of
+equal lengths are read.
 
 Ids are those of the tokenizer for the whole text.  It drops blanks and never
 joins characters across them, so texts are cut at blanks and line feeds, each
 distinct word of a block of documents is encoded once, and ids are gathered.
 
 Defined results: a null or empty text gives the end id alone; a null ``doc_id``
-is carried; repeated rows give pieces of their own with their own sequences.
+is carried; repeated rows give pieces of their own with their own sequences; an
+empty table gives no pieces.  ``sequence_id`` is unique; which number a piece gets
+depends on how rows are dealt to tasks.
 """
 
 from __future__ import annotations
@@ -43,7 +47,9 @@ class WordIds:
     """Ids of texts by way of their distinct words, and of those by way of distinct units.
 
     A word that is letters and then full stops or commas has two units, for the
-    tokenizer cuts there itself; any other word is one unit.
+    tokenizer cuts there itself; any other word is one unit.  So is one whose last
+    letter isn't a plain one: lower-casing may end it in a mark, which the tokenizer
+    keeps with the full stop.
     """
 
     def __init__(self, file: str):
@@ -58,7 +64,7 @@ class WordIds:
         self.reset()
 
     def reset(self) -> None:
-        self.codes, self.units = WordCodes(700_000), WordCodes(700_000)
+        self.codes, self.units = WordCodes(300_000), WordCodes(300_000)
         self.unit_flat, self.flat = np.zeros(0, np.uint32), np.zeros(0, np.uint32)
         self.unit_starts, self.unit_lengths, self.starts, self.lengths = (np.zeros(0, np.int64) for _ in range(4))
 
@@ -86,7 +92,7 @@ class WordIds:
         pairs = []
         for w in new:
             core = w.rstrip(".,")
-            if len(core) < len(w) and core.isalpha():
+            if len(core) < len(w) and core.isalpha() and core[-1] < "\u0250" and core[-1] != "İ":
                 pairs += (self.units[core], self.units[w[len(core) :]])
             else:
                 pairs += (self.units[w], -1)
@@ -120,54 +126,63 @@ def cut(length: int, limit: int = LIMIT) -> list[int]:
 
 
 def pack(docs: DataFrame, file: str | None = None, key: str = "doc_id", text: str = "text", limit: int = LIMIT, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
-    """(key, start, length, ids_crc32, doc_tokens, sequence_id, offset) of each piece; with ``keep_ids`` also ``ids``.
+    """(key, start, length, ids_crc32, doc_tokens, sequence_id, offset, bucket) of each piece; with ``keep_ids`` also ``ids``.
 
-    ``length`` names a piece's bucket.  ``limit`` must be a power of two.
+    ``limit`` must be a power of two.
     """
     if limit & (limit - 1):
         raise ValueError("limit must be a power of two")
     file = file or tokenizer_file("word_bpe_49k.json")
-    state: dict = {}
-
-    def one(keys: pa.Array, texts: pa.Array) -> pa.RecordBatch:
-        words = state.get("words") or state.setdefault("words", WordIds(file))
-        cols: list[list] = [[], [], [], [], [], []]
-
-        def settle(first: int, coded: list[np.ndarray]) -> None:
-            ids, sizes = words.of(coded)
-            at = 0
-            for i, n in enumerate(sizes.tolist(), first):
-                own = np.append(ids[at : at + n], np.uint32(end_id)).astype("<u4")
-                at += n
-                start = 0
-                for length in cut(n + 1, limit):
-                    part = own[start : start + length]
-                    for col, v in zip(cols, (i, start, length, zlib.crc32(part), n + 1, part.astype(np.int64) if keep_ids else None), strict=True):
-                        col.append(v)
-                    start += length
-            if words.codes.full():
-                words.reset()
-
-        first, coded, held = 0, [], 0
-        for i, t in enumerate(texts.to_pylist()):
-            own = np.concatenate([words.codes.of(split_words(x)) for x in _parts(t)] or [np.zeros(0, np.int32)]) if t else np.zeros(0, np.int32)
-            coded.append(own)
-            held += len(own)
-            if held > 500_000:
-                settle(first, coded)
-                first, coded, held = i + 1, [], 0
-        settle(first, coded)
-        out = [keys.take(pa.array(cols[0], pa.int64())), *(pa.array(c, pa.int64()) for c in cols[1:5])]
-        if keep_ids:
-            out.append(pa.array(cols[5], pa.list_(pa.int64())))
-        return pa.RecordBatch.from_arrays(out, names=names)
+
+    def make():
+        words = WordIds(file)
+
+        def one(keys: pa.Array, texts: pa.Array) -> pa.RecordBatch:
+            cols: list[list] = [[], [], [], [], [], []]
+
+            def settle(first: int, coded: list[np.ndarray]) -> None:
+                ids, sizes = words.of(coded)
+                at = 0
+                for i, n in enumerate(sizes.tolist(), first):
+                    own = np.append(ids[at : at + n], np.uint32(end_id)).astype("<u4")
+                    at += n
+                    start = 0
+                    for length in cut(n + 1, limit):
+                        part = own[start : start + length]
+                        for col, v in zip(cols, (i, start, length, zlib.crc32(part), n + 1, part.astype(np.int32) if keep_ids else None), strict=True):
+                            col.append(v)
+                        start += length
+                if words.codes.full() or words.units.full():
+                    words.reset()
+
+            first, coded, held = 0, [], 0
+            for i, t in enumerate(texts.to_pylist()):
+                own = np.concatenate([words.codes.of(split_words(x)) for x in _parts(t)] or [np.zeros(0, np.int32)]) if t else np.zeros(0, np.int32)
+                coded.append(own)
+                held += len(own)
+                if held > 500_000:
+                    settle(first, coded)
+                    first, coded, held = i + 1, [], 0
+            settle(first, coded)
+            out = [keys.take(pa.array(cols[0], pa.int64())), *(pa.array(c, pa.int64()) for c in cols[1:5])]
+            if keep_ids:
+                sizes = np.append(0, np.cumsum(cols[2])).astype(np.int32)
+                out.append(pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(cols[5]) if cols[5] else np.zeros(0, np.int32))))
+            return pa.RecordBatch.from_arrays(out, names=names)
+
+        return one
 
     names = ["k", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * keep_ids
     kind = dict(docs.dtypes)[key]
-    schema = f"k {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<long>" * keep_ids
-    pieces = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(per_batch(one, ["k", "t"]), schema)
+    schema = f"k {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * keep_ids
+    pieces = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(per_batch(make, ["k", "t"]), schema)
     numbered = pieces.withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
-    return numbered.withColumnRenamed("k", key)
+    return numbered.withColumn("bucket", F.log2("length").cast("int")).withColumnRenamed("k", key)
+
+
+def write_buckets(pieces: DataFrame, path: str) -> None:
+    """``pieces`` as Parquet with a folder for each bucket.  Tasks write what they hold; nothing is dealt out by bucket, for one may hold most rows."""
+    pieces.write.partitionBy("bucket").parquet(path)
 
 
 def _parts(t: str, limit: int = 1 << 20):

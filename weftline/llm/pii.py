@@ -236,19 +236,22 @@ def joined(spans: list[Span]) -> str:
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_email, n_ip, n_card, n_phone, base_sha256, spans); the counts are of base spans."""
 
-    def one(keys: pa.Array, texts: pa.Array) -> pa.RecordBatch:
-        counts: list[list[int]] = [[] for _ in KINDS]
-        digests, spans = [], []
-        for t in texts.to_pylist():
-            base, every = find(t) if t else ([], [])
-            for n, k in zip(counts, KINDS, strict=True):
-                n.append(sum(x[0] == k for x in base))
-            digests.append(hashlib.sha256(joined(base).encode()).hexdigest())
-            spans.append(joined(every))
-        return pa.RecordBatch.from_arrays([keys, *(pa.array(n, pa.int64()) for n in counts), pa.array(digests, pa.string()), pa.array(spans, pa.string())], names=["k", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
+    def make():
+        def one(keys: pa.Array, texts: pa.Array) -> pa.RecordBatch:
+            counts: list[list[int]] = [[] for _ in KINDS]
+            digests, spans = [], []
+            for t in texts.to_pylist():
+                base, every = find(t) if t else ([], [])
+                for n, k in zip(counts, KINDS, strict=True):
+                    n.append(sum(x[0] == k for x in base))
+                digests.append(hashlib.sha256(joined(base).encode()).hexdigest())
+                spans.append(joined(every))
+            return pa.RecordBatch.from_arrays([keys, *(pa.array(n, pa.int64()) for n in counts), pa.array(digests, pa.string()), pa.array(spans, pa.string())], names=["k", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
+
+        return one
 
     schema = f"k {dict(docs.dtypes)[key]}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
-    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(per_batch(one, ["k", "t"]), schema).withColumnRenamed("k", key)
+    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(per_batch(make, ["k", "t"]), schema).withColumnRenamed("k", key)
 
 
 def masked(t: str) -> str:
@@ -271,10 +274,12 @@ def mask(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with personal data in ``text`` masked; other columns and null texts stay."""
     names = docs.columns
 
-    def run(batches):
-        for batch in batches:
-            at = batch.schema.get_field_index(text)
-            new = pa.array([masked(t) if t else t for t in batch.column(at).to_pylist()], batch.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays([new if i == at else batch.column(i) for i in range(len(names))], names=names)
+    def make():
+        def one(*columns: pa.Array) -> pa.RecordBatch:
+            at = names.index(text)
+            new = pa.array([masked(t) if t else t for t in columns[at].to_pylist()], columns[at].type)
+            return pa.RecordBatch.from_arrays([new if i == at else c for i, c in enumerate(columns)], names=names)
 
-    return docs.mapInArrow(run, docs.schema)
+        return one
+
+    return docs.mapInArrow(per_batch(make, names), docs.schema)

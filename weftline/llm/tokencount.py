@@ -101,5 +101,5 @@ def count_tokens(docs: DataFrame, model: str | None = None, key: str = "doc_id",
         return pa.RecordBatch.from_arrays([keys, n_bytes, n_tokens, pa.array(tokens > limit)], names=["k", "n_bytes", "n_tokens", "over_limit"])
 
     kind = dict(docs.dtypes)[key]
-    out = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(per_batch(one, ["k", "t"]), f"k {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    out = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(per_batch(lambda: one, ["k", "t"]), f"k {kind}, n_bytes long, n_tokens long, over_limit boolean")
     return out.withColumnRenamed("k", key)

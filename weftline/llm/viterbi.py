@@ -166,7 +166,7 @@ def encode(docs: DataFrame, file: str | None = None, key: str = "doc_id", text:
 
     names = ["k", "n_pieces", "ids_crc32", "score", "round_trip"] + ["ids"] * keep_ids
     schema = f"k {dict(docs.dtypes)[key]}, n_pieces long, ids_crc32 long, score double, round_trip boolean" + ", ids array<int>" * keep_ids
-    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(per_batch(one, ["k", "t"]), schema).withColumnRenamed("k", key)
+    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(per_batch(lambda: one, ["k", "t"]), schema).withColumnRenamed("k", key)
 
 
 def decode(pieces: DataFrame, file: str | None = None, key: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -179,5 +179,5 @@ def decode(pieces: DataFrame, file: str | None = None, key: str = "doc_id", ids:
         texts = [None if x is None else vocabulary.decode(np.array(x, np.int64)) if x else "" for x in lists.to_pylist()]
         return pa.RecordBatch.from_arrays([keys, pa.array(texts, pa.string())], names=["k", "text"])
 
-    out = pieces.select(F.col(key).alias("k"), F.col(ids).alias("ids")).mapInArrow(per_batch(one, ["k", "ids"]), f"k {dict(pieces.dtypes)[key]}, text string")
+    out = pieces.select(F.col(key).alias("k"), F.col(ids).alias("ids")).mapInArrow(per_batch(lambda: one, ["k", "ids"]), f"k {dict(pieces.dtypes)[key]}, text string")
     return out.withColumnRenamed("k", key)
