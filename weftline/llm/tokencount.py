@@ -4,15 +4,18 @@ Pieces of the vocabulary hold the blank mark only at their start, so no piece
 crosses from another character to a blank; line feeds are in no piece of more
 than one character.  A text therefore falls into pre-tokens (a run of blanks
 and what follows up to the next blank or line feed; each line feed on its own),
-and the library's count for the text is the sum over pre-tokens.  For each
-block of documents the distinct pre-tokens are encoded once and joined to the
-documents' pre-token frequencies by number.  A join over the whole corpus would
-move every (document, pre-token) pair, several times the input; blocks move
-nothing, and a block's table is bounded.
+and the library's count for the text is the sum over pre-tokens.  The library
+takes the mark itself, where a text has it, for a blank, and so does the cut.
+
+For each block of documents the distinct pre-tokens are encoded once; each
+document's pre-token frequencies are worked out and joined to the piece counts
+by pre-token.  A join over the whole corpus would move every (document,
+pre-token) pair, several times the input; blocks move nothing, and a block's
+table is bounded.
 
 Defined results: a null text is empty and has no tokens; repeated rows each get
 their own row; a null ``doc_id`` is carried; texts of any length are cut only
-between pre-tokens.
+between pre-tokens; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,6 +33,10 @@ from weftline.llm.common import CHUNK_BYTES, WordCodes, per_batch, tokenizer_fil
 LIMIT = 4096
 #: Cuts a text into pre-tokens; the first one of a text starts with the mark that the library puts before it.
 PRE_TOKEN = re.compile(r" *[^ \n]+| +|\n")
+BLANK = re.compile(r"(?<=[^ \n]) ")
+MARK = "▁"
+#: (document, pre-token) occurrences that are held before frequencies are joined.
+HELD = 500_000
 
 
 def counter(model: str):
@@ -52,54 +59,59 @@ def counter(model: str):
     return count
 
 
+def parts(t: str):
+    """Lists of a text's pre-tokens, some at a time."""
+    t = " " + t.replace(MARK, " ")
+    at = 0
+    while at < len(t):
+        end = min(len(t), at + CHUNK_BYTES)
+        if end < len(t):  # cut before a line feed, or before a blank that follows something else
+            cut = t.rfind("\n", at + 1, end)
+            blank = BLANK.search(t, max(at + 1, end - 4096)) if cut <= at else None
+            end = cut if cut > at else blank.start() if blank else len(t)
+        yield PRE_TOKEN.findall(t, at, end)
+        at = end
+
+
 def count_tokens(docs: DataFrame, model: str | None = None, key: str = "doc_id", text: str = "text", limit: int = LIMIT) -> DataFrame:
     """(key, n_bytes, n_tokens, over_limit) for every row."""
     file = model or tokenizer_file("piece_bpe_32k.model")
-    state: dict = {}
 
-    def one(keys: pa.Array, texts: pa.Array) -> pa.RecordBatch:
-        if "count" not in state:
-            state["count"] = counter(file)
-        count = state["count"]
-        tokens = np.zeros(len(texts), np.int64)
-        codes, sizes = state.get("codes") or WordCodes(), state.get("sizes", np.zeros(0, np.int64))
-        pending: list[tuple[int, np.ndarray]] = []
+    def make():
+        count = counter(file)
+        codes, sizes = WordCodes(), np.zeros(0, np.int64)
 
-        def settle() -> None:
+        def joined(number: list[int], own: list[np.ndarray], rows: int) -> np.ndarray:
+            """Pieces of each document: its pre-token frequencies joined to the pre-tokens' piece counts."""
             nonlocal codes, sizes
             if len(codes.words) > len(sizes):
                 sizes = np.concatenate([sizes, np.array(count(codes.words[len(sizes) :]), np.int64)])
-            for i, own in pending:
-                tokens[i] += sizes[own].sum()
-            pending.clear()
+            document = np.repeat(np.array(number, np.int64), [len(x) for x in own])
+            pair, frequency = np.unique(document * len(sizes) + np.concatenate(own), return_counts=True)
+            document, pre_token = np.divmod(pair, max(1, len(sizes)))
+            out = np.bincount(document, frequency * sizes[pre_token], rows).astype(np.int64)
             if codes.full():
                 codes, sizes = WordCodes(), np.zeros(0, np.int64)
-
-        held = 0
-        for i, t in enumerate(texts.to_pylist()):
-            if not t:
-                continue
-            t = " " + t
-            at = 0
-            while at < len(t):
-                end = min(len(t), at + CHUNK_BYTES)
-                if end < len(t):  # cut before a line feed, or before a blank that follows something else
-                    cut = [m for m in (t.rfind("\n", at + 1, end),) if m > at]
-                    blank = re.compile(r"(?<=[^ \n]) ").search(t, max(at + 1, end - 4096)) if not cut else None
-                    end = cut[0] if cut else blank.start() if blank else len(t)
-                own = codes.of(PRE_TOKEN.findall(t, at, end))
-                at = end
-                pending.append((i, own))
-                held += len(own)
-            if held > 1_000_000:
-                settle()
-                held = 0
-        settle()
-        state.update(codes=codes, sizes=sizes)
-        n_bytes = pa.compute.binary_length(texts.cast(pa.binary())).cast(pa.int64()).fill_null(0)
-        n_tokens = pa.array(tokens)
-        return pa.RecordBatch.from_arrays([keys, n_bytes, n_tokens, pa.array(tokens > limit)], names=["k", "n_bytes", "n_tokens", "over_limit"])
+            return out
+
+        def one(keys: pa.Array, texts: pa.Array) -> pa.RecordBatch:
+            tokens = np.zeros(len(texts), np.int64)
+            number, own, held = [], [], 0
+            for i, t in enumerate(texts.to_pylist()):
+                for part in parts(t) if t else ():
+                    number.append(i)
+                    own.append(codes.of(part))
+                    held += len(own[-1])
+                    if held > HELD:
+                        tokens += joined(number, own, len(tokens))
+                        number, own, held = [], [], 0
+            if own:
+                tokens += joined(number, own, len(tokens))
+            n_bytes = pa.compute.binary_length(texts.cast(pa.binary())).cast(pa.int64()).fill_null(0)
+            return pa.RecordBatch.from_arrays([keys, n_bytes, pa.array(tokens), pa.array(tokens > limit)], names=["k", "n_bytes", "n_tokens", "over_limit"])
+
+        return one
 
     kind = dict(docs.dtypes)[key]
-    out = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(per_batch(lambda: one, ["k", "t"]), f"k {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    out = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(per_batch(make, ["k", "t"]), f"k {kind}, n_bytes long, n_tokens long, over_limit boolean")
     return out.withColumnRenamed("k", key)

@@ -2,16 +2,21 @@
 
 The longest rule that fits a url decides it.  For urls that no rule fits, hosts
 whose ruled pages are nearly all allowed are trusted seeds, hosts whose ruled
-pages are nearly all blocked are distrusted ones.  Personalised PageRank carries
-trust along the host graph's edges and distrust against them; a host is blocked
-where distrust makes up ``THRESHOLD`` of what reached it.
+pages are nearly all blocked are distrusted ones, each with the number of those
+pages.  Personalised PageRank carries trust along the host graph's edges and
+distrust against them, round after round until ranks stand still; what reaches
+a host without links goes back to the seeds.  A host is blocked where distrust
+makes up ``THRESHOLD`` of what reached it.
 
-Host edges come from absolute links in the pages (``href``/``src``), summed by
-pair of hosts before anything else; links to the page's own host are left out.
+Host edges come from links in the pages that name a host (``href``, ``src``, ``action``,
+with or without a scheme), summed by pair of hosts before anything else; links to
+the page's own host are left out.  A host also has an edge to the domain above
+it if that has pages itself, once for each page, for its pages stand under that name.
 
 Defined results: a null url, or one without ``://``, has an empty host and path,
 fits no rule and is allowed; repeated rows each get their own row; a page with a
-null html has no links; an empty table gives an empty result.
+null html has no links; an empty table gives an empty result; input columns named
+host, path, rule, verdict, trust or distrust are replaced.
 """
 
 from __future__ import annotations
@@ -19,17 +24,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import Scratch, ascii_lower
+from weftline.llm.common import Scratch, ascii_lower, unused
 
 #: (verdict, rule); a rule is a host and a path.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 SEED_SHARE = 0.9
-#: Fewer ruled pages say nothing about a host.
-SEED_PAGES = 5
 DAMPING = 0.85
-ROUNDS = 12
+#: Rounds stop once ranks, which sum to 1, change by no more than this in one of them; the change falls by ``DAMPING`` at least.
+STILL = 1e-4
+#: Rounds between two looks at the change.
+AT_ONCE = 4
 THRESHOLD = 0.8
-LINK = r"""(?i)(?:href|src)\s*=\s*["']?[a-z][a-z0-9+.-]*://([^/?#"'\s>]*)"""
+LINK = r"""(?i)(?:href|src|action)\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]*)"""
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -52,13 +58,17 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def host_edges(linked: DataFrame, host: str = "host", html: str = "html") -> DataFrame:
-    """(src, dst, weight): how many links go from one host's pages to another host."""
-    targets = linked.select(F.col(host).alias("src"), F.explode(F.regexp_extract_all(F.col(html), F.lit(LINK), F.lit(1))).alias("dst"))
-    return targets.select("src", ascii_lower(F.col("dst")).alias("dst")).where((F.col("dst") != "") & (F.col("src") != "") & (F.col("src") != F.col("dst"))).groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
+    """(src, dst, weight): how many links go from one host's pages to another host, or pages stand under a domain with pages."""
+    pages = linked.select(F.col(host).alias("src"), F.col(html).alias("html")).where("src != ''")
+    targets = pages.select("src", F.explode(F.regexp_extract_all("html", F.lit(LINK), F.lit(1))).alias("dst"))
+    links = targets.select("src", ascii_lower(F.col("dst")).alias("dst")).where((F.col("dst") != "") & (F.col("src") != F.col("dst"))).groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
+    hosts = pages.groupBy("src").agg(F.count("*").cast("double").alias("weight"))
+    above = hosts.select("src", F.regexp_replace("src", r"^[^.]*\.?", "").alias("dst"), "weight").join(hosts.select(F.col("src").alias("dst")), "dst", "left_semi")
+    return links.unionByName(above.select("src", "dst", "weight")).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, scratch: Scratch, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """(host, trust, distrust) for every host that either reaches.
+def propagate(edges: DataFrame, seeds: DataFrame, scratch: Scratch, still: float = STILL, damping: float = DAMPING) -> DataFrame:
+    """(host, trust, distrust) for every host that either reaches; each sums to 1 over all hosts, if it has seeds.
 
     ``seeds`` has host, trust, distrust.  Trust goes along edges, distrust the
     other way; both are ranked at once, told apart by ``kind``.
@@ -67,33 +77,54 @@ def propagate(edges: DataFrame, seeds: DataFrame, scratch: Scratch, rounds: int
     out = ways.groupBy("kind", "src").agg(F.sum("weight").alias("total"))
     ways = scratch.keep(ways.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("weight") / F.col("total")).alias("share")))
     start = seeds.select("host", F.expr("stack(2, 'trust', trust, 'distrust', distrust) as (kind, rank)")).where("rank > 0")
-    sums = start.groupBy("kind").agg(F.sum("rank").alias("all"))
+    sums = start.groupBy("kind").agg(F.sum("rank").alias("all"))  # two rows
     start = scratch.keep(start.join(F.broadcast(sums), "kind").select("kind", "host", (F.col("rank") / F.col("all")).alias("rank")))
+
+    def step(ranks: DataFrame) -> DataFrame:
+        """One round; ``before`` is the round's own start."""
+        moved = ways.join(ranks.select("kind", F.col("host").alias("src"), "rank"), ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.lit(damping) * F.col("share") * F.col("rank")).alias("rank"))
+        # Two rows: what a round moves, so that the rest, of hosts without links too, goes back to the seeds.
+        gone = moved.groupBy("kind").agg(F.sum("rank").alias("gone"))
+        back = start.join(F.broadcast(gone), "kind", "left").select("kind", "host", (F.col("rank") * (1 - F.coalesce("gone", F.lit(0.0)))).alias("rank"))
+        old = ranks.select("kind", "host", F.lit(0.0).alias("rank"), F.col("rank").alias("before"))
+        new = moved.unionByName(back).withColumn("before", F.lit(0.0))
+        return new.unionByName(old).groupBy("kind", "host").agg(F.sum("rank").alias("rank"), F.sum("before").alias("before"))
+
     ranks = start
-    if not ways.isEmpty():
-        for _ in range(rounds):
-            moved = ways.join(ranks, (ways["kind"] == ranks["kind"]) & (ways["src"] == ranks["host"])).select(ways["kind"], F.col("dst").alias("host"), (F.lit(damping) * F.col("share") * F.col("rank")).alias("rank"))
-            back = start.select("kind", "host", (F.lit(1 - damping) * F.col("rank")).alias("rank"))
-            before, ranks = ranks, scratch.keep(moved.unionByName(back).groupBy("kind", "host").agg(F.sum("rank").alias("rank")))
-            if before is not start:
-                scratch.drop(before)
+    while not ways.isEmpty() and not start.isEmpty():
+        after = ranks
+        for _ in range(AT_ONCE):
+            after = step(after.select("kind", "host", "rank"))
+        before, ranks = ranks, scratch.keep(after)
+        if before is not start:
+            scratch.drop(before)
+        if ranks.groupBy("kind").agg(F.sum(F.abs(F.col("rank") - F.col("before"))).alias("change")).where(F.col("change") > still).isEmpty():
+            break
     per = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("rank")).otherwise(0.0)).alias(kind)
     return ranks.groupBy("host").agg(per("trust"), per("distrust"))
 
 
+def seed_hosts(ruled: DataFrame, seed_share: float = SEED_SHARE) -> DataFrame:
+    """(host, trust, distrust) of hosts whose ruled pages (host, ruled) are nearly all allowed or blocked: how many of these."""
+    counted = ruled.groupBy("host").agg(F.count_if(F.col("ruled") == "allow").cast("double").alias("allowed"), F.count_if(F.col("ruled") == "block").cast("double").alias("blocked"))
+    all_ = F.col("allowed") + F.col("blocked")
+    own = lambda n: F.when(F.col(n) >= seed_share * all_, F.col(n)).otherwise(0.0)
+    return counted.select("host", own("allowed").alias("trust"), own("blocked").alias("distrust"))
+
+
 def judge(pages: DataFrame, rules=RULES, url: str = "url", html: str = "html", seed_share: float = SEED_SHARE, threshold: float = THRESHOLD) -> DataFrame:
     """``pages`` with host, path, rule, verdict, trust and distrust (null where a rule decided or nothing arrived)."""
     scratch = Scratch(pages.sparkSession, "urls")
     host, path = split_url(F.col(url))
+    ruled_by = unused("_ruled", pages.columns)
     split = pages.drop("host", "path", "rule", "verdict", "trust", "distrust").withColumn("host", host).withColumn("path", path)
     rule, ruled = rule_of(F.col("host"), F.col("path"), rules)
-    split = split.withColumn("rule", rule).withColumn("_ruled", ruled)
-    counted = split.where(F.col("_ruled").isNotNull()).groupBy("host").agg(F.count("*").alias("n"), F.count_if(F.col("_ruled") == "block").alias("blocked"))
-    share = F.col("blocked") / F.col("n")
-    seeds = counted.where(F.col("n") >= SEED_PAGES).select("host", F.when(share <= 1 - seed_share, F.lit(1.0)).otherwise(0.0).alias("trust"), F.when(share >= seed_share, F.lit(1.0)).otherwise(0.0).alias("distrust"))
-    ranks = propagate(host_edges(split, html=html), seeds, scratch)
+    split = split.withColumn("rule", rule).withColumn(ruled_by, ruled)
+    seeds = seed_hosts(split.where(F.col(ruled_by).isNotNull()).select("host", F.col(ruled_by).alias("ruled")), seed_share)
+    # Written, so that both sides of the join are dealt out plainly and Spark can split a hot host.
+    ranks = scratch.keep(propagate(scratch.keep(host_edges(split, html=html)), seeds, scratch))
     reached = split.join(ranks, "host", "left")
     spam = F.col("distrust") / (F.col("trust") + F.col("distrust")) >= threshold
     method = F.when(F.coalesce(spam, F.lit(False)), "block").otherwise("allow")
-    names = [c for c in split.columns if c != "_ruled"]
-    return reached.select(*names, F.coalesce("_ruled", method).alias("verdict"), F.when(F.col("rule").isNull(), F.col("trust")).alias("trust"), F.when(F.col("rule").isNull(), F.col("distrust")).alias("distrust"))
+    names = [c for c in split.columns if c != ruled_by]
+    return reached.select(*names, F.coalesce(ruled_by, method).alias("verdict"), F.when(F.col("rule").isNull(), F.col("trust")).alias("trust"), F.when(F.col("rule").isNull(), F.col("distrust")).alias("distrust"))

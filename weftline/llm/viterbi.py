@@ -1,16 +1,26 @@
 """SentencePiece encoding and decoding by shared-prefix Viterbi.
 
 Blanks are marked and a mark is put before the text, as the vocabulary wants it.
-The best segmentation of a text is the concatenation of those of its marked
-words (no piece goes from another character to a mark).  A block's distinct
-marked words are sorted, which walks their trie depth first: a word keeps the
-forward scores of the prefix that it shares with the one before it and works out
-only the rest.  Characters in no chosen piece are given as byte pieces, and so
-is a mark that stands in the text itself, which makes decoding exact.
+The segmentation of a text is the concatenation of those of its marked words (no
+piece goes from another character to a mark).
+
+The vocabulary is one of merges: of neighbouring pieces whose union is a piece,
+the pair whose union scores best is merged first, the leftmost of equals.  What
+that leads to can be found by a forward pass.  Merges inside two neighbouring
+pieces don't depend on what lies around them, so a segmentation is the library's
+exactly if each two neighbours in it are what merging gives for the two of them
+alone.  A transition of the lattice is therefore possible or not, a prefix has one
+best path, and the last piece of it is all that a longer prefix needs to know.
+
+A block's distinct marked words are sorted, which walks their trie depth first: a
+word keeps the forward states of the prefix that it shares with the one before it
+and works out only the rest.  Characters in no piece are given as byte pieces.
 
 Defined results: a null text is empty, has no pieces and decodes to the empty
-text; repeated rows each get their own row; a null ``doc_id`` is carried; of
-segmentations with equal scores the one whose last piece is longest is taken.
+text; repeated rows each get their own row; a null ``doc_id`` is carried; an empty
+table gives an empty result.  A mark that stands in the text itself counts as a
+blank, as in the library, so such a text decodes to one with blanks there, and
+``round_trip`` is false.
 """
 
 from __future__ import annotations
@@ -29,6 +39,8 @@ MARK = "▁"
 WORD = re.compile(r" *[^ \n]+| +|\n")
 #: Below the lowest score of the vocabulary: what a character without a piece costs.
 UNKNOWN_PENALTY = 10.0
+#: Pairs of pieces that a task remembers before it starts anew.
+PAIRS = 400_000
 
 
 class Vocabulary:
@@ -46,9 +58,10 @@ class Vocabulary:
         self.longest = max(map(len, self.score))
         by_last: dict[str, set[int]] = {}
         for p in self.score:
-            by_last.setdefault(p[-1], set()).add(len(p))
+            by_last.setdefault(p[-1], {1}).add(len(p))
         #: Lengths that pieces with a given last character have, longest first.
         self.lengths = {c: sorted(n, reverse=True) for c, n in by_last.items()}
+        self.known: dict[tuple[str, str], bool] = {}
         self.spelled = np.empty(model.vocab_size(), object)
         self.spelled[:] = b""
         for p, (_, i) in self.score.items():
@@ -56,39 +69,54 @@ class Vocabulary:
         for b, i in self.byte_id.items():
             self.spelled[i] = bytes([b])
 
+    def merged(self, text: str) -> list[str]:
+        """What merging gives for a short text."""
+        parts, score = list(text), self.score
+        while True:
+            found = [(score[u][0], -i) for i in range(len(parts) - 1) if (u := parts[i] + parts[i + 1]) in score]
+            if not found:
+                return parts
+            at = -max(found)[1]
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+
+    def fits(self, before: str, piece: str) -> bool:
+        """Whether ``piece`` can follow the piece ``before`` (empty at a word's start)."""
+        pair = (before, piece)
+        if (out := self.known.get(pair)) is None:
+            if len(self.known) >= PAIRS:
+                self.known.clear()
+            out = self.known[pair] = (not before or before + piece not in self.score) and self.merged(before + piece) == ([before, piece] if before else [piece])
+        return out
+
     def encode(self, words: list[str]) -> list[tuple[list[int], float]]:
-        """Ids and score of each word; blanks in words are marks, a mark in a word is an unknown character."""
+        """Ids and score of each word; blanks in words are marks."""
         out: list = [None] * len(words)
-        score, lengths, unknown = self.score, self.lengths, self.unknown
-        best, back, before = [0.0], [0], ""
+        score, lengths, alone = self.score, self.lengths, (1,)
+        # The forward state of a prefix: its last piece, and where that begins.
+        last, back, before = [""], [0], ""
         for n in sorted(range(len(words)), key=words.__getitem__):
-            raw = words[n]
-            word = raw.replace(MARK, "\0").replace(" ", MARK)
+            word = words[n].replace(" ", MARK)
             kept = _shared(before, word)
-            del best[kept + 1 :], back[kept + 1 :]
+            del last[kept + 1 :], back[kept + 1 :]
             for end in range(kept + 1, len(word) + 1):
-                top, at, known = -1e300, end - 1, False
-                for size in lengths.get(word[end - 1], ()):
-                    if size <= end and (found := score.get(word[end - size : end])) is not None:
-                        known |= size == 1
-                        total = best[end - size] + found[0]
-                        if total > top:
-                            top, at = total, end - size
-                if not known and best[end - 1] + unknown > top:
-                    top, at = best[end - 1] + unknown, ~(end - 1)
-                best.append(top)
-                back.append(at)
+                for size in lengths.get(word[end - 1], alone):
+                    if size <= end:
+                        piece = word[end - size : end]
+                        if (size == 1 or piece in score) and self.fits(last[end - size], piece):
+                            last.append(piece)
+                            back.append(end - size)
+                            break
             before = word
-            ids, end = [], len(word)
+            ids, total, end = [], 0.0, len(word)
             while end:
-                at = back[end]
-                if at < 0:
-                    at = ~at
-                    ids += [self.byte_id[b] for b in reversed(raw[at:end].encode())]
+                if (found := score.get(last[end])) is not None:
+                    ids.append(found[1])
+                    total += found[0]
                 else:
-                    ids.append(score[word[at:end]][1])
-                end = at
-            out[n] = (ids[::-1], best[len(word)])
+                    ids += [self.byte_id[b] for b in reversed(last[end].encode())]
+                    total += self.unknown
+                end = back[end]
+            out[n] = (ids[::-1], total)
         return out
 
     def decode(self, ids: np.ndarray) -> str:
@@ -133,51 +161,55 @@ def encode(docs: DataFrame, file: str | None = None, key: str = "doc_id", text:
     ``ids_crc32`` is of the ids as little-endian 32-bit numbers; ``round_trip`` says that decoding them gave the text.
     """
     file = file or tokenizer_file("piece_bpe_32k.model")
-    state: dict = {}
-
-    def one(keys: pa.Array, texts: pa.Array) -> pa.RecordBatch:
-        if not state:
-            state["words"] = WordPieces(Vocabulary(file))
-        words: WordPieces = state["words"]
-        cols: list[list] = [[], [], [], [], []]
-        coded: list[tuple[str, np.ndarray]] = []
-
-        def settle() -> None:
-            words.learn()
-            for t, own in coded:
-                ids = words.flat[ragged(words.starts[own], words.lengths[own])]
-                for col, v in zip(cols, (len(ids), zlib.crc32(ids.astype("<u4")), float(words.scores[own].sum()), (words.vocabulary.decode(ids) if len(ids) else "") == t, ids if keep_ids else None), strict=True):
-                    col.append(v)
-            coded.clear()
-            if words.codes.full():
-                words.reset()
-
-        held = 0
-        for t in texts.to_pylist():
-            own = words.codes.of(WORD.findall(" " + t)) if t else np.zeros(0, np.int32)
-            coded.append((t or "", own))
-            held += len(own)
-            if held > 2_000_000:
-                settle()
-                held = 0
-        settle()
-        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.bool_())
-        return pa.RecordBatch.from_arrays([keys, *(pa.array(c, k) for c, k in zip(cols, kinds, strict=False)), *([pa.array(cols[4], pa.list_(pa.int32()))] * keep_ids)], names=names)
+
+    def make():
+        words = WordPieces(Vocabulary(file))
+
+        def one(keys: pa.Array, texts: pa.Array) -> pa.RecordBatch:
+            cols: list[list] = [[], [], [], [], []]
+            coded: list[tuple[str, np.ndarray]] = []
+
+            def settle() -> None:
+                words.learn()
+                for t, own in coded:
+                    ids = words.flat[ragged(words.starts[own], words.lengths[own])]
+                    for col, v in zip(cols, (len(ids), zlib.crc32(ids.astype("<u4")), float(words.scores[own].sum()), (words.vocabulary.decode(ids) if len(ids) else "") == t, ids if keep_ids else None), strict=True):
+                        col.append(v)
+                coded.clear()
+                if words.codes.full():
+                    words.reset()
+
+            held = 0
+            for t in texts.to_pylist():
+                own = words.codes.of(WORD.findall(" " + t.replace(MARK, " "))) if t else np.zeros(0, np.int32)
+                coded.append((t or "", own))
+                held += len(own)
+                if held > 500_000:
+                    settle()
+                    held = 0
+            settle()
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.bool_())
+            return pa.RecordBatch.from_arrays([keys, *(pa.array(c, k) for c, k in zip(cols, kinds, strict=False)), *([pa.array(cols[4], pa.list_(pa.int32()))] * keep_ids)], names=names)
+
+        return one
 
     names = ["k", "n_pieces", "ids_crc32", "score", "round_trip"] + ["ids"] * keep_ids
     schema = f"k {dict(docs.dtypes)[key]}, n_pieces long, ids_crc32 long, score double, round_trip boolean" + ", ids array<int>" * keep_ids
-    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(per_batch(lambda: one, ["k", "t"]), schema).withColumnRenamed("k", key)
+    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(per_batch(make, ["k", "t"]), schema).withColumnRenamed("k", key)
 
 
 def decode(pieces: DataFrame, file: str | None = None, key: str = "doc_id", ids: str = "ids") -> DataFrame:
     """(key, text) from arrays of ids; null ids give a null text."""
     file = file or tokenizer_file("piece_bpe_32k.model")
-    state: dict = {}
 
-    def one(keys: pa.Array, lists: pa.Array) -> pa.RecordBatch:
-        vocabulary = state.get("v") or state.setdefault("v", Vocabulary(file))
-        texts = [None if x is None else vocabulary.decode(np.array(x, np.int64)) if x else "" for x in lists.to_pylist()]
-        return pa.RecordBatch.from_arrays([keys, pa.array(texts, pa.string())], names=["k", "text"])
+    def make():
+        vocabulary = Vocabulary(file)
+
+        def one(keys: pa.Array, lists: pa.Array) -> pa.RecordBatch:
+            texts = [None if x is None else vocabulary.decode(np.array(x, np.int64)) if x else "" for x in lists.to_pylist()]
+            return pa.RecordBatch.from_arrays([keys, pa.array(texts, pa.string())], names=["k", "text"])
+
+        return one
 
-    out = pieces.select(F.col(key).alias("k"), F.col(ids).alias("ids")).mapInArrow(per_batch(lambda: one, ["k", "ids"]), f"k {dict(pieces.dtypes)[key]}, text string")
+    out = pieces.select(F.col(key).alias("k"), F.col(ids).alias("ids")).mapInArrow(per_batch(make, ["k", "ids"]), f"k {dict(pieces.dtypes)[key]}, text string")
     return out.withColumnRenamed("k", key)
