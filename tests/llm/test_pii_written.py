@@ -13,6 +13,11 @@ from weftline.llm import pii
         ("x anna at mail dot firma dot in y", "anna at mail dot firma dot in"),
         ("mail anna at firma dot berlin y", "anna at firma dot berlin"),
         ("x joe  at\nexample  dot\tcom y", "joe  at\nexample  dot\tcom"),
+        ("x name at site dot xyz y", "name at site dot xyz"),
+        ("x anna punkt huber at firma punkt de y", "anna punkt huber at firma punkt de"),
+        ("Kontakt: anna (at) firma (punkt) de y", "anna (at) firma (punkt) de"),
+        ("x jean arobase societe point fr y", "jean arobase societe point fr"),
+        ("x maria arroba empresa punto es y", "maria arroba empresa punto es"),
         *((f"x anna at firma dot {c} y", f"anna at firma dot {c}") for c in ("se", "xyz", "ie")),
         *((f"x info at firma dot {c} y", f"info at firma dot {c}") for c in ("be", "me", "us", "in")),
     ],
@@ -24,3 +29,34 @@ def test_written_addresses(text, span):
 @pytest.mark.parametrize("text", ["look at this dot that", "he pointed at one dot in the sky", "see the dot at home"])
 def test_prose_stays(text):
     assert pii.masked(text) == text
+
+
+@pytest.mark.parametrize(
+    "words",
+    [
+        "plus one two three four five six seven eight nine zero one",
+        "plus eins zwei drei vier fünf sechs sieben acht neun null eins",
+        "plus un deux trois quatre cinq six sept huit neuf zéro un",
+        "más uno dos tres cuatro cinco seis siete ocho nueve cero uno",
+    ],
+)
+def test_spelled_numbers(words):
+    assert pii.masked(f"call {words} now") == "call [PHONE] now"
+
+
+@pytest.mark.parametrize("text", ["un point de vue at home", "der Punkt at dem Ende", "un dos tres", "at this point in time", "un punto at all"])
+def test_prose_of_other_languages_stays(text):
+    assert pii.masked(text) == text
+
+
+@pytest.mark.parametrize(
+    ("text", "left"),
+    [
+        ('x token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" y', 'x token = "[SECRET]" y'),
+        ("password: hunter2hunter2, ok", "password: [SECRET], ok"),
+        ("key AKIA" + "ABCDEFGHIJKLMNOP y", "key [SECRET] y"),
+        ("the token was lost and the secret is out", "the token was lost and the secret is out"),
+    ],
+)
+def test_secrets(text, left):
+    assert pii.masked(text) == left

@@ -2,21 +2,23 @@
 
 Base detectors run on the text itself.  Where a text shows signs of disguise, a
 chain of transducers rewrites it: look-alike and full-width characters become
-ASCII, invisible ones go, spelled digits become digits, and written-out ``at``
-and ``dot`` become ``@`` and ``.``.  Each step carries, for every character it
+ASCII, invisible ones go, digits spelled in English, German, French or Spanish
+become digits, and written-out ``at`` and ``dot``, in these languages too, become
+``@`` and ``.``.  Each step carries, for every character it
 gives out, the source span it came from; the same detectors then run on the
 rewritten text and their spans are mapped back.  A span is added only if its
 source differs from what was detected and no base span of its kind covers it.
 
 Offsets count code points, ends are exclusive.  Defined results: a null text is
 empty and has no spans; a null ``doc_id`` is carried; repeated rows each get
-their own row; texts are scanned whole, in time proportional to their length.
+their own row; an empty table gives an empty result; texts are scanned whole, in time proportional to their length.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,15 +38,36 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Characters that look like ASCII ones.
 LOOK_ALIKES = str.maketrans("авеікмнорстухѕјԁɡοανρυιАВЕІКМНОРСТУХЅЈΑΒΕΖΗΙΚΜΝΟΡΤΥΧ‐‑‒–—−․。＠", "aveikmhopctyxsjdgoavpuiABEIKMHOPCTYXSJABEZHIKMNOPTYX------..@")
 INVISIBLE = "­​‌‍⁠﻿"
-DIGIT_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
+#: Words for the digits from zero on, in English, German, French and Spanish.
+DIGIT_WORDS = {
+    word: str(d)
+    for d, words in enumerate(
+        (
+            "zero oh null zéro cero",
+            "one eins un uno",
+            "two zwei zwo deux dos",
+            "three drei trois tres",
+            "four vier quatre cuatro",
+            "five fünf fuenf cinq cinco",
+            "six sechs seis",
+            "seven sieben sept siete",
+            "eight acht huit ocho",
+            "nine neun neuf nueve",
+        )
+    )
+    for word in words.split()
+}
+#: Words for the signs, in the same languages.
+DOT_WORDS, AT_WORDS, PLUS_WORDS = ("dot", "point", "punkt", "punto"), ("at", "arroba", "arobase", "klammeraffe"), ("plus", "más")
 FULL_WIDTH = {c: chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}
 OTHER_DIGITS = {base + d: str(d) for base in (0x0660, 0x06F0, 0x0966, 0x1D7CE, 0x1D7D8, 0x1D7E2, 0x1D7EC, 0x1D7F6) for d in range(10)}
 SINGLE = FULL_WIDTH | OTHER_DIGITS | LOOK_ALIKES
 ODD = re.compile("[" + "".join(re.escape(chr(c)) for c in sorted({c if isinstance(c, int) else ord(c) for c in SINGLE} | set(map(ord, INVISIBLE)))) + "]")
 _DIGIT = "(?:" + "|".join(DIGIT_WORDS) + ")"
-SPELLED = re.compile(rf"(?i)\b(?:(plus)[ -]+)?({_DIGIT}(?:[ ,-]+{_DIGIT}){{3,}}(?:[ ,-]+(?:dot|point)[ ,-]+{_DIGIT}(?:[ ,-]+{_DIGIT})*)*)\b")
-SPELLED_PART = re.compile(rf"(?i)\b({_DIGIT}|dot|point)\b")
-BRACKETED = re.compile(r"(?i) ?[\[({<] ?(at|@|dot|\.) ?[\])}>] ?")
+_DOT, _AT, _PLUS = ("(?:" + "|".join(words) + ")" for words in (DOT_WORDS, AT_WORDS, PLUS_WORDS))
+SPELLED = re.compile(rf"(?i)\b(?:({_PLUS})[ -]+)?({_DIGIT}(?:[ ,-]+{_DIGIT}){{3,}}(?:[ ,-]+{_DOT}[ ,-]+{_DIGIT}(?:[ ,-]+{_DIGIT})*)*)\b")
+SPELLED_PART = re.compile(rf"(?i)\b({_DIGIT}|{_DOT})\b")
+BRACKETED = re.compile(rf"(?i) ?[\[({{<] ?({_AT}|@|{_DOT}|\.) ?[\])}}>] ?")
 #: Top-level domains that are no English words: all country codes but those of WORD_CODES, and common general ones.
 DOMAINS = frozenset(
     "com org net edu gov mil int info biz name pro mobi jobs aero coop museum app dev xyz online site tech shop store cloud eu"
@@ -56,17 +79,21 @@ DOMAINS = frozenset(
 )
 #: Country codes that are English words, or as short ones read like words.
 WORD_CODES = frozenset("am as at be do gy in is it me my no so to us".split())
-ROLES = frozenset("info mail contact support sales admin office press help jobs privacy hello webmaster postmaster".split())
-NEAR_MAIL = re.compile(r"(?i)\b(?:e-?mail|mail|contact|address|reach)\b")
+ROLES = frozenset("info mail contact kontakt contacto support sales admin office press presse prensa help jobs privacy hello webmaster postmaster".split())
+NEAR_MAIL = re.compile(r"(?i)\b(?:e-?mail|mail|contact|address|reach|kontakt|adresse|contacto|correo|courriel|dirección)\b")
 AFTER = re.compile(r"\s*(?:[.,;:!?)\]}>\"']|\Z)")
-DOT = re.compile(r"(?i)(?<=\s)dot(?=\s)")
-JOIN = re.compile(r"(?i)\s+dot\s+")
+DOT = re.compile(rf"(?i)(?<=\s){_DOT}(?=\s)")
+JOIN = re.compile(rf"(?i)\s+{_DOT}\s+")
 #: A local part, read backwards.
-LOCAL_BACK = re.compile(r"(?i)[A-Za-z0-9._%+-]+(?:\s+tod\s+[A-Za-z0-9._%+-]+)*")
-AT = re.compile(r"(?i)@|(?<=\s)at(?=\s)")
+LOCAL_BACK = re.compile(rf"(?i)[A-Za-z0-9._%+-]+(?:\s+(?:{'|'.join(w[::-1] for w in DOT_WORDS)})\s+[A-Za-z0-9._%+-]+)*")
+AT = re.compile(rf"(?i)@|(?<=\s){_AT}(?=\s)")
 LABEL = re.compile("[A-Za-z0-9-]+")
-DOMAIN_WRITTEN = re.compile(r"(?i)\s*[A-Za-z0-9-]+(?:(?:\s+dot\s+|\.)[A-Za-z0-9-]+)+")
-IP_DOT = re.compile(r"(?i)(?<=[0-9])\s+dot\s+(?=[0-9])")
+DOMAIN_WRITTEN = re.compile(rf"(?i)\s*[A-Za-z0-9-]+(?:(?:\s+{_DOT}\s+|\.)[A-Za-z0-9-]+)+")
+IP_DOT = re.compile(rf"(?i)(?<=[0-9])\s+{_DOT}\s+(?=[0-9])")
+#: A secret that stands behind its name: its value is what is found.
+SECRET = re.compile(r"""(?i)(?:token|secret|passw(?:or)?d|passwort|pwd|api[_-]?key|access[_-]?key|authorization|bearer)["']?\s*(?:[:=]|\bis\b)\s*(?:bearer\s+)?["']?([A-Za-z0-9_./+=~-]{8,})""")
+#: Secrets that their own form gives away.
+KEY = re.compile(r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,})")
 
 Span = tuple[str, int, int]
 
@@ -111,11 +138,11 @@ class Tape:
     """A rewritten text; character i came from source characters ``start[i]`` to ``end[i]``."""
 
     def __init__(self, text: str):
-        self.text, self.start, self.end = text, list(range(len(text))), list(range(1, len(text) + 1))
+        self.text, self.start, self.end = text, array("q", range(len(text))), array("q", range(1, len(text) + 1))
 
     def rewrite(self, pattern: re.Pattern, to) -> None:
         """Put ``to(match)``, a string or pieces of (string, from, to), in place of each match."""
-        text, start, end, at = [], [], [], 0
+        text, start, end, at = [], array("q"), array("q"), 0
         for m in pattern.finditer(self.text):
             text.append(self.text[at : m.start()])
             start += self.start[at : m.start()]
@@ -123,20 +150,21 @@ class Tape:
             given = to(m)
             for s, a, b in [(given, m.start(), m.end())] if isinstance(given, str) else given:
                 text.append(s)
-                start += [self.start[a]] * len(s)
-                end += [self.end[b - 1]] * len(s)
+                start.extend([self.start[a]] * len(s))
+                end.extend([self.end[b - 1]] * len(s))
             at = m.end()
         if text:
             self.text, self.start, self.end = "".join(text) + self.text[at:], start + self.start[at:], end + self.end[at:]
 
-
     def replace(self, edits: list[tuple[str, int, int]]) -> None:
-        # Put each string in place of what it spans.
-        text, start, end, at = [], [], [], 0
+        """Put each string in place of what it spans."""
+        text, start, end, at = [], array("q"), array("q"), 0
         for s, a, b in edits:
             text += [self.text[at:a], s]
-            start += self.start[at:a] + [self.start[a]] * len(s)
-            end += self.end[at:a] + [self.end[b - 1]] * len(s)
+            start += self.start[at:a]
+            end += self.end[at:a]
+            start.extend([self.start[a]] * len(s))
+            end.extend([self.end[b - 1]] * len(s))
             at = b
         self.text, self.start, self.end = "".join(text) + self.text[at:], start + self.start[at:], end + self.end[at:]
 
@@ -149,7 +177,7 @@ def _spelled(m: re.Match) -> list[tuple[str, int, int]]:
 
 
 def _sign(m: re.Match) -> str:
-    return "@" if m[1].lower() in ("at", "@") else "."
+    return "@" if m[1].lower() in (*AT_WORDS, "@") else "."
 
 
 def _written(tape: Tape) -> list[tuple[str, int, int]]:
@@ -189,7 +217,7 @@ def _written(tape: Tape) -> list[tuple[str, int, int]]:
 def _domain_end(t: str, begin: int, domain: re.Match, likely: bool, clear: bool) -> int:
     # Where the longest domain ends whose last label may be a top-level domain here; 0 without.
     labels = list(LABEL.finditer(t, begin, domain.end()))
-    names = [x for x in labels if not (x[0].lower() == "dot" and t[x.start() - 1].isspace() and t[x.end() : x.end() + 1].isspace())]
+    names = [x for x in labels if not (x[0].lower() in DOT_WORDS and t[x.start() - 1].isspace() and t[x.end() : x.end() + 1].isspace())]
     for k in range(len(names) - 1, 0, -1):
         name, end = names[k][0].lower(), names[k].end()
         if name in DOMAINS or name in WORD_CODES and (likely or k > 1 or AFTER.match(t, end)) or clear and len(name) > 1 and name.isalpha():
@@ -199,10 +227,9 @@ def _domain_end(t: str, begin: int, domain: re.Match, likely: bool, clear: bool)
 
 def disguised(t: str) -> list[Span]:
     """Spans found only once disguises are undone; those that the base detectors see are left out by the caller."""
-    low = t.lower() if "dot" in t or "DOT" in t or "Dot" in t else ""
     odd = not t.isascii() and ODD.search(t)
     bracketed = BRACKETED.search(t)
-    written = "dot" in low and DOT.search(t)
+    written = DOT.search(t)
     spelled = SPELLED.search(t)
     if not (odd or bracketed or written or spelled):
         return []
@@ -229,35 +256,52 @@ def find(t: str) -> tuple[list[Span], list[Span]]:
     return base, sorted(base + more, key=lambda x: (x[1], order[x[0]], x[2])) if more else base
 
 
+def secrets(t: str) -> list[tuple[int, int]]:
+    """Spans of passwords, tokens and keys, in order, none inside another."""
+    out, at = [], 0
+    for s, e in sorted([m.span(1) for m in SECRET.finditer(t)] + [m.span() for m in KEY.finditer(t)]):
+        if s >= at:
+            out.append((s, at := e))
+    return out
+
+
 def joined(spans: list[Span]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_email, n_ip, n_card, n_phone, base_sha256, spans); the counts are of base spans."""
+    """(key, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_secret, n_found); the counts of kinds are of base spans.
+
+    ``n_secret`` counts passwords, tokens and keys, which ``spans`` leaves out; ``n_found`` counts them and all spans.
+    """
 
     def make():
         def one(keys: pa.Array, texts: pa.Array) -> pa.RecordBatch:
             counts: list[list[int]] = [[] for _ in KINDS]
-            digests, spans = [], []
+            digests, spans, hidden, found = [], [], [], []
             for t in texts.to_pylist():
                 base, every = find(t) if t else ([], [])
                 for n, k in zip(counts, KINDS, strict=True):
                     n.append(sum(x[0] == k for x in base))
                 digests.append(hashlib.sha256(joined(base).encode()).hexdigest())
                 spans.append(joined(every))
-            return pa.RecordBatch.from_arrays([keys, *(pa.array(n, pa.int64()) for n in counts), pa.array(digests, pa.string()), pa.array(spans, pa.string())], names=["k", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
+                hidden.append(len(secrets(t)) if t else 0)
+                found.append(hidden[-1] + len(every))
+            arrays = [keys, *(pa.array(n, pa.int64()) for n in counts), pa.array(digests, pa.string()), pa.array(spans, pa.string()), pa.array(hidden, pa.int64()), pa.array(found, pa.int64())]
+            return pa.RecordBatch.from_arrays(arrays, names=["k", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_secret", "n_found"])
 
         return one
 
-    schema = f"k {dict(docs.dtypes)[key]}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+    schema = f"k {dict(docs.dtypes)[key]}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_secret long, n_found long"
     return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(per_batch(make, ["k", "t"]), schema).withColumnRenamed("k", key)
 
 
 def masked(t: str) -> str:
-    """The text with ``[KIND]`` in place of each span; overlapping spans make one, named for the first."""
+    """The text with ``[KIND]`` in place of each span and ``[SECRET]`` of each secret; overlapping spans make one, named for the first."""
     out, at = [], 0
     spans = find(t)[1]
+    if hidden := secrets(t):
+        spans = sorted([*spans, *(("secret", s, e) for s, e in hidden)], key=lambda x: (x[1], -x[2]))
     for i, (kind, s, e) in enumerate(spans):
         if s < at:
             continue
