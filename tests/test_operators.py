@@ -184,9 +184,6 @@ def test_validators(spark):
     assert one(validate.mutation_problems(F.col("n"), F.col("o")), n="new", o="- old") == ["list marker lost"]
     assert one(validate.grounding_problems(F.col("n"), F.col("c")), n="uses `foo` and 99%", c="has foo") == ["unknown number"]
     assert one(validate.affirms("nlp", F.col("t")), t="We do not use NLP. Fast") is False
-    evidence = spark.createDataFrame([("c", "deleted", "a.py")], "id string, status string, identifier string")
-    claims = spark.createDataFrame([("c", "Adds a.py")], "id string, text string")
-    assert rows(validate.status_problems(claims, evidence, ["id"]), "problems") == [(["a.py contradicts deleted"],)]
 
 
 def test_context(spark):
@@ -197,7 +194,10 @@ def test_context(spark):
     assert rows(found, "path", "truncated") == [("README.md", False), ("bin.py", False), ("requirements.txt", True), ("src/app.py", True)]
     assert rows(context.description(found, ["repo"]), "description") == [("What it does.",)]
     assert [r["path"] for r in context.prompt_excerpts(found, ["repo"]).orderBy("group", "path").collect()] == ["README.md", "requirements.txt", "src/app.py"]
-    assert "## Structure" in context.template_summary(found, ["repo"]).collect()[0]["summary"]
+    summary = context.template_summary(found, ["repo"])
+    assert "- `src/app.py`" in summary.collect()[0]["summary"]
+    # One short path is all that its modules' section has.
+    assert summary.select(validate.summary_problems(F.col("summary")).alias("p")).collect()[0]["p"] == ["section without content"]
 
 
 DOC = '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{}</w:body></w:document>'

@@ -234,6 +234,29 @@ def without_fences(c: Column) -> Column:
     return _kept_lines(c, step)
 
 
+HEADING = r"(?U)^(#{1,6})\s+(.+?)\s*#*\s*$"
+
+
+def heading_parts(c: Column) -> Column:
+    """(level, heading, content) of each heading outside fences, content up to the next one; what stands before the first is left out."""
+
+    def fold(acc: Column, line: Column) -> Column:
+        fence = line.rlike(r"^\s*(```|~~~)")
+        head = ~fence & ~acc["inside"] & line.rlike(HEADING)
+        own = F.when(head, F.concat(F.lit("\x01"), line)).otherwise(line)
+        return F.struct(F.when(fence, ~acc["inside"]).otherwise(acc["inside"]).alias("inside"), F.concat(acc["out"], F.array(own)).alias("out"))
+
+    start = F.struct(F.lit(False).alias("inside"), F.array().cast("array<string>").alias("out"))
+    clean = F.replace(F.coalesce(c, F.lit("")), F.lit("\x01"), F.lit(""))
+    parts = F.split(F.array_join(F.aggregate(lines(clean), start, fold, lambda a: a["out"]), "\n"), "\x01")
+
+    def one(part: Column) -> Column:
+        line = F.regexp_extract(part, r"^[^\n]*", 0)
+        return F.struct(F.length(F.regexp_extract(line, HEADING, 1)).alias("level"), F.regexp_extract(line, HEADING, 2).alias("heading"), strip(F.regexp_replace(part, r"^[^\n]*\n?", "")).alias("content"))
+
+    return F.transform(F.slice(parts, F.lit(2), F.size(parts)), one)
+
+
 def keyword_content(c: Column) -> Column:
     return without_fences(without_comments(without_regions(c)))
 

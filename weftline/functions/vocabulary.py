@@ -114,3 +114,20 @@ LIBRARIES = {
 }
 MANIFESTS = ["requirements.txt", "pyproject.toml", "setup.py", "setup.cfg", "pipfile", "pipfile.lock", "package.json"]
 NEGATIONS = ["not", "no", "without", "never", "n't", "cannot", "neither", "nor", "avoid", "instead of", "rather than"]
+
+#: Words too broad to support a claim about a change.
+BROAD_TERMS = """change changes changed update updates updated summary summaries documentation document documents
+project system module modules component components code file files process processes data technical core management
+feature features function functions test tests information added removed modified deleted renamed line lines src py md
+handling consistency overview readers content new""".split()
+ACTIVE_VERBS = "includes include including uses use using provides provide handles handle contains contain implements implement supports support".split()
+REMOVAL_MARKERS = ["removed", "remove", "deleted", "delete", "retired", "deprecated", "replaced", "legacy", "no longer", "dropped", "obsolete", "superseded"]
+ADDITION_MARKERS = ["newly added", "new file", "introduced", "now includes"]
+RENAME_MARKERS = ["renamed", "moved", "formerly", "previously", "was renamed"]
+GENERIC_SUMMARY = r"(?i)^(the\s+)?(repo(sitory)?|code(base)?|files?|project)(\s+structure)?\s+(was|were|has\s+been|have\s+been)\s+(updated|changed|modified)\.?$"
+SUMMARY_CHARS, REASONING_CHARS = 15, 400
+PATCH_CANDIDATES, PATCH_HUNKS = 3, 3
+TRUE_WORDS = ["true", "1", "yes", "on"]
+DOCUMENT_FOLDER, DOCUMENT_SUFFIX = "artifacts/summaries", "_TechnicalDocument.md"
+DEFAULT_REPOSITORY, FIRST_HEADING = "Repository", "System Overview"
+MIN_CONFIDENCE, NO_CHANGE_CONFIDENCE = 0.75, 0.90

@@ -199,6 +199,77 @@ def hunks(diffs: DataFrame, keys: list[str], diff: str = "diff") -> DataFrame:
     return out.select(*keys, "hunk", "head.*", last_line(F.col("head.old_start"), F.col("head.old_count")).alias("old_end"), last_line(F.col("head.new_start"), F.col("head.new_count")).alias("new_end"), "added", "removed", kind.alias("change_type"), hunk_summary(kind, F.col("added"), F.col("removed"), phrase).alias("summary"))
 
 
+def _symbol_lists(lines: DataFrame, symbols: DataFrame | None, keys: list[str], by: list[str], line: str, name: str) -> DataFrame:
+    """(by, name): the innermost symbols (name, kind) around ``line`` of the rows of each ``by``, in order of their first lines."""
+    points = lines.where(F.col(line).isNotNull()).select(*by, F.col(line).alias("_line")).distinct()
+    if symbols is None:
+        return points.select(*by).distinct().withColumn(name, F.array().cast("array<struct<name:string,kind:string>>"))
+    own = symbols.withColumn("_symbol", F.struct(F.col("qualified_name").alias("name"), "kind"))
+    found = innermost(points, own, keys, "_line", "start_line", "end_line", "_symbol", "ordinal")
+    ordered_ = F.transform(F.array_sort(F.collect_list(F.struct("_line", "_symbol"))), lambda x: x["_symbol"])
+    return found.groupBy(*by).agg(F.array_distinct(ordered_).alias(name))
+
+
+def what_changed(diffs: DataFrame, keys: list[str], new_symbols: DataFrame | None = None, old_symbols: DataFrame | None = None, diff: str = "diff") -> DataFrame:
+    """(keys, what_changed): all hunks of a file with their blocks, symbols and summaries, as change packages hold them.
+
+    ``new_symbols`` and ``old_symbols``: keys and what ``python_symbols`` gives for the file after and before; a file
+    without any gets none.  Texts hold the lines that ``stored_lines`` keeps; counts and ranges are true.
+    """
+    by = [*keys, "hunk"]
+    body = hunk_lines(diffs, keys, diff)
+    kept = stored_lines(body, by).select(*by, "pos", "text", "text_truncated")
+    changed = body.where(F.col("marker").isin("+", "-")).join(kept, [*by, "pos"], "left").withColumn("line", F.concat("marker", "text"))
+    none = F.array().cast("array<struct<name:string,kind:string>>")
+    sides = lambda rows, at: _symbol_lists(rows.where("marker = '+'"), new_symbols, keys, at, "new_line", "new").join(_symbol_lists(rows.where("marker = '-'"), old_symbols, keys, at, "old_line", "old"), at, "full")
+    names = lambda *cs: F.array_distinct(F.transform(F.concat(*(F.coalesce(c, none) for c in cs)), lambda x: x["name"]))
+
+    per_island = changed.groupBy(*by, "island").agg(F.min("pos").alias("first_pos"), F.bool_or(F.coalesce("text_truncated", F.lit(True))).alias("cut"))
+    blocks = change_blocks(changed, by).join(per_island, [*by, "first_pos"]).join(sides(changed, [*by, "island"]), [*by, "island"], "left")
+    own = F.when(F.col("change_type") == "added", names(F.col("new"))).when(F.col("change_type") == "deleted", names(F.col("old"))).otherwise(names(F.col("new"), F.col("old")))
+    block = F.struct(
+        "block_index",
+        "change_type",
+        F.col("old_start").alias("old_start_line"),
+        F.col("old_count").cast("int").alias("old_line_count"),
+        F.col("old_end").alias("old_end_line"),
+        F.col("new_start").alias("new_start_line"),
+        F.col("new_count").cast("int").alias("new_line_count"),
+        F.col("new_end").alias("new_end_line"),
+        "removed_text",
+        "added_text",
+        "summary",
+        own.alias("symbols"),
+        F.col("cut").alias("text_truncated"),
+    )
+    gathered = blocks.groupBy(*by).agg(F.array_sort(F.collect_list(block)).alias("change_blocks"), F.bool_or("cut").alias("cut"))
+
+    heads = body.groupBy(*by).agg(F.first("head").alias("head"), F.count_if(F.col("marker") == "+").alias("added"), F.count_if(F.col("marker") == "-").alias("removed"))
+    rows = heads.join(gathered, by, "left").join(sides(changed, by), by, "left")
+    kind = change_type(F.col("head.old_count"), F.col("head.new_count"))
+    first = lambda c: F.get(F.coalesce(c, none), F.lit(0))
+    primary = F.when(kind == "deleted", F.coalesce(first(F.col("old")), first(F.col("new")))).otherwise(F.coalesce(first(F.col("new")), first(F.col("old"))))
+    header = header_symbol(F.col("head.section"))
+    phrase = F.coalesce(F.when(primary.isNotNull(), F.concat_ws(" ", primary["kind"], primary["name"])), F.when(header.isNotNull(), F.concat_ws(" ", header["kind"], header["name"])))
+    hunk = F.struct(
+        "hunk",
+        F.col("head.old_start").alias("old_start_line"),
+        F.col("head.old_count").alias("old_line_count"),
+        last_line(F.col("head.old_start"), F.col("head.old_count")).alias("old_end_line"),
+        F.col("head.new_start").alias("new_start_line"),
+        F.col("head.new_count").alias("new_line_count"),
+        last_line(F.col("head.new_start"), F.col("head.new_count")).alias("new_end_line"),
+        F.col("head.section").alias("hunk_header"),
+        kind.alias("change_type"),
+        hunk_summary(kind, F.col("added"), F.col("removed"), phrase).alias("summary"),
+        names(F.col("new"), F.col("old")).alias("symbols"),
+        F.coalesce("cut", F.lit(False)).alias("hunk_text_truncated"),
+        F.coalesce("change_blocks", F.array().cast(dict(gathered.dtypes)["change_blocks"])).alias("change_blocks"),
+    )
+    out = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(hunk)).alias("h"))
+    return out.select(*keys, F.transform("h", lambda x: x.dropFields("hunk")).alias("what_changed"))
+
+
 def python_symbols(files: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
     """(keys, ordinal, qualified_name, kind, start_line, end_line) of Python sources; no rows where parsing fails."""
     from weftline.sources.symbols import symbol_rows
@@ -207,19 +278,25 @@ def python_symbols(files: DataFrame, keys: list[str], content: str = "content")
     return files.select(*keys, F.col(content).alias("content")).mapInPandas(symbol_rows(keys), schema)
 
 
-#: Lines that share a bin of the interval join.
+#: Lines that share a bin of the lowest level of the interval join.
 BIN = 64
 
 
 def innermost(points: DataFrame, intervals: DataFrame, keys: list[str], point: str, start: str, end: str, name: str, tie: str) -> DataFrame:
     """Each point with the shortest interval around it, then the earliest, then by ``tie``; points outside all are left out.
 
-    Joined within ``keys`` and bins of ``BIN`` places: a point meets only the intervals of its own bin, and an interval
-    is repeated once for each bin that it touches.
+    Joined within ``keys`` and bins.  Bins of a level are twice as long as those of the level below; an interval stands
+    in the one or two bins that it touches on the first level whose bins are as long as it is, and a point is looked
+    up once on each level that its keys have.
     """
-    bin_of = lambda c: F.floor(F.col(c) / BIN)
-    own = intervals.where(F.col(end) >= F.col(start)).select(*keys, F.explode(F.sequence(bin_of(start), bin_of(end))).alias("_bin"), F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(name).alias(name), F.col(tie).alias("_t"))
-    held = points.withColumn("_bin", bin_of(point)).join(own, [*keys, "_bin"]).where(F.col(point).between(F.col("_s"), F.col("_e")))
+    level = lambda n: F.greatest(F.ceil(F.log2(n / F.lit(float(BIN)))), F.lit(0)).cast("int")
+    size = lambda lv: F.lit(float(BIN)) * F.pow(F.lit(2.0), lv)
+    bin_of = lambda c, lv: F.floor(c / size(lv))
+    own = intervals.where(F.col(end) >= F.col(start)).select(*keys, level(F.col(end) - F.col(start) + 1).alias("_level"), F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(name).alias(name), F.col(tie).alias("_t"))
+    binned = own.withColumn("_bin", F.explode(F.sequence(bin_of(F.col("_s"), F.col("_level")), bin_of(F.col("_e"), F.col("_level")))))
+    levels = own.groupBy(*keys).agg(F.collect_set("_level").alias("_levels"))
+    placed = points.join(levels, keys).withColumn("_level", F.explode("_levels")).withColumn("_bin", bin_of(F.col(point), F.col("_level"))).drop("_levels")
+    held = placed.join(binned, [*keys, "_level", "_bin"]).where(F.col(point).between(F.col("_s"), F.col("_e")))
     best = F.min_by(F.struct(F.col(name), F.col("_s").alias("start"), F.col("_e").alias("end")), F.struct(F.col("_e") - F.col("_s"), F.col("_s"), F.col("_t")))
     return held.groupBy(*points.columns).agg(best.alias("b")).select(*points.columns, f"b.{name}", "b.start", "b.end")
 

@@ -112,6 +112,26 @@ def skeleton(sections: DataFrame, keys: list[str]) -> DataFrame:
     return kept.withColumn("order", F.row_number().over(Window.partitionBy(*keys).orderBy("order")))
 
 
+def match_ids(sections: DataFrame, skeleton: DataFrame, keys: list[str]) -> DataFrame:
+    """``sections`` with the skeleton's ids where paths are the same, duplicates in turn; others get slugs of their own.
+
+    A slug that the document already holds, from the skeleton or an earlier section, is numbered on.
+    """
+    nth = F.row_number().over(Window.partitionBy(*keys, "path").orderBy("order"))
+    known = skeleton.select(*keys, "path", nth.alias("_n"), F.col("section_id").alias("_id"))
+    rows = sections.drop("section_id").withColumn("_n", nth).join(known, [*keys, "path", "_n"], "left")
+    gathered = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("order", "_id", T.slug(F.col("path")).alias("s")))).alias("r"))
+
+    def step(taken: Column, x: Column) -> Column:
+        tries = F.transform(F.sequence(F.lit(2), F.size(taken) + 2), lambda i: F.concat(x["s"], F.lit("-"), i.cast("string")))
+        fresh = F.when(F.array_contains(taken, x["s"]), F.get(F.filter(tries, lambda t: ~F.array_contains(taken, t)), F.lit(0))).otherwise(x["s"])
+        return F.concat(taken, F.array(F.coalesce(x["_id"], fresh)))
+
+    ids = gathered.withColumn("ids", F.aggregate("r", F.array().cast("array<string>"), step))
+    named = ids.select(*keys, F.inline(F.arrays_zip(F.col("r.order").alias("order"), F.col("ids").alias("section_id"))))
+    return rows.drop("_n", "_id").join(named, [*keys, "order"])
+
+
 def append_section(skeleton: DataFrame, added: DataFrame, keys: list[str]) -> DataFrame:
     """``skeleton`` with one more section per key of ``added`` (keys, heading, level, parent_id)."""
     last = skeleton.groupBy(*keys).agg(F.max("order").alias("last"), F.collect_set("section_id").alias("taken"))
@@ -161,6 +181,34 @@ def insert_under_heading(lines: DataFrame, keys: list[str], heading: str, block:
     return joined.select(*keys, text.alias("text"), F.col("stop").isNotNull().alias("inserted"))
 
 
+def insert_blocks(docs: DataFrame, inserts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """(keys, text, found): texts with blocks put at the end of the sections that they name.
+
+    ``inserts``: keys, ordinal, heading, block (array of lines); several for a text stand in order of ``ordinal``, and
+    ``found`` lists the ordinals whose heading is there.  A section ends before the next heading of its own or a higher
+    level; a blank line stands on either side of a block.  A final line break is kept.
+    """
+    rows = docs.where(F.col(text).isNotNull())
+    table = with_fences(rows.select(*keys, F.posexplode(T.lines(F.col(text))).alias("pos", "line")), keys)
+    pattern = r"^\s*(#{1,6}) (.*)$"
+    heads = table.where(~F.col("fence") & ~F.col("in_fence") & F.col("line").rlike(pattern))
+    heads = heads.select(*keys, "pos", F.length(F.regexp_extract("line", pattern, 1)).alias("level"), T.normal_heading(F.regexp_extract("line", pattern, 2)).alias("title"))
+    all_heads = heads.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "level", "title"))).alias("heads"))
+    wanted = inserts.select(*keys, "ordinal", "block", T.normal_heading(F.col("heading")).alias("title")).join(all_heads, keys)
+    own = F.get(F.filter("heads", lambda h: h["title"] == F.col("title")), F.lit(0))
+    wanted = wanted.withColumn("own", own).where("own is not null")
+    stop = F.get(F.filter("heads", lambda h: (h["pos"] > F.col("own.pos")) & (h["level"] <= F.col("own.level"))), F.lit(0))["pos"]
+    framed = F.concat(T.literals([""]), F.col("block"), T.literals([""]))
+    placed = wanted.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ordinal", stop.alias("stop"), framed.alias("lines")))).alias("ins"))
+    body = T.lines(F.col(text))
+    here = lambda i, n: F.flatten(F.transform(F.filter("ins", lambda x: F.coalesce(x["stop"], n) == i), lambda x: x["lines"]))
+    woven = F.get(F.transform(F.array(body), lambda b: F.flatten(F.transform(F.sequence(F.lit(0), F.size(b)), lambda i: F.concat(here(i, F.size(b)), F.when(i < F.size(b), F.array(F.get(b, i))).otherwise(F.array().cast("array<string>")))))), F.lit(0))
+    joined = F.array_join(woven, "\n")
+    joined = F.when(F.col(text).endswith("\n") & ~joined.endswith("\n"), F.concat(joined, F.lit("\n"))).otherwise(joined)
+    out = rows.select(*keys, text).join(placed, keys, "left")
+    return out.select(*keys, F.when(F.col("ins").isNull(), F.col(text)).otherwise(joined).alias("text"), F.coalesce(F.transform("ins", lambda x: x["ordinal"]), F.array().cast("array<int>")).alias("found"))
+
+
 def find_by_heading(skeleton: DataFrame, keys: list[str], heading: str) -> DataFrame:
     """The first section of each key whose heading is the same once normalised."""
     same = skeleton.where(T.normal_heading(F.col("heading")) == T.normal_heading(F.lit(heading)))

@@ -17,23 +17,19 @@ def problems(rules: dict[str, Column]) -> Column:
 def summary_problems(text: Column) -> Column:
     """Structure of a generated Markdown summary: one title, 4 to 12 distinct, specific, filled sections."""
     own = T.strip(F.coalesce(text, F.lit("")))
-    lines = T.lines(own)
-    prose = F.split(T.without_fences(own), "\n")
-    title = F.filter(prose, lambda x: x.rlike(r"^#\s+\S"))
-    heads = F.transform(F.filter(prose, lambda x: x.rlike(r"^##\s+\S")), lambda x: T.normal_heading(F.regexp_replace(x, r"^##\s+", "")))
-    parts = F.split(F.concat(F.lit("\n"), F.array_join(prose, "\n")), r"\n##\s+")
-    bodies = F.slice(parts, F.lit(2), F.size(parts))
-    short = F.exists(bodies, lambda b: F.length(T.strip(F.regexp_replace(b, r"^[^\n]*\n?", ""))) < 20)
+    parts = T.heading_parts(own)
+    sections = F.filter(parts, lambda p: p["level"] == 2)
+    heads = F.transform(sections, lambda p: T.normal_heading(p["heading"]))
     return problems(
         {
             "empty": own == "",
-            "wrapped in a fence": F.get(lines, F.lit(0)).startswith("```"),
+            "wrapped in a fence": own.startswith("```"),
             "too short": F.length(own) < 400,
-            "not one title": F.size(title) != 1,
+            "not one title": F.size(F.filter(parts, lambda p: p["level"] == 1)) != 1,
             "not 4 to 12 sections": ~F.size(heads).between(4, 12),
             "duplicate sections": F.size(F.array_distinct(heads)) < F.size(heads),
             "generic section": F.exists(heads, lambda h: h.isin(V.GENERIC_HEADINGS)),
-            "section without content": short,
+            "section without content": F.exists(sections, lambda p: F.length(p["content"]) < 20),
         }
     )
 
@@ -59,14 +55,25 @@ def affirms(claim: str, content: Column) -> Column:
     return F.exists(pieces, lambda s: s.rlike(rf"\b{claim}\b") & ~F.exists(T.literals(V.NEGATIONS), lambda cue: F.contains(s, cue)))
 
 
+def shown_claims(path: Column, content: Column) -> Column:
+    """The claims that a file is evidence for: a library in a manifest, an import of one, or a README that says so."""
+    low, name = F.lower(F.coalesce(content, F.lit(""))), T.file_name(F.lower(path))
+    found = imports(content)
+
+    def shown(claim: str) -> Column:
+        libraries = V.LIBRARIES[claim]
+        listed = T.any_of(low.rlike(rf"(?<![\w-]){lib}(?![\w-])") for lib in libraries)
+        return (name.isin(V.MANIFESTS) & listed) | (name.endswith(".py") & F.arrays_overlap(found, T.literals(libraries))) | (name.startswith("readme") & affirms(claim, content))
+
+    none = F.array().cast("array<string>")
+    # Only manifests, sources and README files are looked into.
+    telling = is_evidence(path) & (name.isin(V.MANIFESTS) | name.endswith(".py") | name.startswith("readme"))
+    return F.when(telling, F.array_compact(F.array(*(F.when(shown(c), c) for c in sorted(V.LIBRARIES))))).otherwise(none)
+
+
 def claim_evidence(files: DataFrame, keys: list[str], claim: str, path: str = "path", content: str = "content") -> DataFrame:
-    """Keys with evidence for a claim: a library in a manifest, an import of one, or a README that says so."""
-    libraries = V.LIBRARIES[claim]
-    p, c = F.col(path), F.lower(F.coalesce(content, F.lit("")))
-    name = T.file_name(F.lower(p))
-    listed = T.any_of(c.rlike(rf"(?<![\w-]){lib}(?![\w-])") for lib in libraries)
-    shown = (name.isin(V.MANIFESTS) & listed) | (name.endswith(".py") & F.arrays_overlap(imports(F.col(content)), T.literals(libraries))) | (name.startswith("readme") & affirms(claim, F.col(content)))
-    return files.where(is_evidence(p) & shown).select(*keys).distinct()
+    """Keys with evidence for a claim."""
+    return files.where(F.array_contains(shown_claims(F.col(path), F.col(content)), claim)).select(*keys).distinct()
 
 
 def json_object(text: Column) -> Column:
@@ -156,18 +163,6 @@ def grounding_problems(new: Column, corpus: Column) -> Column:
     )
 
 
-def status_problems(claims: DataFrame, evidence: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """(keys, problems): texts that say of a changed thing what its status denies.
-
-    ``evidence``: keys, status, identifier; joined within keys.
-    """
-    words = {"deleted": r"\b(add(s|ed)?|introduce[sd]?|creates?d?)\b", "added": r"\b(remove[sd]?|delete[sd]?)\b", "modified": r"\b(remove[sd]?|delete[sd]?)\b", "renamed": r"\b(remove[sd]?|delete[sd]?)\b"}
-    low = F.lower(text)
-    hit = claims.join(evidence, keys).where(F.contains(low, F.lower("identifier")))
-    wrong = T.any_of((F.col("status") == s) & low.rlike(p) for s, p in words.items())
-    return hit.groupBy(*keys).agg(F.array_sort(F.collect_set(F.when(wrong, F.concat_ws(" contradicts ", "identifier", "status")))).alias("problems"))
-
-
 def gate(kind: Column, confidence: Column, least: float = 0.75, least_no_change: float = 0.90) -> Column:
     """What becomes of a planned patch: manual review under its confidence bound."""
     bound = F.when(kind == "no_change", least_no_change).otherwise(least)

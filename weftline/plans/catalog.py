@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import text as T
 from weftline.functions import vocabulary as V
-from weftline.operators import blocks, context, diff, headings, lines, scoring, validate
+from weftline.operators import blocks, canonical, context, diff, evidence, headings, lines, scoring, suggestions, validate
 from weftline.plans import relations as R
 from weftline.session import table
 
@@ -90,6 +90,7 @@ def file_stems(spark, d):
     return R.paths(spark, d).select("page_id", T.file_stem(F.col("path")).alias("stem"))
 
 
+_HEAD = r"^(#{1,6})\s+(.+?)\s*#*\s*$"
 _STRIP = r"regexp_replace({0}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
 _NUMBERING = r"^\s*(\d{1,2}(?:\.\d{1,2})*)\s*[.):\-–—]?\s+\S"
 
@@ -589,31 +590,29 @@ def confidence_checks(spark, d):
     return table(spark, d, "events").select("event_id", validate.confidence(json).alias("confidence"))
 
 
-_TITLE = r"lower(trim(regexp_replace(trim(regexp_replace(line, '^##\s+', '')), '\s*:\s*[-–—]?\s*$', '')))"
+_TITLE = r"lower(trim(regexp_replace(trim({0}), '\s*:\s*[-–—]?\s*$', '')))"
 
 
 @query(
     rf"""WITH d AS (SELECT doc_id, trim(text, ' ' || chr(10)) AS t FROM documents),
  l AS (SELECT doc_id, generate_subscripts(x, 1) AS pos, unnest(x) AS line FROM (SELECT doc_id, string_split(t, chr(10)) AS x FROM d)),
  f AS (SELECT *, regexp_matches(line, '^\s*(```|~~~)') AS fence, sum(CASE WHEN regexp_matches(line, '^\s*(```|~~~)') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM l),
- p AS (SELECT doc_id, pos, line, regexp_matches(line, '^##\s+\S') AS head, regexp_matches(line, '^#\s+\S') AS title FROM f WHERE NOT fence AND n % 2 = 0),
- g AS (SELECT *, sum(CASE WHEN regexp_matches(line, '^##\s+') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS no FROM p),
- b AS (SELECT doc_id, no, length(trim(coalesce(string_agg(CASE WHEN NOT regexp_matches(line, '^##\s+') THEN line END, chr(10) ORDER BY pos), ''), ' ' || chr(10))) AS n FROM g WHERE no > 0 GROUP BY doc_id, no),
- h AS (SELECT doc_id, count(*) FILTER (WHERE title) AS titles, count(*) FILTER (WHERE head) AS heads, count(DISTINCT {_TITLE}) FILTER (WHERE head) AS names,
- bool_or(head AND list_contains({sql_list(V.GENERIC_HEADINGS)}, {_TITLE})) AS generic FROM p GROUP BY doc_id),
- s AS (SELECT doc_id, bool_or(n < 20) AS short FROM b GROUP BY doc_id)
+ p AS (SELECT doc_id, pos, line, CASE WHEN NOT fence AND n % 2 = 0 AND regexp_matches(line, '{_HEAD}') THEN length(regexp_extract(line, '{_HEAD}', 1)) END AS level, regexp_extract(line, '{_HEAD}', 2) AS name FROM f),
+ g AS (SELECT *, sum(CASE WHEN level IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS no FROM p),
+ b AS (SELECT doc_id, no, max(level) AS level, {_TITLE.format("max(CASE WHEN level IS NOT NULL THEN name END)")} AS name, length(trim(coalesce(string_agg(CASE WHEN level IS NULL THEN line END, chr(10) ORDER BY pos), ''), ' ' || chr(10))) AS n FROM g WHERE no > 0 GROUP BY doc_id, no),
+ h AS (SELECT doc_id, count(*) FILTER (WHERE level = 1) AS titles, count(*) FILTER (WHERE level = 2) AS heads, count(DISTINCT name) FILTER (WHERE level = 2) AS names, bool_or(level = 2 AND list_contains({sql_list(V.GENERIC_HEADINGS)}, name)) AS generic, bool_or(level = 2 AND n < 20) AS short FROM b GROUP BY doc_id)
  SELECT d.doc_id, array_to_string(list_filter([CASE WHEN t = '' THEN 'empty' END, CASE WHEN starts_with(t, '```') THEN 'wrapped in a fence' END, CASE WHEN length(t) < 400 THEN 'too short' END, CASE WHEN coalesce(titles, 0) <> 1 THEN 'not one title' END,
  CASE WHEN coalesce(heads, 0) NOT BETWEEN 4 AND 12 THEN 'not 4 to 12 sections' END, CASE WHEN names < heads THEN 'duplicate sections' END, CASE WHEN generic THEN 'generic section' END, CASE WHEN short THEN 'section without content' END], lambda x: x IS NOT NULL), '|') AS problems
- FROM d LEFT JOIN h USING (doc_id) LEFT JOIN s USING (doc_id)"""
+ FROM d LEFT JOIN h USING (doc_id)"""
 )
 def validator_problems(spark, d):
     return table(spark, d, "documents").select("doc_id", F.array_join(validate.summary_problems(F.col("text")), "|").alias("problems"))
 
 
 @query(
-    rf"""WITH s AS (SELECT doc_id, i, CASE (doc_id + i) % 9 WHEN 0 THEN 'misc' WHEN 1 THEN 'Part ' || (i - 1) ELSE 'Part ' || i END AS heading, CASE WHEN (doc_id + i) % 7 = 0 THEN 'short' ELSE repeat('filled with words ', 8) END AS body
+    rf"""WITH s AS (SELECT doc_id, i, CASE (doc_id + i) % 9 WHEN 0 THEN 'misc' WHEN 1 THEN 'Part ' || (i - 1) ELSE 'Part ' || i END AS heading, CASE (doc_id + i) % 7 WHEN 0 THEN 'short' WHEN 1 THEN 'short' || chr(10) || '### Deeper' || chr(10) || 'filled with words and words' WHEN 2 THEN '```' || chr(10) || '## filled with words' || chr(10) || '```' ELSE repeat('filled with words ', 8) END AS body
  FROM (SELECT doc_id, unnest(range(1, 3 + doc_id % 12)) AS i FROM documents WHERE doc_id IS NOT NULL)),
- n AS (SELECT doc_id, count(*) AS heads, count(DISTINCT lower(heading)) AS names, bool_or(heading = 'misc') AS generic, bool_or(body = 'short') AS short, sum(5 + length(heading) + length(trim(body))) + 7 + CASE WHEN doc_id % 5 = 0 THEN 0 ELSE 8 END AS size FROM s GROUP BY doc_id)
+ n AS (SELECT doc_id, count(*) AS heads, count(DISTINCT lower(heading)) AS names, bool_or(heading = 'misc') AS generic, bool_or(starts_with(body, 'short')) AS short, sum(5 + length(heading) + length(trim(body))) + 7 + CASE WHEN doc_id % 5 = 0 THEN 0 ELSE 8 END AS size FROM s GROUP BY doc_id)
  SELECT doc_id, array_to_string(list_filter([CASE WHEN size < 400 THEN 'too short' END, CASE WHEN doc_id % 5 = 0 THEN 'not one title' END, CASE WHEN heads NOT BETWEEN 4 AND 12 THEN 'not 4 to 12 sections' END, CASE WHEN names < heads THEN 'duplicate sections' END,
  CASE WHEN generic THEN 'generic section' END, CASE WHEN short THEN 'section without content' END], lambda x: x IS NOT NULL), '|') AS problems FROM n"""
 )
@@ -621,7 +620,8 @@ def validator_sections(spark, d):
     """Summaries made from ids, so that every rule on sections is met by some and broken by others."""
     i, n = F.col("i"), F.col("doc_id")
     heading = F.when((n + i) % 9 == 0, "misc").when((n + i) % 9 == 1, F.concat(F.lit("Part "), (i - 1).cast("string"))).otherwise(F.concat(F.lit("Part "), i.cast("string")))
-    body = F.when((n + i) % 7 == 0, "short").otherwise(F.trim(F.repeat(F.lit("filled with words "), F.lit(8))))
+    # Fenced lines count as content, deeper headings end it.
+    body = F.when((n + i) % 7 == 0, "short").when((n + i) % 7 == 1, "short\n### Deeper\nfilled with words and words").when((n + i) % 7 == 2, "```\n## filled with words\n```").otherwise(F.trim(F.repeat(F.lit("filled with words "), F.lit(8))))
     parts = table(spark, d, "documents").where("doc_id is not null").select("doc_id", F.explode(F.sequence(F.lit(1), (F.lit(2) + n % 12).cast("int"))).alias("i"))
     rows = parts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("i", F.concat(F.lit("## "), heading, F.lit("\n"), body).alias("t")))).alias("r"))
     text = F.concat(F.when(n % 5 == 0, "").otherwise("# Title\n"), F.lit("opened\n"), F.array_join(F.transform("r", lambda x: x["t"]), "\n"))
@@ -639,7 +639,6 @@ def evidence_files(spark, d):
     return R.paths(spark, d).select("page_id", validate.is_evidence(F.col("path")).alias("evidence"))
 
 
-_HEAD = r"^(#{1,6})\s+(.+?)\s*#*\s*$"
 #: Lines with their kind, whether they stand in code, the number of headings so far, and headings with paths and ids.
 _SCANNED = (
     R.MD_TEXT
@@ -676,6 +675,127 @@ def block_index(spark, d):
     return rows.select("doc_id", "section_id", "block_id", "block_type", "block_order", "content_hash", "patchable", "start", "end", "first_line", "last_line")
 
 
+# ---- flows --------------------------------------------------------------------------------------
+
+
+@query(
+    f"""SELECT event_id, name, CASE WHEN event_id % 7 <> 3 THEN '{V.DOCUMENT_FOLDER}/' || CASE event_id % 7 WHEN 4 THEN 'a_b' ELSE name END || '{V.DOCUMENT_SUFFIX}' END AS path FROM
+ (SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'repo' || event_id WHEN 1 THEN 'tool' || event_id WHEN 2 THEN 'dir' || user_id WHEN 3 THEN '..' WHEN 4 THEN 'a b' WHEN 5 THEN '{V.DEFAULT_REPOSITORY}' ELSE 'x' || event_id END AS name FROM events)"""
+)
+def canonical_names(spark, d):
+    m, i = F.col("event_id") % 7, F.col("event_id").cast("string")
+    given = F.when(m == 0, F.concat(F.lit("org/repo"), i)).when(m == 3, "..").when(m == 4, " a b ").when(m == 6, F.concat(F.lit("a/b/x"), i))
+    remote = F.when(m == 1, F.concat(F.lit("git@host:me/tool"), i, F.lit(".git"))).when(m == 2, " ").otherwise(F.lit(None).cast("string"))
+    folder = F.when(m == 2, F.concat(F.lit("dir"), F.col("user_id").cast("string"))).otherwise("")
+    name = canonical.repository_name(given, remote, folder)
+    return table(spark, d, "events").select("event_id", name.alias("name"), canonical.document_path(name).alias("path"))
+
+
+@query(
+    """SELECT event_id, CASE WHEN event_id % 4 < 2 THEN 'incremental_update' WHEN event_id % 4 = 2 THEN 'manual_review' WHEN event_id % 5 = 0 THEN 'initialize_baseline' WHEN event_id % 3 = 0 THEN 'incremental_update_legacy' ELSE 'initialization_pending' END AS action,
+ CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 5 = 1 THEN 'initialisation is not enabled' WHEN event_id % 5 = 2 THEN 'no provider is named' ELSE 'unknown provider other' END AS why FROM events"""
+)
+def push_actions(spark, d):
+    i = F.col("event_id")
+    status = F.when(i % 4 < 2, canonical.VALID).when(i % 4 == 2, canonical.INVALID).otherwise(canonical.MISSING)
+    enabled = F.when(i % 5 != 1, " Yes ").otherwise("off")
+    provider = F.when(i % 5 == 0, "OWN").when(i % 5 == 2, "").otherwise("other")
+    allowed, why = canonical.permission(enabled, provider, ["own"])
+    return table(spark, d, "events").select("event_id", canonical.push_action(status, allowed, F.when(i % 2 == 0, i % 3 == 0).otherwise(i % 3 == 0)).alias("action"), why.alias("why"))
+
+
+@query(
+    """SELECT event_id, array_to_string(CASE WHEN event_id % 4 = 0 THEN [] ELSE list_concat(CASE WHEN event_id % 3 > 0 THEN ['replace_sentence', 'insert_after_sentence'] ELSE [] END, CASE WHEN event_id % 2 = 0 THEN ['replace_block', 'insert_after_block'] ELSE [] END) END, '|') AS more,
+ CASE WHEN event_id % 11 = 0 THEN 'not_invoked' WHEN event_id % 11 = 1 OR event_id % 13 = 0 OR event_id % 17 = 0 OR (event_id % 100) / 100.0 < CASE WHEN event_id % 3 = 0 THEN 0.9 ELSE 0.75 END OR (event_id % 3 = 0 AND event_id % 2 = 1) THEN 'manual_review' ELSE 'planned' END AS status FROM events"""
+)
+def patch_guards(spark, d):
+    i = F.col("event_id")
+    none = F.array().cast("array<string>")
+    types = F.concat(F.when(i % 3 > 0, F.array(F.lit("sentence"))).otherwise(none), F.when(i % 2 == 0, F.array(F.lit("block"))).otherwise(none))
+    operations = suggestions.allowed_operations(F.when(i % 4 == 0, "append_to_section").otherwise("use_existing_candidate"), types)
+    status, _ = suggestions.patch_status(i % 11 != 0, F.when(i % 11 == 1, "manual_review_needed").otherwise("use_existing_candidate"), i % 13 != 0, F.lit(True), F.when(i % 17 == 0, T.literals(["x"])).otherwise(none), F.when(i % 3 == 0, "no_change_needed").otherwise("replace_block"), (i % 100) / 100, i % 2 == 0)
+    return table(spark, d, "events").select("event_id", F.array_join(F.slice(operations, F.lit(1), F.size(operations) - 3), "|").alias("more"), status.alias("status"))
+
+
+@query(
+    """SELECT event_id, array_to_string(list_filter([CASE WHEN event_id % 5 = 0 THEN 'no concrete evidence' END, CASE WHEN event_id % 5 = 1 THEN 'deleted shown as active' END, CASE WHEN event_id % 5 = 2 THEN 'added shown as removed' END, CASE WHEN event_id % 5 = 3 THEN 'modified shown as new' END, CASE WHEN event_id % 5 = 4 AND event_id % 2 = 0 THEN 'old name shown as current' END], lambda x: x IS NOT NULL), '|') AS problems,
+ event_id % 5 > 0 OR event_id % 2 = 0 AS supported FROM events"""
+)
+def claim_checks(spark, d):
+    i, n = F.col("event_id"), F.col("event_id").cast("string")
+    of = lambda k: F.array(F.concat(F.lit(k), n, F.lit(".py")))
+    held = {"added": of("add"), "deleted": of("del"), "modified": of("mod"), "renamed": of("ren"), "renamed_old": of("old"), "paths": F.array().cast("array<string>")}
+    held["identifiers"] = F.concat(*(held[k] for k in ("added", "deleted", "modified", "renamed", "renamed_old")))
+    say = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    text = (
+        F.when(i % 5 == 0, F.when(i % 2 == 0, "A better engine for rows.").otherwise("A change of the module."))
+        .when(i % 5 == 1, say("It uses DEL", n, ".py today."))
+        .when(i % 5 == 2, say("The add", n, ".py step was removed."))
+        .when(i % 5 == 3, say("mod", n, ".py is newly added."))
+        .otherwise(F.when(i % 2 == 0, say("old", n, ".py reads.")).otherwise(say("old", n, ".py was renamed.")))
+    )
+    supported = evidence.reasoning_supported(text, F.array(F.lit("The engine reads rows")), held)
+    return table(spark, d, "events").select("event_id", F.array_join(evidence.claim_problems(text, held), "|").alias("problems"), supported.alias("supported"))
+
+
+@query(
+    """SELECT event_id, array_to_string(CASE WHEN event_id % 9 = 8 THEN ['no JSON object'] ELSE list_filter([CASE WHEN event_id % 9 = 0 THEN 'bad decision' END, CASE WHEN event_id % 9 = 1 THEN 'bad confidence' END, CASE WHEN event_id % 9 = 2 THEN 'unknown section' END,
+ CASE WHEN event_id % 9 = 3 THEN 'no heading' END, CASE WHEN event_id % 9 = 4 THEN 'generic heading' END, CASE WHEN event_id % 9 = 5 THEN 'short summary' END, CASE WHEN event_id % 9 = 6 THEN 'generic summary' END], lambda x: x IS NOT NULL) END, '|') AS problems FROM events"""
+)
+def suggestion_checks(spark, d):
+    m = F.col("event_id") % 9
+    field = lambda k, v: F.concat(F.lit(f'"{k}": '), v)
+    decision = F.when(m == 0, '"other"').when(m.isin(3, 4), '"create_new_section"').otherwise('"update_existing_section"')
+    heading = F.when(m == 3, '" "').when(m == 4, '"Code Changes:"').otherwise('"Storage"')
+    summary = F.when(m == 5, '"too short"').when(m == 6, '"The files were updated."').otherwise('"It loads parquet files now."')
+    parts = [field("decision", decision), field("target_section_id", F.when(m == 2, '"s9"').otherwise('"s1"')), field("target_heading", heading), field("confidence", F.when(m == 1, "true").otherwise("0.5")), field("suggested_summary", summary)]
+    text = F.when(m == 8, "no answer").otherwise(F.concat(F.lit("Here: {"), F.concat_ws(", ", *parts), F.lit("} done")))
+    return table(spark, d, "events").select("event_id", F.array_join(suggestions.suggestion_problems(text, T.literals(["s1", "s2"])), "|").alias("problems"))
+
+
+@query(
+    """WITH s AS (SELECT doc_id, unnest(range(1, 7)) AS o FROM documents WHERE doc_id IS NOT NULL), p AS (SELECT *, 'Top > Part ' || (doc_id + o * o) % 3 AS path FROM s), n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, path ORDER BY o) AS n FROM p),
+ k AS (SELECT doc_id, o, path, 'kept-' || o AS id, row_number() OVER (PARTITION BY doc_id, path ORDER BY o) AS n FROM p WHERE (doc_id + o) % 2 = 0),
+ j AS (SELECT n.doc_id, n.o, n.path, k.id FROM n LEFT JOIN k ON k.doc_id = n.doc_id AND k.path = n.path AND k.n = n.n),
+ f AS (SELECT *, trim(regexp_replace(lower(path), '[^a-z0-9]+', '-', 'g'), '-') AS slug, row_number() OVER (PARTITION BY doc_id, path, id IS NULL ORDER BY o) AS m FROM j)
+ SELECT doc_id, CAST(o AS BIGINT) AS "order", coalesce(id, slug || CASE WHEN m > 1 THEN '-' || m ELSE '' END) AS section_id FROM f"""
+)
+def section_ids_kept(spark, d):
+    """Sections with equal paths, matched in turn with a skeleton that holds some of them."""
+    rows = table(spark, d, "documents").where("doc_id is not null").select("doc_id", F.explode(F.sequence(F.lit(1), F.lit(6))).alias("order"))
+    path = F.concat(F.lit("Top > Part "), ((F.col("doc_id") + F.col("order") * F.col("order")) % 3).cast("string"))
+    own = rows.withColumn("path", path).withColumn("section_id", F.lit(""))
+    skeleton = own.where((F.col("doc_id") + F.col("order")) % 2 == 0).withColumn("section_id", F.concat(F.lit("kept-"), F.col("order").cast("string")))
+    return lines.match_ids(own, skeleton, ["doc_id"]).select("doc_id", F.col("order").cast("long").alias("order"), "section_id")
+
+
+@query(
+    f"""SELECT user_id, '<!-- {V.REGION_START} -->' || chr(10) || '### Automated Change Update - now' || chr(10) || chr(10) || 'Repository: r' || chr(10) || 'Branch: main' || chr(10) || 'Actor: ' || user_id || chr(10) || 'Before SHA: (none)' || chr(10) || 'After SHA: z' || chr(10) || chr(10) || 'Changed files:' || chr(10)
+ || string_agg('- ' || event_type || ': ' || CASE WHEN event_id % 3 = 0 THEN 'o' || event_id || ' -> ' ELSE '' END || 'p' || event_id, chr(10) ORDER BY event_id) || chr(10) || chr(10) || 'Summary:' || chr(10) || count(*) || ' files' || chr(10) || '<!-- {V.REGION_END} -->' AS block FROM events GROUP BY user_id"""
+)
+def update_blocks(spark, d):
+    rows, i = table(spark, d, "events"), F.col("event_id").cast("string")
+    files = rows.select("user_id", F.col("event_id").alias("ordinal"), F.col("event_type").alias("change_type"), F.concat(F.lit("p"), i).alias("path"), F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("o"), i)).alias("old_path"))
+    fixed = {"repository": "r", "branch": "main", "after_sha": "z", "time": "now"}
+    changes = rows.groupBy("user_id").agg(F.concat(F.count("*").cast("string"), F.lit(" files")).alias("summary")).withColumns({k: F.lit(v) for k, v in fixed.items()} | {"actor": F.col("user_id").cast("string"), "before_sha": F.lit(None).cast("string")})
+    return context.update_block(changes, files, ["user_id"]).select("user_id", F.array_join("block", "\n").alias("block"))
+
+
+@query(
+    f"""WITH {_BLOCKS}, b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY island) AS i, CASE WHEN oc = 0 THEN 'Added new ' || {_PHRASE.format('n')} || '.' WHEN nc = 0 THEN 'Deleted old ' || {_PHRASE.format('o')} || '.' ELSE 'Replaced old ' || {_PHRASE.format('o')} || ' with new ' || {_PHRASE.format('n')} || '.' END AS says FROM blocks),
+ c AS (SELECT doc_id, count(*) FILTER (WHERE marker = '+') AS a, count(*) FILTER (WHERE marker = '-') AS r, min(CASE WHEN marker = '+' THEN new_line END) AS first_new, min(CASE WHEN marker = '-' THEN old_line END) AS first_old, max(CASE WHEN marker = '+' THEN new_line END) AS last_new FROM numbered GROUP BY doc_id)
+ SELECT c.doc_id, 'Modified' || CASE WHEN a > 0 THEN CASE WHEN first_new <= 3 THEN ' method A.run with' ELSE ' class A with' END ELSE ' class Old with' END || ' ' || a || ' added and ' || r || ' removed lines.' AS summary, CAST(coalesce(n, 0) AS BIGINT) AS n_blocks, coalesce(says, '') AS says FROM c LEFT JOIN (SELECT doc_id, count(*) AS n, string_agg(says, '|' ORDER BY i) AS says FROM b GROUP BY doc_id) USING (doc_id)"""
+)
+def hunk_details(spark, d):
+    """Whole hunks of change packages: summaries by the innermost symbol, and blocks."""
+    body = R.diff_lines(spark, d).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("b"))
+    diffs = body.select("doc_id", F.concat(F.lit("@@ -1,5 +1,7 @@ class Old\n"), "b").alias("diff"))
+    symbol = lambda o, name, kind, end: F.struct(F.lit(o).alias("ordinal"), F.lit(name).alias("qualified_name"), F.lit(kind).alias("kind"), F.lit(1).alias("start_line"), F.lit(end).alias("end_line"))
+    symbols = body.select("doc_id", F.inline(F.array(symbol(0, "A", "class", 1_000_000), symbol(1, "A.run", "method", 3))))
+    rows = diff.what_changed(diffs, ["doc_id"], symbols, None).select("doc_id", F.get("what_changed", F.lit(0)).alias("h"))
+    return rows.select("doc_id", "h.summary", F.size("h.change_blocks").cast("long").alias("n_blocks"), F.array_join(F.transform("h.change_blocks", lambda b: b["summary"]), "|").alias("says"))
+
+
 @query()
 def sentence_index(spark, d):
     _, rows = blocks.block_index(R.md_text(spark, d), ["doc_id"])

@@ -11,25 +11,26 @@ from pyspark.sql import functions as F
 def publish(spark: SparkSession, tables: dict[str, DataFrame], root: str) -> str:
     """Write all tables into one new version folder, then point ``CURRENT`` to it.
 
-    Readers see the old version until the pointer's rename, and all of the new one after it; a failure
-    before that leaves the old version as it was and removes what was written.
+    The pointer is written beside ``CURRENT`` and renamed over it in one step, so readers see the old version
+    until then and all of the new one after it.  A failure leaves the old version as it was and removes what was written.
     """
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     path = jvm.org.apache.hadoop.fs.Path
     version = f"{root.rstrip('/')}/v-{uuid.uuid4().hex}"
     fs = path(root).getFileSystem(conf)
+    pointer = path(f"{version}.pointer")
     try:
         for name, df in tables.items():
             df.write.parquet(f"{version}/{name}")
-        pointer = path(f"{version}.pointer")
         out = fs.create(pointer, True)
         out.writeBytes(version)
         out.close()
-        fs.delete(path(f"{root}/CURRENT"), False)
-        if not fs.rename(pointer, path(f"{root}/CURRENT")):
-            raise OSError(f"{root}/CURRENT could not be written")
+        options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(path(root)).toUri(), conf).rename(fs.makeQualified(pointer), fs.makeQualified(path(f"{root.rstrip('/')}/CURRENT")), options)
     except Exception:
         fs.delete(path(version), True)
+        fs.delete(pointer, False)
         raise
     return version
 
