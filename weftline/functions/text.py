@@ -18,6 +18,11 @@ def any_of(flags) -> Column:
     return reduce(lambda a, b: a | b, flags)
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Without white space of any kind at either end."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
@@ -133,14 +138,16 @@ def note_or_link(c: Column) -> Column:
 
 def categories(c: Column) -> Column:
     """Categories by alias: phrases anywhere in the text, single words among its first keywords."""
-    low, tokens = F.lower(F.coalesce(c, F.lit(""))), keywords(c)
 
-    def found(aliases: list[str]) -> Column:
+    def found(aliases: list[str], low: Column, tokens: Column) -> Column:
         phrases = [a for a in aliases if " " in a or "/" in a]
         single = F.arrays_overlap(tokens, literals([a for a in aliases if a not in phrases]))
         return any_of([single, *(F.contains(low, F.lit(p)) for p in phrases)])
 
-    return F.array_compact(F.array(*(F.when(found(aliases), name) for name, aliases in sorted(V.CATEGORY_ALIASES.items()))))
+    def named(both: Column) -> Column:
+        return F.array_compact(F.array(*(F.when(found(aliases, both["low"], both["tokens"]), name) for name, aliases in sorted(V.CATEGORY_ALIASES.items()))))
+
+    return let(F.struct(F.lower(F.coalesce(c, F.lit(""))).alias("low"), keywords(c).alias("tokens")), named)
 
 
 def path_categories(path: Column) -> Column:

@@ -16,22 +16,24 @@ def problems(rules: dict[str, Column]) -> Column:
 
 def summary_problems(text: Column) -> Column:
     """Structure of a generated Markdown summary: one title, 4 to 12 distinct, specific, filled sections."""
-    own = T.strip(F.coalesce(text, F.lit("")))
-    parts = T.heading_parts(own)
-    sections = F.filter(parts, lambda p: p["level"] == 2)
-    heads = F.transform(sections, lambda p: T.normal_heading(p["heading"]))
-    return problems(
-        {
-            "empty": own == "",
-            "wrapped in a fence": own.startswith("```"),
-            "too short": F.length(own) < 400,
-            "not one title": F.size(F.filter(parts, lambda p: p["level"] == 1)) != 1,
-            "not 4 to 12 sections": ~F.size(heads).between(4, 12),
-            "duplicate sections": F.size(F.array_distinct(heads)) < F.size(heads),
-            "generic section": F.exists(heads, lambda h: h.isin(V.GENERIC_HEADINGS)),
-            "section without content": F.exists(sections, lambda p: F.length(p["content"]) < 20),
-        }
-    )
+
+    def of_parts(own: Column, parts: Column) -> Column:
+        sections = F.filter(parts, lambda p: p["level"] == 2)
+        heads = F.transform(sections, lambda p: T.normal_heading(p["heading"]))
+        return problems(
+            {
+                "empty": own == "",
+                "wrapped in a fence": own.startswith("```"),
+                "too short": F.length(own) < 400,
+                "not one title": F.size(F.filter(parts, lambda p: p["level"] == 1)) != 1,
+                "not 4 to 12 sections": ~F.size(sections).between(4, 12),
+                "duplicate sections": F.size(F.array_distinct(heads)) < F.size(heads),
+                "generic section": F.exists(heads, lambda h: h.isin(V.GENERIC_HEADINGS)),
+                "section without content": F.exists(sections, lambda p: F.length(p["content"]) < 20),
+            }
+        )
+
+    return T.let(T.strip(F.coalesce(text, F.lit(""))), lambda own: T.let(T.heading_parts(own), lambda parts: of_parts(own, parts)))
 
 
 def has_headings(text: Column, title: str, headings: list[str]) -> Column:
