@@ -658,7 +658,7 @@ _SCANNED = (
 
 
 @query(
-    f"""WITH RECURSIVE {_SCANNED.replace('{preamble}', 'true')}, pr AS (SELECT *, lag(kind) OVER w AS before, lag(code) OVER w AS code_before,
+    rf"""WITH RECURSIVE {_SCANNED.replace('{preamble}', 'true')}, pr AS (SELECT *, lag(kind) OVER w AS before, lag(code) OVER w AS code_before,
  coalesce(last_value(CASE WHEN kind = 'comment' AND contains(t, '{V.REGION_END}') THEN false WHEN kind = 'comment' AND contains(t, '{V.REGION_START}') THEN true END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS made FROM sc WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
  st AS (SELECT *, CASE kind WHEN 'code' THEN fence AND nf % 2 = 1 WHEN 'blank' THEN true WHEN 'text' THEN coalesce(before NOT IN ('text', 'ul', 'ol'), true) WHEN 'table' THEN before IS DISTINCT FROM 'table' WHEN 'blockquote' THEN before IS DISTINCT FROM 'blockquote' ELSE true END AS opens FROM pr),
  nb AS (SELECT *, sum(CASE WHEN opens THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS b FROM st),
