@@ -289,3 +289,22 @@ def test_packages_from_git(spark, tmp_path):
     assert [(b["symbols"], b["removed_text"], b["added_text"]) for b in hunk["change_blocks"]] == [(["A.run"], "        x = 1", "        x = 10\n        y = 3"), (["go"], "    return 2", "    return 5")]
     assert second["what_changed"][0]["summary"] == "Deleted 2 lines." and second["what_changed"][0]["change_blocks"][0]["removed_text"] == "one\ntwo"
     assert readers.git_blob("HEAD", "gone", str(tmp_path)) == ""
+
+
+def test_preview_reports_and_commands(spark, tmp_path):
+    from weftline import cli
+    from weftline.plans import preview
+
+    docs = spark.createDataFrame([("d", BASE)], "doc_id string, text string")
+    packages = spark.createDataFrame([("c1", "d", package()), ("c2", "d", package(schema_version=9)), ("c3", "d", package())], "change_id string, doc_id string, json string")
+    override = spark.createDataFrame([("c3", "project-testing")], "change_id string, section_id string")
+    made = {r["change_id"]: json.loads(r["report"]) for r in preview.run(packages, docs, override).collect()}
+    assert made["c1"]["routing"]["section_id"] == "project-loading" and made["c1"]["placement"]["recommendation"] == "use_existing_candidate" and made["c1"]["candidates"]
+    assert made["c2"]["status"] == "bad_version" and "routing" not in made["c2"] and made["c3"]["routing"]["section_id"] == "project-testing"
+    (tmp_path / "a.md").write_text(BASE)
+    (tmp_path / "p.json").write_text(package())
+    at = f"file://{tmp_path}"
+    assert cli.run(spark, ["sections", f"{at}/a.md", "--out", f"{at}/sections"]).count() == 5 and spark.read.json(f"{at}/sections").count() == 5
+    assert cli.run(spark, ["index", f"{at}/a.md"]).where("block_type = 'code_block'").count() == 1
+    assert cli.run(spark, ["check", f"{at}/a.md"]).collect()[0]["status"] == "existing_invalid"
+    assert "src/loader.py" in cli.run(spark, ["report", f"{at}/p.json"]).collect()[0]["body"]

@@ -140,10 +140,10 @@ def slugs(spark, d):
 
 @query(
     f"""WITH {R.SECTIONS}, s AS (SELECT item_id, trim(regexp_replace(lower(substr(heading, 1, 3)), '[^a-z0-9]+', '-', 'g'), '-') AS b FROM sections),
- n AS (SELECT item_id, b, row_number() OVER (PARTITION BY b ORDER BY item_id) AS k FROM s) SELECT item_id, b || CASE WHEN k > 1 THEN '-' || k ELSE '' END AS section_id FROM n"""
+ n AS (SELECT item_id, b, row_number() OVER (PARTITION BY item_id % 5, b ORDER BY item_id) AS k FROM s) SELECT item_id, b || CASE WHEN k > 1 THEN '-' || k ELSE '' END AS section_id FROM n"""
 )
 def slug_ids(spark, d):
-    rows = R.sections(spark, d).select(F.lit(1).alias("doc"), F.col("item_id").alias("pos"), T.slug(F.substring("heading", 1, 3)).alias("b"))
+    rows = R.sections(spark, d).select((F.col("item_id") % 5).alias("doc"), F.col("item_id").alias("pos"), T.slug(F.substring("heading", 1, 3)).alias("b"))
     return lines.unique_slugs(rows, ["doc"], "b").select(F.col("pos").alias("item_id"), "section_id")
 
 
@@ -227,11 +227,11 @@ def insert_point(spark, d):
     return out
 
 
-@query(f"WITH {R.SECTIONS}, s AS (SELECT item_id, trim(regexp_replace(lower(heading), '[^a-z0-9]+', '-', 'g'), '-') AS section_id FROM sections), a AS (SELECT 1 AS doc, min(section_id) AS section_id, CAST(max(item_id) + 1 AS BIGINT) AS k FROM s) SELECT CAST(item_id AS BIGINT) AS item_id, section_id FROM s UNION ALL SELECT k, section_id || '-2' FROM a")
+@query(f"WITH {R.SECTIONS}, s AS (SELECT item_id, trim(regexp_replace(lower(heading), '[^a-z0-9]+', '-', 'g'), '-') AS section_id FROM sections), a AS (SELECT item_id % 5 AS doc, min(section_id) AS section_id, CAST(max(item_id) + 1 AS BIGINT) AS k FROM s GROUP BY 1) SELECT CAST(item_id % 5 AS BIGINT) AS doc, CAST(item_id AS BIGINT) AS item_id, section_id FROM s UNION ALL SELECT doc, k, section_id || '-2' FROM a")
 def skeleton_append(spark, d):
-    own = R.sections(spark, d).select(F.lit(1).alias("doc"), F.col("item_id").cast("int").alias("order"), T.slug(F.col("heading")).alias("section_id"), "heading", F.lit(2).alias("level"), F.lit(None).cast("string").alias("parent_id"), F.col("heading").alias("path"), F.lit(None).cast("string").alias("content_hash"))
+    own = R.sections(spark, d).select((F.col("item_id") % 5).cast("long").alias("doc"), F.col("item_id").cast("int").alias("order"), T.slug(F.col("heading")).alias("section_id"), "heading", F.lit(2).alias("level"), F.lit(None).cast("string").alias("parent_id"), F.col("heading").alias("path"), F.lit(None).cast("string").alias("content_hash"))
     first = own.groupBy("doc").agg(F.min_by("heading", "section_id").alias("heading")).withColumn("level", F.lit(2)).withColumn("parent_id", F.lit(None).cast("string"))
-    return lines.append_section(own, first, ["doc"]).select(F.col("order").cast("long").alias("item_id"), "section_id")
+    return lines.append_section(own, first, ["doc"]).select("doc", F.col("order").cast("long").alias("item_id"), "section_id")
 
 
 @query("SELECT doc_id, sha256(text) AS sha256 FROM documents WHERE doc_id % 3 = 0 OR sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 3 <> 0)")
@@ -825,14 +825,16 @@ def python_symbols(spark, d):
 @query("SELECT DISTINCT user_id AS doc_id, event_type AS text, sha256(event_type) AS sha256 FROM events")
 def stream_batches(spark, d):
     """Events as a stream of files, each content once."""
+    import tempfile
     import uuid
 
     from weftline.streaming.runner import new_versions
 
-    name = "stream_" + uuid.uuid4().hex
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}"
+    root = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
     source = table(spark, d, "events")
     stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(d)
     rows = new_versions(stream.select(F.col("user_id").alias("doc_id"), F.col("event_type").alias("text")))
-    q = rows.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+    q = rows.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(rows.schema).parquet(f"{root}/out")

@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions import text as T
-from weftline.operators import blocks, lines, package, scoring
+from weftline.functions import vocabulary as V
+from weftline.operators import blocks, lines, package, prompts, scoring
+from weftline.sources import readers
 
 
-def route(packages: DataFrame, documents: DataFrame, change: str = "change_id", doc: str = "doc_id") -> dict[str, DataFrame]:
-    """``packages``: change, doc, json.  ``documents``: doc, text.
+def route(packages: DataFrame, documents: DataFrame, change: str = "change_id", doc: str = "doc_id", choose=None) -> dict[str, DataFrame]:
+    """``packages``: change, doc, json.  ``documents``: doc, text.  ``choose``: from shortlist and leaders to (change, section_id) of
+    changes whose section somebody else has picked.
 
     Gives ``shortlist``, ``assessed`` and ``decided`` sections, and ``places``, the shortlist of
     blocks and sentences in each decided section, with ``placed``, the verdict on them.
@@ -26,6 +29,10 @@ def route(packages: DataFrame, documents: DataFrame, change: str = "change_id",
     assessed = scoring.assess(shortlist, keys)
     decided = scoring.decide(assessed.join(of_doc, change), catalog, keys, [doc])
 
+    if choose is not None:
+        picked = choose(shortlist, assessed.select(change, "section_id")).select(change, F.col("section_id").alias("_picked"))
+        decided = decided.join(picked, change, "left").withColumn("action", F.when(F.col("_picked").isNotNull(), "update_section").otherwise(F.col("action"))).withColumn("section_id", F.coalesce("_picked", "section_id")).drop("_picked")
+
     chosen = decided.where("action = 'update_section'").select(change, "section_id").join(of_doc, change)
     _, indexed = blocks.block_index(documents, [doc])
     own = blocks.eligible(indexed).join(chosen, [doc, "section_id"]).select(change, doc, "block_id", F.col("block_id").alias("candidate_id"), F.col("block_order"), F.col("block_text").alias("text"), "content_text", "block_type")
@@ -55,3 +62,33 @@ def placement_signals(files: DataFrame, hunks: DataFrame, parsed: DataFrame, key
     out = paths.join(sides, keys, "left").join(parsed.select(*keys, T.keywords(F.col("generated_summary")).alias("summary")), keys, "left")
     out = out.withColumns({c: F.coalesce(c, none) for c in ("symbols", "removed", "added", "hunk", "summary")})
     return out.withColumn("change_categories", T.categories(F.array_join(F.array_sort(F.array_union("paths", "modules")), " ")))
+
+
+def run(packages: DataFrame, documents: DataFrame, override: DataFrame | None = None, generate=None, least: float = V.MIN_CONFIDENCE, change: str = "change_id", doc: str = "doc_id") -> DataFrame:
+    """(change, report): what would be done, as JSON; nothing is written.
+
+    ``override``: change, section_id, which go before everything else.  ``generate``: a text generator that may pick among the
+    shortlisted sections.  A package of an unknown version, or one that is no object, gives its status alone.
+    """
+    keys = [change]
+    checked = readers.supported(packages)
+    fine = checked.where("status = 'ok'")
+
+    def choose(shortlist: DataFrame, leaders: DataFrame) -> DataFrame:
+        picked = override
+        if generate is not None:
+            named = package.parse_packages(fine, keys).select(change, F.coalesce("generated_summary", F.lit("")).alias("summary"))
+            asked = prompts.selection_prompt(shortlist, named, keys)
+            answers = prompts.ask(asked, keys, generate)
+            own = prompts.selected_sections(answers, asked, leaders, keys, least).where("source = 'generator'").select(change, "section_id")
+            picked = own if picked is None else picked.unionByName(own.join(picked.select(change), change, "left_anti"))
+        return leaders.limit(0) if picked is None else picked
+
+    found = route(fine, documents, change, doc, choose if override is not None or generate is not None else None)
+    shortlist = found["shortlist"].groupBy(change).agg(F.array_sort(F.collect_list(F.struct("rank", "section_id", "score", "matched_signals"))).alias("shortlist"))
+    places = found["places"].groupBy(change).agg(F.array_sort(F.collect_list(F.struct("rank", "candidate_id", "candidate_type", "score"))).alias("candidates"))
+    hashes = checked.join(documents, doc, "left").select(change, "status", F.sha2(F.col("json").cast("binary"), 256).alias("package_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("document_sha256"))
+    placed = found["placed"].select(change, F.struct("recommendation", "candidate_id", "confidence", "ambiguous").alias("placement"))
+    out = hashes.join(found["decided"].select(change, F.struct("action", "section_id", "confidence", "ambiguous").alias("routing")), change, "left")
+    out = out.join(shortlist, change, "left").join(placed, change, "left").join(places, change, "left")
+    return out.select(change, F.to_json(F.struct("status", "package_sha256", "document_sha256", "routing", "shortlist", "placement", "candidates")).alias("report"))

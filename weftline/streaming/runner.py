@@ -17,7 +17,10 @@ def run_packages(spark: SparkSession, source: str, checkpoint: str, handle: Call
 
 
 def new_versions(documents: DataFrame, key: str = "doc_id", text: str = "text", event_time: str | None = None, late: str = "1 day") -> DataFrame:
-    """A stream without documents whose content was seen before; with a time, state is kept for ``late`` only."""
+    """A stream without documents whose content was seen before.
+
+    With a time, state is kept for ``late`` only; without one every (key, hash) is kept, so an endless stream needs a time.
+    """
     hashed = documents.withColumn("sha256", F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256))
     if event_time:
         return hashed.withWatermark(event_time, late).dropDuplicatesWithinWatermark([key, "sha256"])
