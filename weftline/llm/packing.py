@@ -19,6 +19,7 @@ depends on how rows are dealt to tasks.
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -32,6 +33,8 @@ LIMIT = 4096
 END_ID = 2
 #: The tokenizer's name for its end, which it knows in any text: a mark between words that are encoded together.
 MARK, MARK_ID = "<|endoftext|>", 49407
+#: Latin letters that stay letters when they are lower-cased.
+LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
 
 
 def split_words(text: str) -> list[str]:
@@ -61,29 +64,63 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(file)
         if self.tokenizer.token_to_id(MARK) != MARK_ID:
             raise ValueError(f"{file} doesn't have {MARK} as {MARK_ID}")
+        #: Which ids are a word's last piece.
+        self.closing = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for piece, i in self.tokenizer.get_vocab().items():
+            self.closing[i] = piece.endswith("</w>")
+        self.units: WordCodes | None = None
         self.reset()
 
     def reset(self) -> None:
-        self.codes, self.units = WordCodes(300_000), WordCodes(300_000)
-        self.unit_flat, self.flat = np.zeros(0, np.uint32), np.zeros(0, np.uint32)
-        self.unit_starts, self.unit_lengths, self.starts, self.lengths = (np.zeros(0, np.int64) for _ in range(4))
+        """Forget all words, and units too if their table is full: units cost the encoding, words only a look at their units."""
+        self.codes, self.flat = WordCodes(250_000), np.zeros(0, np.uint32)
+        self.starts, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if self.units is None or self.units.full():
+            self.units, self.unit_flat = WordCodes(500_000), np.zeros(0, np.uint32)
+            self.unit_starts, self.unit_lengths = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def encode(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids one after another, and how many each unit has."""
-        plain = [u if "<|" not in u else "" for u in units]
-        together = [MARK.join(plain[at : at + 500]) for at in range(0, len(plain), 500)]
-        ids = [np.array(e.ids + [MARK_ID], np.uint32) for e in self.tokenizer.encode_batch_fast(together, add_special_tokens=False)]
-        ids = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+        """All ids one after another, and how many each unit has.
+
+        Units of letters have one last piece each, so they are encoded with blanks between them; the
+        tokenizer's mark stands between others; units that may hold a special string are encoded alone.
+        """
+        kind = np.fromiter((0 if LETTERS.fullmatch(u) else 2 if "<|" in u else 1 for u in units), np.int8, len(units))
+        parts, lengths = [], np.zeros(len(units), np.int64)
+        for way in (0, 1, 2):
+            at = np.flatnonzero(kind == way)
+            for lot in range(0, len(at), 20_000):
+                some = at[lot : lot + 20_000]
+                ids, sizes = (self._letters, self._marked, self._alone)[way]([units[i] for i in some])
+                parts.append(ids)
+                lengths[some] = sizes
+        # From the order of the ways to that of the units.
+        order = np.argsort(kind, kind="stable")
+        starts = np.empty(len(units), np.int64)
+        starts[order] = np.cumsum(lengths[order]) - lengths[order]
+        every = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+        return every[ragged(starts, lengths)], lengths
+
+    def _joined(self, units: list[str], between: str, after: list[int]) -> np.ndarray:
+        together = [between.join(units[at : at + 500]) for at in range(0, len(units), 500)]
+        ids = [np.array(e.ids + after, np.uint32) for e in self.tokenizer.encode_batch_fast(together, add_special_tokens=False)]
+        return np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+
+    def _letters(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = self._joined(units, " ", [])
+        ends = np.flatnonzero(self.closing[ids])
+        if len(ends) != len(units):
+            return self._marked(units)
+        return ids, np.diff(ends, prepend=-1)
+
+    def _marked(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = self._joined(units, MARK, [MARK_ID])
         ends = np.flatnonzero(ids == MARK_ID)
-        parts, lengths = np.delete(ids, ends), np.diff(ends, prepend=-1) - 1
-        special = [i for i, u in enumerate(units) if "<|" in u]
-        if special:
-            at = np.cumsum(lengths) - lengths
-            each = [parts[s : s + n] for s, n in zip(at, lengths, strict=True)]
-            for i in special:
-                each[i] = np.array(self.tokenizer.encode(units[i], add_special_tokens=False).ids, np.uint32)
-            parts, lengths = np.concatenate(each), np.array([len(x) for x in each], np.int64)
-        return parts, lengths
+        return np.delete(ids, ends), np.diff(ends, prepend=-1) - 1
+
+    def _alone(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        each = [np.array(self.tokenizer.encode(u, add_special_tokens=False).ids, np.uint32) for u in units]
+        return np.concatenate(each), np.array([len(x) for x in each], np.int64)
 
     def learn(self) -> None:
         new = self.codes.words[len(self.starts) :]
@@ -91,7 +128,7 @@ class WordIds:
             return
         pairs = []
         for w in new:
-            core = w.rstrip(".,")
+            core = w.rstrip(".,") if w[-1:] in (".", ",") else w
             if len(core) < len(w) and core.isalpha() and core[-1] < "\u0250" and core[-1] != "İ":
                 pairs += (self.units[core], self.units[w[len(core) :]])
             else:
