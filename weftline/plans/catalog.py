@@ -11,7 +11,7 @@ from weftline.functions import text as T
 from weftline.functions import vocabulary as V
 from weftline.operators import blocks, canonical, context, diff, evidence, headings, lines, scoring, suggestions, validate
 from weftline.plans import relations as R
-from weftline.session import table
+from weftline.session import if_small, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -459,11 +459,16 @@ def list_counters(spark, d):
 
 
 def _routed(spark, d):
-    """Documents as changes, benchmark items as sections: overlap of tokens, by a join on the token."""
-    docs = table(spark, d, "documents").select("doc_id", F.explode(T.keywords(F.col("text"), V.CONTENT_KEYWORD_LIMIT)).alias("token"))
+    """Documents as changes, benchmark items as sections: overlap of tokens, by a join on the token.
+
+    Documents are dealt by id with their tokens; sections come to them as a broadcast index while that is small.  Pairs of
+    a document and a section are counted, scored and ranked where they arise and are never moved, however hot a token is.
+    """
+    docs = table(spark, d, "documents").select("doc_id", T.keywords(F.col("text"), V.CONTENT_KEYWORD_LIMIT).alias("tokens")).repartition("doc_id")
+    docs = docs.select("doc_id", F.explode("tokens").alias("token"))
     own = R.sections(spark, d).select("item_id", T.keywords(F.col("heading")).alias("h"), T.keywords(F.col("content"), V.CONTENT_KEYWORD_LIMIT).alias("c"))
     tokens = own.select("item_id", F.explode(F.array_union("h", "c")).alias("token"), "h", "c").select("item_id", "token", F.array_contains("h", F.col("token")).alias("in_heading"), F.array_contains("c", F.col("token")).alias("in_content"))
-    counted = docs.join(tokens, "token").groupBy("doc_id", "item_id").agg(F.count_if("in_heading").alias("heading_hits"), F.count_if("in_content").alias("content_hits"))
+    counted = docs.join(if_small(tokens), "token").groupBy("doc_id", "item_id").agg(F.count_if("in_heading").alias("heading_hits"), F.count_if("in_content").alias("content_hits"))
     return counted.withColumn("score", scoring.capped("heading_overlap", F.col("heading_hits")) + scoring.capped("content_overlap", F.col("content_hits")))
 
 
@@ -796,6 +801,27 @@ def hunk_details(spark, d):
     return rows.select("doc_id", "h.summary", F.size("h.change_blocks").cast("long").alias("n_blocks"), F.array_join(F.transform("h.change_blocks", lambda b: b["summary"]), "|").alias("says"))
 
 
+_TOP = r"^\s*(#{1,6}) (.*)$"
+
+
+@query(
+    rf"""WITH {R.MD_TEXT}, ln AS (SELECT *, regexp_matches(t, '^\s*(```|~~~)') AS fence, sum(CASE WHEN regexp_matches(t, '^\s*(```|~~~)') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS nf, max(pos) OVER (PARTITION BY doc_id) AS last FROM mt),
+ e AS (SELECT doc_id, bool_or(pos = last AND t = '') AS broken FROM ln GROUP BY doc_id), k AS (SELECT ln.* FROM ln JOIN e USING (doc_id) WHERE NOT (broken AND pos = last)),
+ h AS (SELECT doc_id, pos, length(regexp_extract(t, '{_TOP}', 1)) AS lv FROM k WHERE NOT fence AND nf % 2 = 0 AND regexp_matches(t, '{_TOP}')), f AS (SELECT doc_id, min(pos) AS at, arg_min(lv, pos) AS lv FROM h GROUP BY doc_id),
+ s AS (SELECT f.doc_id, coalesce((SELECT min(pos) FROM h WHERE h.doc_id = f.doc_id AND h.pos > f.at AND h.lv <= f.lv), (SELECT max(pos) + 1 FROM k WHERE k.doc_id = f.doc_id)) AS stop FROM f),
+ r AS (SELECT doc_id, pos * 10 + 5 AS o, t FROM k UNION ALL SELECT doc_id, stop * 10 + i, ['', '> first', '> second', ''][i + 1] FROM s, (SELECT unnest(range(4)) AS i)),
+ j AS (SELECT doc_id, string_agg(t, chr(10) ORDER BY o) AS j FROM r GROUP BY doc_id)
+ SELECT doc_id, sha256(CASE WHEN broken AND NOT ends_with(j, chr(10)) THEN j || chr(10) ELSE j END) AS sha256 FROM j JOIN e USING (doc_id) JOIN f USING (doc_id)"""
+)
+def inserted_blocks(spark, d):
+    """Two lines put at the end of each document's first section."""
+    docs = R.md_text(spark, d)
+    heads = lines.with_fences(docs.select("doc_id", F.posexplode(T.lines(F.col("text"))).alias("pos", "line")), ["doc_id"]).where(~F.col("fence") & ~F.col("in_fence") & F.col("line").rlike(_TOP))
+    first = heads.groupBy("doc_id").agg(F.min_by(F.regexp_extract("line", _TOP, 2), "pos").alias("heading"))
+    inserts = first.select("doc_id", F.lit(1).alias("ordinal"), "heading", T.literals(["> first", "> second"]).alias("block"))
+    return lines.insert_blocks(docs, inserts, ["doc_id"]).where(F.size("found") > 0).select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
+
+
 @query()
 def sentence_index(spark, d):
     _, rows = blocks.block_index(R.md_text(spark, d), ["doc_id"])
