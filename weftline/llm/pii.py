@@ -62,7 +62,8 @@ DOT_WORDS, AT_WORDS, PLUS_WORDS = ("dot", "point", "punkt", "punto"), ("at", "ar
 FULL_WIDTH = {c: chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}
 OTHER_DIGITS = {base + d: str(d) for base in (0x0660, 0x06F0, 0x0966, 0x1D7CE, 0x1D7D8, 0x1D7E2, 0x1D7EC, 0x1D7F6) for d in range(10)}
 SINGLE = FULL_WIDTH | OTHER_DIGITS | LOOK_ALIKES
-ODD = re.compile("[" + "".join(re.escape(chr(c)) for c in sorted({c if isinstance(c, int) else ord(c) for c in SINGLE} | set(map(ord, INVISIBLE)))) + "]")
+ODD_SET = frozenset([chr(c) for c in SINGLE]) | frozenset(INVISIBLE)
+ODD = re.compile("[" + "".join(map(re.escape, sorted(ODD_SET))) + "]")
 _DIGIT = "(?:" + "|".join(DIGIT_WORDS) + ")"
 _DOT, _AT, _PLUS = ("(?:" + "|".join(words) + ")" for words in (DOT_WORDS, AT_WORDS, PLUS_WORDS))
 SPELLED = re.compile(rf"(?i)\b(?:({_PLUS})[ -]+)?({_DIGIT}(?:[ ,-]+{_DIGIT}){{3,}}(?:[ ,-]+{_DOT}[ ,-]+{_DIGIT}(?:[ ,-]+{_DIGIT})*)*)\b")
@@ -92,6 +93,8 @@ DOMAIN_WRITTEN = re.compile(rf"(?i)\s*[A-Za-z0-9-]+(?:(?:\s+{_DOT}\s+|\.)[A-Za-z
 IP_DOT = re.compile(rf"(?i)(?<=[0-9])\s+{_DOT}\s+(?=[0-9])")
 #: A secret that stands behind its name: its value is what is found.
 SECRET = re.compile(r"""(?i)(?:token|secret|passw(?:or)?d|passwort|pwd|api[_-]?key|access[_-]?key|authorization|bearer)["']?\s*(?:[:=]|\bis\b)\s*(?:bearer\s+)?["']?([A-Za-z0-9_./+=~-]{8,})""")
+SECRET_NAMES = ("token", "secret", "passw", "pwd", "key", "authorization", "bearer")
+KEY_STARTS = ("AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "eyJ")
 #: Secrets that their own form gives away.
 KEY = re.compile(r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,})")
 
@@ -225,12 +228,20 @@ def _domain_end(t: str, begin: int, domain: re.Match, likely: bool, clear: bool)
     return 0
 
 
+def _has_run(low: str) -> bool:
+    """Whether two neighbouring words are digits' names and nothing more, as any two inside a spelled number are."""
+    at = [i for i, w in enumerate(low.replace("-", " ").replace(",", " ").split()) if w in DIGIT_WORDS]
+    return any(b - a == 1 for a, b in zip(at, at[1:], strict=False))
+
+
 def disguised(t: str) -> list[Span]:
     """Spans found only once disguises are undone; those that the base detectors see are left out by the caller."""
-    odd = not t.isascii() and ODD.search(t)
-    bracketed = BRACKETED.search(t)
-    written = DOT.search(t)
-    spelled = SPELLED.search(t)
+    low = t.lower()
+    odd = not (t.isascii() or ODD_SET.isdisjoint(set(t)))
+    # Words and signs are looked for plainly first; most texts have none of them.
+    bracketed = any(c in t for c in "[({<") and BRACKETED.search(t)
+    written = any(w in low for w in DOT_WORDS) and DOT.search(t)
+    spelled = _has_run(low) and SPELLED.search(t)
     if not (odd or bracketed or written or spelled):
         return []
     tape = Tape(t)
@@ -258,8 +269,12 @@ def find(t: str) -> tuple[list[Span], list[Span]]:
 
 def secrets(t: str) -> list[tuple[int, int]]:
     """Spans of passwords, tokens and keys, in order, none inside another."""
+    low = t.lower()
+    found = [m.span(1) for m in SECRET.finditer(t)] if any(w in low for w in SECRET_NAMES) else []
+    if any(w in t for w in KEY_STARTS):
+        found += [m.span() for m in KEY.finditer(t)]
     out, at = [], 0
-    for s, e in sorted([m.span(1) for m in SECRET.finditer(t)] + [m.span() for m in KEY.finditer(t)]):
+    for s, e in sorted(found):
         if s >= at:
             out.append((s, at := e))
     return out
