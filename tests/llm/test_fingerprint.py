@@ -7,8 +7,23 @@ from tests.llm.texts import edge, empty
 from weftline.llm import fingerprint, queries
 
 
+def paragraphs(text):
+    """Lines, cut after the first sentence end from the 201st character on; again for what is left."""
+    out = set()
+    for line in text.split("\n"):
+        while len(line) > fingerprint.LONG:
+            ends = [i + 1 for i in range(fingerprint.LONG, len(line) - 1) if line[i] in ".!?" and line[i + 1] in " \t\x0b\x0c\r"]
+            if not ends:
+                break
+            out.add(line[: ends[0]])
+            line = line[ends[0] :]
+        if line:
+            out.add(line)
+    return out
+
+
 def likeness(a, b):
-    x, y = ({p for p in t.split("\n") if p} for t in (a, b))
+    x, y = paragraphs(a), paragraphs(b)
     return len(x & y) / len(x | y) if x | y else 1.0
 
 
@@ -40,6 +55,16 @@ def test_many_paragraphs_and_ranges(spark, monkeypatch):
         assert by_text.setdefault(t, r["fingerprint"]) == r["fingerprint"]
 
 
+def test_long_lines(spark):
+    rng = random.Random(3)
+    say = lambda n: " ".join("word " * rng.randrange(1, 12) + rng.choice(["end.", "what?", "so!", "no.more", "."]) for _ in range(n))
+    rows = [(i, "\n".join(say(rng.choice([1, 5, 40])) for _ in range(rng.choice([1, 1, 3])))) for i in range(30)]
+    found = fingerprint.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    check(found, rows)
+    long_line = {i for i, t in rows if len(t) > 1200 and t.count("\n") < 2}
+    assert long_line and all(r["near_edited"] > 0.3 for r in found if r["doc_id"] in long_line)
+
+
 def test_retries_until_everything_peels(spark, monkeypatch):
     """Groups far too small fail at first and are built again larger."""
     monkeypatch.setattr(fingerprint, "PER_GROUP", 400)

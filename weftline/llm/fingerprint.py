@@ -1,6 +1,9 @@
 """Document fingerprints in DataFrame functions only: invertible Bloom lookup sketches of paragraphs.
 
-A paragraph is a non-empty line; its digest is a 64-bit hash.  A sketch has
+A paragraph is a non-empty line, and a long one falls into several: each ends with
+the first sentence that makes it ``LONG`` characters.  So a change at one place of
+a long line leaves what stands before it, and all from the next paragraph on, as
+it was.  A paragraph's digest is a 64-bit hash.  A sketch has
 ``groups`` (a power of two that follows the number of paragraphs) of
 ``CELLS`` cells.  A digest goes to one group and there to one cell of each
 third; a cell holds a count, the exclusive or of its digests and that of their
@@ -31,12 +34,16 @@ THIRD = CELLS // 3
 PER_GROUP = 8
 PEEL_ROUNDS = 12
 ROWS_PER_RANGE = 50_000
+LONG = 200
+PARAGRAPH = rf"(?s)(.{{{LONG},}}?[.!?](?=\s)|.+\z)"
 LOWEST = -(1 << 63)
 
 
 def paragraph_digests(text: Column) -> Column:
     """The distinct digests of a text's paragraphs."""
-    return F.array_distinct(F.transform(F.filter(F.split(text, "\n"), lambda p: p != ""), lambda p: F.xxhash64(p)))
+    lines = F.filter(F.split(text, "\n"), lambda p: p != "")
+    cut = lambda p: F.when(F.length(p) <= LONG, F.array(p)).otherwise(F.regexp_extract_all(p, F.lit(PARAGRAPH), F.lit(1)))
+    return F.array_distinct(F.transform(F.flatten(F.transform(lines, cut)), lambda p: F.xxhash64(p)))
 
 
 def groups_for(n: Column, level: int) -> Column:
