@@ -308,3 +308,29 @@ def test_preview_reports_and_commands(spark, tmp_path):
     assert cli.run(spark, ["index", f"{at}/a.md"]).where("block_type = 'code_block'").count() == 1
     assert cli.run(spark, ["check", f"{at}/a.md"]).collect()[0]["status"] == "existing_invalid"
     assert "src/loader.py" in cli.run(spark, ["report", f"{at}/p.json"]).collect()[0]["body"]
+
+
+def test_index_is_kept_rebuilt_or_created(spark, tmp_path):
+    from weftline.operators import package as P
+    from weftline.plans import index
+
+    text = "Before.\n\n# A\n## X\nOne here. Two there.\nThird line.\n\n- an item\n\n## X\n```\ncode\n```\n"
+    docs = spark.createDataFrame([(i, text, f"{i}.md") for i in "abcde"], "doc_id string, text string, source string")
+    skeleton = spark.createDataFrame([("a", 1, "kept", "A > X")], "doc_id string, `order` int, section_id string, path string")
+    made = {r["doc_id"]: r["json"] for r in index.build(docs, skeleton).collect()}
+    own = json.loads(made["a"])
+    assert own["source"]["path"] == "a.md" and own["source"]["size_bytes"] == len(text) and made["a"].replace("a.md", "") != made["b"].replace("b.md", "")
+    assert [(s["section_id"], s["heading_path"], len(s["blocks"])) for s in own["sections"]] == [("preamble", ["(preamble)"], 1), ("a", ["A"], 0), ("kept", ["A", "X"], 2), ("a-x", ["A", "X"], 1)]
+    assert [s["section_id"] for s in json.loads(made["b"])["sections"]] == ["preamble", "a", "a-x", "a-x-2"]
+    first, item = own["sections"][2]["blocks"]
+    assert [(s["text"], s["start_line"], s["end_line"]) for s in first["sentences"]] == [("One here.", 5, 5), ("Two there.", 5, 5), ("Third line.", 6, 6)]
+    assert all(text[s["source_start_offset"] : s["source_end_offset"]] == s["text"] for b in (first, item) for s in b["sentences"])
+    assert item["sentences"][0]["text"] == "an item" and text[item["source_start_offset"] : item["source_end_offset"]] == "- an item"
+    stored = spark.createDataFrame([("a", made["a"]), ("b", "{"), ("c", made["c"].replace("c.md", "z.md")), ("d", json.dumps({"schema_version": 9, "source": {}, "sections": []}))], "doc_id string, json string")
+    found = {r["doc_id"]: (r["status"], r["json"]) for r in index.ensure(docs, stored, skeleton).collect()}
+    assert {k: v[0] for k, v in found.items()} == {"a": "current", "b": "rebuilt", "c": "rebuilt", "d": "rebuilt", "e": "created"} and all(found[k][1] == made[k] for k in "abcde")
+    assert one(spark, P.schema_version(F.col("t")), t='{"schema_version": 3}') == 3 and one(spark, P.schema_version(F.col("t")), t='{"schema_version": "x"}') is None
+    subprocess.run(["git", "init", "-q", str(tmp_path)], check=True)
+    assert readers.git_remote(str(tmp_path)) is None
+    subprocess.run(["git", "-C", str(tmp_path), "config", "remote.origin.url", "git@host:me/tool.git"], check=True)
+    assert one(spark, canonical.remote_name(F.col("t")), t=readers.git_remote(str(tmp_path))) == "tool"

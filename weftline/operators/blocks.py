@@ -121,19 +121,23 @@ def block_rows(docs: DataFrame, keys: list[str], text: str = "text") -> DataFram
     return docs.select(*keys, F.coalesce(F.col(text), F.lit("")).alias("body")).mapInPandas(run, schema)
 
 
-def block_index(docs: DataFrame, keys: list[str], text: str = "text") -> tuple[DataFrame, DataFrame]:
+def block_index(docs: DataFrame, keys: list[str], text: str = "text", skeleton: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(sections, blocks) with ids, hashes, keywords and flags.
 
-    Text before the first heading is the section ``(preamble)`` of level 0.
+    Text before the first heading is the section ``(preamble)`` of level 0.  With a ``skeleton`` (keys, order,
+    section_id, path) sections keep its ids.
     """
-    from weftline.operators.lines import unique_slugs, with_ancestors
+    from weftline.operators.lines import match_ids, unique_slugs, with_ancestors
 
     rows = block_rows(docs, keys, text)
     heads = rows.where("block_type = 'heading'").withColumn("pos", F.col("section"))
     titled = with_ancestors(heads, keys).withColumn("path", F.array_join("path", " > ")).select(*keys, "pos", "heading", "level", "path", "generated")
     preamble = rows.where("section = 0").select(*keys, F.lit(0).alias("pos"), F.lit("").alias("heading"), F.lit(0).alias("level"), F.lit("(preamble)").alias("path"), F.lit(False).alias("generated")).distinct()
     every = titled.unionByName(preamble)
-    named = unique_slugs(every.withColumn("_slug", T.slug(F.col("path"))), keys, "_slug").drop("_slug")
+    if skeleton is None:
+        named = unique_slugs(every.withColumn("_slug", T.slug(F.col("path"))), keys, "_slug").drop("_slug")
+    else:
+        named = match_ids(every.withColumn("order", F.col("pos")).withColumn("section_id", F.lit("")), skeleton, keys).drop("order")
     order = F.row_number().over(Window.partitionBy(*keys).orderBy("pos"))
     sections = named.withColumn("order", order).withColumnRenamed("pos", "section")
     own = rows.where("block_type != 'heading'").join(sections.select(*keys, "section", "section_id"), [*keys, "section"])

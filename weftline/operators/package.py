@@ -22,6 +22,11 @@ def parse_packages(rows: DataFrame, keys: list[str], json: str = "json") -> Data
     return rows.select(*keys, own.alias("p"), F.when(is_bare, bare).alias("bare")).select(*keys, "p.*", "bare").withColumn("changed_files", F.coalesce("bare", "changed_files")).drop("bare")
 
 
+def schema_version(json: Column) -> Column:
+    """A package's version as a whole number; null without one."""
+    return F.get_json_object(json, "$.schema_version").try_cast("int")
+
+
 def files(packages: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, schema_version, ordinal, path, old_path, status, additions, deletions, binary, what_changed)."""
     f = packages.select(*keys, "schema_version", F.posexplode("changed_files").alias("ordinal", "f"))

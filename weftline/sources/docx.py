@@ -172,3 +172,8 @@ def list_items(rows: DataFrame) -> DataFrame:
     counted = H.list_counters(items, ["doc_id", "num_id"], level="ilvl", sequential="counts")
     marker = H.list_marker(own("lvl_text"), F.col("counters"), F.transform("levels", lambda x: x["num_fmt"]))
     return counted.select("doc_id", "pos", "num_id", "ilvl", "counters", marker.alias("marker"))
+
+
+def numbering_warnings(items: DataFrame) -> DataFrame:
+    """(doc_id, num_id, warning): numbered paragraphs without a definition, told once for each number."""
+    return items.where("marker is null").select("doc_id", "num_id", F.concat(F.lit("no definition for list "), F.col("num_id").cast("string")).alias("warning")).dropDuplicates(["doc_id", "num_id"])

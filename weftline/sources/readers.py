@@ -51,6 +51,14 @@ def git_changes(spark: SparkSession, before: str, after: str, repo: str = ".", c
     return {"status": status, "counts": counts, "diffs": spark.createDataFrame(diffs, "change_id string, path string, diff string")}
 
 
+def git_remote(repo: str = ".") -> str | None:
+    """The address of a repository's remote, from its own configuration; None where there is none."""
+    try:
+        return git_output(["config", "--get", "remote.origin.url"], repo, 5).strip() or None
+    except (subprocess.SubprocessError, OSError):
+        return None
+
+
 def git_blob(sha: str, path: str, repo: str = ".") -> str:
     """A file's text at a commit; empty where it isn't there."""
     try:
