@@ -45,7 +45,7 @@ def test_shared_prefixes_change_nothing():
     for word, (ids, _) in zip(words, vocabulary.encode(words), strict=True):
         assert [ids] == [x for x, _ in fresh.encode([word])]
         merged = fresh.merged(word.replace(" ", viterbi.MARK))
-        assert ids == [i for p in merged for i in ([fresh.score[p][1]] if p in fresh.score else [fresh.byte_id[b] for b in p.encode()])]
+        assert list(ids) == [i for p in merged for i in ([fresh.score[p][1]] if p in fresh.score else [fresh.byte_id[b] for b in p.encode()])]
 
 
 def test_encoding_is_the_librarys():

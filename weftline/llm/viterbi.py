@@ -61,6 +61,7 @@ class Vocabulary:
             by_last.setdefault(p[-1], {1}).add(len(p))
         #: Lengths that pieces with a given last character have, longest first.
         self.lengths = {c: sorted(n, reverse=True) for c, n in by_last.items()}
+        self.gain = {p: found[0] for p, found in self.score.items()}
         self.known: dict[tuple[str, str], bool] = {}
         self.spelled = np.empty(model.vocab_size(), object)
         self.spelled[:] = b""
@@ -71,52 +72,57 @@ class Vocabulary:
 
     def merged(self, text: str) -> list[str]:
         """What merging gives for a short text."""
-        parts, score = list(text), self.score
-        while True:
-            found = [(score[u][0], -i) for i in range(len(parts) - 1) if (u := parts[i] + parts[i + 1]) in score]
-            if not found:
-                return parts
-            at = -max(found)[1]
+        parts, get, none = list(text), self.gain.get, -1e300
+        gains = [get(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
+        while gains and (top := max(gains)) > none:
+            at = gains.index(top)  # the leftmost of equals
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del gains[at]
+            if at < len(gains):
+                gains[at] = get(parts[at] + parts[at + 1], none)
+            if at:
+                gains[at - 1] = get(parts[at - 1] + parts[at], none)
+        return parts
 
     def fits(self, before: str, piece: str) -> bool:
-        """Whether ``piece`` can follow the piece ``before`` (empty at a word's start)."""
-        pair = (before, piece)
-        if (out := self.known.get(pair)) is None:
-            if len(self.known) >= PAIRS:
-                self.known.clear()
-            out = self.known[pair] = (not before or before + piece not in self.score) and self.merged(before + piece) == ([before, piece] if before else [piece])
+        """Whether ``piece`` can follow the piece ``before`` (empty at a word's start); remembered for later."""
+        if len(self.known) >= PAIRS:
+            self.known.clear()
+        out = self.known[before, piece] = (not before or before + piece not in self.gain) and self.merged(before + piece) == ([before, piece] if before else [piece])
         return out
 
-    def encode(self, words: list[str]) -> list[tuple[list[int], float]]:
+    def encode(self, words: list[str]) -> list[tuple[tuple[int, ...], float]]:
         """Ids and score of each word; blanks in words are marks."""
         out: list = [None] * len(words)
-        score, lengths, alone = self.score, self.lengths, (1,)
-        # The forward state of a prefix: its last piece, and where that begins.
-        last, back, before = [""], [0], ""
+        get, lengths, known, alone = self.score.get, self.lengths, self.known, (1,)
+        # The forward state of a prefix: its last piece, and the ids and the score of its best path.
+        last, path, total, before = [""], [()], [0.0], ""
         for n in sorted(range(len(words)), key=words.__getitem__):
             word = words[n].replace(" ", MARK)
-            kept = _shared(before, word)
-            del last[kept + 1 :], back[kept + 1 :]
-            for end in range(kept + 1, len(word) + 1):
+            kept = _shared(before, word) + 1
+            del last[kept:], path[kept:], total[kept:]
+            for end in range(kept, len(word) + 1):
                 for size in lengths.get(word[end - 1], alone):
-                    if size <= end:
-                        piece = word[end - size : end]
-                        if (size == 1 or piece in score) and self.fits(last[end - size], piece):
-                            last.append(piece)
-                            back.append(end - size)
-                            break
+                    if size > end:
+                        continue
+                    start = end - size
+                    piece = word[start:end]
+                    if (found := get(piece)) is None and size > 1:
+                        continue
+                    pair = (last[start], piece)
+                    if (fits := known.get(pair)) is None:
+                        fits = self.fits(*pair)
+                    if fits:
+                        last.append(piece)
+                        if found is None:
+                            path.append(path[start] + tuple(self.byte_id[b] for b in piece.encode()))
+                            total.append(total[start] + self.unknown)
+                        else:
+                            path.append((*path[start], found[1]))
+                            total.append(total[start] + found[0])
+                        break
             before = word
-            ids, total, end = [], 0.0, len(word)
-            while end:
-                if (found := score.get(last[end])) is not None:
-                    ids.append(found[1])
-                    total += found[0]
-                else:
-                    ids += [self.byte_id[b] for b in reversed(last[end].encode())]
-                    total += self.unknown
-                end = back[end]
-            out[n] = (ids[::-1], total)
+            out[n] = (path[-1], total[-1])
         return out
 
     def decode(self, ids: np.ndarray) -> str:
@@ -142,7 +148,7 @@ class WordPieces:
         self.reset()
 
     def reset(self) -> None:
-        self.codes = WordCodes()
+        self.codes = WordCodes(600_000)
         self.flat, self.starts, self.lengths, self.scores = (np.zeros(0, t) for t in (np.int32, np.int64, np.int64, np.float64))
 
     def learn(self) -> None:
