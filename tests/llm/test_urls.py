@@ -86,7 +86,7 @@ def test_ranks_keep_their_sum(spark):
     """What reaches hosts without links isn't lost."""
     edges = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 2.0), ("c", "a", 1.0), ("b", "d", 1.0)], "src string, dst string, weight double")
     seeds = spark.createDataFrame([("a", 3.0, 0.0), ("d", 0.0, 1.0)], "host string, trust double, distrust double")
-    rows = urls.propagate(edges, seeds, Scratch(spark, "test")).collect()
+    rows = urls.propagate(edges, seeds, Scratch(spark, "test"), still=0.01).collect()
     assert abs(sum(r["trust"] for r in rows) - 1) < 1e-9 and abs(sum(r["distrust"] for r in rows) - 1) < 1e-9
 
 

@@ -30,9 +30,9 @@ from weftline.llm.common import Scratch, ascii_lower, unused
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 SEED_SHARE = 0.9
 DAMPING = 0.85
-#: Rounds stop once ranks, which sum to 1, change by no more than this in one of them; the change falls by ``DAMPING`` at least.
+#: Rounds stop once what one adds to ranks, of a sum of 1, is no more than this; it falls by ``DAMPING`` at least.
 STILL = 1e-4
-#: Rounds between two looks at the change.
+#: Rounds between two looks at what they add.
 AT_ONCE = 4
 THRESHOLD = 0.8
 LINK = r"""(?i)(?:href|src|action)\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]*)"""
@@ -72,34 +72,30 @@ def propagate(edges: DataFrame, seeds: DataFrame, scratch: Scratch, still: float
 
     ``seeds`` has host, trust, distrust.  Trust goes along edges, distrust the
     other way; both are ranked at once, told apart by ``kind``.
+
+    A rank is the sum of what a walk from the seeds leaves at a host after none, one, two and more steps, so a round
+    only moves what the last one brought.  What reaches hosts without links would go back to the seeds and from there the
+    same ways again: it makes all ranks larger by one factor, which the sum of 1 gives.
     """
     ways = edges.select(F.lit("trust").alias("kind"), "src", "dst", "weight").unionByName(edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
     out = ways.groupBy("kind", "src").agg(F.sum("weight").alias("total"))
-    ways = scratch.keep(ways.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("weight") / F.col("total")).alias("share")))
+    ways = scratch.keep(ways.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.lit(damping) * F.col("weight") / F.col("total")).alias("share")))
     start = seeds.select("host", F.expr("stack(2, 'trust', trust, 'distrust', distrust) as (kind, rank)")).where("rank > 0")
-    sums = start.groupBy("kind").agg(F.sum("rank").alias("all"))  # two rows
-    start = scratch.keep(start.join(F.broadcast(sums), "kind").select("kind", "host", (F.col("rank") / F.col("all")).alias("rank")))
-
-    def step(ranks: DataFrame) -> DataFrame:
-        """One round; ``before`` is the round's own start."""
-        moved = ways.join(ranks.select("kind", F.col("host").alias("src"), "rank"), ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.lit(damping) * F.col("share") * F.col("rank")).alias("rank"))
-        # Two rows: what a round moves, so that the rest, of hosts without links too, goes back to the seeds.
-        gone = moved.groupBy("kind").agg(F.sum("rank").alias("gone"))
-        back = start.join(F.broadcast(gone), "kind", "left").select("kind", "host", (F.col("rank") * (1 - F.coalesce("gone", F.lit(0.0)))).alias("rank"))
-        old = ranks.select("kind", "host", F.lit(0.0).alias("rank"), F.col("rank").alias("before"))
-        new = moved.unionByName(back).withColumn("before", F.lit(0.0))
-        return new.unionByName(old).groupBy("kind", "host").agg(F.sum("rank").alias("rank"), F.sum("before").alias("before"))
-
-    ranks = start
-    while not ways.isEmpty() and not start.isEmpty():
-        after = ranks
-        for _ in range(AT_ONCE):
-            after = step(after.select("kind", "host", "rank"))
-        before, ranks = ranks, scratch.keep(after)
-        if before is not start:
-            scratch.drop(before)
-        if ranks.groupBy("kind").agg(F.sum(F.abs(F.col("rank") - F.col("before"))).alias("change")).where(F.col("change") > still).isEmpty():
+
+    def shared(ranks: DataFrame) -> DataFrame:
+        sums = ranks.groupBy("kind").agg(F.sum("rank").alias("all"))  # two rows
+        return ranks.join(F.broadcast(sums), "kind").select("kind", "host", (F.col("rank") / F.col("all")).alias("rank"))
+
+    steps = [scratch.keep(shared(start))]
+    while not ways.isEmpty():
+        moved = ways.join(steps[-1].select("kind", F.col("host").alias("src"), "rank"), ["kind", "src"])
+        steps.append(scratch.keep(moved.groupBy("kind", F.col("dst").alias("host")).agg(F.sum(F.col("share") * F.col("rank")).alias("rank"))))
+        if len(steps) % AT_ONCE == 0 and steps[-1].groupBy("kind").agg(F.sum("rank").alias("added")).where(F.col("added") * (1 - damping) > still).isEmpty():
             break
+    every = steps[0]
+    for more in steps[1:]:
+        every = every.unionByName(more)
+    ranks = shared(every.groupBy("kind", "host").agg(F.sum("rank").alias("rank")))
     per = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("rank")).otherwise(0.0)).alias(kind)
     return ranks.groupBy("host").agg(per("trust"), per("distrust"))
 
