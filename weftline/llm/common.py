@@ -135,18 +135,6 @@ def per_batch(make: Callable, columns: list[str]) -> Callable:
     return run
 
 
-@contextlib.contextmanager
-def small_batches(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
-    """Arrow batches of at most ``rows`` rows for what runs inside, where a worker keeps tables beside its batch."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, min(rows, int(before)) if int(before) > 0 else rows)
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def groups_of(values: list, limit: int) -> Iterator[tuple[int, int]]:
     """Spans of neighbouring byte strings that hold about ``limit`` bytes together."""
     start = size = 0

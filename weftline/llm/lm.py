@@ -3,49 +3,70 @@
 Counts.  Words of the training documents are counted over the whole corpus; the
 base score of a text is the sum of its tokens' smoothed log10 probabilities.
 The most frequent words, at most ``HEAVY`` of them, are looked up in a broadcast
-table; all others, once per document, in a join with the counts.  A hot word
+table; all others, wherever they occur, in a join with the counts.  A hot word
 therefore never meets a join.
 
-Model.  A text is the pieces of its words and an end.  One head of causal
-self-attention over a window gives the *class* of the next piece (whether it
-starts a word, and its first letter), and the piece within its class has its
-share of the corpus' pieces, with one added to each count.  Every piece has one
-class, so the product is a probability of the piece.  Windows overlap: each scores
-its last ``BLOCK`` pieces, which see ``CONTEXT`` pieces before them, so each piece is
-scored once.  All windows of a batch are worked out together under one mask.
-
-The output layer mixes that probability (``MIX``) with one that knows the word so
-far: how often the piece, or the word's end, followed the same beginning
-of a word, backing off to the piece before and to all pieces.  These counts come
-from the corpus' word counts; the ``CONTEXTS`` most frequent at most are kept.
-
-Training.  All training documents take part with every piece: each task walks its
-share of them once from the same start, and the weights are then averaged,
-weighted by the number of pieces seen.  Counts cover every word.
+Attention.  A text is the pieces of its words and an end.  One head of causal
+self-attention over a window tells whether the next piece starts a word (or is the
+end), and then its *class*: each of the ``TOP`` most frequent pieces is a class of its
+own, the others are classes by first letter, in which a piece has its share of the
+corpus' pieces, with one added to each count.  Every piece has one class, so the
+product is a probability of the piece.  Windows overlap: each scores its last
+``BLOCK`` pieces, which see ``CONTEXT`` pieces before them, so each piece is scored
+once.  All windows of a batch are worked out together under one mask.
+
+Words.  A word's probability by the attention is that of its pieces, given that a
+word starts, and of its end after them.  The model mixes it with the word's count:
+``SPELL`` of the attention, and the rest of the counts, which give one more
+occurrence to whatever the attention gives.  No count is left out.
+
+Phrases.  A phrase ends where two words' hashes say so, after 16 words on average, or
+with the text.  All phrases of the training documents are counted, and the model
+mixes ``COPY`` of a phrase's share among them into its probability, so a text that
+the corpus holds elsewhere is far more probable than its words are.  A training
+document's own phrases don't count for itself.
+
+Training.  All training documents take part with every piece.  They are dealt to
+shards by their ids and texts, in the order of their texts' hashes; each shard is
+walked once from the same start, and the weights are averaged, weighted by the
+number of pieces seen, in whole numbers.  So the weights don't depend on how rows
+lie in files and tasks.
 
 Defined results: a null text is empty and has the end token alone; a document
 with a null ``doc_id`` is a training document; without any training document
-the counts are zero; repeated rows are each counted and scored.
+the counts are zero and the attention is at its start; repeated rows are each
+counted and scored; an empty table gives an empty result; other columns don't take
+part.
 """
 
 from __future__ import annotations
 
+from types import SimpleNamespace
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import Scratch, WordCodes, groups_of, per_batch, ragged, small_batches, tokenizer_file
+from weftline.llm.common import Scratch, WordCodes, by_bytes, give_back, groups_of, per_batch, ragged, tokenizer_file
 
-HEAVY = 100_000
-CONTEXTS = 1 << 18
-#: Share of the attention's probability in the mixture of the output layer.
-MIX = 0.4
+#: Words that are broadcast: so many at most, each of so many bytes at most.
+HEAVY, HEAVY_BYTES = 200_000, 64
+#: Share of the attention's probability of a word, and of phrases' counts.
+SPELL, COPY = 0.4, 0.05
+#: One pair of neighbouring words in so many ends a phrase.
+PHRASE = 16
 BLOCK, CONTEXT = 32, 16
-DIM, HASHED, BATCH, RATE = 16, 2048, 64, 0.02
-#: Classes: 26 letters and all else, starting a word or not; the end; the start of a text.
-N_CLASSES = 56
-END_CLASS, LETTERS = 54, 27
+DIM, BATCH, RATE = 16, 128, 0.02
+#: Windows that are worked out at a time, so that their tables stay in the processor's cache.
+PART = 32
+#: Bytes of text that a shard of the training has, about.
+SHARD_BYTES = 16 << 20
+#: Rows of the embedding: the most frequent pieces have their own, the others share what is left; one more is a text's start.
+EMBEDDED, SHARED = 1792, 256
+#: Classes on either side: 26 letters and all else, the end (among what starts a word), frequent pieces.
+TOP, LETTERS = 36, 27
+N_CLASSES = LETTERS + 1 + TOP
 MARK = "▁"
 
 
@@ -54,23 +75,22 @@ def is_held_out(key: Column) -> Column:
 
 
 class Pieces:
-    """Pieces of distinct words, kept in flat arrays; ``codes`` numbers the words."""
+    """Pieces and hashes of distinct words, kept in flat arrays; ``codes`` numbers the words."""
 
     def __init__(self, file: str):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=file)
         self.end = self.model.vocab_size()
-        self.follow: Followers | None = None
         self.reset()
 
     def encode(self, words: list[bytes]) -> list[list[int]]:
         return [e or [self.model.unk_id()] for e in self.model.encode([w.decode() for w in words], num_threads=1)]
 
     def reset(self) -> None:
-        self.codes = WordCodes(500_000)
+        self.codes = WordCodes()
         self.flat, self.starts, self.lengths = (np.zeros(0, t) for t in (np.int32, np.int64, np.int64))
-        self.chance, self.closing = np.zeros(0), np.zeros(0)
+        self.hashes = np.zeros(0, np.uint64)
 
     def learn(self) -> list[bytes]:
         """Encode the words that are new since the last call and return them."""
@@ -79,122 +99,103 @@ class Pieces:
             encoded = self.encode(new)
             lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
             self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
-            flat = np.fromiter((x for e in encoded for x in e), np.int32, int(lengths.sum()))
-            self.flat = np.concatenate([self.flat, flat])
+            self.flat = np.concatenate([self.flat, np.fromiter((x for e in encoded for x in e), np.int32, int(lengths.sum()))])
             self.lengths = np.concatenate([self.lengths, lengths])
-            if self.follow:
-                chance, closing = self.follow.of(flat, lengths)
-                self.chance, self.closing = np.concatenate([self.chance, chance]), np.concatenate([self.closing, closing])
+            self.hashes = np.concatenate([self.hashes, word_hashes(new)])
         return new
 
 
-def _mixed(h: np.ndarray) -> np.ndarray:
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    import xxhash
+
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+class Phrases:
+    """Cuts texts into phrases, whose hash depends on their words and those words' order."""
+
+    STEP = np.uint64(0x9E3779B97F4A7C15)
+    #: Its inverse modulo 2**64.
+    BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+    END = np.uint64(0xD1B54A32D192ED03)
+
+    def __init__(self):
+        self.forth = self.back = np.ones(1, np.uint64)
+
+    def of(self, words: np.ndarray, n_words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hash, first token, text) of each phrase of texts that stand one after another; ``words`` are hashes, and each text has an end token after its words.
+
+        The end belongs to the last phrase; a text without words has no phrase.
+        """
+        n_tokens = n_words + 1
+        total = int(n_tokens.sum())
+        ends = np.cumsum(n_tokens) - 1
+        token = np.full(total, self.END)
+        inner = np.ones(total, bool)
+        inner[ends] = False
+        token[inner] = words
+        closing = (mixed(np.append(self.END, token[:-1]) * self.STEP + token) % np.uint64(PHRASE) == 0) & inner
+        first = np.cumsum(n_tokens) - n_tokens
+        closing[first[n_words > 0]] = False  # the word before it is another text's
+        closing[(ends - 1)[n_words > 0]] = False  # the last word goes with the end
+        starts = np.append(True, closing[:-1]) if total else np.zeros(0, bool)
+        starts[first] = True
+        starts[first[n_words == 0]] = False
+        starts = np.flatnonzero(starts)
+        if total > len(self.forth):
+            self.forth = np.multiply.accumulate(np.full(total, self.STEP))
+            self.back = np.multiply.accumulate(np.full(total, self.BACK))
+        sums = np.append(np.uint64(0), np.cumsum(token * self.forth[:total], dtype=np.uint64))
+        text = np.repeat(np.arange(len(n_words)), n_tokens)[starts]
+        stop = np.minimum(np.append(starts[1:], total), ends[text] + 1)
+        return mixed((sums[stop] - sums[starts]) * self.back[starts] + (stop - starts).astype(np.uint64)), starts, text
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(27))
-
-
-def alone_hash(pieces: np.ndarray) -> np.ndarray:
-    return _mixed((pieces.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
-
-
-def beginnings(flat: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of the pieces of each word up to each piece, and one of that piece alone (hashes of contexts)."""
-    begin = np.cumsum(lengths) - lengths
-    alone = alone_hash(flat)
-    so_far = alone.copy()
-    for k in range(1, int(lengths.max(initial=0))):
-        at = begin[lengths > k] + k
-        so_far[at] = _mixed(so_far[at - 1] * np.uint64(31) + alone[at])
-    return _mixed(so_far + np.uint64(7)), alone
-
-
-class Lookup:
-    """Values by 64-bit hashes: sorted keys, entered by their first bits."""
-
-    BITS = 18
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        order = np.argsort(keys)
-        self.keys, self.values = keys[order], values[order].astype(np.float64)
-        bounds = np.arange(1 << self.BITS, dtype=np.uint64) << np.uint64(64 - self.BITS)
-        self.starts = np.append(np.searchsorted(self.keys, bounds), len(keys))
-
-    def of(self, wanted: np.ndarray) -> np.ndarray:
-        """The value of each key, 0 where it isn't held."""
-        out = np.zeros(len(wanted))
-        entry = (wanted >> np.uint64(64 - self.BITS)).astype(np.int64)
-        at, end = self.starts[entry], self.starts[entry + 1]
-        live = np.flatnonzero(at < end)
-        while len(live):
-            where = at[live]
-            hit = self.keys[where] == wanted[live]
-            out[live[hit]] = self.values[where[hit]]
-            live = live[~hit]
-            at[live] += 1
-            live = live[at[live] < end[live]]
-        return out
-
-
-class Followers:
-    """What follows a beginning of a word, from counted contexts; the last piece stands for the word's end."""
-
-    BACK_OFF = 10.0
-
-    def __init__(self, context: np.ndarray, piece: np.ndarray, n: np.ndarray, first: np.ndarray, later: np.ndarray):
-        """(context, piece, n): kept counts.  first, later: counts of pieces at and after a word's start, the last being the text's or word's end."""
-        self.pairs = Lookup(self.pair(context, piece), n)
-        contexts, at = np.unique(context, return_inverse=True)
-        self.totals = Lookup(contexts, np.bincount(at, n, len(contexts)) if len(n) else np.zeros(0))
-        self.alone = alone_hash(np.arange(len(later)))
-        self.alone_totals = self.totals.of(self.alone)
-        self.first, self.later = (first + 1) / (first + 1).sum(), (later + 1) / (later + 1).sum()
-
-    @staticmethod
-    def pair(context: np.ndarray, piece: np.ndarray) -> np.ndarray:
-        return _mixed(context + piece.astype(np.uint64) * np.uint64(0x94D049BB133111EB))
-
-    def after(self, so_far: np.ndarray, before: np.ndarray, piece: np.ndarray) -> np.ndarray:
-        """The probability of ``piece`` after a beginning (its hash) that ends with the piece ``before``."""
-        p = self.BACK_OFF * self.later[piece]
-        p = (self.pairs.of(self.pair(self.alone[before], piece)) + p) / (self.alone_totals[before] + self.BACK_OFF)
-        return (self.pairs.of(self.pair(so_far, piece)) + self.BACK_OFF * p) / (self.totals.of(so_far) + self.BACK_OFF)
-
-    def of(self, flat: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The probability of each piece of these words, and of each word's end."""
-        so_far, _ = beginnings(flat, lengths)
-        begin, end = np.cumsum(lengths) - lengths, np.cumsum(lengths) - 1
-        chance = np.empty(len(flat))
-        chance[begin] = self.first[flat[begin]]
-        inner = np.ones(len(flat), bool)
-        inner[begin] = False
-        inner = np.flatnonzero(inner)
-        chance[inner] = self.after(so_far[inner - 1], flat[inner - 1], flat[inner])
-        return chance, self.after(so_far[end], flat[end], np.full(len(end), len(self.later) - 1))
-
-
-def piece_classes(file: str) -> np.ndarray:
-    """The class of each piece, and of the end (the id after the last)."""
-    import sentencepiece
-
-    model = sentencepiece.SentencePieceProcessor(model_file=file)
-    out = np.full(model.vocab_size() + 1, END_CLASS, np.uint8)
-    for i in range(model.vocab_size()):
-        piece = model.id_to_piece(i)
-        first = piece.lstrip(MARK)[:1]
-        letter = ord(first) - 97 if "a" <= first <= "z" else 26
-        out[i] = letter + LETTERS * (not piece.startswith(MARK))
-    return out
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+class Alphabet:
+    """Classes of the pieces, their shares in them, and their rows of the embedding, from how often each occurs.
+
+    Pieces that start a word, with the end, and all others have classes of their own, each counted from 0.
+    """
+
+    def __init__(self, file: str, seen: np.ndarray):
+        """``seen``: counts of all pieces and, last, of the end."""
+        import sentencepiece
+
+        model = sentencepiece.SentencePieceProcessor(model_file=file)
+        size = model.vocab_size()
+        pieces = [model.id_to_piece(i) for i in range(size)]
+        self.leads = np.array([*(p.startswith(MARK) for p in pieces), True])
+        letters = [p.lstrip(MARK)[:1] for p in pieces]
+        self.classes = np.array([*(ord(x) - 97 if "a" <= x <= "z" else 26 for x in letters), LETTERS])
+        order = np.lexsort((np.arange(size), -seen[:size]))
+        for lead in (True, False):
+            top = np.sort(order[self.leads[order] == lead][:TOP])
+            self.classes[top] = LETTERS + 1 + np.arange(len(top))
+        both = self.classes + N_CLASSES * self.leads
+        self.shares = np.log((seen + 1) / np.bincount(both, seen + 1, 2 * N_CLASSES)[both]).astype(np.float32)
+        self.rows = np.append(EMBEDDED + (np.arange(size) * 2654435761 >> 7) % SHARED, EMBEDDED + SHARED).astype(np.int32)
+        self.rows[order[:EMBEDDED]] = np.arange(EMBEDDED)
 
 
 class Attention:
-    """The class model.  Weights are float32 arrays in a dict; ``flat`` and ``load`` turn them into one vector and back."""
+    """Weights are float32 arrays in a dict; ``flat`` turns them into one vector."""
 
-    SHAPES = {"emb": (HASHED + 2, DIM), "q": (DIM, DIM), "k": (DIM, DIM), "v": (DIM, DIM), "o": (DIM, N_CLASSES), "x": (DIM, N_CLASSES), "b": (N_CLASSES,), "near": (BLOCK + CONTEXT,)}
-    START = HASHED + 1
+    #: The last row of the embedding is the end's and a text's start.
+    START = EMBEDDED + SHARED
+    #: ``o``, ``b``: classes of pieces inside words, then of those that start one; ``gate`` tells which.
+    SHAPES = {"emb": (START + 1, DIM), "q": (DIM, DIM), "k": (DIM, DIM), "v": (DIM, DIM), "gate": (2 * DIM,), "gate0": (1,), "o": (2, 2 * DIM, N_CLASSES), "b": (2, N_CLASSES), "near": (BLOCK + CONTEXT,)}
+    #: Exponents are cut here, far above what training reaches.
+    MOST = np.float32(60)
 
     def __init__(self, vector: np.ndarray | None = None):
         rng = np.random.default_rng(5)
-        self.w = {n: (rng.standard_normal(s) * (0.3 if n == "emb" else 0.0 if n in ("b", "near") else DIM**-0.5)).astype(np.float32) for n, s in self.SHAPES.items()}
+        self.w = {n: (rng.standard_normal(s) * (0.3 if n == "emb" else 0.0 if n in ("b", "near", "gate0") else DIM**-0.5)).astype(np.float32) for n, s in self.SHAPES.items()}
         if vector is not None:
             at = 0
             for n, s in self.SHAPES.items():
@@ -208,86 +209,101 @@ class Attention:
     def flat(self) -> np.ndarray:
         return np.concatenate([self.w[n].ravel() for n in self.SHAPES])
 
-    @staticmethod
-    def inputs(pieces: np.ndarray) -> np.ndarray:
-        """Rows of the embedding for pieces: their ids, folded."""
-        return (pieces.astype(np.int64) * 2654435761 >> 7) % HASHED
-
-    def attend(self, rows: np.ndarray, absent: np.ndarray):
-        """Inputs, queries, keys, values, attention and what it gathers, all under one mask.
-
-        ``rows`` are (windows, BLOCK + CONTEXT) embedding rows; ``absent`` marks places before a
-        text's start.  Scores stay small, so their exponentials are taken as they are.
-        """
-        w = self.w
-        x = w["emb"][rows]
-        xq = x[:, CONTEXT:]
-        q, k, v = xq @ (w["q"] * DIM**-0.5).astype(x.dtype), x @ w["k"], x @ w["v"]
-        s = np.matmul(q, k.transpose(0, 2, 1))
-        s += np.where(self.later, -1e4, w["near"][self.far]).astype(x.dtype)
-        np.exp(np.minimum(s, 60, out=s), out=s)
-        first = np.flatnonzero(absent.any(1))
+    def weigh(self, s: np.ndarray, absent: np.ndarray) -> np.ndarray:
+        """Exponentials of attention scores under the mask; ``absent`` marks places before a text's start."""
+        s += self.bias
+        np.exp(np.minimum(s, self.MOST, out=s), out=s)
+        first = np.flatnonzero(absent[:, 0])
         if len(first):
             s[first] *= ~absent[first][:, None, :]
-        total = s.sum(2, keepdims=True)
-        return x, xq, q, k, v, s, total, np.matmul(s, v) / total
-
-    def classes(self, h: np.ndarray, xq: np.ndarray) -> np.ndarray:
-        """Scores of the classes."""
-        return np.concatenate([h.reshape(-1, DIM), xq.reshape(-1, DIM)], 1) @ np.concatenate([self.w["o"], self.w["x"]]) + self.w["b"]
+        return s
 
-    def forward(self, rows: np.ndarray, absent: np.ndarray) -> np.ndarray:
-        """Log probabilities of the classes at each place of each window."""
-        _, xq, *_, h = self.attend(rows, absent)
-        z = self.classes(h, xq)
-        return z - np.log(np.exp(z).sum(1, keepdims=True))
+    def mask(self) -> None:
+        self.bias = np.where(self.later, -np.float32(1e4), self.w["near"][self.far])
 
     def prepare(self) -> None:
-        """Tables of what each embedding row gives as query, key, value and class scores: weights that stand need no products."""
+        """Tables of what each embedding row gives as query, key and value: weights that stand need no products."""
         w = self.w
-        self.query, self.key = w["emb"] @ (w["q"] * DIM**-0.5).astype(np.float32), w["emb"] @ w["k"]
+        self.mask()
+        self.query, self.key = w["emb"] @ (w["q"] * np.float32(DIM**-0.5)), w["emb"] @ w["k"]
         self.value = np.concatenate([w["emb"] @ w["v"], np.ones((len(w["emb"]), 1), np.float32)], 1)
-        self.own = w["emb"] @ w["x"] + w["b"]
-        self.bias = np.where(self.later, -1e4, w["near"][self.far]).astype(np.float32)
 
-    def log_probability(self, rows: np.ndarray, absent: np.ndarray, goal: np.ndarray) -> np.ndarray:
-        """Log probability of the class ``goal`` at each place, as ``forward`` gives it; after ``prepare``."""
-        asked = rows[:, CONTEXT:]
-        s = np.matmul(self.query[asked], self.key[rows].transpose(0, 2, 1))
-        s += self.bias
-        np.exp(np.minimum(s, 60, out=s), out=s)
-        first = np.flatnonzero(absent.any(1))
-        if len(first):
-            s[first] *= ~absent[first][:, None, :]
-        h = np.matmul(s, self.value[rows]).reshape(-1, DIM + 1)
-        z = (h[:, :DIM] / h[:, DIM:]) @ self.w["o"]
-        z += self.own[asked.ravel()]
-        own = z[np.arange(len(z)), goal.ravel()]
-        return (own - np.log(np.exp(z, out=z).sum(1))).reshape(goal.shape)
+    def log_scores(self, rows: np.ndarray, absent: np.ndarray, goal: np.ndarray, leads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """At each place of each window: the log probability of the class ``goal`` among those of its side, and the gate's score for a piece that starts a word; after ``prepare``.
 
-    def gradient(self, rows: np.ndarray, absent: np.ndarray, target: np.ndarray, real: np.ndarray) -> dict[str, np.ndarray]:
-        x, xq, q, k, v, s, total, h = self.attend(rows, absent)
+        ``rows`` are (windows, BLOCK + CONTEXT) embedding rows; ``leads`` tells which side's class is meant.
+        """
+        w, asked = self.w, rows[:, CONTEXT:]
+        s = self.weigh(np.matmul(self.query[asked], self.key[rows].transpose(0, 2, 1)), absent)
+        h = np.matmul(s, self.value[rows]).reshape(-1, DIM + 1)
+        f = np.concatenate([h[:, :DIM] / h[:, DIM:], w["emb"][asked.ravel()]], 1)
+        out, goal = np.empty(len(f), f.dtype), goal.ravel()
+        for side in (0, 1):
+            at = np.flatnonzero(leads.ravel() == side)
+            z = f[at] @ w["o"][side]
+            z += w["b"][side]
+            np.minimum(z, self.MOST, out=z)
+            own = z[np.arange(len(z)), goal[at]]
+            out[at] = own - np.log(np.exp(z, out=z).sum(1))
+        return out.reshape(leads.shape), (f @ w["gate"] + w["gate0"]).reshape(leads.shape)
+
+    def gradient(self, rows: np.ndarray, absent: np.ndarray, goal: np.ndarray, leads: np.ndarray, real: np.ndarray, share: float | None = None) -> dict[str, np.ndarray]:
+        """Of the mean negative log probability of gates and goals at the ``real`` places, or of ``share`` of their sum."""
         w, n = self.w, len(rows)
-        s = s / total
-        dz = np.exp(self.classes(h, xq))
-        dz /= dz.sum(1, keepdims=True)
-        dz[np.arange(len(dz)), target.ravel()] -= 1
-        dz *= (real.ravel() / max(1, real.sum())).astype(dz.dtype)[:, None]
-        dh = (dz @ w["o"].T).reshape(n, BLOCK, DIM)
-        dxq = (dz @ w["x"].T).reshape(n, BLOCK, DIM)
-        ds = np.matmul(dh, v.transpose(0, 2, 1))
-        dv = np.matmul(s.transpose(0, 2, 1), dh)
-        ds = s * (ds - (ds * s).sum(2, keepdims=True))
-        near = np.bincount(self.far.ravel(), (ds.sum(0) * ~self.later).ravel(), BLOCK + CONTEXT)
-        # q carries the scale already
-        dq, dk = np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q)
-        dq *= np.asarray(DIM**-0.5, dq.dtype)
+        self.mask()
+        scale = np.float32(DIM**-0.5)
+        x = w["emb"][rows]
+        made = x @ np.concatenate([w["k"], w["v"], w["q"] * scale], 1)
+        k, v, q = made[:, :, :DIM], made[:, :, DIM : 2 * DIM], made[:, CONTEXT:, 2 * DIM :]
+        xq = x[:, CONTEXT:]
+        s = self.weigh(np.matmul(q, k.transpose(0, 2, 1)), absent)
+        total = s.sum(2, keepdims=True)
+        f = np.empty((n, BLOCK, 2 * DIM), np.float32)
+        h = f[:, :, :DIM]
+        np.matmul(s, v, out=h)
+        h /= total
+        f[:, :, DIM:] = xq
         flat = lambda a: a.reshape(-1, a.shape[-1])
-        dx = dk @ w["k"].T + dv @ w["v"].T
-        dx[:, CONTEXT:] += dq @ w["q"].T + dxq
-        at, d = rows.ravel(), flat(dx)
-        emb = np.stack([np.bincount(at, d[:, i], len(w["emb"])) for i in range(DIM)], 1).astype(w["emb"].dtype)
-        return {"emb": emb, "q": flat(xq).T @ flat(dq), "k": flat(x).T @ flat(dk), "v": flat(x).T @ flat(dv), "o": flat(h).T @ dz, "x": flat(xq).T @ dz, "b": dz.sum(0), "near": near.astype(w["near"].dtype)}
+        share = np.float32(1 / max(1, real.sum()) if share is None else share)
+        real, goal, leads = real.ravel(), goal.ravel(), leads.ravel()
+        df, rows_f = np.zeros((n * BLOCK, 2 * DIM), np.float32), flat(f)
+        do, db = np.empty_like(w["o"]), np.empty_like(w["b"])
+        dgate, dgate0 = np.zeros_like(w["gate"]), np.zeros_like(w["gate0"])
+        for side in (0, 1):
+            # The gate is one more column beside the side's classes.
+            out = np.concatenate([w["o"][side], w["gate"][:, None]], 1)
+            at = np.flatnonzero((leads == side) & real)
+            own = rows_f[at]
+            z = own @ out
+            z += np.append(w["b"][side], w["gate0"])
+            np.exp(np.minimum(z, self.MOST, out=z), out=z)
+            started = z[:, -1] / (1 + z[:, -1])
+            z[:, -1] = 0
+            z *= (share / z.sum(1))[:, None]
+            z[np.arange(len(z)), goal[at]] -= share
+            z[:, -1] = (started - side) * share
+            df[at] = z @ out.T
+            grown, summed = own.T @ z, z.sum(0)
+            do[side], db[side] = grown[:, :-1], summed[:-1]
+            dgate += grown[:, -1]
+            dgate0 += summed[-1]
+        df = df.reshape(n, BLOCK, 2 * DIM)
+        # ``s`` isn't divided by its sums; what comes back is.
+        dh = df[:, :, :DIM] / total
+        back = np.zeros((n, BLOCK + CONTEXT, 3 * DIM), np.float32)
+        np.matmul(s.transpose(0, 2, 1), dh, out=back[:, :, DIM : 2 * DIM])
+        ds = np.matmul(dh, v.transpose(0, 2, 1))
+        ds -= np.einsum("wid,wid->wi", dh, h)[:, :, None]
+        ds *= s
+        near = np.bincount(self.far.ravel(), (ds.sum(0) * ~self.later).ravel(), BLOCK + CONTEXT).astype(np.float32)
+        np.matmul(ds.transpose(0, 2, 1), q, out=back[:, :, :DIM])
+        np.matmul(ds, k, out=back[:, CONTEXT:, 2 * DIM :])
+        dx = back @ np.concatenate([w["k"], w["v"], w["q"] * scale], 1).T
+        dx[:, CONTEXT:] += df[:, :, DIM:]
+        weights = flat(x).T @ flat(back)
+        cells = (rows.reshape(-1, 1) * DIM + np.arange(DIM)).ravel()
+        emb = np.bincount(cells, dx.ravel(), w["emb"].size).reshape(w["emb"].shape).astype(np.float32)
+        return {"emb": emb, "q": weights[:, 2 * DIM :] * scale, "k": weights[:, :DIM], "v": weights[:, DIM : 2 * DIM], "gate": dgate, "gate0": dgate0, "o": do, "b": db, "near": near}
 
 
 def windows(sizes: np.ndarray):
@@ -309,24 +325,56 @@ def windows(sizes: np.ndarray):
     return at, absent, begin[:, None] + np.minimum(target, size - 1), real
 
 
-def sequences(p: Pieces, held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """All pieces of coded texts, each with its end, and the number of each text."""
+def sequences(p: Pieces, held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All pieces of coded texts, each with its end, the number of each text, and where each token begins."""
     own = np.concatenate(held)
     n_words = np.fromiter(map(len, held), np.int64, len(held))
-    each = np.append(0, np.cumsum(p.lengths[own]))
-    at = np.append(0, np.cumsum(n_words))
-    sizes = np.diff(each[at]) + 1
-    out = np.empty(each[-1] + len(held), np.int32)
-    ends = np.cumsum(sizes) - 1
-    inner = np.ones(len(out), bool)
+    ends = np.cumsum(n_words + 1) - 1
+    inner = np.ones(len(own) + len(held), bool)
     inner[ends] = False
-    out[ends] = p.end
-    out[inner] = p.flat[ragged(p.starts[own], p.lengths[own])]
-    return out, sizes
+    lengths = np.ones(len(inner), np.int64)
+    lengths[inner] = p.lengths[own]
+    starts = np.cumsum(lengths) - lengths
+    out = np.empty(lengths.sum(), np.int32)
+    last = np.zeros(len(out), bool)
+    last[starts[ends]] = True
+    out[last] = p.end
+    out[~last] = p.flat[ragged(p.starts[own], p.lengths[own])]
+    return out, np.diff(starts[ends], prepend=-1), starts
+
+
+def softplus(x: np.ndarray) -> np.ndarray:
+    """log(1 + exp(x))"""
+    return np.maximum(x, 0) + np.log1p(np.exp(-np.abs(x)))
+
+
+def word_logs(net: Attention, letters: Alphabet, p: Pieces, held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Log probabilities by the attention of all tokens of coded texts, each text's end after its words; and each text's number of pieces."""
+    ids, sizes, starts = sequences(p, held)
+    at, absent, target, real = windows(sizes)
+    rows = np.append(letters.rows[ids], Attention.START)[at]
+    classes, leads = letters.classes[ids], letters.leads[ids]
+    each, gate = np.empty(len(ids), np.float32), np.empty(len(ids), np.float32)
+    goal, lead = classes[target], leads[target]
+    own, started = np.empty(target.shape, np.float32), np.empty(target.shape, np.float32)
+    for b in range(0, len(at), PART):
+        part = slice(b, b + PART)
+        own[part], started[part] = net.log_scores(rows[part], absent[part], goal[part], lead[part])
+    to = target[real]
+    each[to], gate[to] = own[real], started[real]
+    each += letters.shares[ids]
+    # Inside a word a piece also stands for the word's going on; at a token's start the word before it has ended.
+    inner = np.ones(len(ids), bool)
+    inner[starts] = False
+    each[inner] -= softplus(np.where(leads[inner], -gate[inner], gate[inner]))
+    logs = np.add.reduceat(each, starts, dtype=np.float64)
+    words = np.flatnonzero(ids[starts] != p.end)
+    logs[words] -= softplus(-gate[starts[words + 1]])
+    return logs, sizes
 
 
 class Reader:
-    """Turns texts into word codes and pieces, some at a time."""
+    """Turns texts into word codes, some at a time."""
 
     def __init__(self, file: str):
         self.pieces = Pieces(file)
@@ -344,21 +392,6 @@ class Reader:
         if held:
             yield first, held
 
-    def chances(self, held: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
-        """The followers' probability of each piece of ``sequences``: a new word also means that the last one ended."""
-        p, own = self.pieces, np.concatenate(held)
-        lengths = p.lengths[own]
-        out = np.empty(sizes.sum())
-        ends = np.cumsum(sizes) - 1
-        inner = np.ones(len(out), bool)
-        inner[ends] = False
-        out[ends] = p.follow.first[-1]
-        out[inner] = p.chance[ragged(p.starts[own], lengths)]
-        # What comes after each word: the next one's first piece or the text's end.
-        text = np.repeat(np.arange(len(held)), np.fromiter(map(len, held), np.int64, len(held)))
-        out[np.cumsum(lengths) + text] *= p.closing[own]
-        return out
-
 
 def least_of_most(rows: DataFrame, most: int, column: str = "n") -> int:
     """A value that at most ``most`` rows reach, as low as steps of a sixteenth of a power of two allow."""
@@ -372,188 +405,265 @@ def least_of_most(rows: DataFrame, most: int, column: str = "n") -> int:
     return least if least is not None else max((r["least"] for r in steps), default=0) * 2 + 1
 
 
-def word_counts(training: DataFrame) -> DataFrame:
-    """(word, n) over all rows of column t; a task sums up before anything is moved, as far as its table goes."""
+def corpus_counts(training: DataFrame) -> DataFrame:
+    """(word, phrase, n) over all rows of column t: counts of words, with a null phrase, and of phrases, with a null word.
 
-    def run(batches):
-        codes, seen = WordCodes(), np.zeros(1 << 16, np.int64)
+    A task sums up before anything is moved, as far as its tables go.
+    """
+
+    def make():
+        cutter = Phrases()
+        codes, seen, hashes, phrases = WordCodes(), np.zeros(1 << 16, np.int64), np.zeros(0, np.uint64), []
 
         def table() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(codes.words, pa.binary()), pa.array(seen[: len(codes.words)])], names=["word", "n"])
+            found, n = np.unique(np.concatenate(phrases), return_counts=True) if phrases else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            words = pa.array([*codes.words, *[None] * len(found)], pa.binary())
+            blank = np.zeros(len(words), bool)
+            blank[: len(codes.words)] = True
+            number = np.append(np.zeros(len(codes.words), np.int64), found.view(np.int64))
+            return pa.RecordBatch.from_arrays([words, pa.array(number, mask=blank), pa.array(np.append(seen[: len(codes.words)], n))], names=["word", "phrase", "n"])
+
+        def run(batches):
+            nonlocal codes, seen, hashes, phrases
+            held = 0
+            for batch in batches:
+                for part in by_bytes(batch):
+                    coded = [codes.of_text(t.lower()) for t in part.column(0).cast(pa.binary()).to_pylist()]
+                    while len(codes.words) > len(seen):
+                        seen = np.concatenate([seen, np.zeros_like(seen)])
+                    own = np.concatenate(coded)
+                    seen[: len(codes.words)] += np.bincount(own, minlength=len(codes.words))
+                    hashes = np.concatenate([hashes, word_hashes(codes.words[len(hashes) :])])
+                    phrases.append(cutter.of(hashes[own], np.fromiter(map(len, coded), np.int64, len(coded)))[0])
+                    held += len(phrases[-1])
+                    if codes.full() or held > 1_000_000:
+                        yield table()
+                        codes, seen, hashes, phrases, held = WordCodes(), np.zeros(1 << 16, np.int64), np.zeros(0, np.uint64), [], 0
+            yield table()
+            codes = seen = hashes = phrases = None
+            give_back()
+
+        return run
+
+    return training.select("t").mapInArrow(lambda batches: make()(batches), "word binary, phrase long, n long").groupBy("word", "phrase").agg(F.sum("n").alias("n"))
+
+
+def piece_counts(words: DataFrame, file: str, size: int) -> np.ndarray:
+    """How often each piece of the vocabulary occurs in the counted words; one row for each piece comes to the driver."""
+
+    def make():
+        pieces = Pieces(file)
+
+        def one(words: pa.Array, n: pa.Array) -> pa.RecordBatch:
+            encoded = pieces.encode(words.to_pylist())
+            flat = np.fromiter((x for e in encoded for x in e), np.int64)
+            seen = np.bincount(flat, np.repeat(n.to_numpy(), [len(e) for e in encoded]), size).astype(np.int64)
+            there = np.flatnonzero(seen)
+            return pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array(seen[there])], names=["piece", "n"])
+
+        return one
+
+    out = np.zeros(size, np.int64)
+    for r in words.mapInArrow(per_batch(make, ["word", "n"]), "piece int, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect():
+        out[r["piece"]] = r["n"]
+    return out
 
-        for batch in batches:
-            for t in batch.column(0).cast(pa.binary()).to_pylist():
-                own = codes.of_text(t.lower())
-                while len(codes.words) > len(seen):
-                    seen = np.concatenate([seen, np.zeros_like(seen)])
-                np.add.at(seen, own, 1)
-            if codes.full():
-                yield table()
-                codes, seen = WordCodes(), np.zeros(1 << 16, np.int64)
-        yield table()
 
-    return training.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+def walk(texts: list[list[bytes]], pieces: Pieces, letters: Alphabet, model: Attention, rng: np.random.Generator, state: dict) -> None:
+    """Train ``model`` on every piece of these texts, once."""
+    coded = [pieces.codes.of_text(t.lower()) for t in texts]
+    pieces.learn()
+    ids, sizes, _ = sequences(pieces, coded)
+    at, absent, target, real = windows(sizes)
+    rows = np.append(letters.rows[ids], Attention.START)[at]
+    goal, leads = letters.classes[ids][target], letters.leads[ids][target]
+    order = rng.permutation(len(at))
+    for b in range(0, len(order), BATCH):
+        own = order[b : b + BATCH]
+        n_real = int(real[own].sum())
+        state["steps"] += 1
+        state["seen"] += n_real
+        steps = state["steps"]
+        total: dict[str, np.ndarray] = {}
+        for i in range(0, len(own), PART):
+            part = own[i : i + PART]
+            for n, g in model.gradient(rows[part], absent[part], goal[part], leads[part], real[part], 1 / n_real).items():
+                if n in total:
+                    total[n] += g
+                else:
+                    total[n] = g
+        rate = np.float32(RATE / (1 + steps / 400) * (1 - 0.99**steps) ** 0.5 / (1 - 0.9**steps))
+        for n, g in total.items():
+            first, second = state["first"][n], state["second"][n]
+            first += np.float32(0.1) * (g - first)
+            g *= g
+            second += np.float32(0.01) * (g - second)
+            model.w[n] -= rate * first / (np.sqrt(second) + np.float32(1e-7))
+    if pieces.codes.full():
+        pieces.reset()
+
+
+def train(training: DataFrame, file: str, letters: Alphabet, n_bytes: int) -> np.ndarray:
+    """The averaged weights; ``training`` has k and t."""
+    shards = max(1, -(-n_bytes // SHARD_BYTES))
 
+    def run(batches):
+        pieces, shard, part, held = Pieces(file), None, [], 0
+        model = rng = state = None
 
-def context_counts(counts: DataFrame, file: str) -> DataFrame:
-    """(context, piece, n) over the counted words: contexts of ``beginnings``, 0 for a word's first piece, 1 for any later one.
+        def begin():
+            model = Attention()
+            return model, np.random.default_rng(1), {"steps": 0, "seen": 0, **{n: {k: np.zeros_like(a) for k, a in model.w.items()} for n in ("first", "second")}}
 
-    The end of a word is the piece after the vocabulary's last.
-    """
-    state: dict = {}
-
-    def one(words: pa.Array, n: pa.Array) -> pa.RecordBatch:
-        pieces = state.get("p") or state.setdefault("p", Pieces(file))
-        encoded = pieces.encode(words.to_pylist())
-        lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        flat = np.fromiter((x for e in encoded for x in e), np.int64, int(lengths.sum()))
-        times = np.repeat(n.to_numpy(), lengths)
-        so_far, alone = beginnings(flat, lengths)
-        begin, end = np.cumsum(lengths) - lengths, np.cumsum(lengths) - 1
-        following = np.append(flat[1:], pieces.end)
-        following[end] = pieces.end
-        zero = np.zeros(len(begin), np.uint64)
-        context = np.concatenate([so_far, alone, zero, np.ones(len(flat), np.uint64)])
-        piece = np.concatenate([following, following, flat[begin], following])
-        weight = np.concatenate([times, times, n.to_numpy(), times])
-        order = np.lexsort((piece, context))
-        context, piece, weight = context[order], piece[order], weight[order]
-        new = np.flatnonzero(np.append(True, (context[1:] != context[:-1]) | (piece[1:] != piece[:-1]))) if len(context) else np.zeros(0, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(context[new].view(np.int64)), pa.array(piece[new].astype(np.int32)), pa.array(np.add.reduceat(weight, new) if len(new) else weight)], names=["context", "piece", "n"])
-
-    return counts.mapInArrow(per_batch(lambda: one, ["word", "n"]), "context long, piece int, n long").groupBy("context", "piece").agg(F.sum("n").alias("n"))
-
-
-def followers(counts: DataFrame, file: str, size: int, n_docs: int, scratch: Scratch) -> tuple[Followers, np.ndarray]:
-    """The followers, and how often each piece occurs (``size`` counts the text's end)."""
-    contexts = scratch.keep(context_counts(counts, file))
-    first, later = np.zeros(size), np.zeros(size)
-    for r in contexts.where("context in (0, 1)").collect():  # at most two rows for each piece of the vocabulary
-        (later if r["context"] else first)[r["piece"]] = r["n"]
-    first[-1] = n_docs
-    seen = first + later
-    seen[-1] = n_docs
-    inner = contexts.where(~F.col("context").isin(0, 1) & (F.col("n") > 1))
-    kept = inner.where(F.col("n") >= least_of_most(inner, CONTEXTS)).orderBy("context", "piece").toArrow()
-    scratch.drop(contexts)
-    context, piece, n = (kept[c].to_numpy().astype(np.int64) for c in ("context", "piece", "n"))
-    return Followers(context.view(np.uint64), piece, n, first, later), seen
-
-
-def train(training: DataFrame, file: str, classes: np.ndarray) -> np.ndarray:
-    """The averaged weights."""
+        def result() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([state["seen"]], pa.int64()), pa.array([model.flat()], pa.list_(pa.float32()))], names=["seen", "w"])
 
-    def run(batches):
-        pieces, model, rng = Pieces(file), Attention(), np.random.default_rng(1)
-        first = {n: np.zeros_like(a) for n, a in model.w.items()}
-        second = {n: np.zeros_like(a) for n, a in model.w.items()}
-        steps = seen = 0
         for batch in batches:
-            texts = batch.column(0).cast(pa.binary()).to_pylist()
-            for s, e in groups_of(texts, 1 << 20):
-                coded = [pieces.codes.of_text(t.lower()) for t in texts[s:e]]
-                pieces.learn()
-                ids, sizes = sequences(pieces, coded)
-                at, absent, target, real = windows(sizes)
-                rows = np.append(Attention.inputs(ids), Attention.START)[at]
-                goal = classes[ids][target]
-                order = rng.permutation(len(at))
-                for b in range(0, len(order), BATCH):
-                    own = order[b : b + BATCH]
-                    steps += 1
-                    seen += int(real[own].sum())
-                    rate = RATE / (1 + steps / 200)
-                    for n, g in model.gradient(rows[own], absent[own], goal[own], real[own]).items():
-                        first[n] += 0.1 * (g - first[n])
-                        second[n] += 0.01 * (g * g - second[n])
-                        model.w[n] -= rate * (first[n] / (1 - 0.9**steps)) / (np.sqrt(second[n] / (1 - 0.99**steps)) + 1e-7)
-                if pieces.codes.full():
-                    pieces.reset()
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([model.flat().astype(np.float64)], pa.list_(pa.float64()))], names=["seen", "w"])
-
-    rows = training.mapInArrow(run, "seen long, w array<double>").select("seen", F.posexplode("w").alias("i", "w"))
-    mean = rows.groupBy("i").agg((F.sum(F.col("w") * F.col("seen")) / F.sum("seen")).alias("w")).orderBy("i").collect()
+            for some in by_bytes(batch):
+                for s, t in zip(some.column(0).to_pylist(), some.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                    if s != shard or held > 1 << 20:
+                        if part:
+                            walk(part, pieces, letters, model, rng, state)
+                            part, held = [], 0
+                        if s != shard:
+                            if shard is not None:
+                                yield result()
+                            model, rng, state = begin()
+                            shard = s
+                    part.append(t)
+                    held += len(t)
+        if part:
+            walk(part, pieces, letters, model, rng, state)
+        if shard is not None:
+            yield result()
+        pieces = model = state = part = None
+        give_back()
+
+    dealt = training.select("t", F.xxhash64("t").alias("h"), F.pmod(F.xxhash64("k", "t"), F.lit(shards)).cast("int").alias("shard"))
+    # Each shard has a task of its own; its texts come in the order of their hashes.
+    ordered = dealt.repartitionById(shards, "shard").sortWithinPartitions("shard", "h").select("shard", "t")
+    rows = ordered.mapInArrow(run, "seen long, w array<float>").select("seen", F.posexplode("w").alias("i", "w"))
+    # Whole numbers, whose sum doesn't depend on their order.
+    fixed = F.round(F.col("w") * (1 << 20)).cast("decimal(18,0)") * F.col("seen").cast("decimal(18,0)")
+    mean = rows.groupBy("i").agg((F.sum(fixed).cast("double") / F.sum("seen") / (1 << 20)).alias("w")).orderBy("i").collect()
     return np.array([r["w"] for r in mean], np.float32) if mean else Attention().flat()
 
 
+def softplus10(x: Column) -> Column:
+    """log10(1 + 10**x)"""
+    return F.greatest(x, F.lit(0.0)) + F.log10(F.lit(1.0) + F.pow(F.lit(10.0), -F.abs(x)))
+
+
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text", file: str | None = None) -> DataFrame:
-    """(key, held_out, n_tokens, n_known, train_tokens, base_score, score, n_pieces) for every row."""
+    """(key, held_out, n_tokens, n_known, train_tokens, base_score, score, n_pieces, copied, gain) for every row.
+
+    ``copied`` is the share of the text's phrases that other training documents hold, ``gain`` what the
+    model gives over the base for each token, in powers of ten.
+    """
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm")
     file = file or tokenizer_file("piece_bpe_32k.model")
-    rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    training = rows.where(~is_held_out(F.col("k"))).select("t")
-    with small_batches(spark):
-        counts = scratch.keep(word_counts(training))
-    n_docs = training.count()
-    total = counts.agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).collect()[0]
+    rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"), is_held_out(F.col(key)).alias("held"))
+    training = rows.where("not held")
+    counts = scratch.keep(corpus_counts(training))
+    words, phrases = counts.where("word is not null").select("word", "n"), counts.where("word is null").select("phrase", "n")
+    texts = training.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("bytes")).collect()[0]
+    n_docs = texts["n"]
+    total = words.agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).collect()[0]
+    n_phrases = phrases.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).collect()[0]["n"]
     n, v = total["n"] + n_docs, total["v"] + (n_docs > 0)
-    least = least_of_most(counts, HEAVY)
-    heavy = spark.sparkContext.broadcast(dict(zip(*(c.to_pylist() for c in counts.where(F.col("n") >= least).select("word", "n").toArrow().columns), strict=True)))
-    classes = piece_classes(file)
-    follow, seen = followers(counts, file, len(classes), n_docs, scratch)
-    in_class = np.zeros(N_CLASSES) + 1e-9
-    np.add.at(in_class, classes, seen + 1)
-    shares = np.log10((seen + 1) / in_class[classes])
-    model = spark.sparkContext.broadcast((train(training, file, classes), shares, classes, follow))
-    below = float(np.log10(n + v + 1))
-    end_log = float(np.log10(n_docs + 1))
-    state: dict = {}
-
-    def one(keys: pa.Array, texts: pa.Array) -> pa.RecordBatch:
-        if not state:
-            state.update(reader=Reader(file), net=Attention(model.value[0]), counts=np.zeros(0, np.int64))
-            state["reader"].pieces.follow = model.value[3]
-            state["net"].prepare()
-        reader, net = state["reader"], state["net"]
-        _, shares, classes, _ = model.value
-        size = len(texts)
-        n_tokens, n_pieces, known, base, got = np.ones(size, np.int64), np.zeros(size, np.int64), np.full(size, int(n_docs > 0), np.int64), np.full(size, end_log), np.zeros(size)
-        rare_words, rare_times, rare_of = [], [], []
-        for first, held in reader.of(texts.cast(pa.binary()).to_pylist()):
-            new = reader.pieces.learn()
-            if new:
-                state["counts"] = np.concatenate([state["counts"], np.fromiter((heavy.value.get(w, 0) for w in new), np.int64, len(new))])
-            pieces, sizes = sequences(reader.pieces, held)
-            each_word = np.concatenate(held)
-            text = np.repeat(np.arange(len(held)), np.fromiter(map(len, held), np.int64, len(held)))
-            c = state["counts"][each_word]
-            span = slice(first, first + len(held))
-            n_tokens[span] += np.bincount(text, minlength=len(held))
-            known[span] += np.bincount(text, c > 0, len(held)).astype(np.int64)
-            base[span] += np.bincount(text, np.where(c > 0, np.log10(c + 1), 0), len(held))
-            # Words that the join must look up, once for each text, with how often they occur.
-            left, times = np.unique(text[c == 0] * len(state["counts"]) + each_word[c == 0], return_counts=True)
-            words = reader.pieces.codes.words
-            rare_words += [words[x] for x in (left % len(state["counts"])).tolist()]
-            rare_times.append(times)
-            rare_of.append(first + left // len(state["counts"]))
-            n_pieces[span] = sizes
-            at, absent, target, real = windows(sizes)
-            rows = np.append(Attention.inputs(pieces), Attention.START)[at]
-            goal = classes[pieces]
-            each = shares[pieces]
-            for b in range(0, len(at), 512):
-                part = slice(b, b + 512)
-                z = net.log_probability(rows[part], absent[part], goal[target[part]])
-                each[target[part][real[part]]] += z[real[part]] / np.log(10)
-            each = np.log10(MIX * 10**each + (1 - MIX) * reader.chances(held, sizes))
-            got[span] = np.add.reduceat(each, np.cumsum(sizes) - sizes)
-            if reader.pieces.codes.full():
-                reader.pieces.reset()
-                state["counts"] = np.zeros(0, np.int64)
-        of = np.concatenate(rare_of) if rare_of else np.zeros(0, np.int64)
-        offsets = np.append(0, np.cumsum(np.bincount(of, minlength=size))).astype(np.int32)
-        words = pa.StructArray.from_arrays([pa.array(rare_words, pa.binary()), pa.array(np.concatenate(rare_times) if rare_times else np.zeros(0, np.int64))], ["word", "times"])
-        arrays = [keys, *map(pa.array, (n_tokens, n_pieces, known, base, got)), pa.ListArray.from_arrays(pa.array(offsets), words)]
-        return pa.RecordBatch.from_arrays(arrays, names=["k", "n_tokens", "n_pieces", "known", "base", "score", "rare"])
-
-    schema = f"k {dict(rows.dtypes)['k']}, n_tokens long, n_pieces long, known long, base double, score double, rare array<struct<word: binary, times: long>>"
-    with small_batches(spark):
-        scored = scratch.keep(rows.mapInArrow(per_batch(lambda: one, ["k", "t"]), schema).withColumn("row", F.monotonically_increasing_id()))
-    rare = scored.select("row", F.inline("rare")).join(counts.where(F.col("n") < least), "word")
-    extra = rare.groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("logs"))
-    held_out = is_held_out(F.col("k"))
-    more, logs = F.coalesce("more", F.lit(0)), F.coalesce("logs", F.lit(0.0))
-    return scored.drop("rare").join(extra, "row", "left").select(F.col("k").alias(key), held_out.alias("held_out"), "n_tokens", (F.col("known") + more).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + logs - F.col("n_tokens") * F.lit(below)).alias("base_score"), "score", "n_pieces")
+    short = F.length("word") <= HEAVY_BYTES
+    least = least_of_most(words.where(short), HEAVY)
+    is_heavy = short & (F.col("n") >= least)
+    heavy = spark.sparkContext.broadcast(dict(zip(*(c.to_pylist() for c in words.where(is_heavy).select("word", "n").toArrow().columns), strict=True)))
+    size = Pieces(file).end
+    letters = Alphabet(file, np.append(piece_counts(words, file, size), n_docs))
+    model = spark.sparkContext.broadcast((train(training, file, letters, texts["bytes"]), vars(letters)))
+    below, end_log = float(np.log10(n + v + 1)), float(np.log10(n_docs + 1))
+    # The probability of a word that occurs c times: counted * c + spelled * (its probability by the attention).
+    counted, spelled = (1 - SPELL) / (n + 1), SPELL + (1 - SPELL) / (n + 1)
+    not_copied = float(np.log10(1 - COPY))
+
+    def make():
+        reader, net, cutter = Reader(file), Attention(model.value[0]), Phrases()
+        # Of each distinct word: its count, what that gives the base, and the logarithm of what it gives the model.  The end stands last.
+        logs_of = lambda c: np.stack([np.log10(c + 1.0), np.log(np.maximum(counted * c, 1e-300))])
+        known_counts, known_logs = np.array([n_docs]), logs_of(np.array([n_docs]))
+        letters = SimpleNamespace(**model.value[1])
+        net.prepare()
+
+        def one(keys: pa.Array, texts: pa.Array, held_out: pa.Array) -> pa.RecordBatch:
+            nonlocal known_counts, known_logs
+            size, p = len(texts), reader.pieces
+            training_row = ~held_out.to_numpy(zero_copy_only=False)
+            n_tokens, n_pieces, n_known, n_own = (np.zeros(size, np.int64) for _ in range(4))
+            base, got = np.zeros(size), np.zeros(size)
+            rare: list[tuple] = []
+            own_phrases: list[tuple] = []
+            for first, held in reader.of(texts.cast(pa.binary()).to_pylist()):
+                if new := p.learn():
+                    more = np.append(np.fromiter((heavy.value.get(w, 0) for w in new), np.int64, len(new)), n_docs)
+                    known_counts, known_logs = np.append(known_counts[:-1], more), np.concatenate([known_logs[:, :-1], logs_of(more)], 1)
+                span = slice(first, first + len(held))
+                n_words = np.fromiter(map(len, held), np.int64, len(held))
+                text = np.repeat(np.arange(len(held)), n_words + 1)
+                is_word = np.ones(len(text), bool)
+                is_word[np.cumsum(n_words + 1) - 1] = False
+                codes = np.full(len(text), -1, np.int64)  # the end's: the last place
+                codes[is_word] = np.concatenate(held)
+                c = known_counts[codes]
+                n_tokens[span] = n_words + 1
+                n_known[span] = np.bincount(text, c > 0, len(held)).astype(np.int64)
+                base[span] = np.bincount(text, known_logs[0][codes], len(held))
+                logs, n_pieces[span] = word_logs(net, letters, p, held)
+                spelling, count = np.log(spelled) + logs, known_logs[1][codes]
+                mixture = (np.maximum(spelling, count) + np.log1p(np.exp(-np.abs(spelling - count)))) / np.log(10)
+                mixture[c == 0] = spelling[c == 0] / np.log(10)
+                hashes, starts, of = cutter.of(p.hashes[codes[is_word]], n_words)
+                # Phrases follow one another but for texts without words, which have none.
+                phrase = np.cumsum(np.bincount(starts, minlength=len(text))) - 1
+                inside = (n_words > 0)[text]
+                got[span] = np.bincount(text, mixture, len(held)) + not_copied * np.bincount(of, minlength=len(held))
+                place = np.cumsum(np.bincount(of, minlength=len(held))) - np.bincount(of, minlength=len(held))
+                # How often a training document itself has the phrase.
+                _, back, times = np.unique(mixed(hashes + mixed(of.astype(np.uint64) + np.uint64(1))), return_inverse=True, return_counts=True)
+                own = np.where(training_row[first + of], times[back.ravel()], 0)
+                n_own[span] = np.where(training_row[span], np.bincount(of, minlength=len(held)), 0)
+                own_phrases.append((first + of, hashes.view(np.int64), own.astype(np.int32), np.bincount(phrase[inside], mixture[inside], len(starts)).astype(np.float32)))
+                lone = np.flatnonzero((c == 0) & is_word)
+                all_words = p.codes.words
+                rare.append((first + text[lone], [all_words[x] for x in codes[lone].tolist()], (phrase[lone] - place[text[lone]]).astype(np.int32), (logs[lone] / np.log(10)).astype(np.float32)))
+                if p.codes.full():
+                    p.reset()
+                    known_counts, known_logs = np.array([n_docs]), logs_of(np.array([n_docs]))
+
+            def ragged_rows(of: list[np.ndarray], fields: list, names: list[str]) -> pa.Array:
+                each = np.concatenate(of) if of else np.zeros(0, np.int64)
+                offsets = np.append(0, np.cumsum(np.bincount(each, minlength=size))).astype(np.int32)
+                return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(fields, names))
+
+            joined = lambda parts, i, kind: pa.array(np.concatenate([x[i] for x in parts]) if parts else np.zeros(0, kind))
+            rare_column = ragged_rows([x[0] for x in rare], [pa.array([w for x in rare for w in x[1]], pa.binary()), joined(rare, 2, np.int32), joined(rare, 3, np.float32)], ["word", "at", "log"])
+            phrase_column = ragged_rows([x[0] for x in own_phrases], [joined(own_phrases, 1, np.int64), joined(own_phrases, 2, np.int32), joined(own_phrases, 3, np.float32)], ["phrase", "own", "log"])
+            arrays = [keys, *map(pa.array, (n_tokens, n_pieces, n_known, n_own, base, got)), rare_column, phrase_column]
+            return pa.RecordBatch.from_arrays(arrays, names=["k", "n_tokens", "n_pieces", "known", "n_own", "base", "score", "rare", "phrases"])
+
+        return one
+
+    schema = f"k {dict(rows.dtypes)['k']}, n_tokens long, n_pieces long, known long, n_own long, base double, score double, rare array<struct<word: binary, at: int, log: float>>, phrases array<struct<phrase: long, own: int, log: float>>"
+    scored = scratch.keep(rows.mapInArrow(per_batch(make, ["k", "t", "held"]), schema).withColumn("row", F.monotonically_increasing_id()))
+    # What the broadcast words leave: rare words, wherever they stand, and phrases that other documents have.
+    found = scored.select("row", F.inline("rare")).join(words.where(~is_heavy), "word")
+    listed = scored.select("row", "n_own", F.posexplode("phrases").alias("at", "p")).select("row", "n_own", "at", "p.*").join(phrases, "phrase").where("n > own")
+    share = (F.col("n") - F.col("own")) / (F.lit(n_phrases) - F.col("n_own"))
+    # Narrow rows: a rare word has its count and what its spelling gives, a phrase no count and what copying gives.
+    rare = found.select("row", "at", F.col("n").cast("long").alias("n"), F.col("log").alias("x"))
+    copied = listed.select("row", "at", F.lit(0).cast("long").alias("n"), (F.log10(F.lit(COPY / (1 - COPY)) * share) - F.col("log").cast("double")).cast("float").alias("x"))
+    is_word = F.col("n") > 0
+    counts_more = softplus10(F.log10(F.lit(counted / spelled) * F.greatest("n", F.lit(1))) - F.col("x").cast("double"))
+    each = rare.unionByName(copied).repartition("row").groupBy("row", "at").agg(F.count_if(is_word).alias("rare"), F.sum(F.when(is_word, F.log10(F.col("n") + 1)).otherwise(0.0)).alias("logs"), F.sum(F.when(is_word, counts_more).otherwise(0.0)).alias("more"), F.max(F.when(~is_word, F.col("x").cast("double"))).alias("copy"))
+    mixed_in = F.coalesce(softplus10(F.col("copy") - F.col("more")), F.lit(0.0))
+    extra = each.groupBy("row").agg(F.sum("rare").alias("x_known"), F.sum("logs").alias("x_base"), F.sum(F.col("more") + mixed_in).alias("x_score"), F.count("copy").alias("x_copied"))
+    out = scored.select("row", "k", "n_tokens", "n_pieces", "known", "base", "score", F.size("phrases").alias("n_phrases")).join(extra, "row", "left").na.fill(0, ["x_known", "x_base", "x_score", "x_copied"])
+    out = out.select("k", "n_tokens", "n_pieces", (F.col("known") + F.col("x_known")).alias("n_known"), (F.col("base") + F.col("x_base") - F.col("n_tokens") * F.lit(below)).alias("base_score"), (F.col("score") + F.col("x_score")).alias("score"), (F.col("x_copied") / F.greatest("n_phrases", F.lit(1))).alias("copied"))
+    return out.select(F.col("k").alias(key), is_held_out(F.col("k")).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score", "n_pieces", "copied", ((F.col("score") - F.col("base_score")) / F.col("n_tokens")).alias("gain"))
