@@ -234,11 +234,11 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, scratch: Scra
     return out
 
 
-def dealt_blocks(members: DataFrame, payload: list[str]) -> DataFrame:
-    """Members (key, node, component, n_shingles, payload) of unfinished buckets, dealt to blocks (key, left, right).
+def dealt_blocks(members: DataFrame, payload: DataFrame) -> DataFrame:
+    """Members (key, node, component, n_shingles) of unfinished buckets, dealt to blocks (key, left, right) and joined with ``payload`` by node.
 
     A block has up to about ``SIDE`` queries, members outside the bucket's largest
-    component, and as many of all its members.
+    component, and as many of all its members.  What members carry is joined last, so it is dealt out once.
     """
     sizes = members.groupBy("key", "component").agg(F.count("*").alias("n"))
     main = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
@@ -246,12 +246,11 @@ def dealt_blocks(members: DataFrame, payload: list[str]) -> DataFrame:
     lanes = lambda n: F.ceil(n / SIDE).cast("int")
     lane = lambda n: F.pmod(F.xxhash64("node"), lanes(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), lanes(n) - 1))
-    kept = ["node", "component", "n_shingles", *payload]
+    kept = ["node", "component", "n_shingles"]
     outside = F.col("all") - F.col("most")
     others = rows.select("key", every(outside).alias("left"), lane(F.col("all")).alias("right"), F.lit(False).alias("query"), *kept)
     queries = rows.where("component != main").select("key", lane(outside).alias("left"), every(F.col("all")).alias("right"), F.lit(True).alias("query"), *kept)
-    # Dealt by block: the joins above left all blocks of a bucket in one task.
-    return queries.union(others).repartition("key", "left", "right")
+    return queries.union(others).join(payload, "node")
 
 
 def likely(node: np.ndarray, component: np.ndarray, n: np.ndarray, query: np.ndarray, registers: np.ndarray, key: int):
@@ -272,8 +271,8 @@ def likely(node: np.ndarray, component: np.ndarray, n: np.ndarray, query: np.nda
             yield i, other[near], like[near]
 
 
-def likely_members(members: DataFrame) -> DataFrame:
-    """(key, node) of members (with registers) that have a likely partner in another component of their bucket."""
+def likely_members(members: DataFrame, registers: DataFrame) -> DataFrame:
+    """(key, node) of members that have a likely partner in another component of their bucket."""
 
     def block(table: pa.Table) -> pa.Table:
         query, node, component, n = (table[c].to_numpy() for c in ("query", "node", "component", "n_shingles"))
@@ -285,14 +284,11 @@ def likely_members(members: DataFrame) -> DataFrame:
             give_back()
         return pa.table({"key": np.full(len(out), key), "node": out})
 
-    return dealt_blocks(members, ["registers"]).groupBy("key", "left", "right").applyInArrow(block, "key long, node long").distinct()
+    return dealt_blocks(members, registers).groupBy("key", "left", "right").applyInArrow(block, "key long, node long").distinct()
 
 
-def confirmed_links(members: DataFrame) -> DataFrame:
-    """(a, b): for each query of a block and each other component one pair with 100 * intersection >= 75 * union.
-
-    ``members`` carry their full sets.
-    """
+def confirmed_links(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): for each query of a block and each other component one pair with 100 * intersection >= 75 * union."""
 
     def block(table: pa.Table) -> pa.Table:
         query, node, component, n = (table[c].to_numpy() for c in ("query", "node", "component", "n_shingles"))
@@ -312,7 +308,7 @@ def confirmed_links(members: DataFrame) -> DataFrame:
             give_back()
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
 
-    return dealt_blocks(members, ["shingles"]).groupBy("key", "left", "right").applyInArrow(block, "a long, b long").distinct()
+    return dealt_blocks(members, sets).groupBy("key", "left", "right").applyInArrow(block, "a long, b long").distinct()
 
 
 class Linker:
@@ -365,14 +361,14 @@ class Linker:
         placed = self.scratch.keep(placed.join(open_keys, "key", "left_semi"))
         if placed.isEmpty():
             return
-        known = self.nodes.select("node", "n_shingles", "registers")
-        involved = self.scratch.keep(likely_members(placed.join(known, "node")))
+        placed = self.scratch.keep(placed.join(self.nodes.select("node", "n_shingles"), "node"))
+        involved = self.scratch.keep(likely_members(placed, self.nodes.select("node", "registers")))
         if involved.isEmpty():
             return
         wanted = self.nodes.select("node", "digest", "id").join(involved.select("node").distinct(), "node", "left_semi")
         sets = self.scratch.keep(shingle_sets(self.docs, wanted))
-        rows = placed.join(involved, ["key", "node"]).join(sets, "node").withColumn("n_shingles", F.size("shingles").cast("long"))
-        self.join_up(self.scratch.keep(confirmed_links(rows)))
+        self.join_up(self.scratch.keep(confirmed_links(placed.join(involved, ["key", "node"]), sets)))
+        self.scratch.drop(sets)
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -383,8 +379,12 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     scratch = Scratch(docs.sparkSession, "neardup")
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("t"))
     signed = scratch.keep(signatures(rows))
-    reps = signed.where("digest is not null").groupBy("digest").agg(F.min("id").alias("id"), F.first("registers").alias("registers"), F.first("n_shingles").alias("n_shingles"))
-    nodes = scratch.keep(scratch.keep(reps).withColumn("node", F.monotonically_increasing_id()))
+    reps = scratch.keep(signed.where("digest is not null").groupBy("digest").agg(F.min("id").alias("id"), F.first("registers").alias("registers"), F.first("n_shingles").alias("n_shingles")))
+    nodes = scratch.keep(reps.withColumn("node", F.monotonically_increasing_id()))
+    scratch.drop(reps)
+    # From here on only classes need their registers.
+    told = scratch.keep(signed.select("id", "n_shingles", "digest"))
+    scratch.drop(signed)
     keyed = scratch.keep(bands(nodes))
     shared = scratch.keep(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1"))
     members = scratch.keep(keyed.join(shared, "key").select("key", "node", "hub"))
@@ -401,7 +401,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     labelled = scratch.keep(labelled)
     lowest = scratch.keep(labelled.groupBy("component").agg(F.min("low_id").alias("component_id")))
     named = labelled.join(lowest, "component").select("digest", "component_id")
-    out = signed.select("id", "n_shingles", "digest").join(named, "digest", "left")
+    out = told.join(named, "digest", "left")
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(key), "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
 
