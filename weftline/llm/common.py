@@ -14,6 +14,8 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.session import if_small  # noqa: F401 - used by the operators
+
 #: Words are runs of anything but blank and \t\n\v\f\r; exactly what ``bytes.split()`` cuts at.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 #: Bytes of text that are turned into Python word objects at a time.
@@ -34,10 +36,22 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Rows of an Arrow batch: the JVM holds batches beside its heap, and keeps that memory.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to ``BATCH_ROWS`` rows; results are worked out later, so this stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 class Scratch:
     """Tables written to the shared folder: they cut lineage and outlive executors."""
 
     def __init__(self, spark: SparkSession, name: str):
+        small_batches(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
@@ -56,16 +70,6 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: What may be broadcast: rows and bytes, both counted before.
-BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 32 << 20
-
-
-def if_small(rows: DataFrame) -> DataFrame:
-    """``rows`` marked for broadcast if they were counted to be few and small; else as they are, for Spark to join by shuffling."""
-    size = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*rows.columns)))), F.lit(0)).alias("bytes")).collect()[0]
-    return F.broadcast(rows) if size["n"] <= BROADCAST_ROWS and size["bytes"] <= BROADCAST_BYTES else rows
-
-
 def unused(name: str, columns: list[str]) -> str:
     """``name``, with underscores before it as long as a column has it; names are compared as Spark does, without case."""
     taken = {c.lower() for c in columns}

@@ -47,6 +47,8 @@ REGISTERS, MANTISSA, ROWS, BANDS = 256, 10, 5, 51
 #: Four standard deviations of the estimate under the threshold.
 NEAR = 0.75 - 4 * (0.75 * 0.25 / REGISTERS) ** 0.5
 SIDE = 512
+#: Words whose hashes a task remembers.
+WORDS = 120_000
 #: Blocks over this size are followed by handing memory back.
 TRIM_BYTES = 1 << 20
 
@@ -65,7 +67,7 @@ class Shingler:
     """Shingle hashes of texts given as bytes."""
 
     def __init__(self):
-        self.codes = WordCodes()
+        self.codes = WordCodes(WORDS)
         self.hashes = np.zeros(0, np.uint64)
 
     def of(self, texts: list) -> list[np.ndarray]:
@@ -73,7 +75,7 @@ class Shingler:
         import xxhash
 
         if self.codes.full():
-            self.codes, self.hashes = WordCodes(), np.zeros(0, np.uint64)
+            self.codes, self.hashes = WordCodes(WORDS), np.zeros(0, np.uint64)
         coded = [self.codes.of_text(t.lower()) if t else np.zeros(0, np.int32) for t in texts]
         new = self.codes.words[len(self.hashes) :]
         if new:

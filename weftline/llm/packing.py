@@ -27,9 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import WordCodes, per_batch, ragged, tokenizer_file
+from weftline.llm.common import WordCodes, per_batch, ragged, small_batches, tokenizer_file
 
 LIMIT = 4096
+#: Encoded units that a task remembers; fewer take less memory and more encoding.
+REMEMBERED = 500_000
 END_ID = 2
 #: The tokenizer's name for its end, which it knows in any text: a mark between words that are encoded together.
 MARK, MARK_ID = "<|endoftext|>", 49407
@@ -55,7 +57,7 @@ class WordIds:
     keeps with the full stop.
     """
 
-    def __init__(self, file: str):
+    def __init__(self, file: str, remembered: int = REMEMBERED):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are parallel already
@@ -68,15 +70,16 @@ class WordIds:
         self.closing = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for piece, i in self.tokenizer.get_vocab().items():
             self.closing[i] = piece.endswith("</w>")
+        self.remembered = remembered
         self.units: WordCodes | None = None
         self.reset()
 
     def reset(self) -> None:
         """Forget all words, and units too if their table is full: units cost the encoding, words only a look at their units."""
-        self.codes, self.flat = WordCodes(250_000), np.zeros(0, np.uint32)
+        self.codes, self.flat = WordCodes(self.remembered // 2), np.zeros(0, np.uint32)
         self.starts, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int64)
         if self.units is None or self.units.full():
-            self.units, self.unit_flat = WordCodes(500_000), np.zeros(0, np.uint32)
+            self.units, self.unit_flat = WordCodes(self.remembered), np.zeros(0, np.uint32)
             self.unit_starts, self.unit_lengths = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def encode(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -162,17 +165,18 @@ def cut(length: int, limit: int = LIMIT) -> list[int]:
     return [limit] * (length // limit) + [1 << b for b in range(limit.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
-def pack(docs: DataFrame, file: str | None = None, key: str = "doc_id", text: str = "text", limit: int = LIMIT, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, file: str | None = None, key: str = "doc_id", text: str = "text", limit: int = LIMIT, end_id: int = END_ID, keep_ids: bool = False, remembered: int = REMEMBERED) -> DataFrame:
     """(key, start, length, ids_crc32, doc_tokens, sequence_id, offset, bucket) of each piece; with ``keep_ids`` also ``ids``.
 
     ``limit`` must be a power of two.
     """
     if limit & (limit - 1):
         raise ValueError("limit must be a power of two")
+    small_batches(docs.sparkSession)
     file = file or tokenizer_file("word_bpe_49k.json")
 
     def make():
-        words = WordIds(file)
+        words = WordIds(file, remembered)
 
         def one(keys: pa.Array, texts: pa.Array) -> pa.RecordBatch:
             cols: list[list] = [[], [], [], [], [], []]
@@ -197,7 +201,7 @@ def pack(docs: DataFrame, file: str | None = None, key: str = "doc_id", text: st
                 own = np.concatenate([words.codes.of(split_words(x)) for x in _parts(t)] or [np.zeros(0, np.int32)]) if t else np.zeros(0, np.int32)
                 coded.append(own)
                 held += len(own)
-                if held > 500_000:
+                if held > 200_000:
                     settle(first, coded)
                     first, coded, held = i + 1, [], 0
             settle(first, coded)

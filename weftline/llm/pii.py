@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import per_batch
+from weftline.llm.common import per_batch, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]+\Z")
@@ -307,6 +307,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
         return one
 
+    small_batches(docs.sparkSession)
     schema = f"k {dict(docs.dtypes)[key]}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_secret long, n_found long"
     return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(per_batch(make, ["k", "t"]), schema).withColumnRenamed("k", key)
 
@@ -332,6 +333,7 @@ def masked(t: str) -> str:
 def mask(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with personal data in ``text`` masked; other columns and null texts stay."""
     names = docs.columns
+    small_batches(docs.sparkSession)
 
     def make():
         def one(*columns: pa.Array) -> pa.RecordBatch:
