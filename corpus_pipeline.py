@@ -29,7 +29,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, keep_ids=True)
+    return packing.pack(docs, keep_ids=True, remembered=120_000)  # the cluster also holds what the stages before it left
 
 
 STAGES = [("quality rules", quality_rules), ("MinHash near-dedup", near_duplicates), ("PII", personal_data), ("packing", packed)]
