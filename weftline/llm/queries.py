@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftline.llm import fingerprint, licenses, lm, neardup, packing, pii, quality, tokencount, urls, viterbi
+from weftline.llm import divergence, fingerprint, language, licenses, lm, neardup, packing, pii, quality, spelling, tokencount, urls, viterbi
 from weftline.llm.common import documents, pages
 
 
@@ -49,6 +49,18 @@ def op10_fingerprint(spark, sf_dir):
     return fingerprint.fingerprints(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op11_source_divergence(spark, sf_dir):
+    return divergence.audit(documents(spark, sf_dir).select("lang", "source", "text"))
+
+
+def op12_spelling_variants(spark, sf_dir):
+    return spelling.variants(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+def op13_language_id(spark, sf_dir):
+    return language.identify(documents(spark, sf_dir).select("doc_id", "text", "lang"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -62,6 +74,9 @@ QUERIES = {
         op8_personal_data,
         op9_url_filter,
         op10_fingerprint,
+        op11_source_divergence,
+        op12_spelling_variants,
+        op13_language_id,
     )
 }
 #: Words as the contracts cut them, in order.
