@@ -67,7 +67,7 @@ _KEEP = """SELECT lang, source, term, n, CAST(row_number() OVER (PARTITION BY la
 
 #: What a shard compares: groups with their totals, and the counts of its terms with probabilities.
 _COMPARE = (
-    "CREATE MACRO prob(n, total, kept) AS CAST(1 + (1000000000::HUGEINT * (n + 2)) // (total + 2 * kept) AS BIGINT)",
+    "CREATE MACRO prob(n, total, kept) AS CAST(1 + (1000000000::HUGEINT * (n + 2)) // greatest(total + 2 * kept, 1) AS BIGINT)",
     "CREATE MACRO f(p, q) AS ((p - q) * (p - q)) // (p + q)",
     "CREATE TABLE held AS SELECT * FROM stream",
     "CREATE TABLE g AS SELECT DISTINCT lang, source, total, lang_total, kept, prob(0, total, kept) AS p0 FROM held WHERE term IS NULL",
@@ -132,9 +132,9 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if size >= COUNTED_BYTES:
                     take(parts)
                     parts, size = [], 0
-                    if con.execute("SELECT count(*) FROM counts").fetchone()[0] > HELD_ROWS:
+                    if con.execute("SELECT count(*) FROM counts").fetchall()[0][0] > HELD_ROWS:
                         con.execute(_ADD_UP.format("counts"))
-                        if con.execute("SELECT count(*) FROM counts").fetchone()[0] > HELD_ROWS // 2:
+                        if con.execute("SELECT count(*) FROM counts").fetchall()[0][0] > HELD_ROWS // 2:
                             yield from _rows(con, "SELECT * FROM counts", _COUNTED)
                             con.execute("DELETE FROM counts")
     if parts:

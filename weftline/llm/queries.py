@@ -106,5 +106,41 @@ _OP5 = rf"""WITH RECURSIVE d AS (SELECT doc_id, list_transform({_WORDS}, lambda
  low AS (SELECT doc_id, min(other) AS least_id FROM reach GROUP BY doc_id)
  SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(low.least_id, d.doc_id) AS component_id, coalesce(low.least_id, d.doc_id) = d.doc_id AS kept FROM d LEFT JOIN n USING (doc_id) LEFT JOIN low USING (doc_id)"""
 
+_UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+_OP11 = rf"""WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS t FROM documents),
+ g AS (SELECT DISTINCT lang, source FROM d),
+ w AS (SELECT r, lang, source, unnest(regexp_extract_all(translate(t, '{_UP}', '{_LOW}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+ k AS (SELECT lang, term FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+ c AS (SELECT lang, source, term, count(*) AS n FROM w GROUP BY lang, source, term),
+ x AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n FROM g JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+ p AS (SELECT *, CAST(1 + (1000000000::HUGEINT * (n + 2)) // (sum(n) OVER (PARTITION BY lang, source) + 2 * count(*) OVER (PARTITION BY lang, source)) AS BIGINT) AS p FROM x),
+ l AS (SELECT lang, term, CAST(1 + (1000000000::HUGEINT * (n + 2)) // (sum(n) OVER (PARTITION BY lang) + 2 * count(*) OVER (PARTITION BY lang)) AS BIGINT) AS q FROM (SELECT lang, term, sum(n) AS n FROM p GROUP BY lang, term)),
+ v AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+ LEFT JOIN (SELECT y.lang, y.source, z.source AS other, CAST(sum(((y.p - z.p) * (y.p - z.p)) // (y.p + z.p)) AS BIGINT) AS value FROM p y JOIN p z ON y.lang = z.lang AND y.term = z.term AND y.source <> z.source GROUP BY y.lang, y.source, z.source) s
+ ON s.lang = a.lang AND s.source = a.source AND s.other = b.source
+ UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q)) // (p + q) FROM p JOIN l USING (lang, term) WHERE n > 0 AND p > q),
+ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM v)
+ SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 10"""
+
+#: Checksums byte by byte from a table that a recursion over bits gives; near words share what is left without one code point at the same place, or one is what is left of the other.
+_OP12 = r"""WITH RECURSIVE bits AS (SELECT 0 AS k, i, i AS c FROM range(256) t(i) UNION ALL SELECT k + 1, i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8),
+ crc AS (SELECT list(c ORDER BY i) AS tab FROM bits WHERE k = 8),
+ d AS (SELECT row_number() OVER () AS r, coalesce(CAST(doc_id AS VARCHAR), '') || ':' AS start, text FROM documents WHERE text IS NOT NULL),
+ w AS (SELECT r, start, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run FROM d),
+ u AS (SELECT start || run AS s, run, count(*) AS n FROM w GROUP BY start, run),
+ b AS (SELECT *, hex(encode(s)) AS x FROM u),
+ h AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(strlen(s)), lambda i: CAST('0x' || x[2 * i + 1:2 * i + 2] AS BIGINT))), lambda c, y: xor(c >> 8, tab[CAST((xor(c, y) & 255) + 1 AS INT)])), 4294967295) AS h FROM b, crc),
+ t AS (SELECT CASE WHEN h % 97 = 0 THEN run[1:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, n FROM h),
+ v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM t WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+ cut AS (SELECT word, n, i, word[1:i] || word[i + 2:] AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM v)),
+ near AS (SELECT a.word, b.word AS other, b.n FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+ UNION SELECT a.word, v.word, v.n FROM cut a JOIN v ON a.rest = v.word UNION SELECT v.word, a.word, a.n FROM cut a JOIN v ON a.rest = v.word),
+ best AS (SELECT word, count(*) AS n_near, min(struct_pack(less := -n, other := other)) AS m FROM near GROUP BY word),
+ f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN -m.less >= 2 * v.n THEN m.other END AS form, CASE WHEN -m.less >= 2 * v.n THEN -m.less END AS form_n FROM v LEFT JOIN best USING (word)),
+ up AS (SELECT word, word AS at FROM f UNION ALL SELECT up.word, f.form FROM up JOIN f ON f.word = up.at WHERE f.form IS NOT NULL),
+ ends AS (SELECT up.word, up.at AS root FROM up JOIN f ON f.word = up.at WHERE f.form IS NULL)
+ SELECT word, form, root, n, CAST(n_near AS BIGINT) AS n_near, CAST(form_n AS BIGINT) AS form_n FROM f JOIN ends USING (word)"""
+
 #: The others need tokenizers, models, hashes or iteration that SQL doesn't have; tests hold them against brute force.
-ORACLE_SQL: dict[str, str] = {"op1_quality_rules": _OP1, "op5_near_duplicates": _OP5}
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": _OP1, "op5_near_duplicates": _OP5, "op11_source_divergence": _OP11, "op12_spelling_variants": _OP12}
