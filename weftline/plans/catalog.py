@@ -851,13 +851,12 @@ def python_symbols(spark, d):
 @query("SELECT DISTINCT user_id AS doc_id, event_type AS text, sha256(event_type) AS sha256 FROM events")
 def stream_batches(spark, d):
     """Events as a stream of files, each content once."""
-    import tempfile
     import uuid
 
+    from weftline.session import shared_folder
     from weftline.streaming.runner import new_versions
 
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}"
-    root = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     source = table(spark, d, "events")
     stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(d)
     rows = new_versions(stream.select(F.col("user_id").alias("doc_id"), F.col("event_type").alias("text")))

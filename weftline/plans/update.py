@@ -9,6 +9,7 @@ from weftline.functions import text as T
 from weftline.functions import vocabulary as V
 from weftline.operators import context, lines, package, scoring
 from weftline.operators.suggestions import CREATE, UPDATE
+from weftline.session import keep
 
 
 def routing_context(signals: DataFrame, documents: DataFrame, skeletons: DataFrame | None, change_keys: list[str], doc_keys: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -113,7 +114,7 @@ def run(packages: DataFrame, documents: DataFrame, skeletons: DataFrame | None =
     recorded = context.update_block(header, files.select(change, "ordinal", F.col("status").alias("change_type"), "path", "old_path"), keys)
     rows = decided.join(recorded, change)
     # One row for each change, read by all three outputs: routing isn't worked out again for each.
-    rows = rows.withColumn("ordinal", F.row_number().over(Window.partitionBy(doc).orderBy(change))).persist()
+    rows = keep(rows.withColumn("ordinal", F.row_number().over(Window.partitionBy(doc).orderBy(change))), "update")
     under = lines.insert_blocks(copies, rows.where(F.col("decision") == UPDATE).select(doc, "ordinal", "heading", "block"), [doc])
     placed = rows.join(under.select(doc, "found"), doc, "left")
     found = F.coalesce(F.array_contains("found", F.col("ordinal")), F.lit(False)) & (F.col("decision") == UPDATE)

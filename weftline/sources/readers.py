@@ -68,31 +68,12 @@ def git_blob(sha: str, path: str, repo: str = ".") -> str:
 
 
 def git_package(spark: SparkSession, before: str, after: str, repo: str = ".", change_id: str = "change", **header: str) -> DataFrame:
-    """(change_id, json): the change package of a commit range, with hunks, blocks, symbols and summaries.
-
-    Git runs on the driver, once for each file of one range; whole histories are read as tables of statuses, diffs and contents instead.
-    """
-    from weftline.operators import diff, package
-
-    keys = ["change_id", "path"]
-    found = git_changes(spark, before, after, repo, change_id)
-    files = diff.file_changes(diff.status_stream(found["status"], ["change_id"]), diff.count_stream(found["counts"], ["change_id"]), ["change_id"])
-    versions = []
-    for r in files.select("path", "old_path", "status").collect():
-        if r["path"].endswith(".py"):
-            new = "" if r["status"] == "deleted" else git_blob(after, r["path"], repo)
-            old_path = r["old_path"] or r["path"]
-            old = git_blob(before, old_path, repo) if r["status"] != "added" and old_path.endswith(".py") else ""
-            versions.append((change_id, r["path"], new, old))
-    sources = spark.createDataFrame(versions, "change_id string, path string, new string, old string")
-    symbols = {side: diff.python_symbols(sources, keys, side) for side in ("new", "old")}
-    details = files.join(diff.what_changed(found["diffs"], keys, symbols["new"], symbols["old"]), keys, "left")
-    shaped = details.withColumn("change_type", F.col("status")).withColumn("ordinal", F.col("pos"))
-    summary = diff.type_summary(shaped, ["change_id"], pos="ordinal")
-    made = package.package(shaped, ["change_id"], F.lit(None).cast("string"), repository=header.pop("repository", repo), branch=header.pop("branch", "main"), before_sha=before, after_sha=after, **header)
-    # The summary is worked out beside the package and put into it.
-    body = F.from_json("json", package.PACKAGE)
-    return made.join(summary, "change_id").select("change_id", F.to_json(body.withField("generated_summary", F.col("summary"))).alias("json"))
+    """(change_id, json): the change package of a commit range, with hunks, blocks, symbols and summaries; git runs in tasks (``sources.git``)."""
+    from weftline.sources import git
+
+    branch, repository = header.pop("branch", "main"), header.pop("repository", repo)
+    found = git.read(spark, repo, before=before, after=after, change_id=change_id)
+    return git.packages(found, repository, branch, **header).select("change_id", "json")
 
 
 def blobs(changes: DataFrame, contents: DataFrame, keys: list[str]) -> DataFrame:
