@@ -278,27 +278,46 @@ def python_symbols(files: DataFrame, keys: list[str], content: str = "content")
     return files.select(*keys, F.col(content).alias("content")).mapInPandas(symbol_rows(keys), schema)
 
 
-#: Lines that share a bin of the lowest level of the interval join.
-BIN = 64
+def _nodes(start: Column, end: Column) -> Column:
+    """The aligned blocks of 1, 4, 16, ... places that make up [start, end], as (level, block), at most six of a level.
+
+    Of the blocks of a level that lie inside, those are left out whose four times larger block lies inside too.
+    """
+    shift = lambda x, level: F.call_function("shiftright", x, F.lit(2) * level)
+    low = lambda level: -shift(-start, level)
+    high = lambda level: shift(end + 1, level) - 1
+    none = F.array().cast("array<bigint>")
+    span = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(none)
+
+    def of(level: Column) -> Column:
+        own, above = (low(level), high(level)), (low(level + 1), high(level + 1))
+        larger = above[0] <= above[1]
+        blocks = F.when(larger, F.concat(span(own[0], 4 * above[0] - 1), span(4 * above[1] + 4, own[1]))).otherwise(span(*own))
+        return F.transform(blocks, lambda n: F.struct(level.alias("level"), n.alias("node")))
+
+    top = F.ceil(F.log2((end - start + 1).cast("double")) / 2).cast("int")
+    return F.flatten(F.transform(F.sequence(F.lit(0), top), of))
 
 
 def innermost(points: DataFrame, intervals: DataFrame, keys: list[str], point: str, start: str, end: str, name: str, tie: str) -> DataFrame:
     """Each point with the shortest interval around it, then the earliest, then by ``tie``; points outside all are left out.
 
-    Joined within ``keys`` and bins.  Bins of a level are twice as long as those of the level below; an interval stands
-    in the one or two bins that it touches on the first level whose bins are as long as it is, and a point is looked
-    up once on each level that its keys have.
+    Intervals are taken apart into aligned blocks, and each block keeps the best interval that it belongs to, so a block is
+    one row however many intervals lie over each other.  A point lies in one block of each size and meets one row in each
+    at most: rows grow with the points and the logarithm of the longest interval, whatever overlaps, and no key's rows come together.
     """
-    level = lambda n: F.greatest(F.ceil(F.log2(n / F.lit(float(BIN)))), F.lit(0)).cast("int")
-    size = lambda lv: F.lit(float(BIN)) * F.pow(F.lit(2.0), lv)
-    bin_of = lambda c, lv: F.floor(c / size(lv))
-    own = intervals.where(F.col(end) >= F.col(start)).select(*keys, level(F.col(end) - F.col(start) + 1).alias("_level"), F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(name).alias(name), F.col(tie).alias("_t"))
-    binned = own.withColumn("_bin", F.explode(F.sequence(bin_of(F.col("_s"), F.col("_level")), bin_of(F.col("_e"), F.col("_level")))))
-    levels = own.groupBy(*keys).agg(F.collect_set("_level").alias("_levels"))
-    placed = points.join(levels, keys).withColumn("_level", F.explode("_levels")).withColumn("_bin", bin_of(F.col(point), F.col("_level"))).drop("_levels")
-    held = placed.join(binned, [*keys, "_level", "_bin"]).where(F.col(point).between(F.col("_s"), F.col("_e")))
-    best = F.min_by(F.struct(F.col(name), F.col("_s").alias("start"), F.col("_e").alias("end")), F.struct(F.col("_e") - F.col("_s"), F.col("_s"), F.col("_t")))
-    return held.groupBy(*points.columns).agg(best.alias("b")).select(*points.columns, f"b.{name}", "b.start", "b.end")
+    own = intervals.where(F.col(end) >= F.col(start)).select(*keys, F.col(start).cast("long").alias("_s"), F.col(end).cast("long").alias("_e"), F.col(name).alias(name), F.col(tie).alias("_t"))
+    order = F.struct((F.col("_e") - F.col("_s")).alias("n"), F.col("_s").alias("s"), F.col("_t").alias("t"))
+    # Equal intervals first: of those only one can win.
+    own = own.groupBy(*keys, "_s", "_e").agg(F.min_by(F.struct(F.col(name), "_t"), "_t").alias("_own")).select(*keys, "_s", "_e", f"_own.{name}", "_own._t")
+    placed = own.select("*", F.inline(_nodes(F.col("_s"), F.col("_e"))).alias("_level", "_node"))
+    best = placed.groupBy(*keys, "_level", "_node").agg(F.min_by(F.struct(F.col(name), F.col("_s").alias("start"), F.col("_e").alias("end"), F.col("_t").alias("t")), order).alias("_b"))
+    levels = best.groupBy(*keys).agg(F.collect_set("_level").alias("_levels"))  # one row of a few numbers for each key
+    asked = points.join(levels, keys).withColumn("_level", F.explode("_levels")).drop("_levels")
+    asked = asked.withColumn("_node", F.call_function("shiftright", F.col(point).cast("long"), F.lit(2) * F.col("_level")))
+    held = asked.join(best, [*keys, "_level", "_node"])
+    first = F.min_by(F.col("_b"), F.struct((F.col("_b.end") - F.col("_b.start")).alias("n"), F.col("_b.start").alias("s"), F.col("_b.t").alias("t")))
+    return held.groupBy(*points.columns).agg(first.alias("b")).select(*points.columns, f"b.{name}", F.col("b.start").alias("start"), F.col("b.end").alias("end"))
 
 
 def type_summary(changes: DataFrame, keys: list[str], kind: str = "change_type", path: str = "path", pos: str = "pos", shown: int = 10) -> DataFrame:

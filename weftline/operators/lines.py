@@ -6,6 +6,7 @@ Every operator keeps the leading key columns given as ``keys`` and orders by
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,24 +69,46 @@ def with_ancestors(headings: DataFrame, keys: list[str], level: str = "level", n
     return out.withColumn("parent_pos", F.get(F.col("_chain"), F.size("_chain") - 1)["p"]).withColumn("path", F.concat(F.transform("_chain", lambda x: x["n"]), F.array(F.col(name)))).drop("_last", "_chain")
 
 
-def unique_slugs(rows: DataFrame, keys: list[str], base: str, name: str = "section_id") -> DataFrame:
-    """Slugs made unique in order: ``x``, ``x-2``, ``x-3``, also where a natural slug looks like a numbered one.
+def numbered(rows: DataFrame, keys: list[str], order: str, value: Column, fixed: Column, name: str) -> DataFrame:
+    """``rows`` with ``name``: each key's values made unique in order, ``x``, ``x-2``, ``x-3``; a ``fixed`` one stays as it is.
 
-    Each key's slugs are folded in order with the set of taken ones.
+    Only values that are the same without numbers at their ends can meet, so each such family of a key stands for itself.
+    A family of one value is numbered by a window, one whose values all differ needs nothing; in the others, where a natural
+    value may look like a numbered one, rows are walked in order with the next free number of each value.
     """
-    gathered = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", F.col(base).alias("s")))).alias("r"))
+    family = F.regexp_replace("_value", "(-[0-9]+)+$", "")
+    out = rows.withColumn("_value", value).withColumn("_fixed", F.coalesce(fixed, F.lit(False))).withColumn("_family", family)
+    own, every = Window.partitionBy(*keys, "_family", "_value"), Window.partitionBy(*keys, "_family")
+    out = out.withColumn("_nth", F.row_number().over(own.orderBy(order)))
+    alike = F.min("_value").over(every) == F.max("_value").over(every)
+    out = out.withColumn("_plain", (alike & ~F.bool_or("_fixed").over(every)) | (F.max("_nth").over(every) == 1))
+    simple = F.when(F.col("_nth") == 1, F.col("_value")).otherwise(F.concat("_value", F.lit("-"), F.col("_nth").cast("string")))
+    kinds = dict(out.dtypes)
+
+    def walk(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(order, kind="stable")
+        taken, free, ids = set(), {}, []
+        for value, is_fixed in zip(group["_value"], group["_fixed"], strict=True):
+            if not is_fixed and value in taken:
+                n = free.get(value, 2)
+                while f"{value}-{n}" in taken:
+                    n += 1
+                free[value] = n + 1
+                value = f"{value}-{n}"
+            taken.add(value)
+            ids.append(value)
+        return group[[*keys, order]].assign(_id=ids)
+
+    mixed = out.where(~F.col("_plain"))
+    walked = mixed.select(*keys, "_family", order, "_value", "_fixed").groupBy(*keys, "_family").applyInPandas(walk, ", ".join(f"{k} {kinds[k]}" for k in [*keys, order]) + ", _id string")
+    helpers = ["_value", "_fixed", "_family", "_nth", "_plain"]
+    done = out.where("_plain").withColumn(name, simple).drop(*helpers)
+    return done.unionByName(mixed.join(walked, [*keys, order]).withColumn(name, F.col("_id")).drop(*helpers, "_id"))
 
-    def step(acc: Column, x: Column) -> Column:
-        taken = acc["ids"]
-        n = F.size(taken) + 2
-        free = F.filter(F.transform(F.sequence(F.lit(2), n), lambda i: F.concat(x["s"], F.lit("-"), i.cast("string"))), lambda t: ~F.array_contains(taken, t))
-        own = F.when(F.array_contains(taken, x["s"]), F.get(free, F.lit(0))).otherwise(x["s"])
-        return F.struct(F.concat(taken, F.array(own)).alias("ids"))
 
-    start = F.struct(F.array().cast("array<string>").alias("ids"))
-    ids = gathered.withColumn("ids", F.aggregate("r", start, step, lambda a: a["ids"]))
-    named = ids.select(*keys, F.inline(F.arrays_zip(F.col("r.pos").alias("pos"), F.col("ids").alias(name))))
-    return rows.join(named, [*keys, "pos"])
+def unique_slugs(rows: DataFrame, keys: list[str], base: str, name: str = "section_id") -> DataFrame:
+    """Slugs made unique in order of ``pos``, also where a natural slug looks like a numbered one."""
+    return numbered(rows, keys, "pos", F.col(base), F.lit(False), name)
 
 
 def sections(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -120,16 +143,8 @@ def match_ids(sections: DataFrame, skeleton: DataFrame, keys: list[str]) -> Data
     nth = F.row_number().over(Window.partitionBy(*keys, "path").orderBy("order"))
     known = skeleton.select(*keys, "path", nth.alias("_n"), F.col("section_id").alias("_id"))
     rows = sections.drop("section_id").withColumn("_n", nth).join(known, [*keys, "path", "_n"], "left")
-    gathered = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("order", "_id", T.slug(F.col("path")).alias("s")))).alias("r"))
-
-    def step(taken: Column, x: Column) -> Column:
-        tries = F.transform(F.sequence(F.lit(2), F.size(taken) + 2), lambda i: F.concat(x["s"], F.lit("-"), i.cast("string")))
-        fresh = F.when(F.array_contains(taken, x["s"]), F.get(F.filter(tries, lambda t: ~F.array_contains(taken, t)), F.lit(0))).otherwise(x["s"])
-        return F.concat(taken, F.array(F.coalesce(x["_id"], fresh)))
-
-    ids = gathered.withColumn("ids", F.aggregate("r", F.array().cast("array<string>"), step))
-    named = ids.select(*keys, F.inline(F.arrays_zip(F.col("r.order").alias("order"), F.col("ids").alias("section_id"))))
-    return rows.drop("_n", "_id").join(named, [*keys, "order"])
+    own = numbered(rows.withColumnRenamed("_id", "_known"), keys, "order", F.coalesce("_known", T.slug(F.col("path"))), F.col("_known").isNotNull(), "section_id")
+    return own.drop("_n", "_known")
 
 
 def append_section(skeleton: DataFrame, added: DataFrame, keys: list[str]) -> DataFrame:

@@ -37,7 +37,7 @@ def resolve_project(repositories: DataFrame, configs: DataFrame, name: str = "re
 
 def git_output(args: list[str], repo: str = ".", timeout: float = 60) -> str:
     """Output of a git command; it raises where git fails."""
-    return subprocess.run(["git", "-C", repo, *args], capture_output=True, check=True, timeout=timeout, text=True, errors="replace").stdout
+    return subprocess.run(["git", "-C", repo, "--literal-pathspecs", *args], capture_output=True, check=True, timeout=timeout, text=True, errors="replace").stdout
 
 
 def git_changes(spark: SparkSession, before: str, after: str, repo: str = ".", change_id: str = "change") -> dict[str, DataFrame]:
