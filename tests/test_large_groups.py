@@ -78,3 +78,33 @@ def test_intervals_over_each_other_make_no_product(spark):
     began = time.perf_counter()
     assert diff.innermost(points, intervals, ["k"], "line", "s", "e", "name", "t").where("name = 'i0'").count() == 20_000
     assert time.perf_counter() - began < 40
+
+
+def test_top_overlaps_against_the_definition(spark):
+    from weftline.operators import overlap
+
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(40)]
+    some = lambda n: rng.sample(words[: rng.choice([5, 40])], min(n, 5))
+    changes = [(i, some(rng.randrange(0, 5)) if i % 9 else None) for i in range(70)]
+    sections = [(f"s{i:03}", some(3), some(5) if i % 7 else None) for i in range(60)]
+    weights = {"h": (6.0, 2), "c": (2.0, 3)}
+    want = set()
+    for change, tokens in changes:
+        count = lambda x: len(set(tokens or ()) & set(x or ()))  # noqa: E731, B023
+        scored = sorted((-score, name) for name, h, c in sections if (score := 6.0 * min(2, count(h)) + 2.0 * min(3, count(c))))
+        want |= {(change, name, -score, r + 1) for r, (score, name) in enumerate(scored[:3])}
+    frames = spark.createDataFrame(changes, "change int, tokens array<string>"), spark.createDataFrame(sections, "section string, h array<string>, c array<string>")
+    for share in (7, 1000):
+        out = overlap.top_overlaps(*frames, "change", "section", weights, share_tokens=share)
+        assert {(r["change"], r["section"], r["score"], r["rank"]) for r in out.collect()} == want
+    assert overlap.top_overlaps(frames[0].limit(0), frames[1], "change", "section", weights).count() == 0
+    assert overlap.top_overlaps(frames[0], frames[1].limit(0), "change", "section", weights).count() == 0
+
+
+def test_routing_makes_no_pairs(spark, data):
+    """No operator of the plan joins documents and sections by token."""
+    from weftline.plans import catalog
+
+    plan = catalog.QUERIES["section_route_top3"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from weftline.functions import text as T
 from weftline.functions import vocabulary as V
-from weftline.operators import blocks, canonical, context, diff, evidence, headings, lines, scoring, suggestions, validate
+from weftline.operators import blocks, canonical, context, diff, evidence, headings, lines, overlap, scoring, suggestions, validate
 from weftline.plans import relations as R
-from weftline.session import if_small, table
+from weftline.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -459,17 +459,10 @@ def list_counters(spark, d):
 
 
 def _routed(spark, d):
-    """Documents as changes, benchmark items as sections: overlap of tokens, by a join on the token.
-
-    Documents are dealt by id with their tokens; sections come to them as a broadcast index while that is small.  Pairs of
-    a document and a section are counted, scored and ranked where they arise and are never moved, however hot a token is.
-    """
-    docs = table(spark, d, "documents").select("doc_id", T.keywords(F.col("text"), V.CONTENT_KEYWORD_LIMIT).alias("tokens")).repartition("doc_id")
-    docs = docs.select("doc_id", F.explode("tokens").alias("token"))
-    own = R.sections(spark, d).select("item_id", T.keywords(F.col("heading")).alias("h"), T.keywords(F.col("content"), V.CONTENT_KEYWORD_LIMIT).alias("c"))
-    tokens = own.select("item_id", F.explode(F.array_union("h", "c")).alias("token"), "h", "c").select("item_id", "token", F.array_contains("h", F.col("token")).alias("in_heading"), F.array_contains("c", F.col("token")).alias("in_content"))
-    counted = docs.join(if_small(tokens), "token").groupBy("doc_id", "item_id").agg(F.count_if("in_heading").alias("heading_hits"), F.count_if("in_content").alias("content_hits"))
-    return counted.withColumn("score", scoring.capped("heading_overlap", F.col("heading_hits")) + scoring.capped("content_overlap", F.col("content_hits")))
+    """(doc_id, item_id, score, rank): documents as changes, benchmark items as sections, by capped counts of common tokens."""
+    docs = table(spark, d, "documents").select("doc_id", T.keywords(F.col("text"), V.CONTENT_KEYWORD_LIMIT).alias("tokens"))
+    own = R.sections(spark, d).select("item_id", T.keywords(F.col("heading")).alias("heading_overlap"), T.keywords(F.col("content"), V.CONTENT_KEYWORD_LIMIT).alias("content_overlap"))
+    return overlap.top_overlaps(docs, own, "doc_id", "item_id", {c: V.SECTION_SCORES[c] for c in ("heading_overlap", "content_overlap")})
 
 
 _ROUTED = f"""{R.SECTIONS}, dt AS (SELECT doc_id, unnest({sql_keywords('text', 4000)}) AS token FROM documents), st AS (SELECT item_id, {sql_keywords('heading', 25)} AS h, {sql_keywords('content', 4000)} AS c FROM sections),
@@ -480,8 +473,7 @@ _ROUTED = f"""{R.SECTIONS}, dt AS (SELECT doc_id, unnest({sql_keywords('text', 4
 
 @query(f"WITH {_ROUTED} SELECT doc_id, item_id, CAST(score AS DOUBLE) AS score, CAST(r AS BIGINT) AS rank FROM rk WHERE r <= 3")
 def section_route_top3(spark, d):
-    ranked = scoring.top(_routed(spark, d), ["doc_id"], [F.col("score").desc(), F.col("item_id")])
-    return ranked.select("doc_id", "item_id", "score", F.col("rank").cast("long").alias("rank"))
+    return _routed(spark, d).select("doc_id", "item_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query(
@@ -491,7 +483,7 @@ def section_route_top3(spark, d):
  amb AS ambiguous, CASE WHEN score < 6 THEN 'none' WHEN amb THEN 'ambiguous' WHEN score >= 25 THEN 'strong' ELSE 'reasonable' END AS strength FROM u"""
 )
 def section_route_assess(spark, d):
-    ranked = scoring.top(_routed(spark, d), ["doc_id"], [F.col("score").desc(), F.col("item_id")]).withColumn("direct", F.lit(0.0)).withColumnRenamed("item_id", "section_id")
+    ranked = _routed(spark, d).withColumn("direct", F.lit(0.0)).withColumnRenamed("item_id", "section_id")
     return scoring.assess(ranked, ["doc_id"]).select("doc_id", F.col("section_id").alias("item_id"), "confidence", "ambiguous", "strength")
 
 
