@@ -108,3 +108,17 @@ def test_routing_makes_no_pairs(spark, data):
 
     plan = catalog.QUERIES["section_route_top3"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan
+
+
+def test_names_in_texts_against_contains(spark):
+    from weftline.operators.names import named_in
+
+    rng = random.Random(3)
+    names = [(i % 4, "".join(rng.choices("abé.", k=rng.randrange(0, 4)))) for i in range(200)] + [(0, None)]
+    texts = [(i % 5, f"t{i}", "".join(rng.choices("abcé. ", k=rng.randrange(0, 30))) if i % 11 else None) for i in range(120)]
+    frames = spark.createDataFrame(texts, "doc int, id string, body string"), spark.createDataFrame(names, "doc int, name string")
+    want = {(d, i): sorted({n for k, n in names if k == d and n and n in (t or "")}) for d, i, t in texts}
+    for share in (3, 1000):
+        found = {(r["doc"], r["id"]): r["found"] for r in named_in(*frames, ["doc"], "id", "body", share_names=share).collect()}
+        assert found == {k: v for k, v in want.items() if v}
+    assert named_in(frames[0], frames[1].limit(0), ["doc"], "id", "body").count() == 0

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -500,6 +501,69 @@ def section_route_full(spark, d):
     return scoring.assess(shortlist, ["conv_id"])
 
 
+#: Other line breaks than the one that lines are cut at.
+_BREAKS = "\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029"
+
+
+def _nine_sql() -> str:
+    at = lambda sql, **names: re.sub("|".join(rf"\b{n}\b" for n in names), lambda m: names[m.group()], sql)
+    cats = lambda low, k: f"flatten([{at(_CATEGORY, low=low, k=k)}])"
+    risks = f"CASE WHEN regexp_matches(low, '{'|'.join(V.RISK_WORDS)}') THEN ['limitations_risks'] ELSE [] END"
+    of_path = lambda p: at(f"list_distinct(list_concat({risks}, {_PATH_RULES}))", low=f"lower({p})")
+    kw = sql_keywords
+    blank = "'" + " " * len(_BREAKS) + "'"
+    breaks = " || ".join(f"chr({ord(c)})" for c in _BREAKS)
+    w = V.SECTION_SCORES
+    both = lambda a, b, c: f"least({w[c][1]}, len(list_intersect({a}, {b}))) * {w[c][0]}"
+    inventory = r"""regexp_matches(kc, '^\s*(?:[-*+]|\d+[.)])\s+') AND len(regexp_split_to_array(bd, '\s+')) <= 3 AND len(list_filter(regexp_split_to_array(bd, '\s+'),
+ lambda z: regexp_matches(regexp_replace(z, '[:,;.]+$', ''), '^(?:[\w./\\-]+\.(?:py|js|ts|go|java|rb|rs|md|txt|json|toml|ini|cfg|ya?ml)|[\w./\\-]+/[\w./\\-]*)$'))) > 0"""
+    return rf"""WITH {R.LINES}, tk AS (SELECT conv_id, coalesce(string_agg(text, chr(10) ORDER BY turn) FILTER (WHERE role = 'user'), '') AS u, coalesce(string_agg(text, chr(10) ORDER BY turn) FILTER (WHERE role <> 'user'), '') AS a FROM conversations GROUP BY conv_id),
+ c0 AS (SELECT conv_id, u, a, regexp_extract(u, '([A-Za-z]+)[^A-Za-z]*\z', 1) AS p0, regexp_extract(a, '[A-Za-z]+') AS w, regexp_extract(a, '[A-Za-z]+[^A-Za-z]+([A-Za-z]+)', 1) AS y FROM tk),
+ c1 AS (SELECT *, 'src/' || w || '_pipeline.py' AS p1, 'tests/test_' || w || '.py' AS p2, 'docs/' || w || '.md' AS p3, conv_id % 2 = 0 AS both_kinds FROM c0),
+ hl AS (SELECT conv_id, unnest(list_concat(string_split(a, chr(10))[1:{V.LINES_PER_SIDE}], string_split(u, chr(10))[1:{V.LINES_PER_SIDE}])) AS q FROM c1),
+ hk AS (SELECT conv_id, flatten(list(k)) AS k FROM (SELECT conv_id, {kw(f'substr(q, 1, {V.LINE_CHARS})', 25)} AS k FROM hl) GROUP BY conv_id),
+ c2 AS (SELECT *, CASE WHEN both_kinds THEN [p0, p1, p2, p3] ELSE [p0, p1] END AS paths, {kw('y', 25)} AS st, list_distinct(list_concat({kw("'Modified function ' || y || '.'", 25)}, hk.k)) AS ht, {kw("'files changed: ' || w", 25)} AS sm,
+ list_distinct(list_concat(list_concat({kw('p0', 25)}, {kw('p1', 25)}), CASE WHEN both_kinds THEN list_concat({kw('p2', 25)}, {kw('p3', 25)}) ELSE [] END)) AS pt FROM c1 JOIN hk USING (conv_id)),
+ c3 AS (SELECT *, list_distinct(list_filter(list_transform(paths, lambda h: CASE WHEN contains(h, '.') THEN lower(regexp_extract(h, '[^.]*$')) END), lambda h: h IS NOT NULL AND h <> '')) AS ext,
+ {of_path('p0')} AS k0, {of_path('p1')} AS k1, CASE WHEN both_kinds THEN list_distinct(list_concat({of_path('p2')}, {of_path('p3')})) ELSE [] END AS k2, array_to_string(list_sort(list_distinct(list_concat(ht, st))), ' ') AS dt FROM c2),
+ c4 AS (SELECT *, list_distinct(list_concat(k0, list_concat(k1, k2))) AS pc, {kw('dt', 25)} AS dk, lower(dt) AS dl, list_contains(k0, 'testing') OR list_contains(k1, 'testing') OR list_contains(k2, 'testing') AS has_tests,
+ len(list_filter([k0, k1, k2], lambda g: NOT list_contains(g, 'testing') AND list_has_any(g, ['architecture_modules', 'automation_pipeline']))) > 0 AS has_source FROM c3),
+ c5 AS (SELECT *, {cats('dl', 'dk')} AS dc, list_distinct(list_concat(pt, list_concat(st, ht))) AS every FROM c4),
+ s0 AS (SELECT doc_id, pos, translate(line, {breaks}, {blank}) AS line FROM lines),
+ s1 AS (SELECT doc_id, pos, array_to_string(string_split(line, ' ')[1:3], ' ') AS heading, CASE WHEN contains(line, '{V.REGION_START}') OR contains(line, '{V.REGION_END}') THEN '' ELSE regexp_replace(line, '(?s)<!--.*?-->', ' ', 'g') END AS kc0 FROM s0 WHERE trim(line) <> ''),
+ s2 AS (SELECT *, CASE WHEN regexp_matches(kc0, '^\s*(```|~~~)') THEN '' ELSE kc0 END AS kc FROM s1 WHERE NOT starts_with(lower(trim(heading)), '{V.GENERATED_HEADING}')),
+ s3 AS (SELECT *, trim(replace(regexp_extract(kc, '^\s*(?:[-*+]|\d+[.)])\s+(.*)$', 1), '`', '')) AS bd FROM s2),
+ s4 AS (SELECT *, CASE WHEN starts_with(ltrim(kc), '|') OR ({inventory}) THEN '' ELSE kc END AS dr FROM s3),
+ s5 AS (SELECT *, lower(heading || chr(10) || dr) AS hay, {kw('heading', 25)} AS h, {kw('kc', 4000)} AS c, 'Src pipeline > ' || heading || ' ' || dr AS ct FROM s4),
+ s6 AS (SELECT *, list_filter({kw("'Src pipeline > ' || heading", 25)}, lambda x: NOT list_contains(h, x)) AS po, lower(ct) AS cl, {kw('ct', 25)} AS ck, list_distinct(list_concat(h, c)) AS tx FROM s5),
+ s7 AS (SELECT *, {cats('cl', 'ck')} AS cs FROM s6),
+ j AS (SELECT conv_id, pos, least(2, len(list_filter(list_distinct(paths), lambda x: x <> '' AND contains(hay, lower(x))))) * {w['explicit_path'][0]} AS ep, CASE WHEN y <> '' AND contains(hay, lower(y)) THEN {w['explicit_symbol'][0]} ELSE 0 END AS es,
+ coalesce(list_sum(list_transform(list_sort(list_intersect(list_distinct(list_concat(pc, dc)), cs))[1:2], lambda x: 10.0 * CASE WHEN list_contains(pc, x) THEN CASE WHEN has_tests AND has_source AND x = 'testing' THEN {V.TEST_SUPPORT_WEIGHT} ELSE 1.0 END ELSE {V.DIFF_CATEGORY_WEIGHT} END)), 0) AS ca,
+ {both('h', 'every', 'heading_overlap')} + {both('po', 'every', 'path_overlap')} + {both('c', 'every', 'content_overlap')} + {both('tx', 'ht', 'hunk_overlap')} + {both('tx', 'sm', 'summary_overlap')} + {both('tx', 'ext', 'extension')} AS rest FROM c5 JOIN s7 ON conv_id = doc_id),
+ rk AS (SELECT conv_id, pos, ep + es + ca + rest AS score, ep + es AS direct, row_number() OVER (PARTITION BY conv_id ORDER BY ep + es + ca + rest DESC, ep + es DESC, pos) AS r FROM j)
+ SELECT conv_id, pos, CAST(score AS DOUBLE) AS score, CAST(direct AS DOUBLE) AS direct, r AS rank FROM rk WHERE r <= 3"""
+
+
+@query(_nine_sql())
+def section_route_nine(spark, d):
+    """Conversations as changes, routed among the lines of the document of the same number as its sections; all nine components give points."""
+    side = lambda user: F.array_join(F.transform(F.array_sort(F.collect_list(F.when((F.col("role") == "user") == F.lit(user), F.struct("turn", "text")))), lambda x: x["text"]), "\n")
+    talks = table(spark, d, "conversations").groupBy("conv_id").agg(side(True).alias("u"), side(False).alias("a"))
+    talks = talks.withColumns({"p0": F.regexp_extract("u", r"([A-Za-z]+)[^A-Za-z]*\z", 1), "w": F.regexp_extract("a", "[A-Za-z]+", 0), "y": F.regexp_extract("a", "[A-Za-z]+[^A-Za-z]+([A-Za-z]+)", 1)})
+    file = lambda i, path, old=None: F.struct(F.lit(i).alias("ordinal"), path.alias("path"), (F.lit(None).cast("string") if old is None else old).alias("old_path"))
+    named = lambda a, b: F.concat(F.lit(a), "w", F.lit(b))
+    some = F.array(file(0, F.col("p0")), file(1, named("src/", "_pipeline.py")))
+    more = F.array(file(2, named("tests/test_", ".py"), named("docs/", ".md")))
+    files = talks.select("conv_id", F.inline(F.when(F.col("conv_id") % 2 == 0, F.concat(some, more)).otherwise(some)))
+    hunks = talks.select("conv_id", F.lit(0).alias("ordinal"), F.lit(0).alias("hunk"), F.array("y").alias("symbols"), F.concat(F.lit("Modified function "), "y", F.lit(".")).alias("summary"), F.split("a", "\n").alias("added_lines"), F.split("u", "\n").alias("removed_lines"))
+    signals = scoring.change_signals(files, hunks, talks.select("conv_id", named("files changed: ", "").alias("summary")), ["conv_id"]).withColumn("doc_id", F.col("conv_id"))
+    line = F.translate("line", _BREAKS, " " * len(_BREAKS))
+    rows = R.doc_lines(spark, d).withColumn("line", line).where(F.trim("line") != "").withColumn("heading", F.array_join(F.slice(F.split("line", " "), 1, 3), " "))
+    sections = rows.select("doc_id", F.col("pos").alias("order"), F.col("pos").cast("string").alias("section_id"), "heading", F.lit(2).alias("level"), F.concat(F.lit("Src pipeline > "), "heading").alias("path"), F.col("line").alias("content"))
+    shortlist = scoring.route(signals, scoring.catalog(sections, ["doc_id"]), ["conv_id"], ["doc_id"])
+    return shortlist.select("conv_id", F.col("order").cast("long").alias("pos"), "score", "direct", F.col("rank").cast("long").alias("rank"))
+
+
 def _changes(spark, d):
     """Conversations as changes."""
     talks = table(spark, d, "conversations").where(F.col("role").isin("user", "assistant")).select("conv_id", "role", T.keywords(F.col("text")).alias("k"))
