@@ -74,12 +74,13 @@ def route_packages(parsed: DataFrame, documents: DataFrame, skeletons: DataFrame
     return decisions(of_doc, assessed, catalog, keys, [doc]), files, shortlist
 
 
-def run(packages: DataFrame, documents: DataFrame, skeletons: DataFrame | None = None, selected: DataFrame | None = None, change: str = "change_id", doc: str = "doc_id", time: str | None = None) -> dict[str, DataFrame]:
+def run(packages: DataFrame, documents: DataFrame, skeletons: DataFrame | None = None, selected: DataFrame | None = None, change: str = "change_id", doc: str = "doc_id", time: str | None = None, order: str | None = None, routed_on: DataFrame | None = None) -> dict[str, DataFrame]:
     """Record changes in documents.
 
     ``packages``: change, doc, json.  ``documents``: doc, baseline, updated (null until there is a reviewable copy).
     ``skeletons``: doc and section fields, or None to take them from the baselines.  ``selected``: change, section_id,
-    confidence of a generator's valid choices, which go before the rules'.  Several changes of a document are recorded in order of their ids.
+    confidence of a generator's valid choices, which go before the rules'.  Several changes of a document are recorded in order of their ids,
+    or of ``order``, a column of ``packages``.  ``routed_on``: doc, text that changes are routed on in place of the copies.
 
     Gives ``updated`` (doc, text), ``skeletons`` and ``results`` (change, doc, decision, section_id, heading, source,
     confidence, placement, skeleton_changes, warnings).  The baseline is never changed.
@@ -89,7 +90,7 @@ def run(packages: DataFrame, documents: DataFrame, skeletons: DataFrame | None =
     copies = documents.select(doc, F.coalesce("updated", "baseline", F.lit("")).alias("text"))
     if skeletons is None:
         skeletons = lines.skeleton(lines.sections(documents.select(doc, F.col("baseline").alias("text")), [doc]), [doc])
-    decided, files, _ = route_packages(parsed, copies, skeletons, change, doc)
+    decided, files, _ = route_packages(parsed, copies if routed_on is None else routed_on, skeletons, change, doc)
     decided = decided.withColumn("source", F.lit("rules"))
     if selected is not None:
         names = skeletons.select(doc, F.col("section_id").alias("_id"), F.col("heading").alias("_heading"))
@@ -114,7 +115,10 @@ def run(packages: DataFrame, documents: DataFrame, skeletons: DataFrame | None =
     recorded = context.update_block(header, files.select(change, "ordinal", F.col("status").alias("change_type"), "path", "old_path"), keys)
     rows = decided.join(recorded, change)
     # One row for each change, read by all three outputs: routing isn't worked out again for each.
-    rows = keep(rows.withColumn("ordinal", F.row_number().over(Window.partitionBy(doc).orderBy(change))), "update")
+    if order is not None:
+        rows = rows.join(packages.select(change, doc, F.col(order).alias("_order")), [change, doc])
+    in_turn = Window.partitionBy(doc).orderBy(*(["_order"] if order is not None else []), change)
+    rows = keep(rows.withColumn("ordinal", F.row_number().over(in_turn)).drop("_order"), "update")
     under = lines.insert_blocks(copies, rows.where(F.col("decision") == UPDATE).select(doc, "ordinal", "heading", "block"), [doc])
     placed = rows.join(under.select(doc, "found"), doc, "left")
     found = F.coalesce(F.array_contains("found", F.col("ordinal")), F.lit(False)) & (F.col("decision") == UPDATE)
