@@ -26,9 +26,7 @@ def _packages(spark: SparkSession, path: str, doc: str) -> DataFrame:
 
 def score_headings(spark: SparkSession, path: str, out: str | None) -> DataFrame:
     """Scored paragraphs of Word files: all columns as CSV in ``out``, seven to the terminal."""
-    features = docx.analyze(docx.load(spark, path))
-    features = features.join(headings.body_formatting(features, ["doc_id"]), "doc_id")
-    scored = headings.refine_levels(headings.score(headings.repeated_patterns(features, ["doc_id"])), ["doc_id"])
+    scored = docx.analyze(docx.load(spark, path))
     if out:
         sinks.write_csv(sinks.heading_table(scored), out)
     return scored.select("doc_id", "pos", "score", "classification", "predicted_level", "style_name", F.substring("text", 1, 45).alias("text")).orderBy("doc_id", "pos")
@@ -39,6 +37,7 @@ def run(spark: SparkSession, argv: Sequence[str]) -> DataFrame:
     commands = parser.add_subparsers(dest="command", required=True)
     for name, about in (
         ("headings", "score the paragraphs of Word files"),
+        ("tree", "headings of Word files as trees with their contents"),
         ("sections", "sections of Markdown files"),
         ("index", "blocks of Markdown files"),
         ("sentences", "sentences of Markdown files"),
@@ -65,6 +64,8 @@ def run(spark: SparkSession, argv: Sequence[str]) -> DataFrame:
         return score_headings(spark, a.path, a.out)
     if a.command == "package":
         found = readers.git_package(spark, a.before, a.after, a.repo)
+    elif a.command == "tree":
+        found = headings.document_tree(docx.analyze(docx.load(spark, a.path)), ["doc_id"])
     elif a.command == "sections":
         found = lines.skeleton(lines.sections(_texts(spark, a.path), ["doc_id"]), ["doc_id"])
     elif a.command in ("index", "sentences"):

@@ -194,5 +194,76 @@ def heading_tree(scored: DataFrame, keys: list[str]) -> DataFrame:
     return with_ancestors(heads, keys, "predicted_level", "text")
 
 
+def nested(nodes: Column) -> Column:
+    """JSON of a forest, from (level, json) of its nodes in order: a node's children stand before the next one of its own or a higher level.
+
+    Nodes are folded from the last to the first; what is held are the finished trees behind a node, and it takes the first of them that are deeper.
+    """
+
+    def step(held: Column, x: Column) -> Column:
+        until = F.array_position(F.transform(held, lambda t: t["level"] <= x["level"]), True).cast("int")
+        n = F.when(until > 0, until - 1).otherwise(F.size(held))
+        inner = F.array_join(F.transform(F.slice(held, F.lit(1), n), lambda t: t["json"]), ",")
+        whole = F.concat(F.regexp_replace(x["json"], r"\}$", ""), F.lit(',"children":['), inner, F.lit("]}"))
+        return F.concat(F.array(F.struct(x["level"].alias("level"), whole.alias("json"))), F.slice(held, n + 1, F.greatest(F.size(held) - n, F.lit(0))))
+
+    trees = F.aggregate(F.reverse(nodes), F.array().cast("array<struct<level:int,json:string>>"), step)
+    return F.concat(F.lit("["), F.array_join(F.transform(trees, lambda t: t["json"]), ","), F.lit("]"))
+
+
+def document_tree(scored: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, json) of each document: title, headings nested with their contents, what stands before them, probable headings, counts and warnings.
+
+    Official headings and heuristic ones with a level are confirmed; a heading without a level and a probable one stay content and are listed for review.
+    The title is the first of: a paragraph of the style Title, a heading of level 1, content before all headings; such a Title paragraph is no heading.
+    ``scored``: keys, pos, text, style_name, classification, detection_method, predicted_level, score, signals.
+    """
+    w = Window.partitionBy(*keys)
+    before = w.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    official = F.col("detection_method") == "official_word_heading_style"
+    heuristic = (F.col("detection_method") == "formatting_heuristic") & (F.col("classification") == "heading")
+    rows = scored.withColumn("_head", official | (heuristic & F.col("predicted_level").isNotNull())).withColumn("_style", F.lower(F.trim(F.coalesce("style_name", F.lit("")))) == "title")
+    none_yet = ~F.coalesce(F.bool_or("_head").over(before), F.lit(False))
+    sets = F.col("_style") | (F.col("_head") & (F.col("predicted_level") == 1)) | (~F.col("_head") & none_yet)
+    rows = rows.withColumn("_first", F.min(F.when(sets, F.col("pos"))).over(w)).withColumn("_title", F.col("_style") & (F.col("pos") == F.col("_first")))
+    rows = rows.withColumn("_head", F.col("_head") & ~F.col("_title"))
+    rows = rows.withColumn("_under", F.sum(F.col("_head").cast("int")).over(w.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
+    vague = heuristic & F.col("predicted_level").isNull() & ~F.col("_title")
+    review = ~F.col("_head") & ~F.col("_title") & ((F.col("classification") == "probable_heading") | vague)
+    rows = rows.withColumn("_vague", vague).withColumn("_review", review)
+    named = lambda kind: F.concat(F.lit(f"{kind}-"), F.col("pos").cast("string")).alias("id")
+    place = (F.col("pos").alias("position"), F.col("style_name").alias("style"))
+    own = F.struct("pos", F.struct(named("paragraph"), "text", *place).alias("c"))
+    told = F.struct("pos", F.struct(named("probable"), "text", *place, "score", "predicted_level", "detection_method", "signals").alias("c"))
+    listed = lambda column, keep: F.transform(F.array_sort(F.collect_list(F.when(keep, column))), lambda x: x["c"])
+    content = rows.groupBy(*keys, "_under").agg(
+        listed(own, ~F.col("_head")).alias("content"),
+        F.max(F.when(F.col("_head"), F.struct(named("heading"), F.col("text").alias("title"), F.col("predicted_level").alias("level"), *place, "detection_method", "score", "signals", "predicted_level"))).alias("h"),
+    )
+    node = F.struct("_under", F.col("h.level").cast("int").alias("level"), F.to_json(F.struct("h.*", "content")).alias("json"))
+    trees = content.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.when(F.col("_under") > 0, node))).alias("nodes"),
+        F.first(F.when(F.col("_under") == 0, F.col("content")), ignorenulls=True).alias("unassigned"),
+    )
+    plain = ~F.col("_head") & ~F.col("_title") & ~F.col("_review")
+    whole = rows.groupBy(*keys).agg(
+        F.coalesce(F.max(F.when(F.col("pos") == F.col("_first"), F.col("text"))), F.lit("")).alias("title"),
+        listed(told, F.col("_review")).alias("probable"),
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("_vague"), F.struct("pos", "score")))), lambda x: F.concat(F.lit("Paragraph "), x["pos"].cast("string"), F.lit(" scored "), x["score"].cast("string"), F.lit(" as a heading of no clear level; to be reviewed."))).alias("warnings"),
+        F.struct(F.count_if(F.col("_head") & official).alias("official_heading_count"), F.count_if(F.col("_head") & ~official).alias("heuristic_heading_count"), F.count_if(F.col("_review") & (F.col("classification") == "probable_heading")).alias("probable_heading_count"), F.count_if(plain).alias("normal_content_count")).alias("summary"),
+    )
+    both = whole.join(trees, keys)
+    none = T.literals([]).cast("array<string>")
+    warnings = F.concat(
+        "warnings",
+        F.when(F.size("nodes") == 0, T.literals(["No confirmed headings; they may be formatted by hand."])).otherwise(none),
+        F.when(F.size("probable") > 0, F.array(F.concat(F.size("probable").cast("string"), F.lit(" probable heading(s) to be reviewed.")))).otherwise(none),
+    )
+    empty = F.array().cast(dict(trees.dtypes)["unassigned"])
+    rest = F.to_json(F.struct("title", F.coalesce("unassigned", empty).alias("unassigned_content"), F.col("probable").alias("probable_headings"), warnings.alias("warnings"), F.col("summary").alias("analysis_summary")))
+    forest = nested(F.transform("nodes", lambda x: F.struct(x["level"].alias("level"), x["json"].alias("json"))))
+    return both.select(*keys, F.concat(F.lit('{"headings":'), forest, F.lit(","), F.substring(rest, F.lit(2), F.length(rest))).alias("json"))
+
+
 def counts(scored: DataFrame, keys: list[str]) -> DataFrame:
     return scored.groupBy(*keys).agg(*(F.count_if(F.col("classification") == c).alias(f"n_{c}") for c in ("heading", "probable_heading", "normal_content")))

@@ -7,10 +7,11 @@ import zipfile
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
 SCHEMA = """doc_id string, kind string, pos int, run_no int, text string, style_id string, style_name string, based_on string, bold boolean, italic boolean, underline boolean,
 size double, font string, color string, alignment string, spacing_before double, spacing_after double, left_indent double, first_line_indent double,
 num_id int, ilvl int, num_fmt string, lvl_text string, start int, cells array<array<string>>"""
@@ -41,7 +42,26 @@ def _number(value):
         return None
 
 
-def _run_format(properties) -> dict:
+def _font(properties, themes: dict):
+    """The font for Latin text: its name, or the theme's font that it stands for."""
+    fonts = properties.find(W + "rFonts") if properties is not None else None
+    if fonts is None:
+        return None
+    theme = fonts.get(W + "asciiTheme")
+    return (themes.get("major" if theme.startswith("major") else "minor") if theme else None) or fonts.get(W + "ascii")
+
+
+def theme_fonts(theme) -> dict:
+    """The Latin fonts of a theme's headings (``major``) and body (``minor``)."""
+    found = {}
+    for kind in ("major", "minor"):
+        latin = theme.find(f".//{A}{kind}Font/{A}latin") if theme is not None else None
+        if latin is not None and latin.get("typeface"):
+            found[kind] = latin.get("typeface")
+    return found
+
+
+def _run_format(properties, themes: dict) -> dict:
     color = properties.find(W + "color") if properties is not None else None
     theme = None if color is None else color.get(W + "themeColor")
     return {
@@ -49,7 +69,7 @@ def _run_format(properties) -> dict:
         "italic": _switch(properties, "i"),
         "underline": _switch(properties, "u"),
         "size": _points(_value(properties, "sz"), 2),
-        "font": _value(properties, "rFonts", "ascii"),
+        "font": _font(properties, themes),
         "color": f"theme:{theme}" if theme else None if color is None else color.get(W + "val"),
     }
 
@@ -71,17 +91,17 @@ def read_docx(doc_id: str, content: bytes) -> list[dict]:
     try:
         with zipfile.ZipFile(io.BytesIO(content)) as z:
             part = lambda name: ElementTree.fromstring(z.read(name)) if name in z.namelist() else None
-            body, styles, numbering = part("word/document.xml"), part("word/styles.xml"), part("word/numbering.xml")
+            body, styles, numbering, theme = (part(f"word/{name}.xml") for name in ("document", "styles", "numbering", "theme/theme1"))
     except (zipfile.BadZipFile, ElementTree.ParseError, KeyError):
         return []
     if body is None:
         return []
-    rows, names = [], {}
+    rows, names, themes = [], {}, theme_fonts(theme)
     if styles is not None:
-        rows.append({"kind": "defaults"} | _run_format(styles.find(f"{W}docDefaults/{W}rPrDefault/{W}rPr")))
+        rows.append({"kind": "defaults"} | _run_format(styles.find(f"{W}docDefaults/{W}rPrDefault/{W}rPr"), themes))
         for s in styles.iter(W + "style"):
             names[s.get(W + "styleId")] = _value(s, "name")
-            rows.append({"kind": "style", "style_id": s.get(W + "styleId"), "style_name": _value(s, "name"), "based_on": _value(s, "basedOn"), "num_id": _number(_value(s, "pPr/numPr/numId")), "ilvl": _number(_value(s, "pPr/numPr/ilvl"))} | _run_format(s.find(W + "rPr")))
+            rows.append({"kind": "style", "style_id": s.get(W + "styleId"), "style_name": _value(s, "name"), "based_on": _value(s, "basedOn"), "num_id": _number(_value(s, "pPr/numPr/numId")), "ilvl": _number(_value(s, "pPr/numPr/ilvl"))} | _run_format(s.find(W + "rPr"), themes))
     if numbering is not None:
         abstract = {a.get(W + "abstractNumId"): a for a in numbering.iter(W + "abstractNum")}
         for n in numbering.iter(W + "num"):
@@ -94,7 +114,7 @@ def read_docx(doc_id: str, content: bytes) -> list[dict]:
         style = _value(own, "pStyle")
         space = lambda a, tag="spacing": _points(_value(own, tag, a), 20)  # noqa: E731, B023
         rows.append({"kind": "paragraph", "pos": pos, "text": _text(p), "style_id": style, "style_name": names.get(style, style) if style else "Normal", "alignment": _value(own, "jc"), "spacing_before": space("before"), "spacing_after": space("after"), "left_indent": space("left", "ind"), "first_line_indent": space("firstLine", "ind"), "num_id": _number(_value(own, "numPr/numId")), "ilvl": _number(_value(own, "numPr/ilvl"))})
-        rows += ({"kind": "run", "pos": pos, "run_no": i, "text": _text(r), "style_id": style} | _run_format(r.find(W + "rPr")) for i, r in enumerate(p.iter(W + "r")))
+        rows += ({"kind": "run", "pos": pos, "run_no": i, "text": _text(r), "style_id": style} | _run_format(r.find(W + "rPr"), themes) for i, r in enumerate(p.iter(W + "r")))
     for i, t in enumerate(inner.iter(W + "tbl") if inner is not None else ()):
         rows.append({"kind": "table", "pos": i + 1, "cells": [["\n".join(map(_text, c.iter(W + "p"))).strip() for c in r.findall(W + "tc")] for r in t.findall(W + "tr")]})
     return [{"doc_id": doc_id} | r for r in rows]
@@ -122,17 +142,22 @@ def load(spark: SparkSession, path: str) -> DataFrame:
 FORMAT = ["bold", "italic", "underline", "size", "font", "color"]
 
 
-def resolved_styles(rows: DataFrame, depth: int = 10) -> DataFrame:
-    """(doc_id, style_id, formats, num_id, ilvl) with unset values taken from the styles that a style is based on."""
-    keep = [*FORMAT, "num_id", "ilvl"]
-    own = rows.where("kind = 'style'").select("doc_id", "style_id", "based_on", *keep)
-    out, above = own, own.select("doc_id", F.col("style_id").alias("based_on"), F.col("based_on").alias("_next"), *(F.col(c).alias(f"_{c}") for c in keep))
-    for _ in range(depth):
-        step = out.join(above, ["doc_id", "based_on"], "left")
-        out = step.select("doc_id", "style_id", F.col("_next").alias("based_on"), *(F.coalesce(c, f"_{c}").alias(c) for c in keep))
-        if out.where("based_on is not null").isEmpty():
-            break
-    return out.drop("based_on")
+def resolved_styles(rows: DataFrame) -> DataFrame:
+    """(doc_id, style_id, formats, num_id, ilvl) with unset values taken from the styles that a style is based on, however far.
+
+    Each style walks up its document's styles in one fold, at most as many steps as there are styles, so that styles based on each other end too.
+    """
+    held = [*FORMAT, "num_id", "ilvl"]
+    own = rows.where("kind = 'style' and style_id is not null").dropDuplicates(["doc_id", "style_id"])
+    one = F.struct("based_on", *held)
+    known = own.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("style_id", one))).alias("_known"))
+
+    def up(acc: Column, _: Column) -> Column:
+        above = F.when(acc["based_on"].isNotNull(), F.col("_known")[acc["based_on"]])
+        return F.struct(above["based_on"].alias("based_on"), *(F.coalesce(acc[c], above[c]).alias(c) for c in held))
+
+    found = own.join(known, "doc_id").withColumn("_all", F.aggregate(F.sequence(F.lit(1), F.size("_known")), one, up))
+    return found.select("doc_id", "style_id", *(F.col(f"_all.{c}").alias(c) for c in held))
 
 
 def paragraphs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
