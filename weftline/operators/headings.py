@@ -227,7 +227,8 @@ def document_tree(scored: DataFrame, keys: list[str]) -> DataFrame:
     sets = F.col("_style") | (F.col("_head") & (F.col("predicted_level") == 1)) | (~F.col("_head") & none_yet)
     rows = rows.withColumn("_first", F.min(F.when(sets, F.col("pos"))).over(w)).withColumn("_title", F.col("_style") & (F.col("pos") == F.col("_first")))
     rows = rows.withColumn("_head", F.col("_head") & ~F.col("_title"))
-    rows = rows.withColumn("_under", F.sum(F.col("_head").cast("int")).over(w.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
+    under = F.sum(F.col("_head").cast("int")).over(w.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("_under", F.when(F.col("_title"), F.lit(0).cast("long")).otherwise(under))
     vague = heuristic & F.col("predicted_level").isNull() & ~F.col("_title")
     review = ~F.col("_head") & ~F.col("_title") & ((F.col("classification") == "probable_heading") | vague)
     rows = rows.withColumn("_vague", vague).withColumn("_review", review)
