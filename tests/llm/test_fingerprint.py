@@ -8,17 +8,23 @@ from weftline.llm import fingerprint, queries
 
 
 def paragraphs(text):
-    """Lines, cut after the first sentence end from the 201st character on; again for what is left."""
+    """Lines, cut after the first sentence end from the 201st character on; again for what is left.  Short texts also by words."""
     out = set()
     for line in text.split("\n"):
         while len(line) > fingerprint.LONG:
-            ends = [i + 1 for i in range(fingerprint.LONG, len(line) - 1) if line[i] in ".!?" and line[i + 1] in " \t\x0b\x0c\r"]
-            if not ends:
+            ends = [i + 1 for i in range(fingerprint.LONG, min(2 * fingerprint.LONG, len(line) - 1)) if line[i] in ".!?" and line[i + 1] in " \t\x0b\x0c\r"]
+            if not ends and len(line) < 2 * fingerprint.LONG:
                 break
+            ends = ends or [2 * fingerprint.LONG]
             out.add(line[: ends[0]])
             line = line[ends[0] :]
         if line:
             out.add(line)
+    if len(text) <= fingerprint.SHORT:
+        while text:
+            at = next((i + 1 for i in range(fingerprint.PIECE, len(text)) if text[i] in " \t\n\x0b\x0c\r"), len(text))
+            out.add((1, text[:at]))
+            text = text[at:]
     return out
 
 
@@ -82,6 +88,28 @@ def test_edges(spark):
     assert fingerprint.fingerprints(one).collect()[0]["near_next"] == 1.0
 
 
+def test_likeness_from_the_returned_strings_alone(spark):
+    """Folded, subtracted and peeled; strings that don't peel are few among edited texts, and what peels is exact."""
+    rng = random.Random(9)
+    texts = ["\n".join(f"line {rng.randrange(10_000)}" for _ in range(rng.choice([0, 1, 5, 30, 300]))) for _ in range(60)]
+    found = fingerprint.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    told = {r["doc_id"]: r["near_edited"] for r in found.collect()}
+    near = {r["doc_id"]: r["near"] for r in fingerprint.compare(found, ["doc_id"]).collect()}
+    assert set(near) == set(told) and sum(v is None for v in near.values()) <= 6
+    assert all(v is None or v == pytest.approx(told[k]) for k, v in near.items())
+    # Any two fingerprints, of whatever sizes.
+    pairs = found.selectExpr("doc_id", "fingerprint as a").crossJoin(found.where("doc_id < 8").selectExpr("doc_id as other", "fingerprint as b"))
+    for r in fingerprint.compare(pairs, ["doc_id", "other"], "a", "b").where("near is not null").collect():
+        assert r["near"] == pytest.approx(likeness(texts[r["doc_id"]], texts[r["other"]]))
+    assert fingerprint.compare(spark.createDataFrame([(1, None, "iblt1"), (2, "iblt1", "iblt4")], "doc_id int, a string, b string"), ["doc_id"], "a", "b").orderBy("doc_id").collect() == [(1, None), (2, 1.0)]
+
+
+def test_short_texts_have_a_likeness(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet").where("length(text) > 150")
+    found = fingerprint.fingerprints(docs).select("near_edited").collect()
+    assert sum(r["near_edited"] == 0 for r in found) <= 0.01 * len(found)
+
+
 def test_query(spark, data):
     rows = [tuple(r) for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()]
     check(queries.op10_fingerprint(spark, data).collect(), rows)

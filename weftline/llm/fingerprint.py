@@ -1,16 +1,19 @@
 """Document fingerprints in DataFrame functions only: invertible Bloom lookup sketches of paragraphs.
 
 A paragraph is a non-empty line, and a long one falls into several: each ends with
-the first sentence that makes it ``LONG`` characters.  So a change at one place of
+the first sentence that makes it ``LONG`` characters, or after twice as many if no sentence ends there.  So a change at one place of
 a long line leaves what stands before it, and all from the next paragraph on, as
-it was.  A paragraph's digest is a 64-bit hash.  A sketch has
+it was.  A text of up to ``SHORT`` characters also has pieces of a few words, or it would
+have one paragraph or two, and no likeness to what it is after a change.  A paragraph's digest is a 64-bit hash.  A sketch has
 ``groups`` (a power of two that follows the number of paragraphs) of
 ``CELLS`` cells.  A digest goes to one group and there to one cell of each
 third; a cell holds a count, the exclusive or of its digests and that of their
 checks.  Sketches are linear: subtracting those of two texts leaves the digests
-in which they differ.  Cells with one digest left give it up, and taking it from
-its other cells frees more (peeling).  What doesn't peel is tried again with four
-times the groups and other hashes until it does, so every likeness is exact.
+in which they differ.  Of two sketches of unlike size the larger is folded: its groups fall
+onto those of the smaller, as if it had been made that size.  Cells with one digest left give it up, and taking it from
+its other cells frees more (peeling).  So a likeness comes from the two returned fingerprints (``compare``
+does it from the strings alone).  Where they don't peel they are made anew, first of the larger's size, then of four
+times as many groups each time, until they do, so every likeness is exact.
 
 Likeness is shared over all distinct paragraphs.  Two texts without paragraphs
 have likeness 1.
@@ -35,20 +38,25 @@ PER_GROUP = 8
 PEEL_ROUNDS = 12
 ROWS_PER_RANGE = 50_000
 LONG = 200
-PARAGRAPH = rf"(?s)(.{{{LONG},}}?[.!?](?=\s)|.+\z)"
+PARAGRAPH = rf"(?s)(.{{{LONG},{2 * LONG - 1}}}?[.!?](?=\s)|.{{{2 * LONG}}}|.+\z)"
 LOWEST = -(1 << 63)
+#: Texts of up to so many characters also have pieces that end at the first blank from their ``PIECE``-th character on.
+SHORT, PIECE = 600, 40
+PIECES = rf"(?s)(.{{{PIECE},}}?\s|.+\z)"
 
 
 def paragraph_digests(text: Column) -> Column:
     """The distinct digests of a text's paragraphs."""
     lines = F.filter(F.split(text, "\n"), lambda p: p != "")
     cut = lambda p: F.when(F.length(p) <= LONG, F.array(p)).otherwise(F.regexp_extract_all(p, F.lit(PARAGRAPH), F.lit(1)))
-    return F.array_distinct(F.transform(F.flatten(F.transform(lines, cut)), lambda p: F.xxhash64(p)))
+    large = F.transform(F.flatten(F.transform(lines, cut)), lambda p: F.xxhash64(p))
+    small = F.transform(F.regexp_extract_all(text, F.lit(PIECES), F.lit(1)), lambda p: F.xxhash64(F.lit(1), p))
+    return F.array_distinct(F.when(F.length(text) <= SHORT, F.concat(large, small)).otherwise(large))
 
 
 def groups_for(n: Column, level: int) -> Column:
-    """The number of groups for ``n`` paragraphs: a power of two, four times as many for each level."""
-    return F.greatest(F.lit(1.0), F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(n, F.lit(1)) / PER_GROUP)))).cast("int") * F.lit(4**level)
+    """The number of groups for ``n`` paragraphs: a power of two, four times as many for each level from the second."""
+    return F.greatest(F.lit(1.0), F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(n, F.lit(1)) / PER_GROUP)))).cast("int") * F.lit(4 ** max(0, level - 1))
 
 
 def places(digest: Column, level: int) -> Column:
@@ -141,11 +149,11 @@ def _signed(digests: str, sign: int) -> Column:
 def differences(pairs: DataFrame, scratch: Scratch) -> DataFrame:
     """(kid, th, kind, differing): how many digests two texts don't share, by subtraction and peeling.
 
-    ``pairs``: kid, th, kind, n, held (signed digests of both texts).
+    ``pairs``: kid, th, kind, n_low, n_high, held (signed digests of both texts).  Level 0 has the cells of the two fingerprints, the larger one folded.
     """
     keys, done, level = ["kid", "th"], [], 0
     while True:
-        dealt = pairs.repartition(*keys)
+        dealt = pairs.withColumn("n", F.col("n_high" if level else "n_low")).repartition(*keys)
         group = F.sort_array(F.collect_list(F.struct("cell", "c", "x", "k")))
         peeled = cells(dealt, keys, level).groupBy(*keys, "kind", "grp").agg(peel(group, level).alias("p"))
         tried = scratch.keep(peeled.groupBy(*keys, "kind").agg(F.sum("p.found").alias("differing"), F.sum(F.size("p.left")).alias("left")))
@@ -176,7 +184,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     rows = with_next(docs, scratch, key, text)
     keys = ["kid", "th"]
     once = rows.dropDuplicates(keys)
-    compared = F.array(*(F.struct(F.lit(k).alias("kind"), F.greatest(F.size("own"), F.size(o)).alias("n"), F.concat(_signed("own", 1), _signed(o, -1)).alias("held")) for k, o in ((0, "edited"), (1, "next"))))
+    compared = F.array(*(F.struct(F.lit(k).alias("kind"), F.least(F.size("own"), F.size(o)).alias("n_low"), F.greatest(F.size("own"), F.size(o)).alias("n_high"), F.concat(_signed("own", 1), _signed(o, -1)).alias("held")) for k, o in ((0, "edited"), (1, "next"))))
     differing = differences(once.select(*keys, F.inline(compared)), scratch)
     per = differing.groupBy(*keys).agg(*(F.sum(F.when(F.col("kind") == k, F.col("differing"))).alias(n) for k, n in ((0, "d_edited"), (1, "d_next"))))
     alone = F.array(*(F.struct(F.lit(k).alias("kind"), F.size(o).alias("n"), _signed(o, 1).alias("held")) for k, o in ((0, "own"), (1, "edited"))))
@@ -191,3 +199,25 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
     blank = F.lit("iblt1")
     return out.select(F.col("id").alias(key), "n_chars", "edited_sha256", F.coalesce("fingerprint", blank).alias("fingerprint"), F.coalesce("edited_fingerprint", blank).alias("edited_fingerprint"), near("edited", "d_edited").alias("near_edited"), near("next", "d_next").alias("near_next"), "next_id")
+
+
+def compare(pairs: DataFrame, keys: list[str], one: str = "fingerprint", other: str = "edited_fingerprint") -> DataFrame:
+    """(keys, near): the likeness of two returned fingerprints, from nothing but their strings; null where they don't peel.
+
+    The larger is folded to the smaller's size and subtracted.  A null fingerprint gives null.
+    """
+    number = lambda s: F.conv(s, 16, -10).cast("long")
+    sides = [pairs.select(*keys, F.lit(sign).alias("sign"), F.split(F.col(c), ";").alias("parts")) for c, sign in ((one, 1), (other, -1))]
+    rows = sides[0].unionByName(sides[1]).where("parts is not null")
+    rows = rows.withColumn("groups", F.substring(F.get("parts", F.lit(0)), 5, 20).cast("int"))
+    low = rows.groupBy(*keys).agg(F.min("groups").alias("low"), F.count("*").alias("both")).where("both = 2").drop("both")
+    told = rows.select(*keys, "sign", F.explode(F.slice("parts", F.lit(2), F.size("parts"))).alias("s")).withColumn("v", F.split("s", r"\."))
+    v = lambda i: F.get("v", F.lit(i))
+    told = told.select(*keys, "sign", v(0).cast("int").alias("at"), v(1).cast("int").alias("c"), number(v(2)).alias("x"), number(v(3)).cast("int").alias("k")).join(low, keys)
+    folded = told.withColumn("grp", F.pmod(F.floor(F.col("at") / CELLS).cast("int"), F.col("low"))).withColumn("cell", F.pmod("at", F.lit(CELLS)))
+    summed = folded.groupBy(*keys, "grp", "cell").agg(F.sum(F.col("sign") * F.col("c")).cast("int").alias("c"), F.bit_xor("x").alias("x"), F.bit_xor("k").alias("k"), F.sum("c").alias("n"))
+    group = F.sort_array(F.collect_list(F.when((F.col("c") != 0) | (F.col("x") != 0), F.struct("cell", "c", "x", "k"))))
+    peeled = summed.groupBy(*keys, "grp").agg(peel(group, 0).alias("p"), F.sum("n").alias("n")).groupBy(*keys).agg(F.sum("p.found").alias("d"), F.sum(F.size("p.left")).alias("left"), (F.sum("n") / 3).alias("n"))
+    near = F.when(F.col("left").isNull(), 1.0).when(F.col("left") == 0, (F.col("n") - F.col("d")) / (F.col("n") + F.col("d")))
+    out = pairs.select(*keys).join(low, keys, "left").join(peeled, keys, "left")
+    return out.select(*keys, F.when(F.col("low").isNotNull(), near).alias("near"))
