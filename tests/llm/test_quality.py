@@ -51,6 +51,11 @@ def test_rules_are_ordered_by_rejection_per_cost(spark, data):
     assert rejecting == sorted(rejecting, reverse=True)
 
 
+def test_the_order_stands(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    assert len({tuple(r.name for r in quality.order_rules(docs)[0]) for _ in range(6)}) == 1
+
+
 def test_costs_are_of_the_rule(spark, monkeypatch):
     """A rule that does a hundred times the work stands behind one that rejects as much."""
     from pyspark.sql import functions as F
