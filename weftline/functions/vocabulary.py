@@ -131,3 +131,12 @@ TRUE_WORDS = ["true", "1", "yes", "on"]
 DOCUMENT_FOLDER, DOCUMENT_SUFFIX = "artifacts/summaries", "_TechnicalDocument.md"
 DEFAULT_REPOSITORY, FIRST_HEADING = "Repository", "System Overview"
 MIN_CONFIDENCE, NO_CHANGE_CONFIDENCE = 0.75, 0.90
+#: Texts and phrases that say nothing about a change.
+GENERIC_TEXT = r"(?i)^\s*(the\s+)?(code|system|repository|project|documentation|summary)?\s*(was|were|has\s+been|have\s+been)?\s*(updated|changed|modified|enhanced|improved|implemented|refactored)[\s.!]*$"
+GENERIC_PHRASES = [
+    "various improvements", "several changes", "minor improvements", "general improvements", "miscellaneous changes", "code was updated",
+    "system was enhanced", "changes were implemented", "various changes", "streamline processes", "streamline the process", "ensure consistency",
+    "improve efficiency", "improve performance", "enhance functionality", "make the system robust", "essential components", "relevant and informative",
+    "better maintainability", "seamless integration", "designed to streamline", "designed to ensure", "helps improve", "provides a robust",
+]
+NEW_TEXT_CHARS, LEAST_REASONING_CHARS, GROWTH_CHARS = 1_200, 5, 600

@@ -48,11 +48,12 @@ def selection_prompt(shortlists: DataFrame, summaries: DataFrame, keys: list[str
     return rows.select(*keys, F.substring(F.concat_ws("\n", ask, F.lit("Change:"), "summary", F.lit("Sections:"), F.array_join(F.transform("r", lambda x: x["t"]), "\n")), 1, PROMPT_CHARS).alias("prompt"), F.transform("r", lambda x: x["id"]).alias("candidates"))
 
 
-def patch_prompt(shortlists: DataFrame, facts: DataFrame, keys: list[str], operations: list[str]) -> DataFrame:
-    """(keys, prompt, targets): edit one of the shortlisted texts."""
+def patch_prompt(shortlists: DataFrame, facts: DataFrame, keys: list[str], operations: list[str] | None = None) -> DataFrame:
+    """(keys, prompt, targets): edit one of the shortlisted texts; without ``operations`` those of the column of ``facts``."""
     one = F.concat_ws("\n", F.concat(F.lit("target "), "candidate_id"), "text")
     rows = shortlists.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rank", one.alias("t"), F.col("candidate_id").alias("id")))).alias("r")).join(facts, keys)
-    ask = F.lit("Allowed operations: " + ", ".join(operations) + ". Answer with one JSON object with the keys " + ", ".join(validate.PATCH_KEYS) + ".")
+    allowed = F.array_join("operations", ", ") if operations is None else F.lit(", ".join(operations))
+    ask = F.concat(F.lit("Allowed operations: "), allowed, F.lit(". Answer with one JSON object with the keys " + ", ".join(validate.PATCH_KEYS) + "."))
     return rows.select(*keys, F.substring(F.concat_ws("\n\n", ask, F.lit("Facts:"), "facts", F.array_join(F.transform("r", lambda x: x["t"]), "\n\n")), 1, PROMPT_CHARS).alias("prompt"), F.transform("r", lambda x: x["id"]).alias("targets"))
 
 

@@ -112,3 +112,37 @@ def answer_problems(json: Column, operations: Column, targets: Column, candidate
     claims = F.when(edits, E.claim_problems(_field(json, "new_text"), evidence)).otherwise(none)
     reason = F.when(edits & ~E.reasoning_supported(F.coalesce(_field(json, "reasoning"), F.lit("")), candidates, evidence), T.literals(["reason without evidence"])).otherwise(none)
     return F.concat(validate.patch_problems(json, operations, targets), F.coalesce(claims, none), F.coalesce(reason, none))
+
+
+#: What an edit may do, and to what.
+SENTENCE_EDITS, BLOCK_EDITS = ["replace_sentence", "insert_after_sentence"], ["replace_block", "insert_after_block"]
+REPLACEMENTS, WITHOUT_TARGET, WITHOUT_TEXT = ["replace_sentence", "replace_block"], ["append_to_section", "no_change_needed", "manual_review_needed"], ["no_change_needed", "manual_review_needed"]
+LIST_MARKER = r"^(\s*(?:[-*+]|\d+[.)])\s+)"
+
+
+def edit_problems(json: Column, own: Column, corpus: Column) -> Column:
+    """Problems of an edit's target and text.  ``own`` is the target (candidate_type, text), null if the answer names none of the candidates."""
+    operation, target = F.coalesce(_field(json, "operation"), F.lit("")), _field(json, "target_id")
+    new, reason = T.strip(F.coalesce(_field(json, "new_text"), F.lit(""))), F.coalesce(_field(json, "reasoning"), F.lit(""))
+    old = F.coalesce(own["text"], F.lit(""))
+    replaces, mutates = operation.isin(REPLACEMENTS), ~operation.isin(WITHOUT_TEXT)
+    listed = lambda c: c.rlike(LIST_MARKER)
+    rules = validate.problems(
+        {
+            "target not allowed": operation.isin(WITHOUT_TARGET) & target.isNotNull(),
+            "target is no candidate": ~operation.isin(WITHOUT_TARGET) & own.isNull(),
+            "wrong kind of target": F.coalesce((own["candidate_type"] == "sentence") & operation.isin(BLOCK_EDITS), F.lit(False)) | F.coalesce((own["candidate_type"] == "block") & operation.isin(SENTENCE_EDITS), F.lit(False)),
+            "text not allowed": ~mutates & (new != ""),
+            "reasoning too long": F.length(reason) > V.REASONING_CHARS,
+            "reasoning too short": F.length(T.strip(reason)) < V.LEAST_REASONING_CHARS,
+            "no text": mutates & (new == ""),
+            "text too long": F.length(new) > V.NEW_TEXT_CHARS,
+            "unchanged": replaces & (new == T.strip(old)),
+            "grows too much": replaces & (F.length(new) > F.greatest(F.length(old) * 2, F.length(old) + V.GROWTH_CHARS)),
+            "list marker lost": replaces & listed(old) & ~listed(new),
+            "becomes a list item": replaces & ~listed(old) & listed(new),
+            "generic text": mutates & (new.rlike(V.GENERIC_TEXT) | T.any_of(F.contains(F.lower(new), F.lit(p)) for p in V.GENERIC_PHRASES)),
+        }
+    )
+    none = F.array().cast("array<string>")
+    return F.concat(rules, F.when(mutates, validate.grounding_problems(new, corpus)).otherwise(none))

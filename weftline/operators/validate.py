@@ -88,7 +88,8 @@ def json_object(text: Column) -> Column:
 def strict_json_object(text: Column) -> Column:
     """Exactly one object, alone or in one fence; else null."""
     bare = T.strip(F.regexp_replace(T.strip(text), r"(?s)^```(?:json)?\s*\n(.*)\n```$", "$1"))
-    return F.when(bare.startswith("{") & bare.endswith("}") & F.json_object_keys(bare).isNotNull() & F.try_parse_json(bare).isNotNull(), bare)
+    alone = F.concat(F.lit("["), bare, F.lit("]"))  # what stands after a first object makes this no list, or one of two
+    return F.when(bare.startswith("{") & bare.endswith("}") & F.json_object_keys(bare).isNotNull() & F.try_parse_json(alone).isNotNull() & (F.json_array_length(alone) == 1), bare)
 
 
 def key_problems(json: Column, allowed: list[str], required: list[str] | None = None) -> Column:

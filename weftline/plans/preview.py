@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from weftline.functions import text as T
 from weftline.functions import vocabulary as V
 from weftline.operators import blocks, lines, package, prompts, scoring
+from weftline.plans import index as stored_index
+from weftline.session import keep
 from weftline.sources import readers
 
 
@@ -16,7 +18,8 @@ def route(packages: DataFrame, documents: DataFrame, change: str = "change_id",
     changes whose section somebody else has picked.
 
     Gives ``shortlist``, ``assessed`` and ``decided`` sections, and ``places``, the shortlist of
-    blocks and sentences in each decided section, with ``placed``, the verdict on them.
+    blocks and sentences in each decided section, with ``placed``, the verdict on them; and what a plan of edits reads beside these:
+    ``files``, ``hunks``, ``evidence``, ``catalog`` and ``texts``, the candidates' texts with what stands around them.
     """
     keys = [change]
     parsed = package.parse_packages(packages, [change, doc])
@@ -25,7 +28,9 @@ def route(packages: DataFrame, documents: DataFrame, change: str = "change_id",
     hunks = package.hunks(files, keys)
     signals = scoring.change_signals(files, hunks, parsed.select(change, F.col("generated_summary").alias("summary")), keys).join(of_doc, change)
     catalog = scoring.catalog(lines.sections(documents, [doc]), [doc])
-    shortlist = scoring.route(signals, catalog, keys, [doc])
+    # Written, for routing and places are read several times by all that follows.
+    catalog = keep(catalog, "catalog")
+    shortlist = keep(scoring.route(signals, catalog, keys, [doc]), "shortlist")
     assessed = scoring.assess(shortlist, keys)
     decided = scoring.decide(assessed.join(of_doc, change), catalog, keys, [doc])
 
@@ -35,15 +40,28 @@ def route(packages: DataFrame, documents: DataFrame, change: str = "change_id",
 
     chosen = decided.where("action = 'update_section'").select(change, "section_id").join(of_doc, change)
     _, indexed = blocks.block_index(documents, [doc])
-    own = blocks.eligible(indexed).join(chosen, [doc, "section_id"]).select(change, doc, "block_id", F.col("block_id").alias("candidate_id"), F.col("block_order"), F.col("block_text").alias("text"), "content_text", "block_type")
+    own = keep(blocks.eligible(indexed).join(chosen, [doc, "section_id"]), "blocks").select(change, doc, "block_id", F.col("block_id").alias("candidate_id"), F.col("block_order"), F.col("block_text").alias("text"), "content_text", "block_type")
     parts = blocks.sentence_rows(own.select(change, "block_id", "content_text", "block_type"), keys)
     sentences = own.select(change, "block_id", "block_order").join(parts.select(change, "block_id", F.col("sentence_id").alias("candidate_id"), "sentence_order", "text"), [change, "block_id"])
     evidence = placement_signals(files, hunks, parsed, keys)
     scored = scoring.placement_scores(own.join(evidence, change))
     fine = scoring.placement_scores(sentences.join(evidence, change))
-    places = scoring.placement_shortlist(scoring.granularity(scored, fine, keys), keys)
+    places = keep(scoring.placement_shortlist(scoring.granularity(scored, fine, keys), keys), "places")
     meaningful = evidence.select(change, F.transform(F.flatten(F.array("symbols", "paths", "modules", "removed", "added", "hunk")), F.lower).alias("signals"))
-    return {"shortlist": shortlist, "assessed": assessed, "decided": decided, "places": places, "placed": scoring.place(places, meaningful, keys)}
+    around = scoring.with_context(own.select(change, "candidate_id", "block_id", "block_order", "text"), keys)
+    parents = around.select(change, "block_id", F.col("text").alias("parent_text"), "previous_excerpt", "next_excerpt")
+    no_parent = F.lit(None).cast("string").alias("parent_text")
+    texts = around.select(change, "candidate_id", "text", no_parent, "previous_excerpt", "next_excerpt").unionByName(sentences.join(parents, [change, "block_id"]).select(change, "candidate_id", "text", "parent_text", "previous_excerpt", "next_excerpt"))
+    placed = scoring.place(places, meaningful, keys)
+    return {"shortlist": shortlist, "assessed": assessed, "decided": decided, "places": places, "placed": placed, "files": files, "hunks": hunks, "evidence": evidence, "catalog": catalog, "texts": texts}
+
+
+def refused(documents: DataFrame, index: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc, refusal): documents whose stored index (doc, json) can't be used, and why; offsets of such an index are not to be trusted."""
+    rows = documents.select(doc, F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256).alias("_sha")).join(index.select(doc, "json"), doc, "left")
+    same = F.get_json_object("json", "$.source.sha256") == F.col("_sha")
+    why = F.coalesce(stored_index.problem(F.col("json")), F.when(~F.coalesce(same, F.lit(False)), "stale index"))
+    return rows.select(doc, why.alias("refusal")).where("refusal is not null")
 
 
 def placement_signals(files: DataFrame, hunks: DataFrame, parsed: DataFrame, keys: list[str]) -> DataFrame:
@@ -64,14 +82,19 @@ def placement_signals(files: DataFrame, hunks: DataFrame, parsed: DataFrame, key
     return out.withColumn("change_categories", T.categories(F.array_join(F.array_sort(F.array_union("paths", "modules")), " ")))
 
 
-def run(packages: DataFrame, documents: DataFrame, override: DataFrame | None = None, generate=None, least: float = V.MIN_CONFIDENCE, change: str = "change_id", doc: str = "doc_id") -> DataFrame:
+def run(packages: DataFrame, documents: DataFrame, override: DataFrame | None = None, generate=None, least: float = V.MIN_CONFIDENCE, change: str = "change_id", doc: str = "doc_id", patch=None, index: DataFrame | None = None) -> DataFrame:
     """(change, report): what would be done, as JSON; nothing is written.
 
     ``override``: change, section_id, which go before everything else.  ``generate``: a text generator that may pick among the
-    shortlisted sections.  A package of an unknown version, or one that is no object, gives its status alone.
+    shortlisted sections.  ``patch``: one that plans an edit of the places found (``plans.patch``), its plan stands under ``patch``.
+    ``index``: doc, json, stored indexes; a change of a document whose index is missing, broken, unknown or stale has that as its status and no more.
+    A package of an unknown version, or one that is no object, gives its status alone.
     """
     keys = [change]
     checked = readers.supported(packages)
+    if index is not None:
+        why = refused(documents, index, doc)
+        checked = checked.join(why, doc, "left").withColumn("status", F.when((F.col("status") == "ok") & F.col("refusal").isNotNull(), F.col("refusal")).otherwise(F.col("status"))).drop("refusal")
     fine = checked.where("status = 'ok'")
 
     def choose(shortlist: DataFrame, leaders: DataFrame) -> DataFrame:
@@ -91,4 +114,11 @@ def run(packages: DataFrame, documents: DataFrame, override: DataFrame | None =
     placed = found["placed"].select(change, F.struct("recommendation", "candidate_id", "confidence", "ambiguous").alias("placement"))
     out = hashes.join(found["decided"].select(change, F.struct("action", "section_id", "confidence", "ambiguous").alias("routing")), change, "left")
     out = out.join(shortlist, change, "left").join(placed, change, "left").join(places, change, "left")
-    return out.select(change, F.to_json(F.struct("status", "package_sha256", "document_sha256", "routing", "shortlist", "placement", "candidates")).alias("report"))
+    shown = ["status", "package_sha256", "document_sha256", "routing", "shortlist", "placement", "candidates"]
+    if patch is not None:
+        from weftline.plans import patch as planner
+
+        planned = planner.planned(fine, documents, found, patch, least, change, doc)
+        out = out.join(planned.select(change, F.struct(*(c for c in planned.columns if c != change)).alias("patch")), change, "left")
+        shown.append("patch")
+    return out.select(change, F.to_json(F.struct(*shown)).alias("report"))
