@@ -83,3 +83,24 @@ def test_edges(spark):
         assert operator(empty(spark)).count() == 0
         assert operator(clashing(spark, "k", "t", "ids", "n_tokens")).count() == 1
     assert viterbi.decode(spark.createDataFrame([(1, None)], "doc_id long, ids array<int>")).collect()[0]["text"] is None
+
+
+def test_every_prefix_has_one_path_and_it_is_the_best():
+    """The forward pass over all pieces, scores compared: what fits is one piece for each prefix, so the first fit is the best."""
+    vocabulary = viterbi.Vocabulary(MODEL)
+    words = sorted({w for t in random_texts(300, 5) for w in words_of(t)} | {" undoing", " theoretically", "aaaaaaaaaaaaa", "  gap", "naïve"})
+    for word, (ids, score) in zip(words, vocabulary.encode(words), strict=True):
+        marked = word.replace(" ", viterbi.MARK)
+        best = [(0.0, "", ())]
+        for end in range(1, len(marked) + 1):
+            found = []
+            for start in range(max(0, end - vocabulary.longest), end):
+                piece = marked[start:end]
+                if best[start] is None or (piece not in vocabulary.score and end - start > 1) or not vocabulary.fits(best[start][1], piece):
+                    continue
+                own, number = vocabulary.score.get(piece, (vocabulary.unknown, None))
+                more = (number,) if number is not None else tuple(vocabulary.byte_id[b] for b in piece.encode())
+                found.append((best[start][0] + own, piece, best[start][2] + more))
+            assert len(found) == 1, (word, end)
+            best.append(max(found))
+        assert best[-1][2] == ids and abs(best[-1][0] - score) < 1e-6 * max(1, abs(score))
