@@ -22,11 +22,11 @@ def route(packages: DataFrame, documents: DataFrame, change: str = "change_id",
     ``files``, ``hunks``, ``evidence``, ``catalog`` and ``texts``, the candidates' texts with what stands around them.
     """
     keys = [change]
-    parsed = package.parse_packages(packages, [change, doc])
+    parsed = keep(package.parse_packages(packages, [change, doc]), "parsed")
     of_doc = parsed.select(change, doc).distinct()
     files = package.files(parsed, keys)
     hunks = package.hunks(files, keys)
-    signals = scoring.change_signals(files, hunks, parsed.select(change, F.col("generated_summary").alias("summary")), keys).join(of_doc, change)
+    signals = keep(scoring.change_signals(files, hunks, parsed.select(change, F.col("generated_summary").alias("summary")), keys).join(of_doc, change), "signals")
     catalog = scoring.catalog(lines.sections(documents, [doc]), [doc])
     # Written, for routing and places are read several times by all that follows.
     catalog = keep(catalog, "catalog")
@@ -43,7 +43,7 @@ def route(packages: DataFrame, documents: DataFrame, change: str = "change_id",
     own = keep(blocks.eligible(indexed).join(chosen, [doc, "section_id"]), "blocks").select(change, doc, "block_id", F.col("block_id").alias("candidate_id"), F.col("block_order"), F.col("block_text").alias("text"), "content_text", "block_type")
     parts = blocks.sentence_rows(own.select(change, "block_id", "content_text", "block_type"), keys)
     sentences = own.select(change, "block_id", "block_order").join(parts.select(change, "block_id", F.col("sentence_id").alias("candidate_id"), "sentence_order", "text"), [change, "block_id"])
-    evidence = placement_signals(files, hunks, parsed, keys)
+    evidence = keep(placement_signals(files, hunks, parsed, keys), "evidence")
     scored = scoring.placement_scores(own.join(evidence, change))
     fine = scoring.placement_scores(sentences.join(evidence, change))
     places = keep(scoring.placement_shortlist(scoring.granularity(scored, fine, keys), keys), "places")
@@ -95,6 +95,7 @@ def run(packages: DataFrame, documents: DataFrame, override: DataFrame | None =
     if index is not None:
         why = refused(documents, index, doc)
         checked = checked.join(why, doc, "left").withColumn("status", F.when((F.col("status") == "ok") & F.col("refusal").isNotNull(), F.col("refusal")).otherwise(F.col("status"))).drop("refusal")
+    checked = keep(checked, "checked")
     fine = checked.where("status = 'ok'")
 
     def choose(shortlist: DataFrame, leaders: DataFrame) -> DataFrame:
