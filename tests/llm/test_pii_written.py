@@ -60,3 +60,39 @@ def test_prose_of_other_languages_stays(text):
 )
 def test_secrets(text, left):
     assert pii.masked(text) == left
+
+
+@pytest.mark.parametrize(
+    ("text", "left"),
+    [
+        ("contact john at example.com now", "contact [EMAIL] now"),
+        ("see john_at_example_dot_com ok", "see [EMAIL] ok"),
+        ("see john-at-example-dot-org, ok", "see [EMAIL], ok"),
+        ("card 4O12 8888 8888 1881.", "card [CARD]."),
+        ("I 4O12 8888 8888 l88l fine", "I [CARD] fine"),
+        ("x: j o h n @ example . com", "x: [EMAIL]"),
+        ("x: j o h n @ e x a m p l e . c o m I am", "x: [EMAIL] I am"),
+        ("ask john @ example . com", "ask [EMAIL]"),
+        ("tel 0049 176 5551234", "tel [PHONE]"),
+    ],
+)
+def test_disguises_without_words(text, left):
+    assert pii.masked(text) == left
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["contact us at example.com", "mail server at example.com", "reach them at www.example.com", "look-at-me.com", "look_at_this.md", "meet @ home . it was", "id 0049 176 5551234", "4O12 8888 8888 1882", "O O O O O O O O O O O O 1 1 1 1", "a @ b", "@", " @ x.com"],
+)
+def test_what_only_looks_disguised_stays(text):
+    assert pii.masked(text) == text
+
+
+@pytest.mark.parametrize("part", ["j ", "a_at_", "-at-a", "0 O1 ", "@ ", "tel 00 1", "contact a at b.", "b . ", "mail   "])
+def test_long_texts_take_time_in_proportion(part):
+    """A quadratic scan of such a text would take minutes."""
+    import time
+
+    began = time.perf_counter()
+    pii.find(part * (600_000 // len(part)) + "a @ b . com")
+    assert time.perf_counter() - began < 30

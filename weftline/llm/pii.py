@@ -4,7 +4,9 @@ Base detectors run on the text itself.  Where a text shows signs of disguise, a
 chain of transducers rewrites it: look-alike and full-width characters become
 ASCII, invisible ones go, digits spelled in English, German, French or Spanish
 become digits, and written-out ``at`` and ``dot``, in these languages too, become
-``@`` and ``.``.  Each step carries, for every character it
+``@`` and ``.``, also where they are glued into one word (``john_at_example_dot_com``) or
+letters are spaced out; letters ``O`` and ``l`` among digits become digits, and ``00`` before a
+country's number becomes ``+`` where a word like "tel" stands before it.  Each step carries, for every character it
 gives out, the source span it came from; the same detectors then run on the
 rewritten text and their spans are mapped back.  A span is added only if its
 source differs from what was detected and no base span of its kind covers it.
@@ -91,6 +93,28 @@ AT = re.compile(rf"(?i)@|(?<=\s){_AT}(?=\s)")
 LABEL = re.compile("[A-Za-z0-9-]+")
 DOMAIN_WRITTEN = re.compile(rf"(?i)\s*[A-Za-z0-9-]+(?:(?:\s+{_DOT}\s+|\.)[A-Za-z0-9-]+)+")
 IP_DOT = re.compile(rf"(?i)(?<=[0-9])\s+{_DOT}\s+(?=[0-9])")
+#: General top-level domains, which no file name ends in.
+GENERAL = frozenset("com org net edu gov mil int info biz aero coop museum".split())
+#: ``_at_`` or ``-at-`` inside one word; labels and written dots behind it.
+GLUED = re.compile(rf"(?i)([_-]){_AT}\1")
+GLUED_DOMAIN = {sep: re.compile(rf"(?i)(?:{label})(?:(?:{sep}{_DOT}{sep}|\.)(?:{label}))+") for sep, label in (("_", "[A-Za-z0-9-]+"), ("-", "[A-Za-z0-9]+"))}
+GLUED_DOT = {sep: re.compile(rf"(?i){sep}{_DOT}{sep}") for sep in "_-"}
+CUES = ("mail", "contact", "reach", "write to", "kontakt", "courriel", "correo")
+#: An address after a cue, with nothing but ``at`` written out, and words that are no one's name there.
+PLAIN = re.compile(rf"(?i)\b(?:e-?mail|mail|contact|reach|write to|kontakt|contacto|courriel|correo)(?:\s*:|\s+to)?\s+([A-Za-z0-9._%+-]+)\s+{_AT}\s+(?!www\.)([A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)")
+NO_NAMES = frozenset("us me him her them you it we one all anyone someone information details page pages form forms person point list lists server servers address addresses book bar data out back there here only also directly now today".split())
+#: A label, its letters spaced out or not, and a domain of such labels.
+_SPACED_LABEL = r"(?:[A-Za-z0-9-](?:\x20[A-Za-z0-9-])+(?![A-Za-z0-9-])|[A-Za-z0-9-]+)"
+SPACED_DOMAIN = re.compile(rf"\x20?{_SPACED_LABEL}(?:(?:\x20\.\x20|\.){_SPACED_LABEL})+")
+BLANKS = re.compile(r"\x20")
+#: Digits with letters that look like them among them; it can only begin where a run does.
+MIXED = re.compile(r"(?<![0-9OoIl][ -])(?<![A-Za-z0-9])[0-9OoIl](?:[ -]?[0-9OoIl])++(?![A-Za-z0-9])")
+MIXED_SIGN = re.compile(r"[0-9](?:(?=[OoIl])|(?<=[OoIl][0-9]))")
+MIXED_GROUP = re.compile(r"[0-9OoIl]+")
+MIXED_LETTER = re.compile(r"[OoIl]")
+#: The prefix of international calls.
+ZEROS = re.compile(r"(?<![0-9A-Za-z.,+-])00(?=[1-9][0-9]{0,2}[\x20().-]?[0-9])")
+NEAR_PHONE = re.compile(r"(?i)\b(?:tel|phone|telephone|telefon|tel[eé]fono|t[eé]l[eé]phone|fon|fax|call|mobile?|handy|m[oó]vil|whatsapp|sms)\b")
 #: A secret that stands behind its name: its value is what is found.
 SECRET = re.compile(r"""(?i)(?:token|secret|passw(?:or)?d|passwort|pwd|api[_-]?key|access[_-]?key|authorization|bearer)["']?\s*(?:[:=]|\bis\b)\s*(?:bearer\s+)?["']?([A-Za-z0-9_./+=~-]{8,})""")
 SECRET_NAMES = ("token", "secret", "passw", "pwd", "key", "authorization", "bearer")
@@ -228,6 +252,75 @@ def _domain_end(t: str, begin: int, domain: re.Match, likely: bool, clear: bool)
     return 0
 
 
+def _glued(t: str) -> list[tuple[str, int, int]]:
+    # The signs of addresses that are glued into one word; linear, for labels end at separators.
+    out, floor = [], 0
+    for m in GLUED.finditer(t):
+        domain = m.start() > floor and t[m.start() - 1] in LOCAL and GLUED_DOMAIN[m[1]].match(t, m.end())
+        if not domain:
+            continue
+        dots = [d.span() for d in GLUED_DOT[m[1]].finditer(t, m.end(), domain.end())]
+        last = LABEL.findall(domain[0].replace("_", " "))[-1].rpartition("-")[2].lower()
+        if last in (DOMAINS if dots else GENERAL) and (dots or m[1] == "_"):
+            out += [("@", *m.span()), *((".", a, b) for a, b in dots)]
+            floor = domain.end()
+    return out
+
+
+def _plain(t: str) -> list[tuple[str, int, int]]:
+    # The word for ``@`` of addresses that a cue announces.
+    return [("@", m.end(1), m.start(2)) for m in PLAIN.finditer(t) if m[1].lower() not in NO_NAMES and m[2].rpartition(".")[2].lower() in DOMAINS]
+
+
+def _spaced(t: str) -> list[tuple[str, int, int]]:
+    # The blanks of addresses whose letters or signs stand apart.
+    out, floor, at = [], 0, t.find("@")
+    while at >= 0:
+        domain = SPACED_DOMAIN.match(t, at + 1)
+        left = at - 1 if at and t[at - 1] == " " else at
+        if domain and left > floor and t[left - 1] in LOCAL:
+            start = left - 1
+            while start - 2 >= floor and t[start - 1] == " " and t[start - 2] in LOCAL and (start - 2 == 0 or t[start - 3] not in LOCAL):
+                start -= 2
+            single = start - 1 < floor or t[start - 1] not in LOCAL
+            letters = single and left - start >= 5
+            apart = " . " in domain[0]
+            # The last label may run into letters that follow it.
+            cut = max(domain[0].rfind("."), 0) + 1
+            tail = domain[0][cut:]
+            lead = len(tail) - len(tail.lstrip(" "))
+            ends = [n for n in range(len(tail), lead, -1) if tail[:n].replace(" ", "").lower() in DOMAINS and (n == len(tail) or tail[n] == " ")]
+            if (letters or apart) and ends:
+                end = domain.start() + cut + ends[0]
+                begin = start if letters else left
+                out += [("", *b.span()) for b in BLANKS.finditer(t, begin, end)]
+                floor = at = end - 1
+        at = t.find("@", at + 1)
+    return out
+
+
+def _mixed(t: str) -> list[tuple[str, int, int]]:
+    # Letters among digits, in runs as long as the shortest number; each group has a digit, and digits are two of three.
+    out = []
+    for m in MIXED.finditer(t):
+        groups = [g.span() for g in MIXED_GROUP.finditer(t, *m.span())]
+        real = [any(c.isdigit() for c in t[a:b]) for a, b in groups]
+        while groups and not real[0]:
+            del groups[0], real[0]
+        while groups and not real[-1]:
+            del groups[-1], real[-1]
+        n = sum(b - a for a, b in groups)
+        letters = [x for a, b in groups for x in MIXED_LETTER.finditer(t, a, b)]
+        if n >= 10 and all(real) and letters and 3 * len(letters) <= n:
+            out += [("0" if x[0] in "Oo" else "1", *x.span()) for x in letters]
+    return out
+
+
+def _called(t: str) -> list[tuple[str, int, int]]:
+    # ``00`` that stands for a plus.
+    return [("+", *m.span()) for m in ZEROS.finditer(t) if NEAR_PHONE.search(t, max(0, m.start() - 30), m.start())]
+
+
 def _has_run(low: str) -> bool:
     """Whether two neighbouring words are digits' names and nothing more, as any two inside a spelled number are."""
     at = [i for i, w in enumerate(low.replace("-", " ").replace(",", " ").split()) if w in DIGIT_WORDS]
@@ -242,7 +335,12 @@ def disguised(t: str) -> list[Span]:
     bracketed = any(c in t for c in "[({<") and BRACKETED.search(t)
     written = any(w in low for w in DOT_WORDS) and DOT.search(t)
     spelled = _has_run(low) and SPELLED.search(t)
-    if not (odd or bracketed or written or spelled):
+    glued = any(f"{c}{w}{c}" in low for c in "_-" for w in AT_WORDS)
+    plain = any(w in low for w in CUES) and PLAIN.search(t)
+    spaced = "@" in t and (" @" in t or "@ " in t)
+    mixed = MIXED_SIGN.search(t)
+    called = "00" in t and ZEROS.search(t)
+    if not (odd or bracketed or written or spelled or glued or plain or spaced or mixed or called):
         return []
     tape = Tape(t)
     if odd:
@@ -251,6 +349,9 @@ def disguised(t: str) -> list[Span]:
     tape.rewrite(BRACKETED, _sign)
     tape.replace(_written(tape))
     tape.rewrite(IP_DOT, lambda m: ".")
+    for edits in (_glued, _plain, _spaced, _mixed, _called):
+        if found := edits(tape.text):
+            tape.replace(found)
     out = []
     for kind, s, e in detect(tape.text):
         source = (tape.start[s], tape.end[e - 1])
