@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import keyword
 import re
 from collections.abc import Callable
 
@@ -327,29 +328,40 @@ def change_type_summary(spark, d):
     return diff.type_summary(rows, ["user_id"], "event_type")
 
 
+_URL = "p AS (SELECT page_id, url, html, regexp_extract(url, '://([^?#]*)', 1) AS p, regexp_extract(url, '://(.*)', 1) AS whole FROM pages WHERE url IS NOT NULL)"
+
+
+def _urls(spark, d):
+    """Pages with ``p``, the url's host and path, and ``whole``, which has what follows too."""
+    cut = lambda pattern: F.regexp_extract("url", pattern, 1)
+    return table(spark, d, "pages").where("url is not null").withColumn("p", cut("://([^?#]*)")).withColumn("whole", cut("://(.*)"))
+
+
 @query(
-    """SELECT event_id, CASE WHEN code = 'R' THEN 'new/' || event_id ELSE 'f/' || event_id END AS path, CASE code WHEN 'A' THEN 'added' WHEN 'M' THEN 'modified' WHEN 'D' THEN 'deleted' WHEN 'R' THEN 'renamed' ELSE 'unknown' END AS change_type, CASE WHEN code = 'R' THEN 'f/' || event_id END AS old_path
- FROM (SELECT event_id, ['A', 'M', 'D', 'R', 'X'][event_id % 5 + 1] AS code FROM events)"""
+    f"""WITH {_URL}, c AS (SELECT *, CASE WHEN contains(url, '?') THEN 'R' WHEN contains(p, '.org/') THEN 'A' WHEN contains(p, '/en/') THEN 'M' WHEN contains(p, '/de/') THEN 'D' ELSE 'X' END AS code FROM p)
+ SELECT page_id, CASE WHEN code = 'R' THEN whole ELSE p END AS path, CASE code WHEN 'A' THEN 'added' WHEN 'M' THEN 'modified' WHEN 'D' THEN 'deleted' WHEN 'R' THEN 'renamed' ELSE 'unknown' END AS change_type, CASE WHEN code = 'R' THEN p END AS old_path FROM c"""
 )
 def status_parse(spark, d):
-    code = F.get(F.array(*map(F.lit, ("A", "M", "D", "R100", "X"))), F.pmod("event_id", F.lit(5)).cast("int"))
-    i = F.col("event_id").cast("string")
-    text = F.concat(code, F.lit("\tf/"), i, F.when(code == "R100", F.concat(F.lit("\tnew/"), i)).otherwise(""), F.lit("\n\nA\n"))
-    return diff.status_lines(table(spark, d, "events").select("event_id", text.alias("output")), ["event_id"]).select("event_id", "path", "change_type", "old_path")
+    """Urls as paths; their host, language and query say what happened to them."""
+    code = F.when(F.contains("url", F.lit("?")), "R100").when(F.contains("p", F.lit(".org/")), "A").when(F.contains("p", F.lit("/en/")), "M").when(F.contains("p", F.lit("/de/")), "D").otherwise("X")
+    text = F.concat(code, F.lit("\t"), "p", F.when(code == "R100", F.concat(F.lit("\t"), "whole")).otherwise(""), F.lit("\n\nA\n"))
+    return diff.status_lines(_urls(spark, d).select("page_id", text.alias("output")), ["page_id"]).select("page_id", "path", "change_type", "old_path")
 
 
 @query(
-    """SELECT event_id, 'p' || event_id AS path, CASE WHEN event_id % 3 = 2 THEN 'renamed' ELSE 'modified' END AS status, CASE WHEN event_id % 3 = 2 THEN 'o' || event_id END AS old_path,
- CASE WHEN event_id % 3 <> 1 THEN event_id % 7 END AS additions, event_id % 3 = 1 AS binary_file FROM events"""
+    f"""WITH {_URL} SELECT page_id, CASE WHEN contains(url, '?') THEN whole ELSE p END AS path, CASE WHEN contains(url, '?') THEN 'renamed' ELSE 'modified' END AS status, CASE WHEN contains(url, '?') THEN p END AS old_path,
+ CASE WHEN contains(url, '?') OR NOT starts_with(url, 'http:') THEN CAST(length(coalesce(html, '')) - length(replace(coalesce(html, ''), '<', '')) AS BIGINT) END AS additions, NOT contains(url, '?') AND starts_with(url, 'http:') AS binary_file FROM p"""
 )
 def status_and_count_streams(spark, d):
-    i, m = F.col("event_id").cast("string"), F.col("event_id") % 3
-    status = F.when(m == 2, F.concat(F.lit("R090\0o"), i, F.lit("\0p"), i, F.lit("\0"))).otherwise(F.concat(F.lit("M\0p"), i, F.lit("\0")))
-    n = (F.col("event_id") % 7).cast("string")
-    counts = F.when(m == 2, F.concat(n, F.lit("\t1\t\0o"), i, F.lit("\0p"), i, F.lit("\0"))).when(m == 1, F.concat(F.lit("-\t-\tp"), i, F.lit("\0"))).otherwise(F.concat(n, F.lit("\t1\tp"), i, F.lit("\0")))
-    rows = table(spark, d, "events")
-    both = diff.file_changes(diff.status_stream(rows.select("event_id", status.alias("output")), ["event_id"]), diff.count_stream(rows.select("event_id", counts.alias("output")), ["event_id"]), ["event_id"])
-    return both.select("event_id", "path", "status", "old_path", F.col("additions").cast("long").alias("additions"), F.col("binary").alias("binary_file"))
+    """Urls as paths, those with a query renamed, their tags as counted lines; pages over plain HTTP stand for binary files."""
+    renamed, plain = F.contains("url", F.lit("?")), F.startswith("url", F.lit("http:"))
+    html, nul, tab = F.coalesce("html", F.lit("")), F.lit("\0"), F.lit("\t")
+    n = (F.length(html) - F.length(F.replace(html, F.lit("<"), F.lit("")))).cast("string")
+    status = F.when(renamed, F.concat(F.lit("R090\0"), "p", nul, "whole", nul)).otherwise(F.concat(F.lit("M\0"), "p", nul))
+    counts = F.when(renamed, F.concat(n, F.lit("\t1\t\0"), "p", nul, "whole", nul)).when(plain, F.concat(F.lit("-\t-\t"), "p", nul)).otherwise(F.concat(n, tab, F.lit("1\t"), "p", nul))
+    rows = _urls(spark, d)
+    both = diff.file_changes(diff.status_stream(rows.select("page_id", status.alias("output")), ["page_id"]), diff.count_stream(rows.select("page_id", counts.alias("output")), ["page_id"]), ["page_id"])
+    return both.select("page_id", "path", "status", "old_path", F.col("additions").cast("long").alias("additions"), F.col("binary").alias("binary_file"))
 
 
 @query("SELECT o_orderkey, l.n AS additions, coalesce(l.n, 0) = 0 AS empty FROM orders LEFT JOIN (SELECT l_orderkey, CAST(count(*) AS BIGINT) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_orderkey) l ON l_orderkey = o_orderkey")
@@ -671,22 +683,13 @@ def validator_problems(spark, d):
 
 
 @query(
-    rf"""WITH s AS (SELECT doc_id, i, CASE (doc_id + i) % 9 WHEN 0 THEN 'misc' WHEN 1 THEN 'Part ' || (i - 1) ELSE 'Part ' || i END AS heading, CASE (doc_id + i) % 7 WHEN 0 THEN 'short' WHEN 1 THEN 'short' || chr(10) || '### Deeper' || chr(10) || 'filled with words and words' WHEN 2 THEN '```' || chr(10) || '## filled with words' || chr(10) || '```' ELSE repeat('filled with words ', 8) END AS body
- FROM (SELECT doc_id, unnest(range(1, 3 + doc_id % 12)) AS i FROM documents WHERE doc_id IS NOT NULL)),
- n AS (SELECT doc_id, count(*) AS heads, count(DISTINCT lower(heading)) AS names, bool_or(heading = 'misc') AS generic, bool_or(starts_with(body, 'short')) AS short, sum(5 + length(heading) + length(trim(body))) + 7 + CASE WHEN doc_id % 5 = 0 THEN 0 ELSE 8 END AS size FROM s GROUP BY doc_id)
- SELECT doc_id, array_to_string(list_filter([CASE WHEN size < 400 THEN 'too short' END, CASE WHEN doc_id % 5 = 0 THEN 'not one title' END, CASE WHEN heads NOT BETWEEN 4 AND 12 THEN 'not 4 to 12 sections' END, CASE WHEN names < heads THEN 'duplicate sections' END,
+    rf"""WITH {R.SUMMARIES}, n AS (SELECT doc_id, any_value(titled) AS titled, count(*) AS heads, count(DISTINCT lower(heading)) AS names, bool_or(list_contains({sql_list(V.GENERIC_HEADINGS)}, lower(heading))) AS generic, bool_or(length(body) < 20) AS short, sum(5 + length(heading) + length(body)) + 6 + any_value(CASE WHEN titled THEN 3 + length(title) ELSE 0 END) AS size FROM summary_parts GROUP BY doc_id)
+ SELECT doc_id, array_to_string(list_filter([CASE WHEN size < 400 THEN 'too short' END, CASE WHEN NOT titled THEN 'not one title' END, CASE WHEN heads NOT BETWEEN 4 AND 12 THEN 'not 4 to 12 sections' END, CASE WHEN names < heads THEN 'duplicate sections' END,
  CASE WHEN generic THEN 'generic section' END, CASE WHEN short THEN 'section without content' END], lambda x: x IS NOT NULL), '|') AS problems FROM n"""
 )
 def validator_sections(spark, d):
-    """Summaries made from ids, so that every rule on sections is met by some and broken by others."""
-    i, n = F.col("i"), F.col("doc_id")
-    heading = F.when((n + i) % 9 == 0, "misc").when((n + i) % 9 == 1, F.concat(F.lit("Part "), (i - 1).cast("string"))).otherwise(F.concat(F.lit("Part "), i.cast("string")))
-    # Fenced lines count as content, deeper headings end it.
-    body = F.when((n + i) % 7 == 0, "short").when((n + i) % 7 == 1, "short\n### Deeper\nfilled with words and words").when((n + i) % 7 == 2, "```\n## filled with words\n```").otherwise(F.trim(F.repeat(F.lit("filled with words "), F.lit(8))))
-    parts = table(spark, d, "documents").where("doc_id is not null").select("doc_id", F.explode(F.sequence(F.lit(1), (F.lit(2) + n % 12).cast("int"))).alias("i"))
-    rows = parts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("i", F.concat(F.lit("## "), heading, F.lit("\n"), body).alias("t")))).alias("r"))
-    text = F.concat(F.when(n % 5 == 0, "").otherwise("# Title\n"), F.lit("opened\n"), F.array_join(F.transform("r", lambda x: x["t"]), "\n"))
-    return rows.select("doc_id", F.array_join(validate.summary_problems(text), "|").alias("problems"))
+    """Summaries whose sections are the lines of documents."""
+    return R.summaries(spark, d).select("doc_id", F.array_join(validate.summary_problems(F.col("text")), "|").alias("problems"))
 
 
 @query("SELECT page_id, CAST(used AS BIGINT) AS used FROM (SELECT page_id, sum(length(url)) OVER (PARTITION BY page_id % 10 ORDER BY page_id) AS used FROM pages) WHERE used <= 900")
@@ -740,29 +743,34 @@ def block_index(spark, d):
 
 
 @query(
-    f"""SELECT event_id, name, CASE WHEN event_id % 7 <> 3 THEN '{V.DOCUMENT_FOLDER}/' || CASE event_id % 7 WHEN 4 THEN 'a_b' ELSE name END || '{V.DOCUMENT_SUFFIX}' END AS path FROM
- (SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'repo' || event_id WHEN 1 THEN 'tool' || event_id WHEN 2 THEN 'dir' || user_id WHEN 3 THEN '..' WHEN 4 THEN 'a b' WHEN 5 THEN '{V.DEFAULT_REPOSITORY}' ELSE 'x' || event_id END AS name FROM events)"""
+    f"""WITH {_URL}, h AS (SELECT *, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title, regexp_replace(regexp_extract(p, '([^/]*)/*$', 1), '[.]git$', '') AS tail, regexp_extract(p, '^[^/]*') AS host FROM p),
+ n AS (SELECT page_id, CASE WHEN starts_with(url, 'https:') AND coalesce(title, '') <> '' THEN trim(regexp_extract(title, '[^/]*$')) WHEN NOT contains(url, '?') AND tail <> '' THEN tail ELSE coalesce(nullif(host, ''), '{V.DEFAULT_REPOSITORY}') END AS name FROM h),
+ s AS (SELECT *, substring(regexp_replace(regexp_replace(name, '[^A-Za-z0-9._-]', '_', 'g'), '^[._-]+|[._-]+$', '', 'g'), 1, 100) AS safe FROM n)
+ SELECT page_id, name, CASE WHEN safe <> '' AND name NOT IN ('.', '..') THEN '{V.DOCUMENT_FOLDER}/' || safe || '{V.DOCUMENT_SUFFIX}' END AS path FROM s"""
 )
 def canonical_names(spark, d):
-    m, i = F.col("event_id") % 7, F.col("event_id").cast("string")
-    given = F.when(m == 0, F.concat(F.lit("org/repo"), i)).when(m == 3, "..").when(m == 4, " a b ").when(m == 6, F.concat(F.lit("a/b/x"), i))
-    remote = F.when(m == 1, F.concat(F.lit("git@host:me/tool"), i, F.lit(".git"))).when(m == 2, " ").otherwise(F.lit(None).cast("string"))
-    folder = F.when(m == 2, F.concat(F.lit("dir"), F.col("user_id").cast("string"))).otherwise("")
-    name = canonical.repository_name(given, remote, folder)
-    return table(spark, d, "events").select("event_id", name.alias("name"), canonical.document_path(name).alias("path"))
+    """Names from titles, else from urls, else from hosts, and where their documents stand."""
+    given = F.when(F.startswith("url", F.lit("https:")), F.regexp_extract("html", "<title>([^<]*)</title>", 1))
+    remote = F.when(F.contains("url", F.lit("?")), " ").otherwise(F.concat(F.lit("git@"), "p"))
+    name = canonical.repository_name(given, remote, F.regexp_extract("p", "^[^/]*", 0))
+    return _urls(spark, d).select("page_id", name.alias("name")).select("page_id", "name", canonical.document_path(F.col("name")).alias("path"))
 
 
 @query(
-    """SELECT event_id, CASE WHEN event_id % 4 < 2 THEN 'incremental_update' WHEN event_id % 4 = 2 THEN 'manual_review' WHEN event_id % 5 = 0 THEN 'initialize_baseline' WHEN event_id % 3 = 0 THEN 'incremental_update_legacy' ELSE 'initialization_pending' END AS action,
- CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 5 = 1 THEN 'initialisation is not enabled' WHEN event_id % 5 = 2 THEN 'no provider is named' ELSE 'unknown provider other' END AS why FROM events"""
+    rf"""WITH {R.SUMMARIES}, n AS (SELECT doc_id, any_value(titled) AS titled, count(*) AS heads, count(DISTINCT lower(heading)) AS names, bool_or(list_contains({sql_list(V.GENERIC_HEADINGS)}, lower(heading))) AS generic, bool_or(length(body) < 20) AS short, sum(5 + length(heading) + length(body)) + 6 + any_value(CASE WHEN titled THEN 3 + length(title) ELSE 0 END) AS size FROM summary_parts GROUP BY doc_id),
+ v AS (SELECT doc_id, heads < 3 AS missing, size >= 400 AND titled AND heads BETWEEN 4 AND 12 AND names = heads AND NOT generic AND NOT short AS valid FROM n),
+ w AS (SELECT doc_id, lower(regexp_extract(text, ' ([Oo]n|[Yy]es|[Tt]rue)[ ,.]', 1)) AS enabled, coalesce(source, '') AS provider, coalesce(lang, '') = 'en' AS legacy FROM documents),
+ a AS (SELECT *, CASE WHEN enabled = '' THEN 'initialisation is not enabled' WHEN provider = '' THEN 'no provider is named' WHEN provider NOT IN ('src0', 'src1', 'src2') THEN 'unknown provider ' || provider END AS why FROM v JOIN w USING (doc_id))
+ SELECT doc_id, CASE WHEN missing AND why IS NULL THEN 'initialize_baseline' WHEN missing AND legacy THEN 'incremental_update_legacy' WHEN missing THEN 'initialization_pending' WHEN valid THEN 'incremental_update' ELSE 'manual_review' END AS action, why FROM a"""
 )
 def push_actions(spark, d):
-    i = F.col("event_id")
-    status = F.when(i % 4 < 2, canonical.VALID).when(i % 4 == 2, canonical.INVALID).otherwise(canonical.MISSING)
-    enabled = F.when(i % 5 != 1, " Yes ").otherwise("off")
-    provider = F.when(i % 5 == 0, "OWN").when(i % 5 == 2, "").otherwise("other")
-    allowed, why = canonical.permission(enabled, provider, ["own"])
-    return table(spark, d, "events").select("event_id", canonical.push_action(status, allowed, F.when(i % 2 == 0, i % 3 == 0).otherwise(i % 3 == 0)).alias("action"), why.alias("why"))
+    """What a push does about each document's summary, checked as it stands; settings are words of the text and its source."""
+    made = R.summaries(spark, d)
+    stands = made.select("doc_id", F.when(F.col("heads") < 3, "none").otherwise("file").alias("kind"), F.col("text").cast("binary").alias("content"))
+    checked = canonical.check(stands, ["doc_id"])
+    allowed, why = canonical.permission(F.regexp_extract("text", " ([Oo]n|[Yy]es|[Tt]rue)[ ,.]", 1), F.upper("source"), ["src0", "src1", "src2"])
+    rows = checked.join(table(spark, d, "documents").select("doc_id", "text", "source", "lang"), "doc_id")
+    return rows.select("doc_id", canonical.push_action(F.col("status"), allowed, F.col("lang") == "en").alias("action"), why.alias("why"))
 
 
 @query(
@@ -800,34 +808,38 @@ def claim_checks(spark, d):
 
 
 @query(
-    """SELECT event_id, array_to_string(CASE WHEN event_id % 9 = 8 THEN ['no JSON object'] ELSE list_filter([CASE WHEN event_id % 9 = 0 THEN 'bad decision' END, CASE WHEN event_id % 9 = 1 THEN 'bad confidence' END, CASE WHEN event_id % 9 = 2 THEN 'unknown section' END,
- CASE WHEN event_id % 9 = 3 THEN 'no heading' END, CASE WHEN event_id % 9 = 4 THEN 'generic heading' END, CASE WHEN event_id % 9 = 5 THEN 'short summary' END, CASE WHEN event_id % 9 = 6 THEN 'generic summary' END], lambda x: x IS NOT NULL) END, '|') AS problems FROM events"""
+    rf"""SELECT conv_id, turn, array_to_string(list_filter([CASE WHEN role NOT IN ('user', 'assistant') THEN 'bad decision' END, CASE WHEN turn > 4 THEN 'bad confidence' END, CASE WHEN role = 'user' AND turn > 2 THEN 'unknown section' END,
+ CASE WHEN role = 'assistant' AND h = '' THEN 'no heading' END, CASE WHEN role = 'assistant' AND list_contains({sql_list(V.GENERIC_HEADINGS)}, h) THEN 'generic heading' END, CASE WHEN length(t) < {V.SUMMARY_CHARS} THEN 'short summary' END, CASE WHEN regexp_matches(t, '{V.GENERIC_SUMMARY}') THEN 'generic summary' END], lambda x: x IS NOT NULL), '|') AS problems
+ FROM (SELECT *, trim(coalesce(text, ''), ' ' || chr(10)) AS t, lower(regexp_extract(coalesce(text, ''), '[A-Za-z]+[.]', 0)) AS g, regexp_replace(lower(regexp_extract(coalesce(text, ''), '[A-Za-z]+[.]', 0)), '[.:]+$', '') AS h FROM conversations)"""
 )
 def suggestion_checks(spark, d):
-    m = F.col("event_id") % 9
-    field = lambda k, v: F.concat(F.lit(f'"{k}": '), v)
-    decision = F.when(m == 0, '"other"').when(m.isin(3, 4), '"create_new_section"').otherwise('"update_existing_section"')
-    heading = F.when(m == 3, '" "').when(m == 4, '"Code Changes:"').otherwise('"Storage"')
-    summary = F.when(m == 5, '"too short"').when(m == 6, '"The files were updated."').otherwise('"It loads parquet files now."')
-    parts = [field("decision", decision), field("target_section_id", F.when(m == 2, '"s9"').otherwise('"s1"')), field("target_heading", heading), field("confidence", F.when(m == 1, "true").otherwise("0.5")), field("suggested_summary", summary)]
-    text = F.when(m == 8, "no answer").otherwise(F.concat(F.lit("Here: {"), F.concat_ws(", ", *parts), F.lit("} done")))
-    return table(spark, d, "events").select("event_id", F.array_join(suggestions.suggestion_problems(text, T.literals(["s1", "s2"])), "|").alias("problems"))
+    """Turns as a generator's answers: the role decides, the number of the turn names a section and how sure it is, the text is the summary."""
+    decision = F.when(F.col("role") == "user", "update_existing_section").when(F.col("role") == "assistant", "create_new_section").otherwise(F.col("role"))
+    text = F.coalesce("text", F.lit(""))
+    answer = F.struct(
+        decision.alias("decision"),
+        F.concat(F.lit("s"), F.col("turn").cast("string")).alias("target_section_id"),
+        F.regexp_extract(text, "[A-Za-z]+[.]", 0).alias("target_heading"),
+        (F.col("turn") / 4).alias("confidence"),
+        text.alias("suggested_summary"),
+    )
+    told = F.concat(F.lit("Here: "), F.to_json(answer), F.lit(" done"))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(suggestions.suggestion_problems(told, T.literals(["s0", "s1", "s2"])), "|").alias("problems"))
 
 
 @query(
-    """WITH s AS (SELECT doc_id, unnest(range(1, 7)) AS o FROM documents WHERE doc_id IS NOT NULL), p AS (SELECT *, 'Top > Part ' || (doc_id + o * o) % 3 AS path FROM s), n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, path ORDER BY o) AS n FROM p),
- k AS (SELECT doc_id, o, path, 'kept-' || o AS id, row_number() OVER (PARTITION BY doc_id, path ORDER BY o) AS n FROM p WHERE (doc_id + o) % 2 = 0),
- j AS (SELECT n.doc_id, n.o, n.path, k.id FROM n LEFT JOIN k ON k.doc_id = n.doc_id AND k.path = n.path AND k.n = n.n),
+    f"""WITH {R.LINES}, w AS (SELECT doc_id, pos, length(line) AS n, lower(regexp_extract(line, '[A-Za-z]+', 0)) AS word FROM lines), p AS (SELECT doc_id, pos AS o, n, 'Top > ' || word AS path FROM w WHERE word <> ''), n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, path ORDER BY o) AS nth FROM p),
+ k AS (SELECT doc_id, o, path, 'kept-' || o AS id, row_number() OVER (PARTITION BY doc_id, path ORDER BY o) AS nth FROM p WHERE n > 200),
+ j AS (SELECT n.doc_id, n.o, n.path, k.id FROM n LEFT JOIN k ON k.doc_id = n.doc_id AND k.path = n.path AND k.nth = n.nth),
  f AS (SELECT *, trim(regexp_replace(lower(path), '[^a-z0-9]+', '-', 'g'), '-') AS slug, row_number() OVER (PARTITION BY doc_id, path, id IS NULL ORDER BY o) AS m FROM j)
  SELECT doc_id, CAST(o AS BIGINT) AS "order", coalesce(id, slug || CASE WHEN m > 1 THEN '-' || m ELSE '' END) AS section_id FROM f"""
 )
 def section_ids_kept(spark, d):
-    """Sections with equal paths, matched in turn with a skeleton that holds some of them."""
-    rows = table(spark, d, "documents").where("doc_id is not null").select("doc_id", F.explode(F.sequence(F.lit(1), F.lit(6))).alias("order"))
-    path = F.concat(F.lit("Top > Part "), ((F.col("doc_id") + F.col("order") * F.col("order")) % 3).cast("string"))
-    own = rows.withColumn("path", path).withColumn("section_id", F.lit(""))
-    skeleton = own.where((F.col("doc_id") + F.col("order")) % 2 == 0).withColumn("section_id", F.concat(F.lit("kept-"), F.col("order").cast("string")))
-    return lines.match_ids(own, skeleton, ["doc_id"]).select("doc_id", F.col("order").cast("long").alias("order"), "section_id")
+    """Lines as sections under their first word, matched in turn with a skeleton that holds the long ones."""
+    word = F.lower(F.regexp_extract("line", "[A-Za-z]+", 0))
+    own = R.doc_lines(spark, d).where(word != "").select("doc_id", F.col("pos").alias("order"), F.concat(F.lit("Top > "), word).alias("path"), F.lit("").alias("section_id"), F.length("line").alias("n"))
+    skeleton = own.where("n > 200").withColumn("section_id", F.concat(F.lit("kept-"), F.col("order").cast("string")))
+    return lines.match_ids(own.drop("n"), skeleton.drop("n"), ["doc_id"]).select("doc_id", F.col("order").cast("long").alias("order"), "section_id")
 
 
 @query(
@@ -894,14 +906,19 @@ def markdown_sections(spark, d):
 
 
 @query(
-    """SELECT c_custkey, o AS ordinal, CASE o WHEN 0 THEN 'A' || c_custkey WHEN 1 THEN 'A' || c_custkey || '.run' ELSE 'go_' || c_custkey END AS qualified_name, ['class', 'method', 'async function'][o + 1] AS kind, [1, 2, 5][o + 1] AS start_line, [3, 3, 6][o + 1] AS end_line
- FROM customer, (SELECT CAST(unnest(range(3)) AS INT) AS o) WHERE c_custkey % 7 <> 0"""
+    f"""WITH {R.LINES}, w AS (SELECT doc_id, pos, regexp_extract_all(line, '[A-Za-z]+') AS w FROM lines),
+ n AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS k, upper(w[1][1]) || lower(w[1][2:]) AS c, w[2] AS m FROM w WHERE len(w) > 1),
+ fine AS (SELECT doc_id FROM n GROUP BY doc_id HAVING NOT bool_or(list_contains({sql_list(sorted(keyword.kwlist))}, c) OR list_contains({sql_list(sorted(keyword.kwlist))}, m)))
+ SELECT doc_id, CAST(2 * k + o AS INT) AS ordinal, CASE o WHEN 0 THEN c ELSE c || '.' || m END AS qualified_name, ['class', 'method'][o + 1] AS kind, CAST(3 * k + 1 + o AS INT) AS start_line, CAST(3 * k + 3 AS INT) AS end_line FROM n JOIN fine USING (doc_id), (SELECT unnest(range(2)) AS o)"""
 )
 def python_symbols(spark, d):
-    """Symbols of generated sources, one per customer."""
-    i = F.col("c_custkey").cast("string")
-    source = F.concat(F.lit("class A"), i, F.lit(":\n    def run(self):\n        return 1\n\nasync def go_"), i, F.lit("():\n    pass\n"))
-    return diff.python_symbols(table(spark, d, "customer").select("c_custkey", F.when(F.col("c_custkey") % 7 == 0, "def broken(").otherwise(source).alias("content")), ["c_custkey"])
+    """Documents as sources: each line a class and a method under its first two words; words of the language break a source."""
+    words = F.regexp_extract_all("line", F.lit("([A-Za-z]+)"), F.lit(1))
+    rows = R.doc_lines(spark, d).select("doc_id", "pos", words.alias("w")).where(F.size("w") > 1)
+    name = F.concat(F.upper(F.substring(F.col("w")[0], 1, 1)), F.lower(F.substring(F.col("w")[0], 2, 2147483646)))
+    code = F.concat(F.lit("class "), name, F.lit(":\n    def "), F.col("w")[1], F.lit("(self):\n        return 1"))
+    source = rows.select("doc_id", F.struct("pos", code.alias("code")).alias("r")).groupBy("doc_id").agg(F.array_sort(F.collect_list("r")).alias("r"))
+    return diff.python_symbols(source.select("doc_id", F.array_join(F.transform("r", lambda x: x["code"]), "\n").alias("content")), ["doc_id"])
 
 
 @query("SELECT DISTINCT user_id AS doc_id, event_type AS text, sha256(event_type) AS sha256 FROM events")

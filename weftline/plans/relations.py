@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import vocabulary as V
@@ -102,3 +102,26 @@ def paragraph_features(spark: SparkSession, d: str) -> DataFrame:
         }
     )
     return text_features(rows)
+
+
+def _clean(c) -> Column:
+    """Letters, digits and blanks."""
+    return F.trim(F.regexp_replace(c, r"[^\p{L}\p{N} ]", ""))
+
+
+def summaries(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, heads, text): Markdown summaries whose sections are the lines of documents, each under its first two words; those with a language of ``de`` or ``en`` have a title."""
+    parts = doc_lines(spark, d).withColumn("body", _clean("line")).where("body != ''").withColumn("heading", F.regexp_extract("body", "^[^ ]+(?: +[^ ]+)?", 0))
+    one = F.struct("pos", "heading", F.concat(F.lit("## "), "heading", F.lit("\nSays "), "body").alias("t"))
+    rows = parts.groupBy("doc_id").agg(F.array_sort(F.collect_list(one)).alias("r")).join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id")
+    title = F.when(F.col("lang").isin("de", "en"), F.concat(F.lit("# "), F.col("r")[0]["heading"], F.lit("\n"))).otherwise("")
+    return rows.select("doc_id", F.size("r").alias("heads"), F.concat(title, F.lit("opened\n"), F.array_join(F.transform("r", lambda x: x["t"]), "\n")).alias("text"))
+
+
+#: ``body`` as it stands in the text.
+SUMMARIES = (
+    LINES
+    + r""", summary_lines AS (SELECT doc_id, pos, trim(regexp_replace(line, '[^\p{L}\p{N} ]', '', 'g')) AS b FROM lines),
+ summary_heads AS (SELECT doc_id, pos, 'Says ' || b AS body, regexp_extract(b, '^[^ ]+(?: +[^ ]+)?') AS heading FROM summary_lines WHERE b <> ''),
+ summary_parts AS (SELECT s.*, d.lang IN ('de', 'en') AND d.lang IS NOT NULL AS titled, first_value(heading) OVER (PARTITION BY s.doc_id ORDER BY pos) AS title FROM summary_heads s JOIN documents d ON d.doc_id = s.doc_id)"""
+)
