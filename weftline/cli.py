@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import argparse
+import os
 import sys
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.operators import blocks, canonical, context, headings, lines, package
-from weftline.plans import baseline, preview, update
+from weftline.plans import baseline, inputs, preview, push, update
 from weftline.sources import docx, readers, sinks
 
 
@@ -32,7 +33,7 @@ def score_headings(spark: SparkSession, path: str, out: str | None) -> DataFrame
     return scored.select("doc_id", "pos", "score", "classification", "predicted_level", "style_name", F.substring("text", 1, 45).alias("text")).orderBy("doc_id", "pos")
 
 
-def run(spark: SparkSession, argv: Sequence[str]) -> DataFrame:
+def run(spark: SparkSession, argv: Sequence[str], env: Mapping[str, str] | None = None) -> DataFrame:
     parser = argparse.ArgumentParser(prog="weftline")
     commands = parser.add_subparsers(dest="command", required=True)
     for name, about in (
@@ -53,6 +54,15 @@ def run(spark: SparkSession, argv: Sequence[str]) -> DataFrame:
         one.add_argument("document", nargs="?", default="")
         one.add_argument("--out")
         one.add_argument("--section")
+    one = commands.add_parser("inspect", help="preview of a repository's package, document and skeleton")
+    one.add_argument("path")
+    for name in inputs.PLACES:
+        one.add_argument(f"--{name}", help=f"its place under the repository, else {inputs.PLACES[name]}")
+    one.add_argument("--out")
+    one = commands.add_parser("push", help="what a push starts from: its project, its changed files")
+    one.add_argument("configs")
+    one.add_argument("--repo", default=".")
+    one.add_argument("--out")
     one = commands.add_parser("package", help="the change package of a commit range")
     one.add_argument("before")
     one.add_argument("after")
@@ -64,6 +74,13 @@ def run(spark: SparkSession, argv: Sequence[str]) -> DataFrame:
         return score_headings(spark, a.path, a.out)
     if a.command == "package":
         found = readers.git_package(spark, a.before, a.after, a.repo)
+    elif a.command == "inspect":
+        given = [getattr(a, name) for name in inputs.PLACES]
+        repos = spark.createDataFrame([(a.path, *given)], "repo string, " + ", ".join(f"{name} string" for name in inputs.PLACES))
+        found = inputs.run(readers.tree(spark, a.path).withColumn("repo", F.lit(a.path)), repos)
+    elif a.command == "push":
+        configs = readers.project_configs(readers.json_files(spark, a.configs))
+        found = push.report(push.of_environment(spark, os.environ if env is None else env, configs, a.repo), ["push"])
     elif a.command == "tree":
         found = headings.document_tree(docx.analyze(docx.load(spark, a.path)), ["doc_id"])
     elif a.command == "sections":
@@ -99,8 +116,9 @@ def run(spark: SparkSession, argv: Sequence[str]) -> DataFrame:
 def main(argv: Sequence[str] | None = None) -> int:
     from weftline.session import session
 
-    run(session(), sys.argv[1:] if argv is None else argv).show(truncate=False)
-    return 0
+    found = run(session(), sys.argv[1:] if argv is None else argv)
+    found.show(truncate=False)
+    return found.agg(F.max("code")).collect()[0][0] if "code" in found.columns else 0
 
 
 if __name__ == "__main__":

@@ -59,6 +59,11 @@ def choose(settings: Mapping[str, str], known: Mapping[str, Generate], name_key:
     return Choice(name, known[name])
 
 
+def for_preview(settings: Mapping[str, str], known: Mapping[str, Generate], name_key: str) -> Generate | None:
+    """The generator that a preview may ask; none where nothing or the template is named, so that no run passes for one with a generator."""
+    return choose(settings, known, name_key, DETERMINISTIC).generate
+
+
 def for_initialisation(settings: Mapping[str, str], known: Mapping[str, Generate], enabled_key: str, name_key: str, injected: Generate | None = None) -> Choice:
     """The generator that may write a baseline.  One handed over is permission; else it must be enabled and named."""
     if injected is not None:

@@ -54,20 +54,30 @@ def summaries(files: DataFrame, keys: list[str], choice: Choice, allow_fallback:
     return rows.select(*keys, F.when(ok, F.col("summary")).when(fine, F.col("_s")).alias("summary"), F.when(ok, F.col("provider")).otherwise("deterministic").alias("provider"), F.when(ok, F.col("problems")).otherwise(F.col("_p")).alias("problems"))
 
 
-def initialise(documents: DataFrame, files: DataFrame, keys: list[str], choice: Choice, allow_fallback: bool = False, force: bool = False) -> dict[str, DataFrame]:
+def initialise(documents: DataFrame, files: DataFrame, keys: list[str], choice: Choice, allow_fallback: bool = False, force: bool = False, copies: DataFrame | None = None) -> dict[str, DataFrame]:
     """``results`` (keys, status, provider, problems, and the new text's figures) and what is to be written: ``canonical``, ``updated``, ``skeletons``.
 
     A valid document stays, an invalid one too unless ``force``; a missing one is made if the choice allows it.
+    ``copies``: keys of reviewable copies that exist.  These stay, also under ``force``, and a missing one is made
+    anew from the document as it then stands.
     """
     sources = files.select(*keys, "path", F.col("text").alias("content"))
     checked = canonical.check(documents, keys, sources)
+
+    def copied(written: DataFrame) -> DataFrame:
+        if copies is None:
+            return written
+        held = F.col("content").cast("string")
+        stands = documents.where((F.col("kind") == "file") & F.is_valid_utf8(held)).select(*keys, held.alias("text"))
+        return written.unionByName(stands.join(written, keys, "left_anti")).join(copies.select(*keys), keys, "left_anti")
+
     wanted = F.lit(force) | (F.col("status") == canonical.MISSING)
     if choice.name is None:
         pending = F.when(wanted, "initialization_pending").otherwise(F.col("status"))
         why = F.when(wanted, T.literals([choice.why_not or "no provider"])).otherwise(F.col("problems"))
         nothing = checked.select(*keys, F.lit("").alias("text")).limit(0)
         results = checked.select(*keys, pending.alias("status"), F.lit(None).cast("string").alias("provider"), why.alias("problems"))
-        return {"results": results, "canonical": nothing, "updated": nothing, "skeletons": lines.skeleton(lines.sections(nothing, keys), keys)}
+        return {"results": results, "canonical": nothing, "updated": copied(nothing), "skeletons": lines.skeleton(lines.sections(nothing, keys), keys)}
     open_ = checked.where(wanted).select(*keys)
     made = summaries(files.join(open_, keys, "left_semi"), keys, choice, allow_fallback)
     text = F.when(F.col("summary").endswith("\n"), F.col("summary")).otherwise(F.concat("summary", F.lit("\n")))
@@ -76,7 +86,7 @@ def initialise(documents: DataFrame, files: DataFrame, keys: list[str], choice:
     own = made.withColumnRenamed("problems", "_p")
     results = checked.join(own, keys, "left").select(*keys, status.alias("status"), F.when(wanted, F.col("provider")).alias("provider"), F.when(wanted, F.coalesce("_p", F.array().cast("array<string>"))).otherwise(F.col("problems")).alias("problems"))
     results = results.join(lines.content_metadata(written, keys), keys, "left")
-    return {"results": results, "canonical": written, "updated": written, "skeletons": lines.skeleton(lines.sections(written, keys), keys)}
+    return {"results": results, "canonical": written, "updated": copied(written), "skeletons": lines.skeleton(lines.sections(written, keys), keys)}
 
 
 def install(spark: SparkSession, made: dict[str, DataFrame], root: str) -> str:

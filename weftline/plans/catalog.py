@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from weftline.functions import text as T
 from weftline.functions import vocabulary as V
 from weftline.operators import blocks, canonical, context, diff, evidence, headings, lines, overlap, scoring, suggestions, validate
+from weftline.plans import push
 from weftline.plans import relations as R
 from weftline.session import table
 
@@ -936,3 +937,24 @@ def stream_batches(spark, d):
     q = rows.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(rows.schema).parquet(f"{root}/out")
+
+
+@query(
+    rf"""WITH {_URL}, t AS (SELECT *, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title, regexp_extract(p, '^[^/]*') AS host, CASE WHEN NOT contains(url, '?') THEN p END AS sha, CASE WHEN contains(p, '/es/') THEN '000' ELSE whole END AS before, regexp_extract_all(coalesce(html, ''), 'href="([^"]*)"', 1) AS links FROM p),
+ r AS (SELECT *, coalesce(nullif(trim(regexp_extract(host || '/' || coalesce(title, ''), '[^/]*$')), ''), '{V.DEFAULT_REPOSITORY}') AS repository, sha IS NULL OR before <> '000' AS listed FROM t),
+ c AS (SELECT title AS repository, min(host) AS project_id FROM t WHERE starts_with(url, 'https:') AND title <> '' GROUP BY title)
+ SELECT page_id, r.repository, CASE WHEN sha IS NULL THEN 'HEAD~1' WHEN before <> '000' THEN before END AS before_sha, coalesce(sha, 'HEAD') AS after_sha, project_id, CASE WHEN listed THEN array_to_string(links, '|') ELSE '' END AS paths,
+ array_to_string(list_filter([CASE WHEN project_id IS NULL THEN 'no configuration for ' || r.repository END, CASE WHEN NOT listed THEN '{push.NO_BEFORE}' END], lambda x: x IS NOT NULL), '|') AS warnings FROM r LEFT JOIN c USING (repository)"""
+)
+def push_overviews(spark, d):
+    """Pages as pushes: titles are repositories, links changed files; secure pages are configured projects, those with a query local pushes."""
+    rows = _urls(spark, d).withColumn("title", T.strip(F.regexp_extract("html", "<title>([^<]*)</title>", 1))).withColumn("host", F.regexp_extract("p", "^[^/]*", 0))
+    sha, before = F.when(~F.contains("url", F.lit("?")), F.col("p")), F.when(F.contains("p", F.lit("/es/")), "000").otherwise(F.col("whole"))
+    none = F.lit(None).cast("string")
+    pushes = rows.select("page_id", F.concat("host", F.lit("/"), F.coalesce("title", F.lit(""))).alias("full_name"), sha.alias("sha"), none.alias("ref"), before.alias("before"), none.alias("actor"), none.alias("branch"), F.lit(True).alias("parent"), none.alias("failure"))
+    links = rows.select("page_id", F.posexplode(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit('href="([^"]*)"'), F.lit(1))).alias("pos", "path"))
+    changed = links.select("page_id", "pos", F.lit("modified").alias("change_type"), "path", none.alias("old_path"))
+    configs = rows.where(F.startswith("url", F.lit("https:")) & (F.col("title") != "")).groupBy(F.col("title").alias("repository_name")).agg(F.min("host").alias("project_id")).withColumns({"document_name": none, "document_location": none})
+    made = push.overview(pushes, configs, changed, ["page_id"])
+    paths = F.array_join(F.transform("files", lambda f: f["path"]), "|")
+    return made.select("page_id", "repository", "before_sha", "after_sha", "project_id", paths.alias("paths"), F.array_join("warnings", "|").alias("warnings"))
