@@ -270,6 +270,18 @@ def test_training_takes_every_piece():
     assert lm.BLOCK >= 32 and lm.CONTEXT >= 16
 
 
+def test_a_step_works_out_its_batch_at_once(monkeypatch):
+    """One gradient for each step of the training, the last of what is left."""
+    texts = [" ".join(f"w{i % 97}" for i in range(9000)).encode()]
+    pieces = lm.Pieces(lm.tokenizer_file("piece_bpe_32k.model"))
+    letters = lm.Alphabet(lm.tokenizer_file("piece_bpe_32k.model"), np.ones(pieces.end + 1))
+    model, sizes, gradient = lm.Attention(), [], lm.Attention.gradient
+    monkeypatch.setattr(lm.Attention, "gradient", lambda self, rows, *a: sizes.append(len(rows)) or gradient(self, rows, *a))
+    state = {"steps": 0, "seen": 0, **{n: {k: np.zeros_like(a) for k, a in model.w.items()} for n in ("first", "second")}}
+    lm.walk(texts, pieces, letters, model, np.random.default_rng(1), state)
+    assert sizes[:-1] == [lm.BATCH] * (state["steps"] - 1) and sum(sizes) == -(-state["seen"] // lm.BLOCK) and len(sizes) > 2
+
+
 def test_phrases():
     words = [f"w{i % 400}".encode() for i in range(3000)]
     hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
