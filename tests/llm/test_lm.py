@@ -1,7 +1,9 @@
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -296,3 +298,44 @@ def test_phrases():
     for (_, p), h in zip(want, found.tolist(), strict=True):
         assert same.setdefault(p, h) == h
     assert len(set(same.values())) == len(same)
+
+
+def test_a_step_reuses_its_memory():
+    """Steps and scoring work in arrays that they keep: fresh ones cost page faults. What is left in them changes nothing."""
+    net, other = lm.Attention(), lm.Attention()
+    rows, absent, goal, leads = example(lm.BATCH)
+    real = np.ones(goal.shape, bool)
+    first = net.gradient(rows, absent, goal, leads, real)
+    gone, fewer = absent.copy(), real.copy()
+    gone[:7, :5], fewer[20:30, 3:] = True, False
+    net.gradient(rows[::-1], gone, goal, ~leads, fewer)
+    net.gradient(rows[:5], gone[:5], goal[:5], leads[:5], fewer[:5])
+    again = net.gradient(rows, absent, goal, leads, real)
+    assert all(np.array_equal(first[k], again[k]) for k in first)
+    half = other.gradient(rows[:5], gone[:5], goal[:5], leads[:5], fewer[:5])
+    got = net.gradient(rows[:5], gone[:5], goal[:5], leads[:5], fewer[:5])
+    assert all(np.array_equal(half[k], got[k]) for k in half)
+    net.prepare()
+    net.log_scores(rows, absent, goal, leads)
+    tracemalloc.start()
+    net.gradient(rows, absent, goal, leads, real)
+    _, step = tracemalloc.get_traced_memory()
+    tracemalloc.reset_peak()
+    held, _ = tracemalloc.get_traced_memory()
+    net.log_scores(rows, absent, goal, leads)
+    _, scoring = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    scores = lm.BATCH * lm.BLOCK * (lm.BLOCK + lm.CONTEXT) * 4
+    assert step < 5 * scores and scoring - held < 2 * scores, (step / scores, (scoring - held) / scores)
+
+
+def test_words_of_many_texts_at_once():
+    """As text by text: the same words in the same order, whatever lies between them."""
+    texts = ["", " ", " a  B ", "".join(map(chr, range(300))) + " x", "A\x1cB\x85c d\x0be\x0cf", "İ É é a", "\x00 \x00\x00", "b a" * 50]
+    for given in (texts, texts[2:5], [], [b"a\tB", b""]):
+        one, many = lm.WordCodes(), lm.WordCodes()
+        want = [one.of_text((t.encode() if isinstance(t, str) else t).lower()) for t in given]
+        found = many.of_texts(pa.array(given, pa.binary() if given and isinstance(given[0], bytes) else pa.string()))
+        assert [x.tolist() for x in found] == [x.tolist() for x in want] and many.words == one.words
+    sliced = pa.array(texts)[1:4]
+    assert [len(x) for x in lm.WordCodes().of_texts(sliced)] == [len(t.encode().split()) for t in texts[1:4]]
